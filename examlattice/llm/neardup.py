@@ -2,15 +2,15 @@
 
 1. Each document becomes its set of word shingles. Equal sets are one class; from here on only class representatives count.
 2. A tree starts at one of the representative's minwise tokens: all that share the token's value form a node. A node of up to
-   `small` members is compared exhaustively on full sets. In a larger one all members are compared with two leaders; if those
-   linked to the leaders leave few open members, these are compared with all and the node ends. Else it branches: each member
+   `small` members is compared exhaustively on full sets. In a larger one all members are compared with its most central one; if
+   those linked to it leave few open members, these are compared with all and the node ends. Else it branches: each member
    goes to one child for each of `branches` further tokens chosen by the node's key.
 3. `trees` independent trees are grown. Two sets of similarity s share a root with probability s in each tree, so that
    1 - (1 - s)**trees is the recall at the root (0.999997 for 0.8 and 8 trees), and each branching keeps over 0.99 of it.
 4. Confirmed links make components (alternating large and small stars).
 
 A node's members may be any share of all rows: they are dealt to blocks of bounded size, and a group that meets in one task
-holds `small` sets or two blocks at most. Pairs are formed inside such a group only; what leaves it is a spanning forest of the
+holds `small` sets or about two blocks. Pairs are formed inside such a group only; what leaves it is a spanning forest of the
 confirmed links, which has the same components.
 """
 
@@ -128,6 +128,25 @@ def forest(link: np.ndarray, ids: np.ndarray) -> list[tuple[int, int]]:
     return edges
 
 
+def alike(groups: DataFrame, tokens: DataFrame, least: int) -> DataFrame:
+    """The rows of groups (gid, id, probe) that share `least` minwise tokens with another row of their group, one of the two
+    being a probe. What cannot be linked need not meet with its full set."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        t, probe = np.stack(pdf["tokens"].to_numpy()), pdf["probe"].to_numpy()
+        p = np.flatnonzero(probe)
+        same = np.zeros((len(p), len(t)), np.int16)
+        for j in range(COORDINATES):
+            same += t[p, j][:, None] == t[None, :, j]
+        good = same >= least
+        good[np.arange(len(p)), p] = False
+        keep = good.any(0)
+        keep[p] |= good.any(1)
+        return pdf.loc[keep, ["gid", "id", "probe"]]
+
+    return groups.join(tokens, "id").groupBy("gid").applyInPandas(run, "gid long, id long, probe boolean")
+
+
 def compare(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Confirmed links (a, b) inside groups of (gid, id, probe): every probe against every member, on full sets."""
 
@@ -140,6 +159,25 @@ def compare(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return groups.join(sets, "id").groupBy("gid").applyInPandas(run, "a long, b long")
 
 
+def _content() -> list:
+    """Numbers that tell groups of different members apart."""
+    return [F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(7))).alias("y"), F.min("id").alias("lo"), F.max("id").alias("hi")]
+
+
+def _once(groups: DataFrame, key: str) -> DataFrame:
+    """The keys of groups with two members and more; one key of those that have the same members."""
+    return groups.groupBy("n", "x", "y", "lo", "hi").agg(F.min(key).alias(key)).select(key)
+
+
+def _central(members: DataFrame, tokens: DataFrame) -> DataFrame:
+    """(node, leader): the member whose tokens' lowest bits agree most with the majority of its node, the smallest id of those."""
+    bits = members.select("node", "id").join(tokens, "id").select("node", "id", *[F.get("tokens", F.lit(j)).bitwiseAND(1).alias(f"b{j}") for j in range(COORDINATES)])
+    major = bits.groupBy("node").agg(*[(2 * F.sum(f"b{j}") > F.count("*")).cast("int").alias(f"m{j}") for j in range(COORDINATES)])
+    score = sum((F.col(f"b{j}") == F.col(f"m{j}")).cast("int") for j in range(COORDINATES))
+    best = bits.join(major, "node").select("node", score.alias("score"), "id").groupBy("node").agg(F.min(F.struct((-F.col("score")).alias("s"), "id")).alias("x"))
+    return best.select("node", F.col("x.id").alias("leader"))
+
+
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(id, root) for each end of an edge, root being the smallest id that it reaches. Edges have a < b, or are dropped."""
 
@@ -170,61 +208,65 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     return now.select(F.col("b").alias("id"), F.col("a").alias("root")).unionAll(now.select(F.col("a").alias("id"), F.col("a").alias("root")).distinct())
 
 
-def near_duplicates(docs: DataFrame, *, k: int = 5, percent: int = 80, trees: int = 8, branches: int = 3, small: int = 256, open_pairs: int = 1 << 20, depth: int = 8) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, k: int = 5, percent: int = 80, trees: int = 8, branches: int = 3, small: int = 256, block: int = 512, open_pairs: int = 1 << 24, depth: int = 8) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of docs(doc_id, text).
 
     n_shingles: size of the set of k-word shingles over words of lower-cased (A-Z) text; with fewer words the whole sequence is
     the one shingle. Null and empty texts have an empty set and are linked with nothing. Links need 100 * intersection >=
     percent * union. component_id: smallest doc_id reachable. kept: doc_id = component_id. Repeated doc_ids count as one
     document, whose rows all come back. A row without doc_id is linked with nothing; its component_id is null and it is kept.
-    Other columns are ignored. trees, branches: see the module. small: members of a node that is compared exhaustively, and of
-    a block. open_pairs, depth: a larger node ends when its open members times all are so few, or at this depth; then too its
-    open members are compared with all, in blocks.
+    Other columns are ignored. trees, branches: see the module. small: members of a node that is compared exhaustively; block:
+    rows that a larger node sends to one task, twice. open_pairs, depth: a larger node ends when its open members times all are
+    so few, or at this depth; then its open members are compared with all, in blocks.
+
+    Pairs are confirmed on full sets only if they agree in enough minwise tokens (36 of 64 for 80 percent, which a pair at the
+    threshold misses with a probability of some 1e-6).
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "neardup")
     feats = scratch.keep(features(docs, k))
-    classes = feats.where("n > 0 AND doc_id IS NOT NULL").groupBy("k1", "k2").agg(F.min("doc_id").alias("id"))
-    classes = scratch.keep(classes)
+    classes = scratch.keep(feats.where("n > 0 AND doc_id IS NOT NULL").groupBy("k1", "k2").agg(F.min("doc_id").alias("id")))
     reps = feats.select(F.col("doc_id").alias("id"), "k1", "k2", "tokens").join(classes, ["k1", "k2", "id"]).select("id", "tokens").dropDuplicates(["id"])
     reps = scratch.keep(reps)
+    share = percent / 100
+    least = max(1, int(COORDINATES * share - 4.8 * (COORDINATES * share * (1 - share)) ** 0.5))
 
     rows = reps.select("id", F.posexplode(F.slice("tokens", 1, trees)).alias("tree", "value")).select(F.xxhash64(F.lit(0), "tree", "value").alias("node"), "id")
-    half = small // 2
-    sets = None
     pools, stars, temporary = [], [], []
     for level in range(depth + 1):
-        stats = rows.groupBy("node").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(7))).alias("y"), F.min("id").alias("lo"), F.max("id").alias("hi")).where("n > 1")
-        stats = scratch.keep(stats)
-        once = stats.where(F.col("n") <= small).groupBy("n", "x", "y", "lo", "hi").agg(F.min("node").alias("node")).select("node")
-        if sets is None:
-            some = rows.join(stats.select("node"), "node").select("id").distinct()
+        stats = scratch.keep(rows.groupBy("node").agg(*_content()).where("n > 1"))
+        groups = rows.join(_once(stats.where(F.col("n") <= small), "node"), "node").select(F.xxhash64(F.lit(level), "node").alias("gid"), "id", F.lit(True).alias("probe"))
+        near = scratch.keep(alike(groups, reps, least))
+        pools.append(scratch.keep(near.join(_once(near.groupBy("gid").agg(*_content()), "gid"), "gid")))
+        large = stats.where(F.col("n") > small).select("node", "n", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+        members = scratch.keep(rows.join(large, "node").withColumn("block", F.pmod(F.xxhash64("id", F.lit(3)), F.col("blocks")).cast("int")))
+        if level == 0:
+            need = near.select("id").unionAll(members.select("id")).distinct()
             text = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-            sets = scratch.keep(sets_of(text.join(some.hint("shuffle_hash"), "id", "left_semi"), k).dropDuplicates(["id"]))
-        pools.append(scratch.keep(rows.join(once, "node").select(F.xxhash64(F.lit(level), "node").alias("gid"), "id", F.lit(True).alias("probe"))))
-        large = stats.where(F.col("n") > small).select("node", "n", "lo", "hi", F.ceil(F.col("n") / half).cast("int").alias("blocks"))
-        if large.isEmpty():
+            sets = scratch.keep(sets_of(text.join(need.hint("shuffle_hash"), "id", "left_semi").dropDuplicates(["id"]), k))
+        scratch.drop(near)
+        if members.isEmpty():
             break
-        members = scratch.keep(rows.join(large, "node").withColumn("block", F.pmod(F.xxhash64("id", F.lit(3)), F.col("blocks")).cast("int")))
+        led = scratch.keep(_central(members, reps))
         gid = F.xxhash64("node", "block")
-        lead = large.select("node", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.array("lo", "hi").alias("ids"))
-        star = members.select(gid.alias("gid"), "id", F.lit(False).alias("probe")).unionAll(lead.select(gid.alias("gid"), F.explode("ids").alias("id"), F.lit(True).alias("probe")))
-        stars.append(scratch.keep(compare(star, sets, percent)))
+        lead = large.join(led, "node").select("node", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("leader").alias("id"))
+        star = members.join(led, "node").where("id != leader").select(gid.alias("gid"), "id", F.lit(False).alias("probe")).unionAll(lead.select(gid.alias("gid"), "id", F.lit(True).alias("probe")))
+        stars.append(scratch.keep(compare(scratch.keep(alike(star, reps, least)), sets, percent)))
         found = stars[0]
         for more in stars[1:]:
             found = found.unionAll(more)
         root = components(found, scratch)
-        led = large.select("node", F.col("lo").alias("id")).join(root, "id", "left").select("node", F.coalesce("root", "id").alias("main"))
-        state = members.join(root, "id", "left").join(led, "node").select("node", "id", "n", "block", "blocks", (F.coalesce("root", "id") != F.col("main")).alias("open"))
-        state = scratch.keep(state)
+        main = led.join(root.withColumnRenamed("id", "leader"), "leader", "left").select("node", F.coalesce("root", "leader").alias("main"))
+        state = scratch.keep(members.join(root, "id", "left").join(main, "node").select("node", "id", "n", "block", "blocks", (F.coalesce("root", "id") != F.col("main")).alias("open")))
         opened = state.groupBy("node").agg(F.count_if("open").alias("r")).where("r > 0")
-        state = state.join(opened, "node").withColumn("ends", F.lit(level == depth) | (F.col("r") * F.col("n") <= open_pairs))
-        state = scratch.keep(state)
-        ending = state.where("ends").withColumn("parts", F.ceil(F.col("r") / half).cast("int"))
+        state = scratch.keep(state.join(opened, "node").withColumn("ends", F.lit(level == depth) | (F.col("r") * F.col("n") <= open_pairs)))
+        ending = state.where("ends").withColumn("parts", F.ceil(F.col("r") / block).cast("int"))
         part = F.pmod(F.xxhash64("id", F.lit(5)), F.col("parts")).cast("int")
-        against = ending.select("node", "block", "id", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(False).alias("probe"))
+        against = ending.where("NOT open").select("node", "block", "id", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(False).alias("probe"))
+        among = ending.where("open").select("node", "block", "id", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), part.alias("own")).where("part != own").select("node", "block", "id", "part", F.lit(False).alias("probe"))
         probes = ending.where("open").select("node", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "id", part.alias("part"), F.lit(True).alias("probe"))
-        pools.append(scratch.keep(against.unionByName(probes).select(F.xxhash64(F.lit(level), "node", "block", "part").alias("gid"), "id", "probe")))
+        meet = against.unionByName(among).unionByName(probes).select(F.xxhash64(F.lit(level), "node", "block", "part").alias("gid"), "id", "probe")
+        pools.append(scratch.keep(alike(meet, reps, least)))
         more = state.where("NOT ends").select("node", "id").join(reps, "id")
         choice = F.transform(F.sequence(F.lit(1), F.lit(branches)), lambda i: F.pmod(F.xxhash64("node", i), F.lit(COORDINATES)).cast("int"))
         more = more.select("node", "id", "tokens", F.explode(F.array_distinct(choice)).alias("coordinate"))
