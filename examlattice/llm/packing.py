@@ -155,10 +155,10 @@ def pattern(item: np.ndarray, size: np.ndarray, room: int) -> np.ndarray:
     return out
 
 
-def greedy_basis(size: np.ndarray, demand: np.ndarray, room: int) -> np.ndarray:
-    """A first basis (patterns as columns): always the largest piece left, filled up with the next largest that fit. Each
+def greedy_basis(size: np.ndarray, demand: np.ndarray, room: int) -> tuple[np.ndarray, np.ndarray]:
+    """A first basis (patterns as columns) and its use: always the largest piece left, filled up with the next largest that fit. Each
     pattern is used until a bin is exhausted, which makes the basis triangular."""
-    left, columns = demand.astype(float).copy(), np.zeros((len(size), len(size)))
+    left, columns, used = demand.astype(float).copy(), np.zeros((len(size), len(size))), np.zeros(len(size))
     alive = np.ones(len(size), bool)
     for _ in range(len(size)):
         new, free = np.zeros(len(size)), room
@@ -172,16 +172,15 @@ def greedy_basis(size: np.ndarray, demand: np.ndarray, room: int) -> np.ndarray:
         out = own[ratio.argmin()]
         left[own] = np.maximum(0, left[own] - ratio.min() * new[own])
         left[out], alive[out] = 0, False
-        columns[:, out] = new
-    return columns
+        columns[:, out], used[out] = new, ratio.min()
+    return columns, used
 
 
-def solve(size: np.ndarray, demand: np.ndarray, room: int, gap: float = 1e-3, rounds: int = 400) -> tuple[np.ndarray, np.ndarray]:
+def solve(size: np.ndarray, demand: np.ndarray, room: int, gap: float = 1e-3, rounds: int = 80) -> tuple[np.ndarray, np.ndarray]:
     """Patterns (one in each row) and how often the linear program uses them; size is rising. Ends within `gap` of the optimum,
     by Farley's bound or the pieces' total length."""
-    columns = greedy_basis(size, demand, room)
-    inverse = np.linalg.inv(columns)
-    x = np.maximum(inverse @ demand, 0)
+    start, use = greedy_basis(size, demand, room)
+    columns, inverse, x = start.copy(), np.linalg.inv(start), use.copy()
     least = float(size @ demand) / room
     dual = inverse.sum(0)
     for _ in range(rounds):
@@ -211,6 +210,8 @@ def solve(size: np.ndarray, demand: np.ndarray, room: int, gap: float = 1e-3, ro
             inverse[out] = row
             columns[:, out] = new
             dual = inverse.sum(0)
+    if not np.allclose(columns @ x, demand, rtol=1e-2, atol=0.5):  # rounding errors of the pivots have grown: as it began
+        columns, x = start, use
     return np.rint(columns.T).astype(np.int64), x
 
 
@@ -254,10 +255,10 @@ def layout(bins: np.ndarray, size: np.ndarray, count: np.ndarray, room: int) ->
         for new, times in zip(rows, np.floor(x + 1e-6).astype(np.int64)):
             wide = np.zeros(len(size), np.int64)
             wide[part] = new
-            while times > 0 and ((used + wide * times) > count).any():
-                times -= 1
-            if times:
-                add(wide, int(times))
+            own = wide > 0
+            times = min(int(times), int(((count - used)[own] // wide[own]).min())) if own.any() else 0
+            if times > 0:
+                add(wide, times)
         for new in first_fit(size[part], (count - used)[part], room):
             wide = np.zeros(len(size), np.int64)
             wide[part] = new
@@ -267,7 +268,7 @@ def layout(bins: np.ndarray, size: np.ndarray, count: np.ndarray, room: int) ->
     return {"bin": table[:, 0], "rank": table[:, 1], "each": table[:, 2], "first": table[:, 3]}
 
 
-def pack(docs: DataFrame, tokenizer: str, *, length: int = 4096, end: int = 2, resolution: int = 160) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, *, length: int = 4096, end: int = 2, resolution: int = 64) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset) of every piece of docs(doc_id, text).
 
     A document's ids are the tokenizer's, then `end`; a null text counts as empty and has the one id `end`. Pieces are the full

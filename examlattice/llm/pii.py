@@ -85,34 +85,25 @@ def _title(person: Column) -> Column:
 
 
 def canonical(kind: Column, entity: Column) -> Column:
-    """What two mentions of one entity have in common."""
-    bare = F.regexp_replace(entity, rf"^(?:{_TITLES})\.? ", "")
+    """What two mentions of one entity have in common; of a person the last name."""
     rest = F.regexp_replace(entity, r"^\+[0-9]{1,3}", "")
     return (
         F.when(kind == "email", F.lower(entity)).when(kind == "phone", _digits(rest)).when(kind.isin("card", "ssn"), _digits(entity))
-        .when(kind == "iban", F.regexp_replace(entity, " ", "")).when(kind == "person", F.lower(bare)).otherwise(entity)
+        .when(kind == "iban", F.regexp_replace(entity, " ", "")).when(kind == "person", F.lower(F.substring_index(entity, " ", -1))).otherwise(entity)
     )
 
 
 def _digest(key: str, *parts: Column) -> Column:
-    """128 hexadecimal digits that only the key's owner can compute from the parts."""
-    inner = F.sha2(F.concat_ws("\u001f", F.lit(key), *parts), 256)
-    return F.concat(F.sha2(F.concat(F.lit(key + "\u001f1"), inner), 256), F.sha2(F.concat(F.lit(key + "\u001f2"), inner), 256))
+    """64 hexadecimal digits that only the key's owner can compute from the parts."""
+    return F.sha2(F.concat(F.lit(key + "\u001f"), F.sha2(F.concat_ws("\u001f", F.lit(key), *parts), 256)), 256)
 
 
-def _figures(digest: Column) -> Column:
-    return F.translate(digest, "abcdef", "012345")
-
-
-def _letters(digest: Column) -> Column:
-    return F.translate(digest, "0123456789", "ghijklmnop")
-
-
-def _fill(template: Column, digest: Column) -> Column:
-    """template with each digit and each letter replaced by one from the digest."""
+def _fill(template: Column, figures: Column, letters: Column) -> Column:
+    """template with each digit and each letter replaced by one from figures and letters (64 of each)."""
     def one(c: Column, i: Column) -> Column:
-        at = F.pmod(i, F.lit(128)) + 1
-        return F.when(c.rlike("[0-9]"), F.substr(_figures(digest), at, F.lit(1))).when(c.rlike("[a-z]"), F.substr(_letters(digest), at, F.lit(1))).when(c.rlike("[A-Z]"), F.upper(F.substr(_letters(digest), at, F.lit(1)))).otherwise(c)
+        at = F.pmod(i, F.lit(64)) + 1
+        letter = F.substr(letters, at, F.lit(1))
+        return F.when(c.rlike("[0-9]"), F.substr(figures, at, F.lit(1))).when(c.rlike("[a-z]"), letter).when(c.rlike("[A-Z]"), F.upper(letter)).otherwise(c)
 
     return F.array_join(F.transform(F.split(template, ""), one), "")
 
@@ -131,54 +122,55 @@ def _luhn(digits: Column) -> Column:
     return ((10 - total % 10) % 10).cast("string")
 
 
-def _iban_check(country: Column, rest: Column) -> Column:
-    figures = F.array_join(F.transform(F.split(F.concat(rest, country, F.lit("00")), ""), lambda c: F.when(c.rlike("[A-Z]"), (F.ascii(c) - 55).cast("string")).otherwise(c)), "")
+def _iban_check(bare: Column) -> Column:
+    """Check digits for an IBAN's body, country and two zeros."""
+    figures = F.array_join(F.transform(F.split(bare, ""), lambda c: F.when(c.rlike("[A-Z]"), (F.ascii(c) - 55).cast("string")).otherwise(c)), "")
     left = F.aggregate(F.split(figures, ""), F.lit(0), lambda a, c: (a * 10 + c.cast("int")) % 97)
     return F.lpad((98 - left).cast("string"), 2, "0")
 
 
 def _pick(values: list[str], n: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(x) for x in values]), (n + 1).cast("int"))
+    return F.element_at(F.split(F.lit(" ".join(values)), " "), (n + 1).cast("int"))
 
 
 def _script(x: Column) -> Column:
     return F.when(x.rlike(r"\p{IsCyrillic}"), "cyrillic").when(x.rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
 
 
-def _surname(token: Column, digest: Column, attempt: Column) -> Column:
-    def in_script(script: str) -> Column:
-        parts = [_pick(SYLLABLES[script], _number(digest, 1 + 8 * i, 16)) for i in range(5)]
-        return F.initcap(F.concat(*parts[:4], F.when(attempt > 0, F.concat(parts[4], _pick(SYLLABLES[script], _number(digest, 50, 16)))).otherwise("")))
-
-    s = _script(token)
-    return F.when(s == "cyrillic", in_script("cyrillic")).when(s == "greek", in_script("greek")).otherwise(in_script("latin"))
-
-
-def _given(token: Column, gender: Column, digest: Column) -> Column:
-    n, s = _number(digest, 1, 16), _script(token)
-    out = _pick(GIVEN["latin", "neutral"], n)
-    for (script, g), names in GIVEN.items():
-        fits = gender == g if script == "latin" else (gender != "female" if g == "male" else gender == "female")
-        out = F.when((s == script) & fits, _pick(names, n)).otherwise(out)
-    return out
-
-
-def core(kind: Column, canon: Column, attempt: Column, key: str) -> Column:
-    """The surrogate of a canonical form, in canonical form. attempt: how often it had to draw again."""
-    d = _digest(key, kind, canon, attempt.cast("string"))
-    local, domain = F.substring_index(canon, "@", 1), F.substring_index(canon, "@", -1)
-    again = F.when(attempt > 0, F.substr(_figures(d), F.lit(60), F.lit(6))).otherwise("")
-    email = F.concat(_fill(local, d), again, F.lit("@d"), F.substr(_digest(key, F.lit("domain"), domain), F.lit(1), F.lit(10)), F.lit(".example"))
-    ip = F.concat_ws(".", *[(1 + _number(d, 1, 223)).cast("string"), *[_number(d, 9 + 8 * i, 256).cast("string") for i in range(3)]])
-    body = F.concat(F.substr(canon, F.lit(1), F.lit(1)), F.substr(_figures(d), F.lit(1), F.length(canon) - 2))
-    card = F.concat(body, _luhn(body))
-    ssn = F.concat(F.lit("9"), F.substr(_figures(d), F.lit(1), F.length(canon) - 1))
-    country, rest = F.substr(canon, F.lit(1), F.lit(2)), _fill(F.substr(canon, F.lit(5)), d)
-    iban = F.concat(country, _iban_check(country, rest), rest)
-    phone = F.substr(_figures(d), F.lit(1), F.length(canon))
-    last = F.substring_index(canon, " ", -1)
-    person = _surname(last, _digest(key, F.lit("surname"), last, attempt.cast("string")), attempt)
-    return F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "card", card).when(kind == "ssn", ssn).when(kind == "iban", iban).when(kind == "phone", phone).otherwise(person)
+def cores(drawn: Column, key: str) -> Column:
+    """drawn: array of (kind, canon, attempt). With core: the surrogate in canonical form; attempt is how often it had to draw again.
+
+    Done in steps, each over the array that the last one made, so that no expression is written twice."""
+    def keep(x: Column, *names: str) -> list[Column]:
+        return [x[n].alias(n) for n in names]
+
+    base = ("kind", "canon", "attempt")
+    x = F.transform(drawn, lambda x: F.struct(*keep(x, *base), _digest(key, x["kind"], x["canon"], x["attempt"].cast("string")).alias("d"), _digest(key, F.lit("domain"), F.substring_index(x["canon"], "@", -1)).alias("domain")))
+    x = F.transform(x, lambda x: F.struct(*keep(x, *base, "d", "domain"), F.translate(x["d"], "abcdef", "012345").alias("f"), F.translate(x["d"], "0123456789", "ghijklmnop").alias("l")))
+    x = F.transform(x, lambda x: F.struct(
+        *keep(x, *base, "d", "domain", "f"),
+        F.when(x["kind"] == "email", _fill(F.substring_index(x["canon"], "@", 1), x["f"], x["l"]))
+        .when(x["kind"] == "iban", _fill(F.substr(x["canon"], F.lit(5)), x["f"], x["l"]))
+        .when(x["kind"] == "card", F.concat(F.substr(x["canon"], F.lit(1), F.lit(1)), F.substr(x["f"], F.lit(1), F.length(x["canon"]) - 2)))
+        .when(x["kind"] == "person", _script(x["canon"])).alias("body")))
+
+    def core(x: Column) -> Column:
+        d, f, canon, body = x["d"], x["f"], x["canon"], x["body"]
+        again = F.when(x["attempt"] > 0, F.substr(f, F.lit(58), F.lit(6))).otherwise("")
+        country = F.substr(canon, F.lit(1), F.lit(2))
+        syllables = F.split(F.when(body == "cyrillic", " ".join(SYLLABLES["cyrillic"])).when(body == "greek", " ".join(SYLLABLES["greek"])).otherwise(" ".join(SYLLABLES["latin"])), " ")
+        person = F.initcap(F.array_join(F.transform(F.sequence(F.lit(0), F.when(x["attempt"] > 0, 5).otherwise(3)), lambda i: F.element_at(syllables, (F.pmod(F.conv(F.substr(d, 1 + 8 * i, F.lit(7)), 16, 10).cast("long"), F.lit(16)) + 1).cast("int"))), ""))
+        return (
+            F.when(x["kind"] == "email", F.concat(body, again, F.lit("@d"), F.substr(x["domain"], F.lit(1), F.lit(10)), F.lit(".example")))
+            .when(x["kind"] == "ip", F.concat_ws(".", *[(1 + _number(d, 1, 223)).cast("string"), *[_number(d, 9 + 8 * i, 256).cast("string") for i in range(3)]]))
+            .when(x["kind"] == "card", F.concat(body, _luhn(body)))
+            .when(x["kind"] == "ssn", F.concat(F.lit("9"), F.substr(f, F.lit(1), F.length(canon) - 1)))
+            .when(x["kind"] == "iban", F.concat(country, _iban_check(F.concat(body, country, F.lit("00"))), body))
+            .when(x["kind"] == "phone", F.substr(f, F.lit(1), F.length(canon)))
+            .otherwise(person)
+        )
+
+    return F.transform(x, lambda x: F.struct(*keep(x, *base), core(x).alias("core")))
 
 
 def _lay_out(template: Column, figures: Column) -> Column:
@@ -190,40 +182,52 @@ def _lay_out(template: Column, figures: Column) -> Column:
     return F.array_join(F.transform(F.split(template, ""), one), "")
 
 
-def surrogate(entity: Column, key: str, attempts: Column | None = None) -> Column:
-    """The text that takes the entity's place. attempts: map from 'kind:canonical form' to the number of further draws."""
-    kind = kind_of(entity)
-    canon = canonical(kind, entity)
-    attempt = F.lit(0) if attempts is None else F.coalesce(F.try_element_at(attempts, F.concat(kind, F.lit(":"), canon)), F.lit(0))
-    new = core(kind, canon, attempt, key)
-    prefix = _prefix(entity)
-    title = _title(entity)
-    names = F.substr(entity, F.length(title) + 2)
-    plain = F.regexp_replace(title, r"\.", "")
-    gender = F.when(plain.isin(MALE), "male").when(plain.isin(FEMALE), "female").otherwise("neutral")
-    first = F.substring_index(names, " ", 1)
-    given = F.when(names.contains(" "), F.concat(_given(first, gender, _digest(key, F.lit("given"), F.lower(first))), F.lit(" "))).otherwise("")
-    person = F.concat(given, new)
-    person = F.concat(title, F.lit(" "), F.when((names == F.upper(names)) & (F.length(names) > 2), F.upper(person)).otherwise(person))
-    return (
-        F.when(kind == "phone", F.concat(prefix, _lay_out(F.substr(entity, F.length(prefix) + 1), new)))
-        .when(kind.isin("card", "ssn", "iban"), _lay_out(entity, new)).when(kind == "person", person).otherwise(new)
-    )
+def surrogates(found: Column, key: str, attempts: Column | None = None) -> Column:
+    """The texts that take the places of an array of entities. attempts: map from 'kind:canonical form' to further draws."""
+    kinds = F.transform(found, lambda e: F.struct(e.alias("e"), kind_of(e).alias("kind")))
+    known = F.transform(kinds, lambda x: F.struct(x["e"].alias("e"), x["kind"].alias("kind"), canonical(x["kind"], x["e"]).alias("canon")))
+
+    def attempt(x: Column) -> Column:
+        return F.lit(0) if attempts is None else F.coalesce(F.try_element_at(attempts, F.concat(x["kind"], F.lit(":"), x["canon"])), F.lit(0))
+
+    new = cores(F.transform(known, lambda x: F.struct(x["kind"].alias("kind"), x["canon"].alias("canon"), attempt(x).alias("attempt"))), key)
+    parts = F.zip_with(known, new, lambda x, y: F.struct(
+        x["e"].alias("e"), x["kind"].alias("kind"), y["core"].alias("core"), _prefix(x["e"]).alias("prefix"), _title(x["e"]).alias("title"),
+        F.when(x["kind"] == "person", F.split(F.regexp_replace(x["e"], rf"^(?:{_TITLES})\.? ", ""), " ")).alias("names")))
+    parts = F.transform(parts, lambda x: F.struct(
+        *[x[n].alias(n) for n in ("e", "kind", "core", "prefix", "title", "names")],
+        F.when(F.size(x["names"]) > 1, _number(_digest(key, F.lit("given"), F.lower(F.get(x["names"], F.lit(0)))), 1, 16)).alias("n"),
+        F.concat_ws(" ", _script(F.get(x["names"], F.lit(0))), F.when(F.regexp_replace(x["title"], r"\.", "").isin(MALE), "male").when(F.regexp_replace(x["title"], r"\.", "").isin(FEMALE), "female").otherwise("neutral")).alias("of")))
+
+    def given(x: Column) -> Column:
+        out = _pick(GIVEN["latin", "neutral"], x["n"])
+        for (script, gender), names in GIVEN.items():
+            fits = x["of"] == f"{script} {gender}"
+            out = F.when(fits | (x["of"] == f"{script} neutral") if gender == "male" and script != "latin" else fits, _pick(names, x["n"])).otherwise(out)
+        return out
+
+    def person(x: Column) -> Column:
+        name = F.concat(F.when(F.size(x["names"]) > 1, F.concat(given(x), F.lit(" "))).otherwise(""), x["core"])
+        shouted = F.forall(x["names"], lambda n: (n == F.upper(n)) & (F.length(n) > 1))
+        return F.concat(x["title"], F.lit(" "), F.when(shouted, F.upper(name)).otherwise(name))
+
+    return F.transform(parts, lambda x: (
+        F.when(x["kind"] == "phone", F.concat(x["prefix"], _lay_out(F.substr(x["e"], F.length(x["prefix"]) + 1), x["core"])))
+        .when(x["kind"].isin("card", "ssn", "iban"), _lay_out(x["e"], x["core"])).when(x["kind"] == "person", person(x)).otherwise(x["core"])))
 
 
 def entities(docs: DataFrame, text: str = "text") -> DataFrame:
     """(kind, canon) of each distinct entity of the texts."""
     found = docs.select(F.explode(mentions(F.col(text))).alias("e"))
-    found = found.select(kind_of(F.col("e")).alias("kind"), "e").select("kind", canonical(F.col("kind"), F.col("e")).alias("canon"))
-    # of a person's names the last one is what stays distinct
-    return found.select("kind", F.when(F.col("kind") == "person", F.substring_index("canon", " ", -1)).otherwise(F.col("canon")).alias("canon")).distinct()
+    return found.select(kind_of(F.col("e")).alias("kind"), "e").select("kind", canonical(F.col("kind"), F.col("e")).alias("canon")).distinct()
 
 
 def further_draws(docs: DataFrame, key: str, scratch: Scratch, text: str = "text", rounds: int = 30) -> DataFrame:
     """(kind, canon, attempt) of the entities that must draw again so that all surrogates are distinct and none is real."""
     now = scratch.keep(entities(docs, text).withColumn("attempt", F.lit(0)))
     for _ in range(rounds):
-        drawn = now.withColumn("core", F.lower(core(F.col("kind"), F.col("canon"), F.col("attempt"), key)))
+        drawn = now.select(F.explode(cores(F.array(F.struct("kind", "canon", "attempt")), key)).alias("x")).select("x.kind", "x.canon", "x.attempt", F.lower("x.core").alias("core"))
+        drawn = scratch.keep(drawn)
         first = drawn.groupBy("kind", "core").agg(F.count("*").alias("n"), F.min("attempt").alias("least")).where("n > 1")
         winner = drawn.join(first, ["kind", "core"]).where("attempt = least").groupBy("kind", "core").agg(F.min("canon").alias("winner"))
         lost = drawn.join(winner, ["kind", "core"]).where("canon != winner").select("kind", "canon")
@@ -248,14 +252,13 @@ def pseudonymise(docs: DataFrame, key: str, *, text: str = "text", doc_id: str =
     found = docs.select(*kept, mentions(F.col(text)).alias("__found"))
     attempts = None
     if not draws.isEmpty():
-        mention = found.select(doc_id, F.explode("__found").alias("e")).select(doc_id, kind_of(F.col("e")).alias("kind"), canonical(kind_of(F.col("e")), F.col("e")).alias("full"))
-        mention = mention.withColumn("canon", F.when(F.col("kind") == "person", F.substring_index("full", " ", -1)).otherwise(F.col("full")))
-        own = mention.join(draws, ["kind", "canon"]).select(F.col(doc_id).alias("__id"), F.struct(F.concat("kind", F.lit(":"), "full").alias("key"), "attempt").alias("x"))
+        mention = found.select(doc_id, F.explode("__found").alias("e")).select(doc_id, kind_of(F.col("e")).alias("kind"), "e").select(doc_id, "kind", canonical(F.col("kind"), F.col("e")).alias("canon"))
+        own = mention.join(draws, ["kind", "canon"]).select(F.col(doc_id).alias("__id"), F.struct(F.concat("kind", F.lit(":"), "canon").alias("key"), "attempt").alias("x"))
         own = own.groupBy("__id").agg(F.map_from_entries(F.collect_set("x")).alias("__draws"))
         found = found.join(own, found[doc_id].eqNullSafe(own["__id"]), "left").drop("__id")
         attempts = F.coalesce("__draws", F.create_map().cast("map<string,int>"))
     pieces = between(F.col(text))
-    new = F.transform("__found", lambda e: surrogate(e, key, attempts))
+    new = surrogates(F.col("__found"), key, attempts)
     joined = F.array_join(F.zip_with(pieces, new, lambda p, s: F.concat(p, F.coalesce(s, F.lit("")))), "")
     kinds = F.transform("__found", kind_of)
     counts = F.map_from_arrays(F.array_distinct(kinds), F.transform(F.array_distinct(kinds), lambda k: F.size(F.filter(kinds, lambda x: x == k))))
