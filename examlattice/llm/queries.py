@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, neardup, packing, pii
+from . import decontam, langid, licenses, neardup, packing, pii, secrets, tokencount, topk, urlfilter
 
 #: The queries' key; a real job takes a secret one.
 PII_KEY = "registered query"
@@ -47,5 +47,47 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op3_minhash_near_dedup, op5_benchmark_decontamination, op7_pii_surrogates, op9_packing)}
-ORACLES: dict[str, str] = {}
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents"))
+    base = F.filter("secrets", lambda x: x["rank"] < 3)
+    count = [F.size(F.filter("secrets", lambda x, k=k: x["rank"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(secrets.KINDS)]
+    return found.select("doc_id", *count, F.sha2(secrets.listing(base), 256).alias("base_sha256"), secrets.listing(F.col("secrets")).alias("spans"))
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict", "n_strict", "n_soft")
+
+
+def op6_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", tokencount.token_count(F.col("text"), tokenizer_path("piece_bpe_32k.model")).alias("n_tokens"))
+
+
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = topk.quantised(table(spark, sf_dir, "embeddings"))
+    return topk.top_k(vectors, vectors.where("vec_id % 50 = 0"), k=5)
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_secret_scan, op3_minhash_near_dedup, op4_url_filter, op5_benchmark_decontamination, op6_token_count, op7_pii_surrogates, op8_license_scan, op9_packing, op10_exact_top_k)}
+
+_HOST = "translate(regexp_extract(coalesce(url, ''), '^(?s:.*?)://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_PATH = "regexp_extract(coalesce(url, ''), '^(?s:.*?)://[^/?#]*([^?#]*)', 1)"
+
+
+def _terms(terms: list[str]) -> str:
+    return " + ".join(f"CAST(regexp_matches(u, '(^|[^a-z0-9]){t}($|[^a-z0-9])') AS INT)" for t in terms)
+
+
+ORACLES: dict[str, str] = {
+    "op4_url_filter": f"""
+WITH p AS (SELECT page_id, {_HOST} AS host, {_PATH} AS path, translate(coalesce(url, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS u FROM pages),
+r(verdict, rule) AS (VALUES ('allow', 'org/'), ('block', 'example.org/es/'), ('block', 'example.org/en/1'), ('allow', 'com/fr/'), ('block', 'com/de/')),
+f AS (SELECT *, split_part(rule, '/', 1) AS h, substr(rule, length(split_part(rule, '/', 1)) + 1) AS s FROM r),
+n AS (SELECT *, {_terms(urlfilter.STRICT)} AS n_strict, {_terms(urlfilter.SOFT)} AS n_soft FROM p),
+m AS (SELECT n.*, (SELECT max(struct_pack(k := length(rule), rule := rule, verdict := verdict)) FROM f WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, s)) AS best FROM n)
+SELECT page_id, host, path, best.rule AS rule, coalesce(best.verdict, CASE WHEN n_strict > 0 OR n_soft >= 2 THEN 'block' ELSE 'allow' END) AS verdict, n_strict, n_soft FROM m
+""",
+}
