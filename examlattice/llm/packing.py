@@ -22,8 +22,8 @@ from pyspark.sql.window import Window
 from ._store import Scratch, partitions
 from ._text import chunks
 
-MARK = "¶"
-CACHE = 400_000  #: pieces of text whose ids a Python worker keeps
+MARK = "\x01"
+CACHE = 1_000_000  #: pieces of text whose ids a Python worker keeps
 
 
 class Encoder:
@@ -44,28 +44,34 @@ class Encoder:
         self.ids = np.zeros(1 << 18, np.uint32)
         self.used = 0
 
-    def _ids(self, runs: list[str]) -> Iterator[np.ndarray]:
-        """Ids of each run. Many runs are encoded as one text, with a mark between them that is one token."""
-        if self.mark is None:
-            yield from (np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch(runs, add_special_tokens=False))
-            return
-        plain = [r for r in runs if MARK not in r]
-        for at in range(0, len(plain), 512):
-            ids = np.array(self.tokenizer.encode(f" {MARK} ".join([*plain[at : at + 512], ""]), add_special_tokens=False).ids, np.uint32)
-            ends = np.flatnonzero(ids == self.mark)
-            yield from (ids[a:b] for a, b in zip([0, *(ends[:-1] + 1)], ends))
-        yield from (np.array(self.tokenizer.encode(r, add_special_tokens=False).ids, np.uint32) for r in runs if MARK in r)
+    def _one_by_one(self, runs: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch(runs, add_special_tokens=False)]
 
     def _learn(self, missing: list[str]) -> None:
-        for ids, run in zip(self._ids(missing), missing):
-            k = len(self.code)
-            if k >= len(self.at):
-                self.at, self.size = np.resize(self.at, 2 * k), np.resize(self.size, 2 * k)
-            while self.used + len(ids) > len(self.ids):
-                self.ids = np.resize(self.ids, 2 * len(self.ids))
-            self.ids[self.used : self.used + len(ids)] = ids
-            self.at[k], self.size[k], self.code[run] = self.used, len(ids), k
-            self.used += len(ids)
+        """Keeps the ids of new runs. Many runs are encoded as one text, with a mark between them that is one token."""
+        plain = [r for r in missing if MARK not in r] if self.mark is not None else []
+        rest = [r for r in missing if MARK in r] if self.mark is not None else missing
+        for at in range(0, len(plain), 1024):
+            runs = plain[at : at + 1024]
+            ids = np.array(self.tokenizer.encode(f" {MARK} ".join([*runs, ""]), add_special_tokens=False).ids, np.uint32)
+            mark = ids == self.mark
+            ends = np.flatnonzero(mark)
+            self._add(runs, ids[~mark], np.diff(ends, prepend=-1) - 1)
+        if rest:
+            found = self._one_by_one(rest)
+            self._add(rest, np.array([i for ids in found for i in ids], np.uint32), np.array([len(ids) for ids in found]))
+
+    def _add(self, runs: list[str], ids: np.ndarray, size: np.ndarray) -> None:
+        k, n = len(self.code), len(runs)
+        while k + n > len(self.at):
+            self.at, self.size = np.resize(self.at, 2 * len(self.at)), np.resize(self.size, 2 * len(self.size))
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.resize(self.ids, 2 * len(self.ids))
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.size[k : k + n] = size
+        self.at[k : k + n] = self.used + np.cumsum(size) - size
+        self.code.update(zip(runs, range(k, k + n)))
+        self.used += len(ids)
 
     def encode(self, texts: list[str], end: int) -> Iterator[np.ndarray]:
         """Ids of each text, then `end`."""
@@ -73,10 +79,13 @@ class Encoder:
             self._clear()
         split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
         runs = [r for s in split for r in s]
-        missing = sorted(set(runs).difference(self.code), key=lambda r: (MARK in r, r))
-        if missing:
-            self._learn(missing)
-        code = np.fromiter(map(self.code.__getitem__, runs), np.int64, len(runs))
+        code = list(map(self.code.get, runs))
+        new = [i for i, c in enumerate(code) if c is None]
+        if new:
+            self._learn(list(dict.fromkeys(runs[i] for i in new)))
+            for i in new:
+                code[i] = self.code[runs[i]]
+        code = np.array(code, np.int64)
         size = self.size[code]
         ends = np.cumsum(size)
         total = int(ends[-1]) if len(ends) else 0
