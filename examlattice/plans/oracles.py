@@ -108,3 +108,62 @@ ORACLES: dict[str, str] = {
       FROM n LEFT JOIN items i ON n.user_id = i.user_id AND n.question_id = i.question_id WHERE wrong_n > 0 OR guessed_n > 0""", *R).replace("WITH ", "WITH RECURSIVE ", 1),
     "revision_due": with_views(f"WITH {FOLD}, {LIVE} SELECT user_id, count(*) AS n FROM items WHERE status = 'active' AND due <= {TODAY} AND question_id IN (SELECT question_id FROM live) GROUP BY user_id", "papers", *R).replace("WITH ", "WITH RECURSIVE ", 1),
 }
+
+_W = "[^a-z0-9\\x{0900}-\\x{0963}\\x{0970}-\\x{097F}]+"
+STEMS = f"""stems AS (SELECT doc_id AS question_id, substr(sha1(regexp_replace(lower(coalesce(substr(text, 1, 400), '')), '{_W}', '', 'g') || '|1only|2only|both1and2|neither1nor2'), 1, 16) AS norm_hash FROM documents)"""
+NAMED = f"""named AS (SELECT question_id, status, regexp_replace(lower(text), '{_W}', '', 'g') AS norm_hash, CASE correct_answer WHEN 'A' THEN 'alpha' WHEN 'B' THEN 'beta' WHEN 'C' THEN 'gamma' WHEN 'D' THEN 'delta' END AS answer_words FROM questions)"""
+PAIRS = "pairs AS (SELECT newer, older FROM (SELECT question_id AS newer, lag(question_id) OVER (PARTITION BY norm_hash ORDER BY question_id) AS older FROM named) WHERE older IS NOT NULL)"
+_hits = {"Size": [("small", 1), ("large", 1), ("tiny", 1), ("small ring", 2)], "Colour": [("red", 1), ("blue", 1), ("green", 1), ("red widget", 2)], "Thing": [("ring", 1), ("bolt", 1), ("widget", 1), ("gear", 1)]}
+_score = {k: " + ".join(f"CASE WHEN regexp_matches(lower(text), '(^|[^a-z0-9]){w}($|[^a-z0-9])') THEN {n} ELSE 0 END" for w, n in v) for k, v in _hits.items()}
+SAMPLE = "sample AS (SELECT paper_id, question_id, CAST(place AS INT) AS place FROM (SELECT *, count(*) OVER (PARTITION BY paper_id) AS n, row_number() OVER (PARTITION BY paper_id ORDER BY sha1('1:' || question_id), question_id) AS place FROM questions WHERE status = 'live') WHERE place <= greatest(5, ceil(0.1 * n)))"
+ORACLES |= {
+    "question_hashes": f"WITH {STEMS} SELECT * FROM stems",
+    "exact_duplicates": f"WITH {STEMS} SELECT newer, older FROM (SELECT question_id AS newer, lag(question_id) OVER (PARTITION BY norm_hash ORDER BY question_id) AS older FROM stems) WHERE older IS NOT NULL",
+    "answer_conflicts": with_views(f"WITH {NAMED}, {PAIRS}, b AS (SELECT newer AS question_id, older AS other_id FROM pairs UNION ALL SELECT older, newer FROM pairs) SELECT b.question_id, b.other_id FROM b JOIN named x ON b.question_id = x.question_id JOIN named y ON b.other_id = y.question_id WHERE y.status <> 'quarantined' AND x.answer_words <> y.answer_words", "questions"),
+    "duplicate_pair_counts": with_views(f"WITH {NAMED}, {PAIRS} SELECT question_id, count(*) AS n FROM (SELECT newer AS question_id FROM pairs UNION ALL SELECT older FROM pairs) GROUP BY ALL", "questions"),
+    "duplicate_reconcile": with_views(f"""WITH {NAMED}, {PAIRS}, st AS (SELECT DISTINCT newer + CASE WHEN newer % 6 = 1 THEN 1 ELSE 0 END AS newer, older, 95 AS score, CASE WHEN older % 2 = 0 THEN 'open' ELSE 'kept_both' END AS status FROM pairs WHERE newer % 3 > 0)
+      SELECT coalesce(p.newer, st.newer) AS newer, coalesce(p.older, st.older) AS older, CASE WHEN st.status IS NULL OR st.status = 'open' THEN CASE WHEN p.newer IS NOT NULL THEN 100 ELSE st.score END ELSE st.score END AS score, coalesce(st.status, 'open') AS status,
+      CASE WHEN st.status IS NULL THEN 'insert' WHEN st.status = 'open' AND p.newer IS NULL THEN 'delete' WHEN st.status = 'open' THEN 'update' ELSE 'leave' END AS action FROM pairs p FULL JOIN st ON p.newer = st.newer AND p.older = st.older""", "questions"),
+    "duplicate_neighbours": with_views(f"WITH {NAMED}, {PAIRS} SELECT question_id FROM named WHERE question_id % 100 = 1 UNION SELECT older FROM pairs WHERE newer % 100 = 1 UNION SELECT newer FROM pairs WHERE older % 100 = 1", "questions"),
+    "also_appeared": with_views(f"WITH {NAMED}, {PAIRS} SELECT older AS question_id, string_agg(title || ' Q' || question_number, ', ' ORDER BY title, question_number) AS labels FROM pairs JOIN questions q ON pairs.newer = q.question_id JOIN papers p ON q.paper_id = p.paper_id GROUP BY ALL", "papers", "questions"),
+    "subject_hints": with_views(f"""WITH sc AS (SELECT question_id, {', '.join(f'{v} AS {k}' for k, v in _score.items())} FROM questions), s AS (SELECT question_id, list_reverse_sort([{', '.join(f"struct_pack(score := {k}, subject := '{k}')" for k in _score)}]) AS b FROM sc)
+      SELECT question_id, CASE WHEN ok THEN b[1].subject END AS subject, CASE WHEN ok THEN b[1].score END AS score FROM (SELECT *, b[1].score >= 2 AND b[1].score > b[2].score AS ok FROM s)""", "questions"),
+    "answer_key_roundtrip": with_views("SELECT paper_id AS key_id, question_number AS number, arg_min(correct_answer, question_id) AS letter, count(DISTINCT correct_answer) AS letters FROM questions WHERE correct_answer IS NOT NULL AND question_number BETWEEN 1 AND 999 GROUP BY ALL", "questions"),
+    "key_compare": with_views("""WITH f AS (SELECT paper_id, question_number, arg_min(status, question_id) AS status, arg_min_null(correct_answer, question_id) AS correct_answer, arg_min(true_letter, question_id) AS letter, min(question_id) AS id FROM questions GROUP BY ALL), k AS (SELECT paper_id, question_number + CASE WHEN id % 11 = 0 THEN 1000 ELSE 0 END AS question_number, letter FROM f WHERE id % 7 <> 0), q AS (SELECT * FROM f WHERE status <> 'quarantined')
+      SELECT coalesce(q.paper_id, k.paper_id) AS paper_id, coalesce(q.question_number, k.question_number) AS question_number, q.correct_answer AS have, k.letter AS want, CASE WHEN q.id IS NULL THEN 'extra' WHEN k.letter IS NULL THEN 'missing' WHEN q.correct_answer IS NULL THEN 'new' WHEN q.correct_answer = k.letter THEN 'same' ELSE 'different' END AS verdict
+      FROM q FULL JOIN k ON q.paper_id = k.paper_id AND q.question_number = k.question_number""", "questions"),
+    "review_counters": with_views("SELECT paper_id, count(*) AS total, count(*) FILTER (status = 'needs_review') AS to_confirm, count(*) FILTER (status = 'live') AS live, count(*) FILTER (flagged) AS flagged, count(*) FILTER (status = 'needs_review' AND correct_answer IS NOT NULL AND NOT flagged AND answer_source <> 'ai') AS bulk_confirmable, count(*) FILTER (answer_source = 'ai') AS ai_answers, count(*) FILTER (subject IS NULL) AS no_subject, count(*) FILTER (status = 'quarantined') AS quarantined FROM questions GROUP BY paper_id", "questions"),
+    "publish_blockers": with_views("""WITH c AS (SELECT paper_id, count(*) AS n, count(*) FILTER (status = 'needs_review') AS o, count(*) FILTER (correct_answer IS NULL) AS u, count(*) FILTER (flagged AND NOT acknowledged) AS f FROM questions WHERE status <> 'quarantined' GROUP BY paper_id)
+      SELECT paper_id, concat_ws(',', CASE WHEN status <> 'ready' THEN 'not_ready' END, CASE WHEN archived THEN 'archived' END, CASE WHEN coalesce(n, 0) = 0 THEN 'empty' END, CASE WHEN o > 0 THEN 'to_confirm' END, CASE WHEN u > 0 THEN 'no_answer' END, CASE WHEN f > 0 THEN 'flags' END) AS blockers FROM papers LEFT JOIN c USING (paper_id)""", "papers"),
+    "missing_numbers": with_views("SELECT paper_id, CAST(unnest(range(1, expected_total + 1)) AS INT) AS question_number FROM papers EXCEPT SELECT paper_id, question_number FROM questions", "papers", "questions"),
+    "audit_sample": with_views(f"WITH {SAMPLE} SELECT * FROM sample", "questions"),
+    "audit_outcome": with_views(f"WITH {SAMPLE} SELECT paper_id, checked, wrong, wrong < 3 AS passed FROM (SELECT s.paper_id, count(*) AS checked, count(*) FILTER (correct_answer IS DISTINCT FROM true_letter) AS wrong FROM sample s JOIN questions q USING (question_id) GROUP BY ALL)", "questions"),
+    "status_transitions": with_views("SELECT question_id, CASE WHEN question_id % 3 <> 0 THEN status WHEN question_id % 4 = 0 THEN 'quarantined' WHEN question_id % 4 = 1 AND status = 'quarantined' THEN 'needs_review' WHEN question_id % 4 = 2 AND status = 'live' THEN 'needs_review' WHEN question_id % 4 = 3 AND status = 'needs_review' AND correct_answer IS NOT NULL THEN 'live' ELSE status END AS status FROM questions", "questions"),
+    "answer_summary": with_views("SELECT *, coalesce(with_answer >= 10 AND 2 * most > with_answer, FALSE) AS lopsided FROM (SELECT paper_id, CAST(coalesce(sum(n) FILTER (correct_answer IS NOT NULL), 0) AS BIGINT) AS with_answer, CAST(coalesce(sum(n) FILTER (correct_answer IS NULL), 0) AS BIGINT) AS without_answer, CAST(sum(ai) AS BIGINT) AS ai_answers, max(n) FILTER (correct_answer IS NOT NULL) AS most FROM (SELECT paper_id, correct_answer, count(*) AS n, count(*) FILTER (answer_source = 'ai') AS ai FROM questions WHERE status <> 'quarantined' GROUP BY ALL) GROUP BY paper_id)", "questions"),
+    "test_catalogue": with_views(f"WITH {LIVE} SELECT paper_id, n, CAST(ceil(n * 72 / 60.0) AS INT) AS minutes, fingerprint, coalesce(taken, 0) AS taken FROM (SELECT paper_id, count(*) AS n, substr(sha1(string_agg(CAST(question_id AS VARCHAR), ',' ORDER BY question_id)), 1, 8) AS fingerprint FROM live WHERE source_type <> 'book' GROUP BY paper_id) LEFT JOIN (SELECT CAST(substr(rank_key, 7) AS INT) AS paper_id, count(*) AS taken FROM attempts WHERE kind = 'full_test' GROUP BY ALL) USING (paper_id)", "papers", *R),
+    "version_history": "SELECT entity, seq, CAST(v AS INT) AS version_no, CASE WHEN v = 1 THEN '' ELSE concat_ws(',', CASE WHEN event_type IS DISTINCT FROM pe THEN 'event_type' END, CASE WHEN level IS DISTINCT FROM pl THEN 'level' END) END AS changed FROM (SELECT *, row_number() OVER w AS v, lag(event_type) OVER w AS pe, lag(level) OVER w AS pl FROM (SELECT user_id AS entity, ts AS at_, event_id AS seq, event_type, floor(value) % 3 AS level FROM events) WINDOW w AS (PARTITION BY entity ORDER BY at_, seq))",
+    "versions_as_of": "SELECT user_id AS entity, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS b FROM events WHERE ts <= TIMESTAMP '2024-01-15 00:00:00') WHERE b = 1",
+    "report_queue": with_views("SELECT e.question_id, n, kinds, correct_answer IS DISTINCT FROM 'A' AS key_changed FROM (SELECT event_id % 150 AS question_id, count(*) AS n, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS kinds FROM events GROUP BY ALL) e JOIN questions q ON e.question_id = q.question_id", "questions"),
+    "subject_by_range": with_views("SELECT question_id, CASE WHEN question_number BETWEEN 25 AND 60 THEN 'Geography' ELSE 'History' END AS subject FROM questions WHERE question_number BETWEEN 1 AND 60", "questions"),
+    "line_repeats": f"""WITH l AS (SELECT source AS paper_id, doc_id AS page, trim(regexp_replace(lower(unnest(string_split(text, chr(10)))), '{_W}', ' ', 'g')) AS line FROM documents), p AS (SELECT paper_id, count(DISTINCT page) AS pages FROM l WHERE line <> '' GROUP BY ALL), f AS (SELECT paper_id, line, count(DISTINCT page) AS n FROM l WHERE line <> '' GROUP BY ALL) SELECT paper_id, line, n FROM f JOIN p USING (paper_id) WHERE n >= greatest(3.0, 0.02 * pages)""",
+    "merged_import": with_views("SELECT paper_id, question_number, arg_max(text, question_id) AS text, arg_max(correct_answer, question_id) AS correct_answer, arg_max(topic, question_id) AS topic, count(*) AS versions, concat_ws(',', CASE WHEN count(DISTINCT text) > 1 THEN 'text' END, CASE WHEN count(DISTINCT correct_answer) > 1 THEN 'correct_answer' END, CASE WHEN count(DISTINCT topic) > 1 THEN 'topic' END) AS conflicts FROM questions GROUP BY ALL", "questions"),
+    "import_replace": with_views("SELECT question_id AS number, CASE question_id % 3 WHEN 0 THEN text WHEN 2 THEN text || '!' ELSE CASE WHEN status = 'needs_review' THEN text || '!' ELSE text END END AS text, CASE WHEN question_id % 3 = 2 THEN 'needs_review' ELSE status END AS status, CASE question_id % 3 WHEN 0 THEN 'kept' WHEN 2 THEN 'created' ELSE CASE WHEN status = 'needs_review' THEN 'replaced' ELSE 'skipped' END END AS action FROM questions", "questions"),
+    "suspicion_cards": with_views(f"WITH {SUSPICION} SELECT question_id, l.letter, coalesce(n, 0) AS n, CAST(round_even(100.0e0 * coalesce(n, 0) / total, 0) AS INT) AS percent FROM (SELECT question_id, count(*) AS total FROM hi GROUP BY ALL) t CROSS JOIN (SELECT unnest(['A','B','C','D','E']) AS letter) l LEFT JOIN (SELECT question_id, letter, count(*) AS n FROM hi GROUP BY ALL) c USING (question_id, letter)", "users", *R),
+    "suspicion_queue": with_views(f"""WITH {SUSPICION}, v AS (SELECT question_id, key_answer, b.l <> key_answer AND 2 * b.hn > high_n AND b.hn - key_n >= 2 AND high_n >= 5 AS bad FROM ve), q AS (SELECT question_id, CASE question_id % 3 WHEN 0 THEN 'open' WHEN 1 THEN 'dismissed' ELSE 'sent_back' END AS status, true_letter AS handled_key FROM questions WHERE question_id % 25 = 7),
+      j AS (SELECT coalesce(q.question_id, v.question_id) AS question_id, status, bad IS NOT NULL AS judged, coalesce(bad, FALSE) AS bad, coalesce(status IN ('dismissed', 'sent_back') AND handled_key = key_answer, FALSE) AS handled FROM q FULL JOIN v ON q.question_id = v.question_id),
+      a AS (SELECT question_id, CASE WHEN bad AND handled THEN 'dismissed' WHEN bad THEN 'open' ELSE status END AS status, CASE WHEN bad AND status IS NULL THEN 'new' WHEN bad AND handled THEN 'kept' WHEN bad AND status <> 'open' THEN 'reopened' WHEN bad THEN 'kept' WHEN judged AND status <> 'sent_back' THEN 'cleared' WHEN NOT judged AND status = 'open' THEN 'cleared' WHEN status IS NOT NULL THEN 'kept' END AS action FROM j) SELECT * FROM a WHERE action IS NOT NULL""", "users", *R),
+    "target_progress": with_views(f"WITH {DAILY} SELECT user_id, n, CAST(least(100, round_even(100.0e0 * n / 5, 0)) AS INT) AS percent, greatest(0, 5 - n) AS remaining, n >= 5 AS met FROM daily WHERE day = {TODAY}", *R),
+    "shown_board": with_views(f"WITH {TOTALS}, {TESTS}, {FIRST} SELECT rank_key, rank_pos, value, CASE WHEN user_id = 42 OR show_on_leaderboard THEN display_name ELSE 'Anonymous' END AS name, user_id = 42 AS is_viewer FROM (" + board("rank_key", "SELECT rank_key, user_id, percent AS value, time_taken AS seconds FROM firsts") + ") JOIN users USING (user_id) WHERE rank_pos <= 10 OR user_id = 42", "users", *R),
+    "stream_daily_answers": "SELECT user_id, CAST(ts AS DATE) AS day, count(*) AS n FROM events WHERE event_type = 'click' GROUP BY ALL",
+    "stream_failure_windows": "SELECT user_id, CAST(ts AS DATE) AS day, count(*) AS n FROM events WHERE event_type = 'error' GROUP BY ALL HAVING count(*) >= 2",
+    "last_writes": "SELECT attempt_id, question_id, nullif(arg_max(value, struct_pack(a := ts, b := seq)) FILTER (field = 'answer'), '') AS answer, nullif(arg_max(value, struct_pack(a := ts, b := seq)) FILTER (field = 'confidence'), '') AS confidence, nullif(arg_max(value, struct_pack(a := ts, b := seq)) FILTER (field = 'marked'), '') AS marked FROM (SELECT user_id AS attempt_id, event_id % 20 AS question_id, CASE event_type WHEN 'click' THEN 'answer' WHEN 'view' THEN 'confidence' ELSE 'marked' END AS field, CASE WHEN floor(value) % 5 = 0 THEN '' ELSE CAST(CAST(floor(value) AS BIGINT) AS VARCHAR) END AS value, ts, event_id AS seq FROM events) GROUP BY ALL",
+    "expired_attempts": with_views(f"SELECT attempt_id, CASE WHEN status = 'in_progress' AND TIMESTAMP '2000-06-15 00:00:00' > completed_at + INTERVAL '3' SECOND THEN 'expired' ELSE status END AS status, completed_at AS ended_at FROM attempts", "attempts"),
+}
+ORACLES["performance_list"] = with_views(
+    f"""WITH {TOTALS}, {TESTS}, w AS (SELECT user_id, 'topic' AS kind, topic AS name, accuracy, answered FROM ({accuracy_by('topic')}) WHERE weak UNION ALL SELECT user_id, 'subject', subject, accuracy, answered FROM ({accuracy_by('subject', '(SELECT * FROM responses WHERE subject IS NOT NULL)')}) WHERE weak),
+      h AS (SELECT *, bool_or(kind = 'topic') OVER (PARTITION BY user_id) AS ht FROM w), p AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY accuracy, answered DESC, name) AS place FROM h WHERE kind = 'topic' OR NOT ht),
+      ar AS (SELECT user_id, string_agg(name, ', ' ORDER BY place) AS weak_areas FROM p WHERE place <= 3 GROUP BY user_id), t AS (SELECT user_id, count(*) AS tests FROM tests GROUP BY user_id),
+      o AS (SELECT user_id, count(*) AS answered, {percent(f'count(*) FILTER ({RIGHT})', 'count(*)')} AS accuracy FROM responses WHERE {GRADED} GROUP BY user_id), l AS (SELECT user_id, CAST(max(started_at) AS DATE) AS last_active FROM responses GROUP BY user_id)
+      SELECT u.user_id, display_name, o.answered, o.accuracy, CASE WHEN o.user_id IS NOT NULL THEN coalesce(tests, 0) END AS tests, weak_areas, last_active FROM users u LEFT JOIN o ON u.user_id = o.user_id LEFT JOIN t ON u.user_id = t.user_id LEFT JOIN ar ON u.user_id = ar.user_id LEFT JOIN l ON u.user_id = l.user_id WHERE status = 'approved' AND NOT is_admin""",
+    "users", *R,
+)

@@ -8,7 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..domain import view
-from ..operators import activity, analytics, grading, leaderboard, revision, suspicion, visibility
+from ..functions import text
+from ..operators import activity, analytics, dedup, grading, leaderboard, review, revision, suspicion, visibility
+from ..sources import importing, keys
+from ..streaming import jobs
 
 TODAY = "2000-06-15"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -19,6 +22,10 @@ def query(make: Callable) -> Callable:
     return make
 
 
+#: Keywords that fit the parts' names.
+KEYWORDS = {"Size": ["small", "large", "tiny", "small ring"], "Colour": ["red", "blue", "green", "red widget"], "Thing": ["ring", "bolt", "widget", "gear"]}
+
+
 class Tables:
     """The views by name, for one session and folder."""
 
@@ -198,3 +205,239 @@ def mistake_notebook(spark, sf_dir):
 def revision_due(spark, sf_dir):
     t = Tables(spark, sf_dir)
     return revision.due_counts(revision.schedule(t.graded_days), t.live, TODAY)
+
+
+def stems(spark, sf_dir):
+    docs = Tables(spark, sf_dir).documents.select(F.col("doc_id").alias("question_id"), F.substring("text", 1, 400).alias("stem"))
+    options = F.array(*[F.lit(x) for x in ("1 only", "2 only", "Both 1 and 2", "Neither 1 nor 2")])
+    return docs.select("question_id", text.words(F.col("stem")).alias("stem"), F.lit("1 only 2 only both 1 and 2 neither 1 nor 2").alias("options_text"), text.norm_hash(F.col("stem"), options).alias("norm_hash"))
+
+
+def named_questions(t):
+    """Questions with the hash of their text and the words of their answer."""
+    options = F.array(*[F.lit(x) for x in ("Alpha", "Beta", "Gamma", "Delta")])
+    return t.questions.select("question_id", "status", text.squeeze(F.col("text")).alias("norm_hash"), text.answer_text(F.col("correct_answer"), options).alias("answer_words"))
+
+
+@query
+def question_hashes(spark, sf_dir):
+    return stems(spark, sf_dir).select("question_id", "norm_hash")
+
+
+@query
+def exact_duplicates(spark, sf_dir):
+    return dedup.exact_pairs(stems(spark, sf_dir))
+
+
+@query
+def near_duplicates(spark, sf_dir):
+    return dedup.near_pairs(stems(spark, sf_dir))
+
+
+@query
+def answer_conflicts(spark, sf_dir):
+    q = named_questions(Tables(spark, sf_dir))
+    return dedup.conflicts(dedup.exact_pairs(q).withColumn("status", F.lit(None).cast("string")), q)
+
+
+@query
+def duplicate_pair_counts(spark, sf_dir):
+    return dedup.pair_counts(dedup.exact_pairs(named_questions(Tables(spark, sf_dir))))
+
+
+@query
+def duplicate_reconcile(spark, sf_dir):
+    wanted = dedup.exact_pairs(named_questions(Tables(spark, sf_dir))).withColumn("score", F.lit(100))
+    stored = wanted.where("newer % 3 > 0").select((F.col("newer") + F.when(F.col("newer") % 6 == 1, 1).otherwise(0)).alias("newer"), "older", F.lit(95).alias("score"), F.when(F.col("older") % 2 == 0, "open").otherwise("kept_both").alias("status"))
+    return dedup.reconcile_pairs(stored.dropDuplicates(["newer", "older"]), wanted)
+
+
+@query
+def duplicate_neighbours(spark, sf_dir):
+    q = named_questions(Tables(spark, sf_dir))
+    return dedup.neighbours(dedup.exact_pairs(q), q.where("question_id % 100 = 1").select("question_id"))
+
+
+@query
+def also_appeared(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    pairs = dedup.exact_pairs(named_questions(t))
+    source = t.questions.join(t.papers.select("paper_id", "title"), "paper_id").select(F.col("question_id").alias("newer"), F.col("title").alias("label"), F.col("question_number").alias("number"))
+    return dedup.also_appeared(pairs.join(source, "newer").select(F.col("older").alias("question_id"), "label", "number"))
+
+
+@query
+def subject_hints(spark, sf_dir):
+    return Tables(spark, sf_dir).questions.select("question_id", text.subject_hint(F.col("text"), KEYWORDS).alias("h")).select("question_id", "h.subject", "h.score")
+
+
+@query
+def answer_key_roundtrip(spark, sf_dir):
+    return keys.parse_keys(keys.key_text(Tables(spark, sf_dir).questions)).select("key_id", "number", "letter", "letters")
+
+
+@query
+def key_compare(spark, sf_dir):
+    q = Tables(spark, sf_dir).questions
+    first = q.groupBy("paper_id", "question_number").agg(F.min_by("status", "question_id").alias("status"), F.min_by("correct_answer", "question_id").alias("correct_answer"), F.min_by("true_letter", "question_id").alias("letter"), F.min("question_id").alias("id"))
+    return review.key_compare(first, first.where("id % 7 != 0").select("paper_id", (F.col("question_number") + F.when(F.col("id") % 11 == 0, 1000).otherwise(0)).alias("question_number"), "letter"))
+
+
+@query
+def review_counters(spark, sf_dir):
+    return review.counters(Tables(spark, sf_dir).questions)
+
+
+@query
+def publish_blockers(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    return review.publish_blockers(t.papers, t.questions)
+
+
+@query
+def missing_numbers(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    return review.missing_numbers(t.questions, t.papers)
+
+
+@query
+def audit_sample(spark, sf_dir):
+    return review.audit_sample(Tables(spark, sf_dir).questions)
+
+
+@query
+def audit_outcome(spark, sf_dir):
+    q = Tables(spark, sf_dir).questions
+    wrong = q.select("question_id", (~F.col("correct_answer").eqNullSafe(F.col("true_letter"))).alias("wrong"))
+    return review.audit_outcome(review.audit_sample(q).join(wrong, "question_id"))
+
+
+@query
+def status_transitions(spark, sf_dir):
+    q = Tables(spark, sf_dir).questions
+    command = F.when(F.col("question_id") % 4 == 0, "quarantine").when(F.col("question_id") % 4 == 1, "restore").when(F.col("question_id") % 4 == 2, "reopen").otherwise("confirm")
+    return review.transition(q, q.where("question_id % 3 = 0").select("question_id", command.alias("command"))).select("question_id", "status")
+
+
+@query
+def answer_summary(spark, sf_dir):
+    return review.answer_summary(Tables(spark, sf_dir).questions)
+
+
+@query
+def test_catalogue(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    return review.catalogue(t.live, t.attempts.where("kind = 'full_test'"))
+
+
+@query
+def version_history(spark, sf_dir):
+    rows = Tables(spark, sf_dir).events.select(F.col("user_id").alias("entity"), F.col("ts").alias("at"), F.col("event_id").alias("seq"), "event_type", (F.floor("value") % 3).alias("level"))
+    return review.version_history(rows, ["event_type", "level"]).select("entity", "seq", "version_no", "changed")
+
+
+@query
+def versions_as_of(spark, sf_dir):
+    rows = Tables(spark, sf_dir).events.select(F.col("user_id").alias("entity"), F.col("ts").cast("timestamp").alias("at"), F.col("event_id").alias("seq"), "event_type", "value")
+    return review.as_of(rows, "2024-01-15 00:00:00", ["event_type", "value"])
+
+
+@query
+def report_queue(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    return review.report_queue(t.events.select((F.col("event_id") % 150).alias("question_id"), F.col("event_type").alias("kind"), F.lit("A").alias("answer_at_report")), t.questions)
+
+
+@query
+def subject_by_range(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    ranges = t.papers.select("paper_id", F.explode(text.number_ranges(F.lit("1-30 History, 25 to 60 Geography; nonsense"))).alias("x")).select("paper_id", "x.first", "x.last", "x.subject", "x.place")
+    return review.subject_by_range(t.questions, ranges)
+
+
+@query
+def line_repeats(spark, sf_dir):
+    rows = Tables(spark, sf_dir).documents.select(F.col("source").alias("paper_id"), F.col("doc_id").alias("page"), F.explode(F.split("text", "\n")).alias("line"))
+    return review.line_repeats(rows.select("paper_id", "page", text.words(F.col("line")).alias("line")).where("line != ''"), share=0.02)
+
+
+def imported(t):
+    """The questions as import parts: file (paper), part, place, q."""
+    n = F.col("question_id")
+    options = F.when(n % 37 == 5, F.create_map(F.lit("1"), F.lit("x"), F.lit("b"), F.lit("y"))).otherwise(F.create_map(*[F.lit(x) for x in ("a", "Alpha", "b", "Beta", "c", "Gamma", "d", "Delta")]))
+    q = F.struct(
+        F.when(n % 41 != 3, F.col("question_number")).alias("number"), F.when(n % 43 != 2, F.col("text")).alias("question"), options.alias("options"), F.lit(None).cast("string").alias("question_hi"), F.lit(None).cast("map<string,string>").alias("options_hi"),
+        F.when(n % 19 == 4, "3").otherwise(F.col("correct_answer")).alias("correct_answer"), F.lit(None).cast("string").alias("explanation"), "subject", "topic", "has_image", F.lit(1).alias("page"), (n % 23 == 0).alias("uncertain"),
+    )
+    return t.questions.select(F.col("paper_id").cast("string").alias("file"), (n % 2 + 1).cast("int").alias("part"), F.col("question_id").alias("place"), q.alias("q"))
+
+
+@query
+def import_issues(spark, sf_dir):
+    return importing.question_issues(imported(Tables(spark, sf_dir)), ["ECONOMY", "SMALL", "MEDIUM", "PROMO", "STANDARD"])
+
+
+@query
+def merged_import(spark, sf_dir):
+    q = Tables(spark, sf_dir).questions.withColumn("part", F.col("question_id"))
+    return importing.merge_parts(q, ["text", "correct_answer", "topic"], ("paper_id", "question_number"))
+
+
+@query
+def import_replace(spark, sf_dir):
+    q = Tables(spark, sf_dir).questions.select(F.col("question_id").alias("number"), "text", "status")
+    return importing.apply_import(q.where("number % 3 < 2"), q.where("number % 3 > 0").withColumn("text", F.concat("text", F.lit("!"))), "replace")
+
+
+@query
+def suspicion_cards(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    return suspicion.card(suspicion.judged(suspicion.first_answers(t.responses, t.users), t.questions))
+
+
+@query
+def suspicion_queue(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    found = suspicion.verdicts(suspicion.judged(suspicion.first_answers(t.responses, t.users), t.questions))
+    queue = t.questions.where("question_id % 25 = 7").select("question_id", F.when(F.col("question_id") % 3 == 0, "open").when(F.col("question_id") % 3 == 1, "dismissed").otherwise("sent_back").alias("status"), F.col("true_letter").alias("handled_key"))
+    return suspicion.reconcile(queue, found)
+
+
+@query
+def performance_list(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    return analytics.performance_list(t.users, analytics.overview(t.responses, t.tests), analytics.weak_areas(t.responses), t.responses)
+
+
+@query
+def shown_board(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    return leaderboard.shown(leaderboard.test_board(t.ranked_tests, t.users), t.users, 42).select("rank_key", "rank_pos", "value", "name", "is_viewer")
+
+
+@query
+def target_progress(spark, sf_dir):
+    return activity.target_progress(activity.answers_per_day(analytics.graded_answers(Tables(spark, sf_dir).responses), "started_at"), TODAY, 5)
+
+
+@query
+def stream_daily_answers(spark, sf_dir):
+    return jobs.answers_per_day(Tables(spark, sf_dir).events)
+
+
+@query
+def stream_failure_windows(spark, sf_dir):
+    found = jobs.failure_bursts(Tables(spark, sf_dir).events, window="1 day", slide="1 day", times=2)
+    return found.select("user_id", F.col("start").cast("date").alias("day"), "n")
+
+
+@query
+def last_writes(spark, sf_dir):
+    field = F.when(F.col("event_type") == "click", "answer").when(F.col("event_type") == "view", "confidence").otherwise("marked")
+    value = F.when(F.floor("value") % 5 == 0, "").otherwise(F.floor("value").cast("string"))
+    return jobs.last_writes(Tables(spark, sf_dir).events.select(F.col("user_id").alias("attempt_id"), (F.col("event_id") % 20).alias("question_id"), field.alias("field"), value.alias("value"), "ts", F.col("event_id").alias("seq")))
+
+
+@query
+def expired_attempts(spark, sf_dir):
+    return jobs.expired(Tables(spark, sf_dir).attempts.withColumn("deadline_at", F.col("completed_at")), f"{TODAY} 00:00:00")
