@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import Scratch
+from ._store import Scratch, partitions
 from ._text import SPACE, U, chunks, mix, shingles, words
 
 COORDINATES = 64
@@ -144,7 +144,8 @@ def alike(groups: DataFrame, tokens: DataFrame, least: int) -> DataFrame:
         keep[p] |= good.any(1)
         return pdf.loc[keep, ["gid", "id", "probe"]]
 
-    return groups.join(tokens, "id").groupBy("gid").applyInPandas(run, "gid long, id long, probe boolean")
+    # a number of partitions of its own: the groups cost time, not bytes, by which partitions would be put together
+    return groups.join(tokens, "id").repartition(partitions(groups.sparkSession), "gid").groupBy("gid").applyInPandas(run, "gid long, id long, probe boolean")
 
 
 def compare(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -170,13 +171,13 @@ def _once(groups: DataFrame, key: str) -> DataFrame:
 
 
 def _central(members: DataFrame, tokens: DataFrame) -> DataFrame:
-    """(node, leader, tight): the member whose tokens' lowest bits agree most with the majority of its node, the smallest id of
-    those; and the members' mean similarity to the majority, as far as such bits tell it."""
+    """(node, leader): the member whose tokens' lowest bits agree most with the majority of its node, the smallest id of
+    those."""
     bits = members.select("node", "id").join(tokens, "id").select("node", "id", *[F.get("tokens", F.lit(j)).bitwiseAND(1).alias(f"b{j}") for j in range(COORDINATES)])
     major = bits.groupBy("node").agg(*[(2 * F.sum(f"b{j}") > F.count("*")).cast("int").alias(f"m{j}") for j in range(COORDINATES)])
     score = sum((F.col(f"b{j}") == F.col(f"m{j}")).cast("int") for j in range(COORDINATES))
-    best = bits.join(major, "node").select("node", score.alias("score"), "id").groupBy("node").agg(F.min(F.struct((-F.col("score")).alias("s"), "id")).alias("x"), F.avg("score").alias("mean"))
-    return best.select("node", F.col("x.id").alias("leader"), (2 * F.col("mean") / COORDINATES - 1).alias("tight"))
+    best = bits.join(major, "node").select("node", score.alias("score"), "id").groupBy("node").agg(F.min(F.struct((-F.col("score")).alias("s"), "id")).alias("x"))
+    return best.select("node", F.col("x.id").alias("leader"))
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
@@ -209,7 +210,7 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     return now.select(F.col("b").alias("id"), F.col("a").alias("root")).unionAll(now.select(F.col("a").alias("id"), F.col("a").alias("root")).distinct())
 
 
-def near_duplicates(docs: DataFrame, *, k: int = 5, percent: int = 80, trees: int = 8, branches: int = 3, small: int = 256, block: int = 512, open_pairs: int = 1 << 24, depth: int = 8) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, k: int = 5, percent: int = 80, trees: int = 8, branches: int = 3, small: int = 256, block: int = 1024, open_pairs: int = 1 << 24, depth: int = 8) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of docs(doc_id, text).
 
     n_shingles: size of the set of k-word shingles over words of lower-cased (A-Z) text; with fewer words the whole sequence is
@@ -218,7 +219,7 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, percent: int = 80, trees: in
     document, whose rows all come back. A row without doc_id is linked with nothing; its component_id is null and it is kept.
     Other columns are ignored. trees, branches: see the module. small: members of a node that is compared exhaustively; block:
     rows that a larger node sends to one task, twice. open_pairs, depth: a larger node ends when its open members times all are
-    so few and its members are alike (unlike ones part soon if it branches), or at this depth; then its open members are compared with all, in blocks.
+    so few, or at this depth; then its open members are compared with all, in blocks.
 
     Pairs are confirmed on full sets only if they agree in enough minwise tokens (36 of 64 for 80 percent, which a pair at the
     threshold misses with a probability of some 1e-6).
@@ -251,16 +252,16 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, percent: int = 80, trees: in
         led = scratch.keep(_central(members, reps))
         gid = F.xxhash64("node", "block")
         lead = large.join(led, "node").select("node", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("leader").alias("id"))
-        star = members.join(led.drop("tight"), "node").where("id != leader").select(gid.alias("gid"), "id", F.lit(False).alias("probe")).unionAll(lead.select(gid.alias("gid"), "id", F.lit(True).alias("probe")))
+        star = members.join(led, "node").where("id != leader").select(gid.alias("gid"), "id", F.lit(False).alias("probe")).unionAll(lead.select(gid.alias("gid"), "id", F.lit(True).alias("probe")))
         stars.append(scratch.keep(compare(scratch.keep(alike(star, reps, least)), sets, percent)))
         found = stars[0]
         for more in stars[1:]:
             found = found.unionAll(more)
         root = components(found, scratch)
-        main = led.join(root.withColumnRenamed("id", "leader"), "leader", "left").select("node", "tight", F.coalesce("root", "leader").alias("main"))
-        state = scratch.keep(members.join(root, "id", "left").join(main, "node").select("node", "id", "n", "block", "blocks", "tight", (F.coalesce("root", "id") != F.col("main")).alias("open")))
+        main = led.join(root.withColumnRenamed("id", "leader"), "leader", "left").select("node", F.coalesce("root", "leader").alias("main"))
+        state = scratch.keep(members.join(root, "id", "left").join(main, "node").select("node", "id", "n", "block", "blocks", (F.coalesce("root", "id") != F.col("main")).alias("open")))
         opened = state.groupBy("node").agg(F.count_if("open").alias("r")).where("r > 0")
-        state = scratch.keep(state.join(opened, "node").withColumn("ends", F.lit(level == depth) | ((F.col("r") * F.col("n") <= open_pairs) & (F.col("tight") >= 0.45))))
+        state = scratch.keep(state.join(opened, "node").withColumn("ends", F.lit(level == depth) | (F.col("r") * F.col("n") <= open_pairs)))
         ending = state.where("ends").withColumn("parts", F.ceil(F.col("r") / block).cast("int"))
         part = F.pmod(F.xxhash64("id", F.lit(5)), F.col("parts")).cast("int")
         against = ending.where("NOT open").select("node", "block", "id", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(False).alias("probe"))
