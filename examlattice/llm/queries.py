@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontam, langid, licenses, neardup, packing, pii, secrets, tokencount, topk, urlfilter
@@ -50,8 +50,11 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(table(spark, sf_dir, "documents"))
     base = F.filter("secrets", lambda x: x["rank"] < 3)
-    count = [F.size(F.filter("secrets", lambda x, k=k: x["rank"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(secrets.KINDS)]
-    return found.select("doc_id", *count, F.sha2(secrets.listing(base), 256).alias("base_sha256"), secrets.listing(F.col("secrets")).alias("spans"))
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("secrets", lambda x: x["rank"] == secrets.KINDS.index(kind))).cast("long").alias(f"n_{kind}")
+
+    return found.select("doc_id", *[count(k) for k in secrets.KINDS], F.sha2(secrets.listing(base), 256).alias("base_sha256"), secrets.listing(F.col("secrets")).alias("spans"))
 
 
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

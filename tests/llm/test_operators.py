@@ -103,6 +103,7 @@ def test_secret_digest(spark):
     for r in QUERIES["op2_secret_scan"](spark, SF).collect():
         base, both = brute_secrets(docs[r.doc_id])
         text = lambda spans: ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in spans)
+        assert (r.n_assign, r.n_access, r.n_hex, r.n_entropy) == tuple(sum(x == k for _, x, _ in both) for k in range(4))
         assert r.base_sha256 == hashlib.sha256(text(base).encode()).hexdigest() and r.spans == text(both)
 
 
