@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from examlattice.llm import decontam, langid, neardup, packing, pii
-from examlattice.llm._store import Scratch
+from examlattice.llm._store import Scratch, restrict
 from examlattice.llm.queries import PII_KEY, tokenizer_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -23,8 +23,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest doc_id of each near-duplicate component."""
     found = neardup.near_duplicates(docs, k=5, percent=80)
-    gone = found.where("NOT kept").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(*COLUMNS)
+    gone = Scratch(spark, "pipeline").keep(found.where("NOT kept").select("doc_id").distinct())
+    return restrict(docs.select(*COLUMNS), gone, "doc_id", "left_anti").select(*COLUMNS)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -47,3 +47,17 @@ class Scratch:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+#: Ids that may go to every task: two million longs take some tens of MB. Of more ids, both sides are shuffled.
+BROADCAST_IDS = 2_000_000
+
+
+def restrict(rows: DataFrame, ids: DataFrame, key: str, how: str) -> DataFrame:
+    """rows with (left_semi) or without (left_anti) a key among ids, a table of distinct keys that is counted first. Long texts are
+    then not shuffled for a few ids."""
+    from pyspark.sql import functions as F
+
+    if ids.count() <= BROADCAST_IDS:
+        return rows.join(F.broadcast(ids), key, how)
+    return rows.join(ids.hint("shuffle_hash"), key, how)

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._store import Scratch, restrict
 from ._text import NOT_ALNUM, U, Words, chunks, mix, shingles, words
 
 BLOCKS, WIDTH = 4, 16
@@ -151,5 +152,5 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, radius: int = 7, least: floa
 
 def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """docs without those that hold a benchmark item. Rows without doc_id are judged by none and stay."""
-    held = leaks(docs, benchmark, **options).select("doc_id").distinct()
-    return docs.join(held.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
+    held = Scratch(docs.sparkSession, "decontam").keep(leaks(docs, benchmark, **options).select("doc_id").distinct())
+    return restrict(docs, held, "doc_id", "left_anti").select(*docs.columns)

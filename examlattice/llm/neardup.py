@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import Scratch, partitions
+from ._store import Scratch, partitions, restrict
 from ._text import SPACE, U, chunks, mix, shingles, words
 
 COORDINATES = 64
@@ -243,9 +243,11 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, percent: int = 80, trees: in
         large = stats.where(F.col("n") > small).select("node", "n", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
         members = scratch.keep(rows.join(large, "node").withColumn("block", F.pmod(F.xxhash64("id", F.lit(3)), F.col("blocks")).cast("int")))
         if level == 0:
-            need = near.select("id").unionAll(members.select("id")).distinct()
+            need = scratch.keep(near.select("id").unionAll(members.select("id")).distinct())
+            repeated = not feats.where("n > 0").groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").isEmpty()
             text = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-            sets = scratch.keep(sets_of(text.join(need.hint("shuffle_hash"), "id", "left_semi").dropDuplicates(["id"]), k))
+            text = restrict(text, need, "id", "left_semi")
+            sets = scratch.keep(sets_of(text.dropDuplicates(["id"]) if repeated else text, k))
         scratch.drop(near)
         if members.isEmpty():
             break

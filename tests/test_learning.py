@@ -108,11 +108,11 @@ def test_suspicion(spark):
     rows = []
     for u in range(16):
         for q in range(24):
-            letter = "B" if q == 0 and u < 5 else "A" if q == 0 or q < 24 - u else "C"
+            letter = "B" if q == 0 and u < 5 else "A" if q == 0 or u < 8 or q < 24 - u else "C"
             rows.append((u, q, u, "full_test", "submitted", T0, q, letter, "A", None, None, letter == "A", "sure", 10, 2.0, 1.0))
     r = spark.createDataFrame(rows, RESPONSE)
     found = suspicion.suspicious(r, users, questions).collect()
-    assert [(x.question_id, x.popular_answer, x.popular_n, x.high_n) for x in found] == [(0, "B", 5, 5)]
+    assert [(x.question_id, x.popular_answer, x.popular_n, x.high_n) for x in found] == [(0, "B", 5, 8)]
     queue = spark.createDataFrame([(0, "dismissed", "A"), (5, "open", "A"), (6, "sent_back", "A"), (99, "open", "A"), (98, "dismissed", "A")], "question_id long, status string, handled_key string")
     after = {x.question_id: (x.status, x.action) for x in suspicion.reconcile(queue, suspicion.verdicts(suspicion.judged(suspicion.first_answers(r, users), questions))).collect()}
     assert after == {0: ("dismissed", "kept"), 5: ("open", "cleared"), 6: ("sent_back", "kept"), 99: ("open", "cleared"), 98: ("dismissed", "kept")}
