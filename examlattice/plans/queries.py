@@ -208,7 +208,7 @@ def revision_due(spark, sf_dir):
 
 
 def stems(spark, sf_dir):
-    docs = Tables(spark, sf_dir).documents.select(F.col("doc_id").alias("question_id"), F.substring("text", 1, 400).alias("stem"))
+    docs = Tables(spark, sf_dir).documents.select(F.col("doc_id").alias("question_id"), F.col("text").alias("stem"))
     options = F.array(*[F.lit(x) for x in ("1 only", "2 only", "Both 1 and 2", "Neither 1 nor 2")])
     return docs.select("question_id", text.words(F.col("stem")).alias("stem"), F.lit("1 only 2 only both 1 and 2 neither 1 nor 2").alias("options_text"), text.norm_hash(F.col("stem"), options).alias("norm_hash"))
 
