@@ -1,9 +1,9 @@
 """Licence notices: phrases, and templates found by a positional index of their rare words.
 
-The words of all templates get an inverse document frequency over all documents. Of each document its licence words of highest
-frequency weight are looked up in the templates' postings; places that agree on where the template would begin are a candidate.
-The template is laid there: its weighted share of equal words must be large enough, and a mandatory key phrase must stand in its
-place.
+The words of all templates get an inverse document frequency over all documents. Each mandatory key phrase of a template is posted
+under its rarest word, with the word's position: every place of that word in a document tells where the template would begin. It
+is laid there: a key phrase must stand in its place, and the weighted share of equal words must be large enough. However many
+notices or licence words a document holds, none is left out.
 """
 
 from __future__ import annotations
@@ -40,7 +40,7 @@ TEMPLATES = [
 
 @dataclass
 class Library:
-    """Templates as word hashes. postings: (word's number, template, position), by word."""
+    """Templates as word hashes."""
 
     labels: list[str]
     texts: list[np.ndarray]
@@ -69,50 +69,41 @@ class Library:
 
 
 class Scanner:
-    def __init__(self, library: Library, idf: np.ndarray, rare: int, agree: int, least: float):
-        self.library, self.idf, self.rare, self.agree, self.least = library, idf, rare, agree, least
-        word = np.concatenate([library.number(t) for t in library.texts])
-        template = np.repeat(np.arange(len(library.texts)), [len(t) for t in library.texts])
-        place = np.concatenate([np.arange(len(t)) for t in library.texts])
-        order = np.argsort(word, kind="stable")
-        self.template, self.place = template[order], place[order]
-        self.begin = np.searchsorted(word[order], np.arange(len(library.vocabulary) + 1))
+    """A template's place needs one of its key phrases in full, so each place of a phrase's rarest word is looked up, and no other."""
+
+    def __init__(self, library: Library, idf: np.ndarray, least: float):
+        self.library, self.least = library, least
         self.weight = [idf[library.number(t)] for t in library.texts]
+        postings = []
+        for t, (text, keys) in enumerate(zip(library.texts, library.keys)):
+            for p, k in keys:
+                at = p + int(np.argmax(self.weight[t][p : p + k]))
+                postings.append((int(library.number(text[at : at + 1])[0]), t, at, p, k))
+        self.postings = sorted(set(postings))
 
     def find(self, hashes: np.ndarray, doc: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, int, float]]:
-        """(document, template, weighted share) of each verified place."""
+        """(document, template, weighted share) of each verified place: all that laying each template everywhere would find."""
         number = self.library.number(hashes)
-        at = np.flatnonzero(number >= 0)
-        if not len(at):
-            return
-        n = len(self.library.vocabulary)
-        pair = np.unique(doc[at] * n + number[at])
-        own, word = pair // n, pair % n
-        order = np.lexsort((word, -self.idf[word], own))
-        own, word = own[order], word[order]
-        rank = np.arange(len(own)) - np.searchsorted(own, own)
-        chosen = np.sort((own * n + word)[rank < self.rare])
-        key = doc[at] * n + number[at]
-        place = np.minimum(np.searchsorted(chosen, key), len(chosen) - 1)
-        at = at[chosen[place] == key]
-        size = self.begin[number[at] + 1] - self.begin[number[at]]
-        total = int(size.sum())
-        entry = np.repeat(self.begin[number[at]] - (np.cumsum(size) - size), size) + np.arange(total)
-        where = np.repeat(at, size)
-        begin = where - self.place[entry]
-        cand = np.stack([doc[where], self.template[entry], begin, number[where]])
-        cand = np.unique(cand, axis=1)
-        same = np.concatenate([[True], (cand[:3, 1:] != cand[:3, :-1]).any(0)])
-        start = np.flatnonzero(same)
-        votes = np.diff(np.concatenate([start, [cand.shape[1]]]))
-        for d, t, b in cand[:3, start[votes >= self.agree]].T:
-            text = self.library.texts[t]
-            lo, hi = max(int(first[d]), int(b)), min(int(first[d + 1]), int(b) + len(text))
-            equal = np.zeros(len(text), bool)
-            equal[lo - b : hi - b] = hashes[lo:hi] == text[lo - b : hi - b]
-            share = float(self.weight[t][equal].sum() / self.weight[t].sum())
-            if share >= self.least and any(equal[p : p + k].all() for p, k in self.library.keys[t]):
-                yield int(d), int(t), min(1.0, share)
+        own = np.flatnonzero(number >= 0)
+        own = own[np.argsort(number[own], kind="stable")]
+        begin = np.searchsorted(number[own], np.arange(len(self.library.vocabulary) + 1))
+        for word, t, at, p, k in self.postings:
+            text, weight = self.library.texts[t], self.weight[t]
+            start = own[begin[word] : begin[word + 1]] - at
+            d = doc[start + at]
+            fits = (start + p >= first[d]) & (start + p + k <= first[d + 1])
+            start, d = start[fits], d[fits]
+            for j in range(p, p + k):
+                same = hashes[start + j] == text[j]
+                start, d = start[same], d[same]
+            share = np.zeros(len(start))
+            for j in range(len(text)):
+                inside = (start + j >= first[d]) & (start + j < first[d + 1])
+                share += weight[j] * (inside & (hashes[np.clip(start + j, 0, len(hashes) - 1)] == text[j]))
+            share /= weight.sum()
+            for x, s in zip(d, share):
+                if s >= self.least - 1e-12:
+                    yield int(x), t, min(1.0, float(s))
 
 
 def document_frequencies(docs: DataFrame, library: Library) -> tuple[np.ndarray, int]:
@@ -133,19 +124,19 @@ def document_frequencies(docs: DataFrame, library: Library) -> tuple[np.ndarray,
     return np.array([out.get(k, 0) for k in range(len(library.vocabulary))]), out.get(-1, 0)
 
 
-def scan(docs: DataFrame, *, phrases: list[tuple[str, str]] = PHRASES, templates: list[tuple[str, str, list[str]]] = TEMPLATES, rare: int = 6, agree: int = 2, least: float = 0.6) -> DataFrame:
+def scan(docs: DataFrame, *, phrases: list[tuple[str, str]] = PHRASES, templates: list[tuple[str, str, list[str]]] = TEMPLATES, least: float = 0.6) -> DataFrame:
     """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score) for each row of docs(doc_id, text).
 
     n_base: all places of the phrases; first_word, last_word: the smallest and largest number of a word where one begins. labels:
-    those of phrases and of templates found. score: the best template's share, 0 without one. Null text counts as empty. rare:
-    licence words of a document that are looked up; agree: how many must agree on a place; least: share that a template needs.
+    those of phrases and of templates found. score: the best template's share, 0 without one. Null text counts as empty. least:
+    share that a template needs.
     Other columns are ignored; repeated rows give repeated results.
     """
     spark = docs.sparkSession
     library = Library.of(templates)
     frequency, n = document_frequencies(docs, library)
     idf = np.log((n + 2) / (frequency + 1))
-    shared = spark.sparkContext.broadcast((Scanner(library, idf, rare, agree, least), [(word_hashes(p, NOT_ALNUM), label) for p, label in phrases]))
+    shared = spark.sparkContext.broadcast((Scanner(library, idf, least), [(word_hashes(p, NOT_ALNUM), label) for p, label in phrases]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner, known = shared.value
