@@ -1,10 +1,9 @@
-"""Benchmark decontamination: SimHash fingerprints of item-sized windows, found within a Hamming radius, verified exactly.
+"""Benchmark decontamination: windows of an item's size, found by shingles that a leak cannot be without, verified exactly.
 
-The words of a text (digits, small letters and non-ASCII, A-Z in lower case) vote on 64 bits with weights by their length, so
-that the fingerprint of every window of an item's size comes from prefix sums. The items of one size form a multi-index: the 64
-bits are cut into four blocks of 16, and by the pigeonhole principle a fingerprint within radius r agrees with the item's in some
-block up to floor(r / 4) bits, so looking up all block values that near finds all fingerprints within the radius. Candidates are
-verified by the weighted Jaccard similarity of the multisets of five-word shingles of window and item.
+The similarity of window and item is the weighted Jaccard similarity of their multisets of five-word shingles. A window of
+similarity `least` holds at least that share of the item's weight, so of any of the item's shingles that weigh more than the rest
+together (1 - least) it holds one. Those that the fewest items hold are posted, and each window around one is a candidate. Prefix
+sums of the weights of the item's shingles bound a window's similarity from above; what is left is verified. No leak is missed.
 """
 
 from __future__ import annotations
@@ -21,7 +20,6 @@ from ._store import Scratch, restrict
 from ._text import NOT_ALNUM, U, Words, chunks, mix, shingles, words
 
 BLOCKS, WIDTH = 4, 16
-ROWS = 16384  #: windows that are held at once
 
 
 def weights(length: np.ndarray) -> np.ndarray:
@@ -63,7 +61,8 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 
 
 class Index:
-    """Items of one size. items: (item_id, word hashes, word lengths)."""
+    """Multi-index of the SimHash fingerprints of items of one size: finds what lies within a Hamming radius. items: (item_id, word
+    hashes, word lengths). `leaks` does not use it, as a radius would miss edited items."""
 
     def __init__(self, size: int, items: list[tuple[int, np.ndarray, np.ndarray]], radius: int, k: int):
         self.size, self.radius = size, radius
@@ -91,33 +90,109 @@ class Index:
         return np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found])
 
 
-def find(w: Words, indexes: list[Index], least: float, k: int) -> Iterator[tuple[int, int, int, int, float]]:
-    """(text, item_id, first word, words, similarity) for each verified window."""
-    longest = max(x.size for x in indexes)
-    kind = np.int8 if 2 * longest < 127 else np.int16 if 2 * longest < 32_000 else np.int32
-    owner = w.doc()
-    for start in range(0, len(w.hash), ROWS):
-        stop = min(len(w.hash), start + ROWS + longest - 1)
-        sums = prefix_sums(w.hash[start:stop], w.length[start:stop], kind)
-        for index in indexes:
-            own = min(stop - start - index.size + 1, ROWS)
-            if own <= 0:
-                continue
-            prints = fingerprints(sums[: own + index.size], index.size)
-            at, item = index.candidates(prints)
-            for x, y in zip(at + start, item):
-                if owner[x] == owner[x + index.size - 1]:
-                    s = similarity(weighted_shingles(w.hash[x : x + index.size], w.length[x : x + index.size], k), index.shingles[y])
-                    if s >= least:
-                        yield int(owner[x]), index.ids[y], int(x - w.first[owner[x]]), index.size, s
+def cover(ends: np.ndarray, size: int) -> np.ndarray:
+    """All numbers of the runs of `size` that end at `ends` (in order, distinct), once each and in order."""
+    own = np.minimum(np.diff(ends, prepend=ends[0] - size), size)
+    return np.repeat(ends - (np.cumsum(own) - 1), own) + np.arange(own.sum())
+
 
+class Postings:
+    """The shingles of k words that tell of an item. items: (item_id, word hashes, word lengths)."""
 
-def leaks(docs: DataFrame, benchmark: DataFrame, *, radius: int = 7, least: float = 0.8, k: int = 5, block: int = 20_000) -> DataFrame:
+    def __init__(self, items: list[tuple[int, np.ndarray, np.ndarray]], least: float, k: int):
+        self.k, self.ids, self.sizes = k, [i for i, _, _ in items], [len(h) for _, h, _ in items]
+        self.shingles = [weighted_shingles(h, n, k) for _, h, n in items]
+        own = []
+        for s, n in self.shingles:
+            keys, at = np.unique(s, return_inverse=True)
+            own.append((keys, np.bincount(at, n)))
+        every, held = np.unique(np.concatenate([keys for keys, _ in own]), return_counts=True)
+        self.members = own
+        keys, item = [], []
+        for y, (mine, weight) in enumerate(own):
+            order = np.lexsort((-weight, held[np.searchsorted(every, mine)]))
+            enough = int(np.searchsorted(np.cumsum(weight[order]), (1 - least) * weight.sum() + 1e-6, "right")) + 1
+            keys.append(mine[order[:enough]])
+            item.append(np.full(len(keys[-1]), y))
+        key, item = np.concatenate(keys), np.concatenate(item)
+        order = np.argsort(key, kind="stable")
+        self.item = item[order]
+        self.keys, self.begin = np.unique(key[order], return_index=True)
+        self.begin = np.append(self.begin, len(key))
+        self.mask = U((1 << max(16, len(key).bit_length() + 4)) - 1)
+        self.near = np.zeros(int(self.mask) + 1, bool)
+        self.near[self.keys & self.mask] = True
+
+    def hits(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(item, place) of all posted shingles among codes, in order."""
+        place = np.flatnonzero(self.near.take(codes & self.mask))
+        at = np.minimum(np.searchsorted(self.keys, codes[place]), len(self.keys) - 1)
+        good = self.keys[at] == codes[place]
+        place, at = place[good], at[good]
+        size = self.begin[at + 1] - self.begin[at]
+        entry = np.repeat(self.begin[at] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        item, place = self.item[entry], np.repeat(place, size)
+        order = np.lexsort((place, item))
+        return item[order], place[order]
+
+
+def postings(items: list[tuple[int, np.ndarray, np.ndarray]], least: float, k: int) -> list[Postings]:
+    """Items of fewer than k words are one shingle and go by their size."""
+    by_k: dict[int, list] = {}
+    for x in items:
+        by_k.setdefault(min(k, len(x[1])), []).append(x)
+    return [Postings(own, least, n) for n, own in sorted(by_k.items())]
+
+
+def find(w: Words, indexes: list[Postings], least: float) -> Iterator[tuple[int, int, int, int, float]]:
+    """(text, item_id, first word, words, similarity): of each text and item the best window (the first of those), if it reaches least."""
+    owner = w.doc()
+    before = np.concatenate([[0], np.cumsum(w.length)])
+    for index in indexes:
+        k = index.k
+        codes = shingles(w.hash, k)
+        if not len(codes):
+            continue
+        weight = before[k:] - before[:-k]
+        total = np.concatenate([[0], np.cumsum(weight)])
+        item, place = index.hits(codes)
+        edges = np.flatnonzero(np.diff(item, prepend=-1))
+        for lo, hi in zip(edges, np.append(edges[1:], len(item))):
+            y = int(item[lo])
+            size, (keys, mass) = index.sizes[y], index.members[y]
+            m = size - k + 1
+            start = cover(place[lo:hi], m)
+            start = start[(start >= 0) & (start + size <= len(owner))]
+            start = start[owner[start] == owner[start + size - 1]]
+            if not len(start):
+                continue
+            inside = cover(start + m - 1, m)
+            at = np.minimum(np.searchsorted(keys, codes[inside]), len(keys) - 1)
+            shared = np.concatenate([[0], np.cumsum(weight[inside] * (keys[at] == codes[inside]))])
+            first = np.searchsorted(inside, start)
+            whole = mass.sum()
+            most = np.minimum(shared[first + m] - shared[first], whole)
+            bound = most / (total[start + m] - total[start] + whole - most)
+            good = bound >= least - 1e-9
+            start, bound = start[good], bound[good]
+            order = np.lexsort((start, -bound, owner[start]))
+            text, best = -1, (0.0, 0)
+            for x, b in zip(start[order], bound[order]):
+                if owner[x] != text:
+                    if best[0] >= least:
+                        yield text, index.ids[y], int(-best[1] - w.first[text]), size, best[0]
+                    text, best = int(owner[x]), (0.0, 0)
+                if b >= best[0] - 1e-9:
+                    best = max(best, (similarity(weighted_shingles(w.hash[x : x + size], w.length[x : x + size], k), index.shingles[y]), -int(x)))
+            if best[0] >= least:
+                yield text, index.ids[y], int(-best[1] - w.first[text]), size, best[0]
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, *, least: float = 0.8, k: int = 5, block: int = 20_000) -> DataFrame:
     """(doc_id, item_id, first_word, n_words, similarity): each item that a document holds, at its best window (the first of
     those). docs(doc_id, text), benchmark(item_id, text); other columns are ignored, null texts count as empty and hold nothing.
 
-    least: similarity of a leak. radius: Hamming distance up to which all fingerprints are found. Items without words are left
-    out. Items go to the tasks in blocks of up to `block` items, one pass over docs for each: the size of what a task gets is bounded.
+    least: similarity of a leak; all leaks are found. Items without words are left out. Items go to the tasks in blocks of up to `block` items, one pass over docs for each: the size of what a task gets is bounded.
     """
     spark = docs.sparkSession
     benchmark = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL AND item_id IS NOT NULL")
@@ -127,18 +202,16 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, radius: int = 7, least: floa
     for p in range(passes):
         rows = benchmark.where(F.pmod(F.xxhash64("item_id"), F.lit(passes)) == p) if passes > 1 else benchmark
         rows = rows.toArrow().combine_chunks()
-        by_size: dict[int, list] = {}
+        items = []
         if rows.num_rows:
             w = words(rows.column("text"), NOT_ALNUM)
-            for i, a, b in zip(rows.column("item_id").to_pylist(), w.first[:-1], w.first[1:]):
-                if b > a:
-                    by_size.setdefault(int(b - a), []).append((i, w.hash[a:b], w.length[a:b]))
-        shared = spark.sparkContext.broadcast([Index(size, items, radius, k) for size, items in sorted(by_size.items())])
+            items = [(i, w.hash[a:b], w.length[a:b]) for i, a, b in zip(rows.column("item_id").to_pylist(), w.first[:-1], w.first[1:]) if b > a]
+        shared = spark.sparkContext.broadcast(postings(items, least, k))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for at, texts in chunks(batch.column("text")) if shared.value else ():
-                    found = list(find(words(texts, NOT_ALNUM), shared.value, least, k))
+                    found = list(find(words(texts, NOT_ALNUM), shared.value, least))
                     if found:
                         text, item, first, size, s = zip(*found)
                         yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, len(texts)).take(pa.array(text)), pa.array(item), pa.array(first), pa.array(size), pa.array(s)], ["doc_id", "item_id", "first_word", "n_words", "similarity"])
