@@ -231,7 +231,7 @@ def exact_duplicates(spark, sf_dir):
 
 @query
 def near_duplicates(spark, sf_dir):
-    return dedup.near_pairs(stems(spark, sf_dir))
+    return dedup.near_pairs(stems(spark, sf_dir), lossless=True)
 
 
 @query
