@@ -4,7 +4,8 @@ An entity's surrogate depends on a secret key, its kind and its canonical form (
 number, ...), so every mention of it in any text gets the same one. Surrogates keep the kind's format: separators and country
 prefix of a phone, network digit and check digit of a card, the letters-and-digits shape of an e-mail's local part, country and check digits
 of an IBAN; a name keeps its title, the gender that the title tells, its script and its capitals. All distinct entities are
-checked: where two would share a surrogate, or a surrogate is itself a real entity, one draws again.
+checked: where two would share a surrogate, or a surrogate is itself a real entity, one draws again. Given names are entities of
+their own, by script and gender, so that two people of one surname never share a surrogate.
 """
 
 from __future__ import annotations
@@ -93,6 +94,21 @@ def canonical(kind: Column, entity: Column) -> Column:
     )
 
 
+def given_of(person: Column) -> Column:
+    """Script, gender and given name of a person; null without a given name."""
+    title = F.regexp_replace(_title(person), r"\.", "")
+    names = F.split(F.regexp_replace(person, rf"^(?:{_TITLES})\.? ", ""), " ")
+    gender = F.when(title.isin(MALE), "male").when(title.isin(FEMALE), "female").otherwise("neutral")
+    return F.when(F.size(names) > 1, F.concat_ws(" ", _script(F.get(names, F.lit(0))), gender, F.lower(F.get(names, F.lit(0)))))
+
+
+def named(entities: DataFrame, *keep: str) -> DataFrame:
+    """(keep, kind, canon) of each entity e, and of each given name as an entity of kind given."""
+    rows = entities.select(*keep, kind_of(F.col("e")).alias("kind"), "e").select(*keep, "kind", canonical(F.col("kind"), F.col("e")).alias("canon"), F.when(F.col("kind") == "person", given_of(F.col("e"))).alias("given"))
+    own, given = F.struct("kind", "canon"), F.struct(F.lit("given").alias("kind"), F.col("given").alias("canon"))
+    return rows.select(*keep, F.explode(F.when(F.col("given").isNull(), F.array(own)).otherwise(F.array(own, given))).alias("x")).select(*keep, "x.kind", "x.canon")
+
+
 def _digest(key: str, *parts: Column) -> Column:
     """64 hexadecimal digits that only the key's owner can compute from the parts."""
     return F.sha2(F.concat(F.lit(key + "\u001f"), F.sha2(F.concat_ws("\u001f", F.lit(key), *parts), 256)), 256)
@@ -152,21 +168,30 @@ def cores(drawn: Column, key: str) -> Column:
         F.when(x["kind"] == "email", _fill(F.substring_index(x["canon"], "@", 1), x["f"], x["l"]))
         .when(x["kind"] == "iban", _fill(F.substr(x["canon"], F.lit(5)), x["f"], x["l"]))
         .when(x["kind"] == "card", F.concat(F.substr(x["canon"], F.lit(1), F.lit(1)), F.substr(x["f"], F.lit(1), F.length(x["canon"]) - 2)))
-        .when(x["kind"] == "person", _script(x["canon"])).alias("body")))
+        .when(x["kind"] == "given", F.substring_index(x["canon"], " ", 2)).when(x["kind"] == "person", _script(x["canon"])).alias("body")))
 
     def core(x: Column) -> Column:
         d, f, canon, body = x["d"], x["f"], x["canon"], x["body"]
         again = F.when(x["attempt"] > 0, F.substr(f, F.lit(58), F.lit(6))).otherwise("")
         country = F.substr(canon, F.lit(1), F.lit(2))
-        syllables = F.split(F.when(body == "cyrillic", " ".join(SYLLABLES["cyrillic"])).when(body == "greek", " ".join(SYLLABLES["greek"])).otherwise(" ".join(SYLLABLES["latin"])), " ")
-        person = F.initcap(F.array_join(F.transform(F.sequence(F.lit(0), F.when(x["attempt"] > 0, 5).otherwise(3)), lambda i: F.element_at(syllables, (F.pmod(F.conv(F.substr(d, 1 + 8 * i, F.lit(7)), 16, 10).cast("long"), F.lit(16)) + 1).cast("int"))), ""))
+        syllables = F.split(F.when(body.startswith("cyrillic"), " ".join(SYLLABLES["cyrillic"])).when(body.startswith("greek"), " ".join(SYLLABLES["greek"])).otherwise(" ".join(SYLLABLES["latin"])), " ")
+
+        def spoken(last: Column) -> Column:
+            return F.array_join(F.transform(F.sequence(F.lit(0), last), lambda i: F.element_at(syllables, (F.pmod(F.conv(F.substr(d, 1 + 8 * i, F.lit(7)), 16, 10).cast("long"), F.lit(16)) + 1).cast("int"))), "")
+
+        given = _pick(GIVEN["latin", "neutral"], _number(d, 49, 16))
+        for (script, gender), names in GIVEN.items():
+            fits = body == f"{script} {gender}"
+            given = F.when(fits | (body == f"{script} neutral") if gender == "male" and script != "latin" else fits, _pick(names, _number(d, 49, 16))).otherwise(given)
+        given = F.when(x["attempt"] > 0, F.concat(given, spoken(F.when(x["attempt"] > 1, 5).otherwise(2)))).otherwise(given)
+        person = F.initcap(spoken(F.when(x["attempt"] > 0, 5).otherwise(3)))
         return (
             F.when(x["kind"] == "email", F.concat(body, again, F.lit("@d"), F.substr(x["domain"], F.lit(1), F.lit(10)), F.lit(".example")))
             .when(x["kind"] == "ip", F.concat_ws(".", *[(1 + _number(d, 1, 223)).cast("string"), *[_number(d, 9 + 8 * i, 256).cast("string") for i in range(3)]]))
             .when(x["kind"] == "card", F.concat(body, _luhn(body)))
             .when(x["kind"] == "ssn", F.concat(F.lit("9"), F.substr(f, F.lit(1), F.length(canon) - 1)))
             .when(x["kind"] == "iban", F.concat(country, _iban_check(F.concat(body, country, F.lit("00"))), body))
-            .when(x["kind"] == "phone", F.substr(f, F.lit(1), F.length(canon)))
+            .when(x["kind"] == "phone", F.substr(f, F.lit(1), F.length(canon))).when(x["kind"] == "given", given)
             .otherwise(person)
         )
 
@@ -185,29 +210,21 @@ def _lay_out(template: Column, figures: Column) -> Column:
 def surrogates(found: Column, key: str, attempts: Column | None = None) -> Column:
     """The texts that take the places of an array of entities. attempts: map from 'kind:canonical form' to further draws."""
     kinds = F.transform(found, lambda e: F.struct(e.alias("e"), kind_of(e).alias("kind")))
-    known = F.transform(kinds, lambda x: F.struct(x["e"].alias("e"), x["kind"].alias("kind"), canonical(x["kind"], x["e"]).alias("canon")))
+    known = F.transform(kinds, lambda x: F.struct(x["e"].alias("e"), x["kind"].alias("kind"), canonical(x["kind"], x["e"]).alias("canon"), F.when(x["kind"] == "person", given_of(x["e"])).alias("given")))
 
-    def attempt(x: Column) -> Column:
-        return F.lit(0) if attempts is None else F.coalesce(F.try_element_at(attempts, F.concat(x["kind"], F.lit(":"), x["canon"])), F.lit(0))
+    def attempt(kind: Column, canon: Column) -> Column:
+        return F.lit(0) if attempts is None else F.coalesce(F.try_element_at(attempts, F.concat(kind, F.lit(":"), canon)), F.lit(0))
 
-    new = cores(F.transform(known, lambda x: F.struct(x["kind"].alias("kind"), x["canon"].alias("canon"), attempt(x).alias("attempt"))), key)
+    new = cores(F.transform(known, lambda x: F.struct(x["kind"].alias("kind"), x["canon"].alias("canon"), attempt(x["kind"], x["canon"]).alias("attempt"))), key)
+    people = F.filter(known, lambda x: x["given"].isNotNull())
+    given = cores(F.transform(people, lambda x: F.struct(F.lit("given").alias("kind"), x["given"].alias("canon"), attempt(F.lit("given"), x["given"]).alias("attempt"))), key)
+    given = F.map_from_entries(F.array_distinct(F.transform(given, lambda x: F.struct(x["canon"], x["core"]))))
     parts = F.zip_with(known, new, lambda x, y: F.struct(
-        x["e"].alias("e"), x["kind"].alias("kind"), y["core"].alias("core"), _prefix(x["e"]).alias("prefix"), _title(x["e"]).alias("title"),
+        x["e"].alias("e"), x["kind"].alias("kind"), y["core"].alias("core"), _prefix(x["e"]).alias("prefix"), _title(x["e"]).alias("title"), F.try_element_at(given, x["given"]).alias("given"),
         F.when(x["kind"] == "person", F.split(F.regexp_replace(x["e"], rf"^(?:{_TITLES})\.? ", ""), " ")).alias("names")))
-    parts = F.transform(parts, lambda x: F.struct(
-        *[x[n].alias(n) for n in ("e", "kind", "core", "prefix", "title", "names")],
-        F.when(F.size(x["names"]) > 1, _number(_digest(key, F.lit("given"), F.lower(F.get(x["names"], F.lit(0)))), 1, 16)).alias("n"),
-        F.concat_ws(" ", _script(F.get(x["names"], F.lit(0))), F.when(F.regexp_replace(x["title"], r"\.", "").isin(MALE), "male").when(F.regexp_replace(x["title"], r"\.", "").isin(FEMALE), "female").otherwise("neutral")).alias("of")))
-
-    def given(x: Column) -> Column:
-        out = _pick(GIVEN["latin", "neutral"], x["n"])
-        for (script, gender), names in GIVEN.items():
-            fits = x["of"] == f"{script} {gender}"
-            out = F.when(fits | (x["of"] == f"{script} neutral") if gender == "male" and script != "latin" else fits, _pick(names, x["n"])).otherwise(out)
-        return out
 
     def person(x: Column) -> Column:
-        name = F.concat(F.when(F.size(x["names"]) > 1, F.concat(given(x), F.lit(" "))).otherwise(""), x["core"])
+        name = F.concat(F.when(F.size(x["names"]) > 1, F.concat(x["given"], F.lit(" "))).otherwise(""), x["core"])
         shouted = F.forall(x["names"], lambda n: (n == F.upper(n)) & (F.length(n) > 1))
         return F.concat(x["title"], F.lit(" "), F.when(shouted, F.upper(name)).otherwise(name))
 
@@ -217,9 +234,9 @@ def surrogates(found: Column, key: str, attempts: Column | None = None) -> Colum
 
 
 def entities(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(kind, canon) of each distinct entity of the texts."""
+    """(kind, canon) of each distinct entity of the texts, given names among them."""
     found = docs.select(F.explode(mentions(F.col(text))).alias("e"))
-    return found.select(kind_of(F.col("e")).alias("kind"), "e").select("kind", canonical(F.col("kind"), F.col("e")).alias("canon")).distinct()
+    return named(found).distinct()
 
 
 def further_draws(docs: DataFrame, key: str, scratch: Scratch, text: str = "text", rounds: int = 30) -> DataFrame:
@@ -252,7 +269,7 @@ def pseudonymise(docs: DataFrame, key: str, *, text: str = "text", doc_id: str =
     found = docs.select(*kept, mentions(F.col(text)).alias("__found"))
     attempts = None
     if not draws.isEmpty():
-        mention = found.select(doc_id, F.explode("__found").alias("e")).select(doc_id, kind_of(F.col("e")).alias("kind"), "e").select(doc_id, "kind", canonical(F.col("kind"), F.col("e")).alias("canon"))
+        mention = named(found.select(doc_id, F.explode("__found").alias("e")), doc_id)
         own = mention.join(draws, ["kind", "canon"]).select(F.col(doc_id).alias("__id"), F.struct(F.concat("kind", F.lit(":"), "canon").alias("key"), "attempt").alias("x"))
         own = own.groupBy("__id").agg(F.map_from_entries(F.collect_set("x")).alias("__draws"))
         found = found.join(own, found[doc_id].eqNullSafe(own["__id"]), "left").drop("__id")
