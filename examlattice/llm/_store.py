@@ -61,3 +61,10 @@ def restrict(rows: DataFrame, ids: DataFrame, key: str, how: str) -> DataFrame:
     if ids.count() <= BROADCAST_IDS:
         return rows.join(F.broadcast(ids), key, how)
     return rows.join(ids.hint("shuffle_hash"), key, how)
+
+
+def joined(rows: DataFrame, table: DataFrame, key: str, size: int) -> DataFrame:
+    """rows with the columns of a table of distinct keys that is of a counted size; see restrict."""
+    from pyspark.sql import functions as F
+
+    return rows.join(F.broadcast(table) if size <= BROADCAST_IDS else table.hint("shuffle_hash"), key)
