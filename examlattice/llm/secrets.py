@@ -2,8 +2,9 @@
 
 A candidate string is a run of 20 and more characters of base64 and its web form that holds a digit and a letter. A window of 20
 slides over it; the counts of its characters change by one leaving and one entering, and so does the sum of c * log2(c), kept in
-whole millionths so that nothing drifts. The window's Shannon entropy is log2(20) - sum / 20. A candidate whose windows reach the
-limit of its character class gives one span, from the first such window to the last, unless the allow-list knows it.
+whole millionths so that nothing drifts. The window's Shannon entropy is log2(20) - sum / 20. A window is judged by its own character
+class: the limit is lower if it holds hexadecimal digits only. A candidate whose windows reach it gives one span, from the first such
+window to the last, unless the allow-list knows the candidate. Runs without any digit, or without any letter, are not judged.
 """
 
 from __future__ import annotations
@@ -34,17 +35,54 @@ def _found(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
 
-def _spans(text: Column, pattern: str, found: Column) -> Column:
-    """(start, end, s) of each match, in characters: the pieces between the matches tell where they stand."""
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["p"])
-        end = start + F.length(x["s"])
-        return F.struct(end.alias("at"), F.array_append(acc["out"], F.struct(start.alias("start"), end.alias("end"), x["s"].alias("s"))).alias("out"))
+def _let(value: Column, then) -> Column:
+    """then(value), with value computed once."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def _running(values: Column, begin: int, op) -> Column:
+    """For each value what op makes of begin and all values before it. In blocks of about the root of their number, so that an array of
+    n values takes n * sqrt(n) steps and not n * n."""
+    first = F.lit(begin)
+
+    def blocks(x: Column) -> Column:
+        block = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(x))).cast("int"))
+        whole = F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / block).cast("int")), lambda k: F.aggregate(F.slice(x, k * block + 1, block), first, op))
+        return F.struct(x.alias("x"), block.alias("block"), whole.alias("whole"))
+
+    def before(s: Column) -> Column:
+        return F.struct(s["x"].alias("x"), s["block"].alias("block"), F.transform(s["whole"], lambda _, k: F.aggregate(F.slice(s["whole"], F.lit(1), k), first, op)).alias("before"))
+
+    def each(s: Column) -> Column:
+        def one(_: Column, i: Column) -> Column:
+            block = F.floor(i / s["block"]).cast("int")
+            return F.aggregate(F.slice(s["x"], block * s["block"] + 1, i - block * s["block"]), F.get(s["before"], block), op)
+
+        return F.transform(s["x"], one)
+
+    return F.when(F.size(values) > 0, _let(_let(_let(values, blocks), before), each)).otherwise(F.array().cast("array<int>"))
 
+
+def _spans(text: Column, pattern: str, found: Column) -> Column:
+    """(start, end, s) of each match, in characters: the lengths of the matches and of the pieces between them tell where they stand."""
     pairs = F.arrays_zip(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found)).alias("p"), found.alias("s"))
-    none = F.array().cast("array<struct<start:int,end:int,s:string>>")
-    all_of = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])
-    return F.when(F.size(found) > 0, all_of).otherwise(none)
+
+    def placed(pairs: Column) -> Column:
+        sizes = F.transform(pairs, lambda x: F.length(x["p"]) + F.length(x["s"]))
+        return F.zip_with(pairs, _running(sizes, 0, lambda a, x: a + x), lambda x, b: F.struct((b + F.length(x["p"])).alias("start"), (b + F.length(x["p"]) + F.length(x["s"])).alias("end"), x["s"].alias("s")))
+
+    return F.when(F.size(found) > 0, _let(pairs, placed)).otherwise(F.array().cast("array<struct<start:int,end:int,s:string>>"))
+
+
+def _clear_of(base: Column, more: Column) -> Column:
+    """base (start, rank, end; ranks below 3) and those of more (rank 3) that overlap none of them, by start and rank."""
+    def sifted(all_: Column) -> Column:
+        ends = _running(F.transform(all_, lambda x: F.when(x["rank"] < 3, x["end"]).otherwise(-1)), -1, lambda a, x: F.greatest(a, x))
+        starts = F.reverse(_running(F.reverse(F.transform(all_, lambda x: F.when(x["rank"] < 3, x["start"]).otherwise((1 << 31) - 1))), (1 << 31) - 1, lambda a, x: F.least(a, x)))
+        rows = F.arrays_zip(all_.alias("x"), ends.alias("e"), starts.alias("s"))
+        return F.transform(F.filter(rows, lambda r: (r["x"]["rank"] < 3) | ((r["e"] <= r["x"]["start"]) & (r["s"] >= r["x"]["end"]))), lambda r: r["x"])
+
+    return F.when(F.size(more) == 0, base).when(F.size(base) == 0, more).otherwise(_let(F.array_sort(F.concat(base, more)), sifted))
 
 
 def _millionths(x: float) -> int:
@@ -52,16 +90,19 @@ def _millionths(x: float) -> int:
 
 
 def _entropic(s: Column) -> Column:
-    """(first, last): the first and last window of s that reach its class's limit; null if none does."""
+    """(first, last): the first and last window of s that reach the limit of the window's own class; null if none does."""
     table = F.array(*[F.lit(_millionths(c * math.log2(c)) if c else 0).cast("long") for c in range(WINDOW + 1)])
-    most = F.when(s.rlike(r"^[0-9a-fA-F]+$"), F.lit(_millionths(WINDOW * (math.log2(WINDOW) - LIMITS["hex"])))).otherwise(F.lit(_millionths(WINDOW * (math.log2(WINDOW) - LIMITS["mixed"])))).cast("long")
-    base = F.array(F.struct(F.split(s, "").alias("c"), F.array_distinct(F.split(s, "")).alias("a"), table.alias("t"), most.alias("m")))
+    limit = {k: F.lit(_millionths(WINDOW * (math.log2(WINDOW) - x))).cast("long") for k, x in LIMITS.items()}
+    base = F.array(F.struct(F.split(s, "").alias("c"), F.array_distinct(F.split(s, "")).alias("a"), table.alias("t")))
+    hexadecimal = lambda c: c.rlike("^[0-9a-fA-F]$")
 
     def scan(x: Column) -> Column:
-        chars, alphabet, t, most = x["c"], x["a"], x["t"], x["m"]
+        chars, alphabet, t = x["c"], x["a"], x["t"]
         counts = F.transform(alphabet, lambda a: F.size(F.filter(F.slice(chars, 1, WINDOW), lambda c: c == a)))
         total = F.aggregate(counts, F.lit(0).cast("long"), lambda acc, n: acc + F.get(t, n))
-        begin = F.struct(counts.alias("n"), total.alias("sum"), F.when(total <= most, 0).alias("first"), F.when(total <= most, 0).alias("last"))
+        other = F.size(F.filter(F.slice(chars, 1, WINDOW), lambda c: ~hexadecimal(c)))
+        fits = total <= F.when(other == 0, limit["hex"]).otherwise(limit["mixed"])
+        begin = F.struct(counts.alias("n"), other.alias("other"), total.alias("sum"), F.when(fits, 0).alias("first"), F.when(fits, 0).alias("last"))
 
         def slide(acc: Column, w: Column) -> Column:
             out, new = F.get(chars, w - 1), F.get(chars, w + WINDOW - 1)
@@ -69,7 +110,9 @@ def _entropic(s: Column) -> Column:
             n_new = F.get(acc["n"], F.array_position(alphabet, new).cast("int") - 1)
             total = F.when(out == new, acc["sum"]).otherwise(acc["sum"] - F.get(t, n_out) + F.get(t, n_out - 1) - F.get(t, n_new) + F.get(t, n_new + 1))
             n = F.when(out == new, acc["n"]).otherwise(F.zip_with(acc["n"], alphabet, lambda v, a: v - F.when(a == out, 1).otherwise(0) + F.when(a == new, 1).otherwise(0)))
-            return F.struct(n.alias("n"), total.alias("sum"), F.coalesce(acc["first"], F.when(total <= most, w)).alias("first"), F.when(total <= most, w).otherwise(acc["last"]).alias("last"))
+            other = acc["other"] - F.when(hexadecimal(out), 0).otherwise(1) + F.when(hexadecimal(new), 0).otherwise(1)
+            fits = total <= F.when(other == 0, limit["hex"]).otherwise(limit["mixed"])
+            return F.struct(n.alias("n"), other.alias("other"), total.alias("sum"), F.coalesce(acc["first"], F.when(fits, w)).alias("first"), F.when(fits, w).otherwise(acc["last"]).alias("last"))
 
         windows = F.when(F.size(chars) > WINDOW, F.sequence(F.lit(1), F.size(chars) - WINDOW)).otherwise(F.array().cast("array<int>"))
         return F.aggregate(windows, begin, slide, lambda acc: F.when(acc["first"].isNotNull(), F.struct(acc["first"].alias("first"), acc["last"].alias("last"))))
@@ -84,7 +127,7 @@ def scan(docs: DataFrame, *, text: str = "text", allowed: list[str] = ALLOWED) -
     assign: value of six and more characters. access: AKIA and 16 more capitals or digits. hex: 24 and more. entropy: see above;
     only where no span of the other kinds lies.
     """
-    kept = [c for c in docs.columns if c not in ("secrets", "__t", "__a", "__k", "__h", "__e", "__base", "__more")]
+    kept = [c for c in docs.columns if c not in ("secrets", "__t", "__a", "__k", "__h", "__e", "__base", "__more")]  # names of its own
     t = F.col("__t")
     found = docs.select(*kept, F.coalesce(F.col(text), F.lit("")).alias("__t"))
     found = found.select(*kept, "__t", _found(t, ASSIGN).alias("__a"), _found(t, ACCESS).alias("__k"), _found(t, HEX).alias("__h"), _found(t, CANDIDATE).alias("__e"))
@@ -101,8 +144,7 @@ def scan(docs: DataFrame, *, text: str = "text", allowed: list[str] = ALLOWED) -
     ent = F.transform("__e", lambda x: F.struct(x["start"].alias("start"), _entropic(x["s"]).alias("w")))
     ent = F.transform(F.filter(ent, lambda x: x["w"].isNotNull()), lambda x: F.struct((x["start"] + x["w"]["first"]).alias("start"), F.lit(3).alias("rank"), (x["start"] + x["w"]["last"] + WINDOW).alias("end")))
     found = found.select(*kept, "__base", F.when(F.size("__e") > 0, ent).otherwise(F.array().cast("array<struct<start:int,rank:int,end:int>>")).alias("__more"))
-    free = F.filter("__more", lambda e: ~F.exists("__base", lambda b: (b["start"] < e["end"]) & (e["start"] < b["end"])))
-    return found.select(*kept, F.array_sort(F.concat("__base", free)).alias("secrets"))
+    return found.select(*kept, _clear_of(F.col("__base"), F.col("__more")).alias("secrets"))
 
 
 def listing(spans: Column) -> Column:
