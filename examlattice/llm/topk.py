@@ -1,22 +1,25 @@
 """Exact top-k inner products by an impact-ordered, score-at-a-time index.
 
-Queries meet all rows in blocks. In a block each dimension's values are cut into levels; a level's rows are a posting segment,
-whose impact for a query is its largest contribution above the dimension's smallest one. Segments are processed by descending
-impact, each adding its least contribution to its rows' accumulators. What is still missing is bounded by the largest impact left
-in each dimension and by the levels' widths. Processing stops once that proves all but a few rows out; the rest, the possible
-members, are scored exactly.
+Rows are dealt to blocks once; queries come to every block in batches. In a block each dimension's values are cut into levels; a
+level's rows are a posting segment, whose impact for a query is the largest contribution, by size, that it can make. Segments are
+processed by descending impact, each adding its rows' contributions to their accumulators. What a row still lacks is bounded by the
+lengths of the query and of the row in the dimensions that are not processed for that row (Cauchy and Schwarz). Processing stops
+once that proves all but a few rows out; the rest, the possible members, are scored exactly.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 LEVELS = 16
-BATCH = 64  #: segments between two attempts at a proof
+STEPS = 24  #: attempts at a proof, at most
+SAMPLE = 64  #: rows whose exact scores are the first threshold
 
 
 class ImpactIndex:
@@ -24,82 +27,103 @@ class ImpactIndex:
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         self.ids, self.vectors = ids, vectors
-        self.rows, self.begin, self.end, self.dim, self.low, self.high = [], [], [], [], [], []
+        rows, values, begin, dim, reach = [], [], [], [], []
+        at = 0
         for d in range(vectors.shape[1]):
             v = vectors[:, d]
             order = np.argsort(v, kind="stable")
-            width = max(1, -(-(int(v[order[-1]]) - int(v[order[0]]) + 1) // LEVELS))
-            level = (v[order] - v[order[0]]) // width
-            cut = np.flatnonzero(np.diff(level)) + 1
-            begin, end = np.concatenate([[0], cut]), np.concatenate([cut, [len(v)]])
-            self.begin.append(begin + d * len(v))
-            self.end.append(end + d * len(v))
-            self.dim.append(np.full(len(begin), d))
-            self.low.append(v[order][begin])
-            self.high.append(v[order][end - 1])
-            self.rows.append(order)
-        self.rows = np.concatenate(self.rows)
-        self.begin, self.end, self.dim, self.low, self.high = (np.concatenate(x) for x in (self.begin, self.end, self.dim, self.low, self.high))
-        self.bottom, self.top = vectors.min(0), vectors.max(0)
-
-    def top_k(self, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+            own = v[order]
+            width = max(1, -(-(int(own[-1]) - int(own[0]) + 1) // LEVELS))
+            cut = np.concatenate([[0], np.flatnonzero(np.diff((own - own[0]) // width)) + 1])
+            rows.append(order)
+            values.append(own)
+            begin.append(at + cut)
+            dim.append(np.full(len(cut), d))
+            reach.append(np.maximum(np.abs(own[cut]), np.abs(own[np.append(cut[1:], len(own)) - 1])))
+            at += len(own)
+        self.rows, self.values = np.concatenate(rows), np.concatenate(values).astype(float)
+        self.begin, self.dim, self.reach = np.concatenate(begin), np.concatenate(dim), np.concatenate(reach)
+        self.end = np.append(self.begin[1:], at)
+        self.squares = np.square(vectors.astype(float)).sum(1)
+        self.processed = 0
+
+    def top_k(self, query: np.ndarray, own: int | None, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids, scores) of the k best rows but those with the query's own id; all that tie for a place by smaller id."""
         n = len(self.ids)
-        floor = np.minimum(query * self.bottom, query * self.top)
-        a, b = query[self.dim] * self.low, query[self.dim] * self.high
-        least, most = np.minimum(a, b) - floor[self.dim], np.maximum(a, b) - floor[self.dim]
-        slack = int(np.bincount(self.dim, minlength=len(query)).size and np.maximum.reduceat(most - least, np.flatnonzero(np.concatenate([[True], np.diff(self.dim) > 0]))).sum())
-        order = np.argsort(-most, kind="stable")
-        other = self.ids != own
-        sums = np.zeros(n)
-        base = int(floor.sum())
-        members = np.flatnonzero(other)
-        for at in range(0, len(order), BATCH):
-            now = order[at : at + BATCH]
-            rows = np.concatenate([self.rows[x:y] for x, y in zip(self.begin[now], self.end[now])])
-            sums += np.bincount(rows, np.repeat(least[now], self.end[now] - self.begin[now]), n)
-            left = order[at + BATCH :]
-            rest = np.zeros(len(query), np.int64)
-            np.maximum.at(rest, self.dim[left], most[left])
-            missing = int(rest.sum()) + slack
-            lead = members[np.argpartition(-sums[members], k - 1)[:k]] if len(members) > k else members
-            if len(lead) < k:
-                break
-            proven = int((self.vectors[lead] @ query).min()) - base
-            members = members[sums[members] + missing >= proven]
-            if len(members) <= 8 * k:
-                break
+        members = np.arange(n) if own is None else np.flatnonzero(self.ids != own)
+        few = max(8 * k, n // 32)
+        if len(members) > few:
+            impact = np.abs(query[self.dim]) * self.reach
+            order = np.argsort(-impact, kind="stable")
+            weight = np.cumsum((self.end - self.begin)[order])
+            some = members[:: max(1, len(members) // SAMPLE)]
+            proven = np.partition(self.vectors[some] @ query, -k)[-k]
+            sums, row_left, query_left = np.zeros(n), self.squares.copy(), np.full(n, float(query @ query))
+            stops = np.searchsorted(weight, weight[-1] * np.arange(1, STEPS + 1) / STEPS) + 1
+            for start, stop in zip(np.concatenate([[0], stops[:-1]]), stops):
+                now = order[start:stop]
+                size = self.end[now] - self.begin[now]
+                at = np.repeat(self.begin[now] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+                rows, values, q = self.rows[at], self.values[at], np.repeat(query[self.dim[now]].astype(float), size)
+                self.processed += len(now)
+                sums += np.bincount(rows, q * values, n)
+                row_left -= np.bincount(rows, values * values, n)
+                query_left -= np.bincount(rows, q * q, n)
+                lead = members[np.argpartition(sums[members], -k)[-k:]]
+                proven = max(proven, int((self.vectors[lead] @ query).min()))
+                # the bound is widened by more than all rounding errors of the square root can be
+                most = sums[members] + np.sqrt(np.maximum(row_left[members], 0) * np.maximum(query_left[members], 0)) * (1 + 1e-9) + 1e-6
+                members = members[most >= proven]
+                if len(members) <= few:
+                    break
         score = self.vectors[members] @ query
         best = np.lexsort((self.ids[members], -score))[:k]
         return self.ids[members][best], score[best]
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, *, k: int = 5, query_block: int = 512, block: int = 8192) -> DataFrame:
+def top_k(vectors: DataFrame, queries: DataFrame, *, k: int = 5, block: int = 1 << 16) -> DataFrame:
     """(query_id, rank, vec_id, score): for each query the k rows of largest integer inner product (all, if fewer), ties to the
     smaller vec_id. vectors and queries: (vec_id long, v array<long>).
 
-    Rows with a null id, a null vector or a null component take no part. Only vectors of equal length are compared. Rows with
-    the query's own id are no candidates. A vec_id that is repeated among the queries is asked once; repeated rows of vectors
-    are candidates each. Sums must stay below 2**53.
+    Rows with a null id, a null or empty vector or a null component take no part. Only vectors of equal length are compared. Rows
+    with the query's own id are no candidates. A vec_id that is repeated among the queries is asked once; repeated rows of vectors
+    are candidates each. Scores and squared lengths must stay below 2**53; larger ones raise an error.
+
+    Every row goes to one block and every query to each block, so a task holds one block and a batch of queries; k rows leave it for each.
     """
     good = F.col("vec_id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0) & ~F.exists("v", lambda x: x.isNull())
     vectors = vectors.where(good).select("vec_id", "v", F.size("v").alias("dim"))
     queries = queries.where(good).dropDuplicates(["vec_id"]).select("vec_id", "v", F.size("v").alias("dim"))
-    n_query = max(1, -(-queries.count() // query_block))
     n_block = max(1, -(-vectors.count() // block))
-    left = vectors.select("*", F.pmod(F.xxhash64("vec_id"), F.lit(n_block)).alias("c"), F.explode(F.sequence(F.lit(0), F.lit(n_query - 1))).alias("q"))
-    right = queries.select("*", F.pmod(F.xxhash64("vec_id"), F.lit(n_query)).cast("int").alias("q"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_block - 1).cast("long"))).alias("c"))
-
-    def run(rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(rows) and len(asked):
-            index = ImpactIndex(rows["vec_id"].to_numpy(), np.stack(rows["v"].to_numpy()).astype(np.int64))
-            for own, q in zip(asked["vec_id"], asked["v"]):
-                ids, score = index.top_k(np.asarray(q, np.int64), own, k)
-                out.append(pd.DataFrame({"query_id": own, "vec_id": ids, "score": score}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
-
-    found = left.groupBy("dim", "q", "c").cogroup(right.groupBy("dim", "q", "c")).applyInPandas(run, "query_id long, vec_id long, score long")
+    left = vectors.select("dim", F.pmod(F.xxhash64("vec_id"), F.lit(n_block)).alias("c"), F.lit(False).alias("asks"), "vec_id", "v")
+    right = queries.select("dim", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_block - 1).cast("long"))).alias("c"), F.lit(True).alias("asks"), "vec_id", "v")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, ids, parts, index = None, [], [], None
+        for batch in batches:
+            dim, c, asks, vec_id = (batch.column(x).to_numpy(zero_copy_only=False) for x in ("dim", "c", "asks", "vec_id"))
+            flat = batch.column("v").flatten().to_numpy()
+            ends = np.cumsum(dim.astype(np.int64))
+            edge = np.flatnonzero((np.diff(dim) != 0) | (np.diff(c) != 0) | (np.diff(asks.astype(int)) != 0)) + 1
+            for a, b in zip(np.concatenate([[0], edge]), np.concatenate([edge, [len(dim)]])):
+                if a == b:
+                    continue
+                if key != (dim[a], c[a]):
+                    key, ids, parts, index = (dim[a], c[a]), [], [], None
+                rows = flat[ends[a] - dim[a] : ends[b - 1]].reshape(b - a, dim[a])
+                if (np.square(rows.astype(float)).sum(1) >= 2.0**53).any():
+                    raise ValueError("vectors are too long for exact scores")
+                if not asks[a]:
+                    ids.append(vec_id[a:b])
+                    parts.append(rows)
+                elif parts:
+                    index = index or ImpactIndex(np.concatenate(ids), np.concatenate(parts))
+                    found = [index.top_k(q, own, k) for q, own in zip(rows, vec_id[a:b])]
+                    size = [len(x) for x, _ in found]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(vec_id[a:b], size)), pa.array(np.concatenate([x for x, _ in found])), pa.array(np.concatenate([x for _, x in found]))], ["query_id", "vec_id", "score"])
+
+    met = left.unionByName(right).repartition(n_block, "dim", "c").sortWithinPartitions("dim", "c", "asks")
+    found = met.mapInArrow(run, "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
