@@ -124,6 +124,14 @@ def _fill(template: Column, figures: Column, letters: Column) -> Column:
     return F.array_join(F.transform(F.split(template, ""), one), "")
 
 
+#: From this many draws on a kind's space is so full that surrogates get longer: four figures more for each so many draws.
+DENSE = 6
+
+
+def _wider(attempt: Column) -> Column:
+    return F.least(F.lit(12), 4 * F.floor(attempt / DENSE)).cast("int")
+
+
 def _number(digest: Column, at: int, most: int) -> Column:
     return F.pmod(F.conv(F.substr(digest, F.lit(at), F.lit(7)), 16, 10).cast("long"), F.lit(most))
 
@@ -166,8 +174,8 @@ def cores(drawn: Column, key: str) -> Column:
     x = F.transform(x, lambda x: F.struct(
         *keep(x, *base, "d", "domain", "f"),
         F.when(x["kind"] == "email", _fill(F.substring_index(x["canon"], "@", 1), x["f"], x["l"]))
-        .when(x["kind"] == "iban", _fill(F.substr(x["canon"], F.lit(5)), x["f"], x["l"]))
-        .when(x["kind"] == "card", F.concat(F.substr(x["canon"], F.lit(1), F.lit(1)), F.substr(x["f"], F.lit(1), F.length(x["canon"]) - 2)))
+        .when(x["kind"] == "iban", F.concat(_fill(F.substr(x["canon"], F.lit(5)), x["f"], x["l"]), F.substr(x["f"], F.lit(50), _wider(x["attempt"]))))
+        .when(x["kind"] == "card", F.concat(F.substr(x["canon"], F.lit(1), F.lit(1)), F.substr(x["f"], F.lit(1), F.length(x["canon"]) - 2 + _wider(x["attempt"]))))
         .when(x["kind"] == "given", F.substring_index(x["canon"], " ", 2)).when(x["kind"] == "person", _script(x["canon"])).alias("body")))
 
     def core(x: Column) -> Column:
@@ -187,11 +195,12 @@ def cores(drawn: Column, key: str) -> Column:
         person = F.initcap(spoken(F.when(x["attempt"] > 0, 5).otherwise(3)))
         return (
             F.when(x["kind"] == "email", F.concat(body, again, F.lit("@d"), F.substr(x["domain"], F.lit(1), F.lit(10)), F.lit(".example")))
+            .when((x["kind"] == "ip") & (x["attempt"] >= DENSE), F.concat(F.lit("2001:db8::"), F.substr(d, F.lit(1), F.lit(4)), F.lit(":"), F.substr(d, F.lit(5), F.lit(4)), F.lit(":"), F.substr(d, F.lit(9), F.lit(4))))
             .when(x["kind"] == "ip", F.concat_ws(".", *[(1 + _number(d, 1, 223)).cast("string"), *[_number(d, 9 + 8 * i, 256).cast("string") for i in range(3)]]))
             .when(x["kind"] == "card", F.concat(body, _luhn(body)))
-            .when(x["kind"] == "ssn", F.concat(F.lit("9"), F.substr(f, F.lit(1), F.length(canon) - 1)))
+            .when(x["kind"] == "ssn", F.concat(F.lit("9"), F.substr(f, F.lit(1), F.length(canon) - 1 + _wider(x["attempt"]))))
             .when(x["kind"] == "iban", F.concat(country, _iban_check(F.concat(body, country, F.lit("00"))), body))
-            .when(x["kind"] == "phone", F.substr(f, F.lit(1), F.length(canon))).when(x["kind"] == "given", given)
+            .when(x["kind"] == "phone", F.substr(f, F.lit(1), F.length(canon) + _wider(x["attempt"]))).when(x["kind"] == "given", given)
             .otherwise(person)
         )
 
@@ -199,12 +208,14 @@ def cores(drawn: Column, key: str) -> Column:
 
 
 def _lay_out(template: Column, figures: Column) -> Column:
-    """The digits (and letters) of figures in the places of those of the template."""
+    """The digits (and letters) of figures in the places of those of the template; further ones behind it."""
+    size = F.length(F.regexp_replace(template, "[^0-9A-Z]", ""))
+
     def one(c: Column, i: Column) -> Column:
         before = F.length(F.regexp_replace(F.substr(template, F.lit(1), i), "[^0-9A-Z]", ""))
         return F.when(c.rlike("[0-9A-Z]"), F.substr(figures, before + 1, F.lit(1))).otherwise(c)
 
-    return F.array_join(F.transform(F.split(template, ""), one), "")
+    return F.concat(F.array_join(F.transform(F.split(template, ""), one), ""), F.substr(figures, size + 1))
 
 
 def surrogates(found: Column, key: str, attempts: Column | None = None) -> Column:
@@ -239,10 +250,11 @@ def entities(docs: DataFrame, text: str = "text") -> DataFrame:
     return named(found).distinct()
 
 
-def further_draws(docs: DataFrame, key: str, scratch: Scratch, text: str = "text", rounds: int = 30) -> DataFrame:
-    """(kind, canon, attempt) of the entities that must draw again so that all surrogates are distinct and none is real."""
+def further_draws(docs: DataFrame, key: str, scratch: Scratch, text: str = "text") -> DataFrame:
+    """(kind, canon, attempt) of the entities that must draw again so that all surrogates are distinct and none is real. Where a kind's
+    space is full (all numbers of a length are real, say), later draws are longer, so that this ends."""
     now = scratch.keep(entities(docs, text).withColumn("attempt", F.lit(0)))
-    for _ in range(rounds):
+    while True:
         drawn = now.select(F.explode(cores(F.array(F.struct("kind", "canon", "attempt")), key)).alias("x")).select("x.kind", "x.canon", "x.attempt", F.lower("x.core").alias("core"))
         drawn = scratch.keep(drawn)
         first = drawn.groupBy("kind", "core").agg(F.count("*").alias("n"), F.min("attempt").alias("least")).where("n > 1")
@@ -251,34 +263,33 @@ def further_draws(docs: DataFrame, key: str, scratch: Scratch, text: str = "text
         real = drawn.join(now.select("kind", F.lower("canon").alias("core")).distinct(), ["kind", "core"], "left_semi").select("kind", "canon")
         again = scratch.keep(lost.unionAll(real).distinct())
         if again.isEmpty():
+            scratch.drop(drawn, again)
             return now.where("attempt > 0")
         now = scratch.keep(now.join(again.withColumn("more", F.lit(1)), ["kind", "canon"], "left").select("kind", "canon", (F.col("attempt") + F.coalesce("more", F.lit(0))).alias("attempt")))
-    raise RuntimeError(f"surrogates still collide after {rounds} rounds")
-
 
 def pseudonymise(docs: DataFrame, key: str, *, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """docs with its personal data replaced in `text`, and pii: a map from kind to the number of entities replaced.
 
-    Null text stays null, with an empty map. A column of docs named pii is replaced; all other columns stay. Repeated rows are
-    treated alike. The key must be kept secret: who has it can test guesses.
+    Null text stays null, with an empty map. A column of docs named pii is replaced, and columns whose names begin with __pii_ are
+    dropped; all others stay. Repeated rows are treated alike. Names are found behind a title only (Mr, Frau, Dr and the like). The key must be kept secret: who has it can test guesses.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "pii")
-    kept = [c for c in docs.columns if c not in ("pii", "__found", "__draws")]
+    kept = [c for c in docs.columns if c != "pii" and not c.startswith("__pii_")]
     draws = further_draws(docs, key, scratch, text)
-    found = docs.select(*kept, mentions(F.col(text)).alias("__found"))
+    found = docs.select(*kept, mentions(F.col(text)).alias("__pii_found"))
     attempts = None
     if not draws.isEmpty():
-        mention = named(found.select(doc_id, F.explode("__found").alias("e")), doc_id)
-        own = mention.join(draws, ["kind", "canon"]).select(F.col(doc_id).alias("__id"), F.struct(F.concat("kind", F.lit(":"), "canon").alias("key"), "attempt").alias("x"))
-        own = own.groupBy("__id").agg(F.map_from_entries(F.collect_set("x")).alias("__draws"))
-        found = found.join(own, found[doc_id].eqNullSafe(own["__id"]), "left").drop("__id")
-        attempts = F.coalesce("__draws", F.create_map().cast("map<string,int>"))
+        mention = named(found.select(doc_id, F.explode("__pii_found").alias("e")), doc_id)
+        own = mention.join(draws, ["kind", "canon"]).select(F.col(doc_id).alias("__pii_id"), F.struct(F.concat("kind", F.lit(":"), "canon").alias("key"), "attempt").alias("x"))
+        own = own.groupBy("__pii_id").agg(F.map_from_entries(F.collect_set("x")).alias("__pii_draws"))
+        found = found.join(own, found[doc_id].eqNullSafe(own["__pii_id"]), "left").drop("__pii_id")
+        attempts = F.coalesce("__pii_draws", F.create_map().cast("map<string,int>"))
     pieces = between(F.col(text))
-    new = surrogates(F.col("__found"), key, attempts)
+    new = surrogates(F.col("__pii_found"), key, attempts)
     joined = F.array_join(F.zip_with(pieces, new, lambda p, s: F.concat(p, F.coalesce(s, F.lit("")))), "")
-    kinds = F.transform("__found", kind_of)
+    kinds = F.transform("__pii_found", kind_of)
     counts = F.map_from_arrays(F.array_distinct(kinds), F.transform(F.array_distinct(kinds), lambda k: F.size(F.filter(kinds, lambda x: x == k))))
-    rewritten = F.when(F.size("__found") > 0, joined).otherwise(F.col(text))
+    rewritten = F.when(F.size("__pii_found") > 0, joined).otherwise(F.col(text))
     empty = F.create_map().cast("map<string,int>")
-    return found.select(*[rewritten.alias(text) if c == text else F.col(c) for c in kept], F.when(F.size("__found") > 0, counts).otherwise(empty).alias("pii"))
+    return found.select(*[rewritten.alias(text) if c == text else F.col(c) for c in kept], F.when(F.size("__pii_found") > 0, counts).otherwise(empty).alias("pii"))
