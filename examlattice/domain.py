@@ -7,12 +7,12 @@ from pyspark.sql import DataFrame, SparkSession
 #: name -> (source tables, SQL). A name in braces is a source table or another view.
 VIEWS: dict[str, str] = {
     "questions": """
-SELECT p_partkey AS question_id, CAST(1 + CAST(substr(p_brand, 7) AS INT) % 25 AS INT) AS paper_id, CAST(1 + floor(p_partkey / 25.0) AS INT) AS question_number, p_name AS text,
+SELECT p_partkey AS question_id, CAST(1 + floor(p_partkey / 120.0) AS INT) AS paper_id, CAST(1 + p_partkey % 120 % 110 AS INT) AS question_number, p_name AS text,
   CASE WHEN p_partkey % 17 = 0 THEN NULL ELSE p_type END AS subject,
   CASE WHEN p_partkey % 5 = 0 OR p_partkey % 17 = 0 THEN NULL ELSE concat(p_type, '-', CAST(p_partkey % 4 AS STRING)) END AS topic,
   substr('ABCD', CAST(1 + p_partkey % 4 AS INT), 1) AS true_letter,
   CASE WHEN p_partkey % 97 = 3 THEN NULL WHEN p_partkey % 50 = 7 THEN substr('ABCD', CAST(1 + (p_partkey + 1) % 4 AS INT), 1) ELSE substr('ABCD', CAST(1 + p_partkey % 4 AS INT), 1) END AS correct_answer,
-  CASE WHEN p_partkey % 29 = 0 THEN 'quarantined' WHEN p_partkey % 13 = 0 THEN 'needs_review' ELSE 'live' END AS status,
+  CASE WHEN p_partkey % 29 = 0 THEN 'quarantined' WHEN p_partkey % 13 = 0 THEN 'needs_review' WHEN p_partkey % 37 = 0 THEN 'verified' WHEN p_partkey % 41 = 0 THEN 'draft' ELSE 'live' END AS status,
   CASE p_size % 3 WHEN 0 THEN 'easy' WHEN 1 THEN 'medium' ELSE 'hard' END AS difficulty,
   p_partkey % 11 = 0 AS has_image, p_partkey % 22 <> 0 AS has_snapshot, p_partkey % 31 = 0 AS flagged, p_partkey % 62 = 0 AS acknowledged,
   CASE WHEN p_partkey % 7 = 0 THEN 'ai' ELSE 'key' END AS answer_source
@@ -20,7 +20,8 @@ FROM {part}""",
     "papers": """
 SELECT paper_id, concat('Paper ', CAST(paper_id AS STRING)) AS title, CASE paper_id % 3 WHEN 0 THEN 'official' WHEN 1 THEN 'mock' ELSE 'book' END AS source_type,
   CAST(2000 + paper_id % 20 AS INT) AS year, 'ready' AS status, CASE WHEN paper_id = 5 THEN 'draft' ELSE 'published' END AS publish_status, paper_id = 7 AS archived,
-  CAST(90 AS INT) AS expected_total, CASE WHEN paper_id % 4 = 0 THEN 0.0e0 ELSE 2.0e0 END AS marks_per_question, CASE WHEN paper_id % 6 = 0 THEN NULL ELSE 0.25e0 END AS negative_fraction
+  CAST(CASE WHEN paper_id % 2 = 0 THEN 100 ELSE 115 END AS INT) AS expected_total, CASE paper_id % 4 WHEN 0 THEN 'passed' WHEN 1 THEN 'pending' WHEN 2 THEN 'none' ELSE 'failed' END AS audit_state,
+  CAST(CASE WHEN paper_id % 5 = 0 THEN 100 END AS INT) AS duration_minutes, CASE WHEN paper_id % 7 = 3 THEN NULL ELSE substr('ABCD', CAST(1 + paper_id % 4 AS INT), 1) END AS series, CASE WHEN paper_id % 4 = 0 THEN 0.0e0 ELSE 2.0e0 END AS marks_per_question, CASE WHEN paper_id % 6 = 0 THEN NULL ELSE 0.25e0 END AS negative_fraction
 FROM (SELECT DISTINCT paper_id FROM {questions}) AS p""",
     "attempts": """
 SELECT o_orderkey AS attempt_id, o_custkey AS user_id,

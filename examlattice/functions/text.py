@@ -26,9 +26,18 @@ def norm_hash(text: Column, options: Column) -> Column:
     return F.substring(F.sha1(F.concat(squeeze(text), F.lit("|"), F.array_join(F.array_sort(F.transform(options, squeeze)), "|"))), 1, 16)
 
 
+def _filled(options: Column) -> Column:
+    """The options that are not blank."""
+    return F.filter(F.coalesce(options, F.array().cast("array<string>")), lambda o: F.coalesce(F.trim(o), F.lit("")) != "")
+
+
+def has_hindi(text_hi: Column, options_hi: Column) -> Column:
+    return (F.coalesce(F.trim(text_hi), F.lit("")) != "") | (F.size(_filled(options_hi)) > 0)
+
+
 def primary(text: Column, options: Column, text_hi: Column, options_hi: Column) -> Column:
-    """(lang, text, options): English where there is an English text, else Hindi."""
-    english = F.coalesce(F.trim(text), F.lit("")) != ""
+    """(lang, text, options): English where there is an English text or no Hindi at all, else Hindi. A fifth option stays."""
+    english = (F.coalesce(F.trim(text), F.lit("")) != "") | ~has_hindi(text_hi, options_hi)
     return F.struct(F.when(english, "en").otherwise("hi").alias("lang"), F.when(english, text).otherwise(text_hi).alias("text"), F.when(english, options).otherwise(options_hi).alias("options"))
 
 
@@ -115,6 +124,74 @@ def fraction(s: Column) -> Column:
     return F.when(value.between(0, 1), F.bround(value, 4))
 
 
+def marks(x: Column) -> Column:
+    """Marks with two places at most and no closing zeros: 2, 0.67, -1.5."""
+    return F.regexp_replace(F.regexp_replace(F.format_string("%.2f", F.bround(x, 2)), "0+$", ""), r"\.$", "")
+
+
+def source_label(title: Column, year: Column, number: Column) -> Column:
+    """Where a question stood: 'title \u00b7 year \u00b7 Qn'; without the year, if it is unknown."""
+    return F.concat_ws(" \u00b7 ", title, year.cast("string"), F.concat(F.lit("Q"), number.cast("string")))
+
+
+def option_rows(options: Column, options_hi: Column) -> Column:
+    """Array of (letter, text, text_hi) of the options that have a text in a language, in order."""
+    none = F.array().cast("array<string>")
+    pairs = F.arrays_zip(F.coalesce(options, none).alias("en"), F.coalesce(options_hi, none).alias("hi"))
+    rows = F.transform(pairs, lambda x, i: F.struct(F.substr(F.lit("ABCDE"), i + 1, F.lit(1)).alias("letter"), F.coalesce(F.trim(x["en"]), F.lit("")).alias("text"), F.nullif(F.trim(x["hi"]), F.lit("")).alias("text_hi")))
+    return F.filter(rows, lambda x: (x["text"] != "") | x["text_hi"].isNotNull())
+
+
+def list_text(text: Column, text_hi: Column, language: str) -> Column:
+    """One line for a list: the text in the language, or in the other one."""
+    en, hi = F.nullif(F.trim(text), F.lit("")), F.nullif(F.trim(text_hi), F.lit(""))
+    return F.coalesce(*((hi, en) if language == "hi" else (en, hi)), F.lit(""))
+
+
+def available(text: Column, options: Column, text_hi: Column, options_hi: Column) -> Column:
+    """(en, hi): the languages in which a question can be shown. A text with four options is complete; if no language is, any text
+    counts."""
+    en, hi = F.coalesce(F.trim(text), F.lit("")) != "", F.coalesce(F.trim(text_hi), F.lit("")) != ""
+    whole = en & (F.size(_filled(options)) >= 4)
+    whole_hi = hi & (F.size(_filled(options_hi)) >= 4)
+    neither = ~whole & ~whole_hi
+    return F.struct(F.when(neither, en).otherwise(whole).alias("en"), F.when(neither, has_hindi(text_hi, options_hi)).otherwise(whole_hi).alias("hi"))
+
+
+def shown_in(languages: Column) -> Column:
+    """(en, hi, note_en, note_hi): display modes (en, hi, both) in which each version and each note is shown, by languages (en, hi). A
+    mode whose own version is missing shows the other one with a note; both shows what there is."""
+    en, hi = languages["en"], languages["hi"]
+
+    def modes(own: Column, other: Column, name: str, else_name: str) -> Column:
+        order = ("en", "hi", "both")
+        fits = {name: own, "both": own, else_name: own & ~other}
+        return F.concat_ws(" ", *[F.when(fits[m], m) for m in order])
+
+    return F.struct(modes(en, hi, "en", "hi").alias("en"), modes(hi, en, "hi", "en").alias("hi"), F.when(hi & ~en, "en").otherwise("").alias("note_en"), F.when(en & ~hi, "hi").otherwise("").alias("note_hi"))
+
+
+def trust_label(status: Column, source: Column) -> Column:
+    """How far an explanation can be trusted; verified only if somebody said so."""
+    return F.when(status == "verified", "Verified").when(source == "ai_json", "AI-supplied, unverified").when(source.isin("csv", "xlsx", "docx"), "Unverified (imported from a file)").otherwise("Unverified (as printed in the answer PDF)")
+
+
+# The warnings about languages.
+LANGUAGE_FLAGS = ["language_incomplete", "language_swapped", "language_mismatch"]
+
+
+def renewed_flags(flags: Column, language: Column) -> Column:
+    """flags with their language warnings replaced by those of `language`; all others stay."""
+    kept = F.array_except(F.coalesce(flags, F.array().cast("array<string>")), F.array(*[F.lit(f) for f in LANGUAGE_FLAGS]))
+    return F.array_union(kept, F.coalesce(language, F.array().cast("array<string>")))
+
+
+def mismatch_flag(flags: Column, says: Column, answer: Column) -> Column:
+    """flags with explanation_mismatch where the explanation names another answer than the key, without it elsewhere."""
+    rest = F.array_remove(F.coalesce(flags, F.array().cast("array<string>")), "explanation_mismatch")
+    return F.when(F.coalesce(says != answer, F.lit(False)), F.array_append(rest, F.lit("explanation_mismatch"))).otherwise(rest)
+
+
 def duration(seconds: Column) -> Column:
     """1h 02m, 3m 05s or 12s."""
     h, m, s = F.floor(seconds / 3600), F.floor(seconds % 3600 / 60), seconds % 60
@@ -122,7 +199,8 @@ def duration(seconds: Column) -> Column:
 
 
 def number_ranges(s: Column) -> Column:
-    """Array of (first, last, subject, place) from '1-30 History, 31-60 Geography'; parts that do not fit are left out."""
+    """Array of (first, last, subject, place) from '1-30 History, 31-60 Geography'; parts that do not fit are left out, see
+    range_errors."""
     parts = F.transform(F.split(s, "[,;\n]"), lambda p, i: F.struct(
         F.regexp_extract(p, r"^\s*(\d{1,3})\s*(?:-|–|to)\s*(\d{1,3})\s+(.+?)\s*$", 1).alias("a"), F.regexp_extract(p, r"^\s*(\d{1,3})\s*(?:-|–|to)\s*(\d{1,3})\s+(.+?)\s*$", 2).alias("b"),
         F.regexp_extract(p, r"^\s*(\d{1,3})\s*(?:-|–|to)\s*(\d{1,3})\s+(.+?)\s*$", 3).alias("subject"), i.alias("place")))
@@ -130,6 +208,13 @@ def number_ranges(s: Column) -> Column:
     return F.transform(good, lambda x: F.struct(x["a"].cast("int").alias("first"), x["b"].cast("int").alias("last"), x["subject"].alias("subject"), x["place"].alias("place")))
 
 
+def range_errors(s: Column) -> Column:
+    """Array of the parts of a text of ranges that say no range, or one that runs backwards."""
+    parts = F.filter(F.transform(F.split(F.coalesce(s, F.lit("")), "[,;\n]"), F.trim), lambda p: p != "")
+    bounds = r"^(\d{1,3})\s*(?:-|–|to)\s*(\d{1,3})\s+\S.*$"
+    return F.filter(parts, lambda p: ~p.rlike(bounds) | (F.regexp_extract(p, bounds, 1).try_cast("int") > F.regexp_extract(p, bounds, 2).try_cast("int")))
+
+
 def subject_scores(text: Column, keywords: dict[str, list[str]]) -> Column:
     """Array of (score, subject): each distinct keyword of one word counts 1, each phrase 2."""
     low = F.lower(text)

@@ -35,11 +35,16 @@ def streaks(daily: DataFrame, today: str) -> DataFrame:
 
 
 def screen_time(events: DataFrame, most: int = 300) -> DataFrame:
-    """(attempt_id, question_id, seconds): the gap to the attempt's next event goes to the question on screen, whole seconds, `most` at most."""
+    """(attempt_id, question_id, seconds): the gap to the attempt's next event goes to the question on screen, whole seconds, `most` at most.
+    With answered_at in events (practice), only the part up to that moment."""
     from pyspark.sql.window import Window
 
-    gap = F.lead("ts").over(Window.partitionBy("attempt_id").orderBy("ts", "event_id")).cast("timestamp").cast("double") - F.col("ts").cast("timestamp").cast("double")
-    rows = events.withColumn("gap", F.least(F.floor(gap), F.lit(most)))
+    seconds = lambda c: F.col(c).cast("timestamp").cast("double")
+    following = F.lead(seconds("ts")).over(Window.partitionBy("attempt_id").orderBy("ts", "event_id"))
+    rows = events.withColumn("following", following)
+    until = F.least("following", seconds("answered_at")) if "answered_at" in events.columns else F.col("following")
+    gap = F.least(F.floor(F.greatest(until, seconds("ts")) - seconds("ts")), F.lit(most))
+    rows = rows.withColumn("gap", F.when(F.col("following").isNotNull(), gap))  # the last event has no time of its own
     return rows.groupBy("attempt_id", "question_id").agg(F.sum(F.coalesce("gap", F.lit(0))).alias("seconds"))
 
 

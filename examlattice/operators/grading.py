@@ -31,6 +31,18 @@ def scheme(marks: Column, negative: Column) -> Column:
     return F.struct(m.alias("marks"), F.round(m * F.coalesce(negative, F.lit(1) / F.lit(3)), 6).alias("penalty"))
 
 
+def custom_scheme(attempts: DataFrame) -> DataFrame:
+    """(attempt_id, marks, penalty, seconds, error, ranked) of tests that learners start: their own settings (own_marks, own_negative, own_minutes,
+    null where they keep the paper's) or the paper's (marks_per_question, negative_fraction, n questions at the usual pace or
+    duration_minutes). Only a paper's own full settings are ranked; error names a setting that cannot be."""
+    m, f = F.coalesce(F.nullif("marks_per_question", F.lit(0.0)), F.lit(2.0)), F.coalesce("negative_fraction", F.lit(1) / F.lit(3))
+    usual = F.coalesce(F.nullif("duration_minutes", F.lit(0)), F.greatest(F.lit(1), F.ceil(F.col("n") * PACE / 60).cast("int"))) * 60
+    marks, negative, seconds = F.coalesce("own_marks", m), F.coalesce("own_negative", f), F.coalesce(F.col("own_minutes") * 60, usual)
+    error = F.when(~F.coalesce(F.col("own_minutes").between(1, 600), F.lit(True)), "minutes").when(F.isnan(marks) | (marks <= 0) | (marks == float("inf")), "marks").when(F.isnan(negative) | ~negative.between(0, 1), "negative")
+    standard = F.coalesce((marks == F.col("marks_per_question")) & (negative == F.col("negative_fraction")) & (seconds == usual), F.lit(False))
+    return attempts.select("attempt_id", marks.alias("marks"), F.bround(marks * negative, 6).alias("penalty"), seconds.cast("long").alias("seconds"), error.alias("error"), (standard & error.isNull()).alias("ranked"))
+
+
 def graded(responses: DataFrame) -> DataFrame:
     """responses with marks_awarded: null if skipped or not graded."""
     return responses.withColumn("marks_awarded", F.when(right(), F.col("marks_if_correct")).when(wrong(), -F.col("penalty_if_wrong")))
@@ -55,8 +67,9 @@ def typical_seconds(responses: DataFrame) -> DataFrame:
     return responses.groupBy("attempt_id").agg(F.when(F.count(t) >= 3, F.median(t)).otherwise(F.lit(float(PACE))).alias("typical"))
 
 
-def mistake_reasons(responses: DataFrame) -> DataFrame:
-    """(attempt_id, question_id, reason) of each wrong answer."""
+def mistake_reasons(responses: DataFrame, own: DataFrame | None = None) -> DataFrame:
+    """(attempt_id, question_id, reason) of each wrong answer. own (attempt_id, question_id, own_reason): reasons that learners gave
+    themselves; these stay."""
     s = F.col("seconds")
     sure = (
         F.when(F.coalesce(s, F.lit(0)) == 0, "conceptual_confusion").when(s < F.greatest(F.lit(8.0), 0.25 * F.col("typical")), "careless")
@@ -64,7 +77,11 @@ def mistake_reasons(responses: DataFrame) -> DataFrame:
     )
     c = F.col("confidence")
     reason = F.when(c == "no_idea", "knowledge_gap").when(c == "guessed", "guess_miss").when(c == "sure", sure).otherwise("unset")
-    return responses.where(wrong()).join(typical_seconds(responses), "attempt_id").select("attempt_id", "question_id", reason.alias("reason"))
+    found = responses.where(wrong()).join(typical_seconds(responses), "attempt_id")
+    if own is not None:
+        found = found.join(own, ["attempt_id", "question_id"], "left")
+        reason = F.coalesce("own_reason", reason)
+    return found.select("attempt_id", "question_id", reason.alias("reason"))
 
 
 def reason_counts(reasons: DataFrame) -> DataFrame:

@@ -15,12 +15,17 @@ def first_ranked(tests: DataFrame) -> DataFrame:
 
 def ranked(rows: DataFrame, board: str) -> DataFrame:
     """rows (board, user_id, value, seconds) with rank_pos, n and percentile. Ties share a rank only if value (6 places) and time
-    are equal; a missing time is last. percentile: the share of the others that rank below, from five participants on."""
-    w = Window.partitionBy(board).orderBy(F.desc("v"), F.asc_nulls_last("seconds"))
-    rows = rows.withColumn("v", F.bround("value", 6)).withColumn("rank_pos", F.rank().over(w)).withColumn("n", F.count("*").over(Window.partitionBy(board)))
-    upto = F.count("*").over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    rows = rows.withColumn("upto", upto)
-    return rows.withColumn("percentile", F.when(F.col("n") >= 5, F.bround(100.0 * (F.col("n") - F.col("upto")) / (F.col("n") - 1), 0).cast("int"))).drop("v", "upto")
+    are equal; a missing time is last. percentile: the share of the others that rank below, from five participants on.
+
+    Places come from how often a board holds each (value, time), so no board is sorted row by row."""
+    key = [F.col(board), F.bround("value", 6).alias("v"), F.coalesce("seconds", F.lit(float("inf"))).cast("double").alias("s")]
+    rows = rows.select("*", *key[1:])
+    counts = rows.groupBy(board, "v", "s").agg(F.count("*").alias("same"))
+    w = Window.partitionBy(board).orderBy(F.desc("v"), "s")
+    before = F.coalesce(F.sum("same").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    places = counts.select(board, "v", "s", "same", before.alias("before"), F.sum("same").over(Window.partitionBy(board)).alias("n"))
+    percentile = F.when(F.col("n") >= 5, F.bround(100.0 * (F.col("n") - F.col("before") - F.col("same")) / (F.col("n") - 1), 0).cast("int"))
+    return rows.join(places, [board, "v", "s"]).withColumn("rank_pos", F.col("before") + 1).withColumn("percentile", percentile).drop("v", "s", "same", "before")
 
 
 def test_board(tests: DataFrame, users: DataFrame) -> DataFrame:

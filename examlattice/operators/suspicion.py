@@ -18,20 +18,22 @@ def first_answers(responses: DataFrame, users: DataFrame) -> DataFrame:
 
 
 def judged(first: DataFrame, questions: DataFrame) -> DataFrame:
-    """Answers of qualified users to live questions, with the user's accuracy on all others and whether the user counts as strong."""
-    n_all = F.count("*").over(Window.partitionBy("user_id"))
+    """Answers of qualified users to live questions, with the user's accuracy on all others and whether the user counts as strong.
+
+    The strong ones of a question are those from the accuracy of the k-th place on. That accuracy comes from how often each accuracy
+    occurs, so a question that everybody answers is not sorted answer by answer."""
+    qualified = first.groupBy("user_id").agg(F.count("*").alias("n_all")).where(F.col("n_all") >= QUALIFY).select("user_id")
     keys = questions.where("status = 'live' AND correct_answer IS NOT NULL").select("question_id", "correct_answer")
-    rows = first.withColumn("n_all", n_all).where(F.col("n_all") >= QUALIFY).join(keys, "question_id")
-    own = Window.partitionBy("user_id")
-    ok = (F.col("letter") == F.col("correct_answer")).cast("int")
-    rows = rows.withColumn("ok", ok).withColumn("n", F.count("*").over(own)).withColumn("k", F.sum("ok").over(own)).where("n >= 2")
-    rows = rows.withColumn("accuracy", F.bround((F.col("k") - F.col("ok")) / (F.col("n") - 1), 9))
-    by_question = Window.partitionBy("question_id")
-    rows = rows.withColumn("responders", F.count("*").over(by_question)).where(F.col("responders") >= RESPONDERS)
-    place = F.row_number().over(by_question.orderBy(F.desc("accuracy"), "user_id"))
+    rows = first.join(qualified, "user_id").join(keys, "question_id").withColumn("ok", (F.col("letter") == F.col("correct_answer")).cast("int"))
+    own = rows.groupBy("user_id").agg(F.count("*").alias("n"), F.sum("ok").alias("k")).where("n >= 2")
+    rows = rows.join(own, "user_id").withColumn("accuracy", F.bround((F.col("k") - F.col("ok")) / (F.col("n") - 1), 9))
+    by_accuracy = rows.groupBy("question_id", "accuracy").agg(F.count("*").alias("same"))
+    w = Window.partitionBy("question_id")
+    before = F.coalesce(F.sum("same").over(w.orderBy(F.desc("accuracy")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    places = by_accuracy.select("question_id", "accuracy", before.alias("before"), F.sum("same").over(w).alias("responders"))
     k = F.greatest(F.lit(HIGH), F.ceil(F.col("responders") * SHARE))
-    rows = rows.withColumn("place", place).withColumn("cutoff", F.min(F.when(F.col("place") <= k, F.col("accuracy"))).over(by_question))
-    return rows.withColumn("high", F.col("accuracy") >= F.col("cutoff"))
+    cutoffs = places.where((F.col("responders") >= RESPONDERS) & (F.col("before") < k)).groupBy("question_id").agg(F.min("accuracy").alias("cutoff"))
+    return rows.join(cutoffs, "question_id").withColumn("high", F.col("accuracy") >= F.col("cutoff"))
 
 
 def verdicts(rows: DataFrame) -> DataFrame:

@@ -26,10 +26,14 @@ def unattempted(users: DataFrame, live: DataFrame, responses: DataFrame) -> Data
     return users.select("user_id").join(done, "user_id", "left").join(F.broadcast(total)).select("user_id", (F.col("total") - F.coalesce("done", F.lit(0))).alias("n_open"))
 
 
-def practice_pool(live: DataFrame, *, source: str | None = None, year: int | None = None, subject: str | None = None, topic: str | None = None, difficulty: str | None = None) -> DataFrame:
+def practice_pool(live: DataFrame, *, source: str | None = None, year: int | None = None, subject: str | None = None, topic: str | None = None, difficulty: str | None = None, unattempted_by: int | None = None, responses: DataFrame | None = None) -> DataFrame:
+    """The live questions that a learner chose to practise. unattempted_by: only those that this user has not answered in responses."""
     for column, value in (("source_type", source), ("year", year), ("subject", subject), ("topic", topic), ("difficulty", difficulty)):
         if value is not None:
             live = live.where(F.col(column) == value)
+    if unattempted_by is not None:
+        done = responses.where((F.col("user_id") == unattempted_by) & F.col("selected_answer").isNotNull()).select("question_id")
+        live = live.join(done, "question_id", "left_anti")
     return live
 
 

@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..domain import view
-from ..functions import text
-from ..operators import activity, analytics, dedup, grading, leaderboard, review, revision, suspicion, visibility
-from ..sources import importing, keys
+from ..functions import scrub, text
+from ..operators import activity, analytics, dedup, grading, leaderboard, lists, review, revision, sessions, suspicion, visibility
+from ..sources import importing, keys, lines
 from ..streaming import jobs
 
 TODAY = "2000-06-15"
@@ -208,9 +209,13 @@ def revision_due(spark, sf_dir):
 
 
 def stems(spark, sf_dir):
-    docs = Tables(spark, sf_dir).documents.select(F.col("doc_id").alias("question_id"), F.col("text").alias("stem"))
-    options = F.array(*[F.lit(x) for x in ("1 only", "2 only", "Both 1 and 2", "Neither 1 nor 2")])
-    return docs.select("question_id", text.words(F.col("stem")).alias("stem"), F.lit("1 only 2 only both 1 and 2 neither 1 nor 2").alias("options_text"), text.norm_hash(F.col("stem"), options).alias("norm_hash"))
+    """The documents as questions: whole texts, and one of two sets of options, by the length of the source's name."""
+    docs = Tables(spark, sf_dir).documents
+    source = F.col("source") if "source" in docs.columns else F.lit(None).cast("string")
+    odd = F.coalesce(F.length(source), F.lit(0)) % 2 == 1
+    last = F.lit("Neither 1 nor 2")
+    options = F.when(odd, F.array(F.lit("Red"), F.lit("Green"), F.lit("Blue"), last)).otherwise(F.array(F.lit("1 only"), F.lit("2 only"), F.lit("Both 1 and 2"), last))
+    return docs.select(F.col("doc_id").alias("question_id"), text.words("text").alias("stem"), F.array_join(F.array_sort(F.transform(options, text.words)), " | ").alias("options_text"), text.norm_hash(F.col("text"), options).alias("norm_hash"))
 
 
 def named_questions(t):
@@ -219,6 +224,12 @@ def named_questions(t):
     return t.questions.select("question_id", "status", text.squeeze(F.col("text")).alias("norm_hash"), text.answer_text(F.col("correct_answer"), options).alias("answer_words"))
 
 
+def stored_pairs(q):
+    """Pairs as a store might hold them: open, kept or merged."""
+    status = F.when(F.col("newer") % 3 == 0, "open").when(F.col("newer") % 3 == 1, "kept_both").otherwise("merged")
+    return dedup.exact_pairs(q).select("newer", "older", F.lit("exact").alias("kind"), (90 + F.col("newer") % 11).cast("int").alias("score"), status.alias("status"))
+
+
 @query
 def question_hashes(spark, sf_dir):
     return stems(spark, sf_dir).select("question_id", "norm_hash")
@@ -229,41 +240,81 @@ def exact_duplicates(spark, sf_dir):
     return dedup.exact_pairs(stems(spark, sf_dir))
 
 
+@query
+def exact_duplicate_links(spark, sf_dir):
+    return dedup.exact_links(stems(spark, sf_dir))
+
+
 @query
 def near_duplicates(spark, sf_dir):
-    return dedup.near_pairs(stems(spark, sf_dir), lossless=True)
+    return dedup.near_pairs(stems(spark, sf_dir), kept=None)
 
 
 @query
 def answer_conflicts(spark, sf_dir):
+    return dedup.conflict_counts(named_questions(Tables(spark, sf_dir)))
+
+
+@query
+def stored_conflicts(spark, sf_dir):
     q = named_questions(Tables(spark, sf_dir))
-    return dedup.conflicts(dedup.exact_pairs(q).withColumn("status", F.lit(None).cast("string")), q)
+    return dedup.conflicts(stored_pairs(q), q)
+
+
+@query
+def conflict_flags(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    flags = F.when(F.col("question_id") % 10 == 3, F.array(F.lit("source_conflict"), F.lit("other"))).when(F.col("question_id") % 10 == 4, F.array(F.lit("other")))
+    q = t.questions.select("question_id", flags.alias("flags"), (F.col("question_id") % 2 == 0).alias("flags_acknowledged"))
+    found = dedup.conflict_flags(q, dedup.conflict_counts(named_questions(t)))
+    return found.select("question_id", F.array_join("flags", ",").alias("flags"), "flags_acknowledged", "change")
 
 
 @query
 def duplicate_pair_counts(spark, sf_dir):
-    return dedup.pair_counts(dedup.exact_pairs(named_questions(Tables(spark, sf_dir))))
+    return dedup.pair_counts(named_questions(Tables(spark, sf_dir)))
 
 
 @query
 def duplicate_reconcile(spark, sf_dir):
     wanted = dedup.exact_pairs(named_questions(Tables(spark, sf_dir))).withColumn("score", F.lit(100))
-    stored = wanted.where("newer % 3 > 0").select((F.col("newer") + F.when(F.col("newer") % 6 == 1, 1).otherwise(0)).alias("newer"), "older", F.lit(95).alias("score"), F.when(F.col("older") % 2 == 0, "open").otherwise("kept_both").alias("status"))
-    return dedup.reconcile_pairs(stored.dropDuplicates(["newer", "older"]), wanted)
+    stored = wanted.where("newer % 3 > 0").select((F.col("newer") + F.when(F.col("newer") % 6 == 1, 1).otherwise(0)).alias("newer"), "older", F.lit(95).alias("score"), F.when(F.col("newer") % 2 == 0, "open").otherwise("kept_both").alias("status"))
+    return dedup.reconcile_pairs(stored.groupBy("newer", "older").agg(F.min("score").alias("score"), F.min("status").alias("status")), wanted)
 
 
 @query
 def duplicate_neighbours(spark, sf_dir):
     q = named_questions(Tables(spark, sf_dir))
-    return dedup.neighbours(dedup.exact_pairs(q), q.where("question_id % 100 = 1").select("question_id"))
+    sources = q.where("question_id % 90 = 5").select("question_id", (F.col("question_id") + 4).alias("from_question_id"))
+    return dedup.neighbours(q, q.where("question_id % 400 = 1 OR question_id % 90 = 9").select("question_id"), sources=sources)
+
+
+@query
+def duplicate_page(spark, sf_dir):
+    return dedup.pair_page(stored_pairs(named_questions(Tables(spark, sf_dir))), page=2)
+
+
+def merges(t):
+    q = named_questions(t)
+    pairs = stored_pairs(q)
+    return dedup.merge(q.select("question_id", "status"), pairs, pairs.where("newer % 5 = 0").select("newer", "older", F.col("older").alias("keep")))
+
+
+@query
+def duplicate_merges(spark, sf_dir):
+    return merges(Tables(spark, sf_dir))[1]
+
+
+@query
+def merged_questions(spark, sf_dir):
+    return merges(Tables(spark, sf_dir))[0]
 
 
 @query
 def also_appeared(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    pairs = dedup.exact_pairs(named_questions(t))
-    source = t.questions.join(t.papers.select("paper_id", "title"), "paper_id").select(F.col("question_id").alias("newer"), F.col("title").alias("label"), F.col("question_number").alias("number"))
-    return dedup.also_appeared(pairs.join(source, "newer").select(F.col("older").alias("question_id"), "label", "number"))
+    sources = dedup.exact_pairs(named_questions(t)).select(F.col("older").alias("question_id"), F.col("newer").alias("from_question_id"))
+    return dedup.also_appeared(sources, t.questions, t.papers)
 
 
 @query
@@ -283,15 +334,69 @@ def key_compare(spark, sf_dir):
     return review.key_compare(first, first.where("id % 7 != 0").select("paper_id", (F.col("question_number") + F.when(F.col("id") % 11 == 0, 1000).otherwise(0)).alias("question_number"), "letter"))
 
 
+def edits(t):
+    """A history of questions from the events: what was changed, and why."""
+    reason = F.when(F.col("event_type") == "click", "pages 1-3 read again").when(F.col("event_type") == "view", "bulk subject change").when(F.col("event_type") == "purchase", "text").otherwise(None)
+    return t.events.where("event_id % 3 = 0").select((1 + F.col("event_id") / 3 % 1000).cast("long").alias("question_id"), reason.cast("string").alias("reason"))
+
+
+def audit_pool(t):
+    return review.unedited_confirmed(t.questions, edits(t))
+
+
 @query
 def review_counters(spark, sf_dir):
-    return review.counters(Tables(spark, sf_dir).questions)
+    n = F.col("question_id")
+    q = Tables(spark, sf_dir).questions.withColumn("text_hi", F.when(n % 6 == 0, F.lit("\u092a\u094d\u0930\u0936\u094d\u0928"))).withColumn("text", F.when(n % 12 != 0, F.col("text"))).withColumn("suggested", F.when(n % 2 == 0, "ECONOMY"))
+    return review.counters(q)
+
+
+@query
+def bulk_confirmed(spark, sf_dir):
+    return review.bulk_confirm(Tables(spark, sf_dir).questions).select("question_id", "status", "acknowledged")
+
+
+@query
+def bulk_acknowledged(spark, sf_dir):
+    return review.bulk_confirm(Tables(spark, sf_dir).questions, acknowledge=True).select("question_id", "status", "acknowledged")
+
+
+@query
+def unedited_confirmed(spark, sf_dir):
+    return audit_pool(Tables(spark, sf_dir)).select("paper_id", "question_id")
 
 
 @query
 def publish_blockers(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    return review.publish_blockers(t.papers, t.questions)
+    return review.publish_blockers(t.papers, t.questions, edits(t))
+
+
+@query
+def published_questions(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    free = t.papers.where("paper_id % 2 = 0").select("paper_id", F.lit("").alias("blockers"))
+    return review.publish(t.questions, free).select("question_id", "status")
+
+
+@query
+def template_fits(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    templates = t.papers.where("paper_id <= 6").select(F.col("paper_id").alias("template_id"), F.when(F.col("paper_id") % 3 > 0, F.lower("series")).alias("series"))
+    return review.fitting_templates(t.papers, templates)
+
+
+@query
+def suggestion_updates(spark, sf_dir):
+    n = F.col("question_id")
+    q = Tables(spark, sf_dir).questions.select("question_id", "status", "subject", F.when(n % 3 == 0, "Size").alias("suggested"), text.subject_hint(F.col("text"), KEYWORDS)["subject"].alias("hint"))
+    return review.suggestions(q)
+
+
+@query
+def numbers_beyond(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    return review.numbers_beyond(t.questions, t.papers)
 
 
 @query
@@ -300,34 +405,90 @@ def missing_numbers(spark, sf_dir):
     return review.missing_numbers(t.questions, t.papers)
 
 
+def audits(t):
+    wrong = t.questions.select("question_id", (~F.col("correct_answer").eqNullSafe(F.col("true_letter"))).alias("wrong"))
+    return review.audit_sample(audit_pool(t)).join(wrong, "question_id")
+
+
 @query
 def audit_sample(spark, sf_dir):
-    return review.audit_sample(Tables(spark, sf_dir).questions)
+    return review.audit_sample(audit_pool(Tables(spark, sf_dir)))
 
 
 @query
 def audit_outcome(spark, sf_dir):
-    q = Tables(spark, sf_dir).questions
-    wrong = q.select("question_id", (~F.col("correct_answer").eqNullSafe(F.col("true_letter"))).alias("wrong"))
-    return review.audit_outcome(review.audit_sample(q).join(wrong, "question_id"))
+    return review.audit_outcome(audits(Tables(spark, sf_dir)))
+
+
+@query
+def audit_finish(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    checked = audits(t).withColumn("wrong", F.col("wrong") | (F.col("paper_id") % 3 == 0))
+    return review.audit_finish(t.questions, audit_pool(t), checked).select("question_id", "status", "acknowledged")
+
+
+@query
+def key_applied(spark, sf_dir):
+    return applied_key(Tables(spark, sf_dir), False)
+
+
+@query
+def key_replaced(spark, sf_dir):
+    return applied_key(Tables(spark, sf_dir), True)
+
+
+def applied_key(t, replace):
+    n = F.col("question_id")
+    flags = F.when(n % 4 == 0, F.array(F.lit("no_answer_found"), F.lit("check_table"))).otherwise(F.array().cast("array<string>"))
+    q = t.questions.where("question_id % 120 >= 10").withColumn("flags", flags).withColumn("n_options", F.lit(4)).withColumn("explanation", F.when(n % 5 == 0, "own"))
+    key = q.where("question_id % 7 != 0").select("paper_id", "question_number", F.when(n % 31 == 0, "E").otherwise(F.col("true_letter")).alias("letter"), F.when(n % 3 == 0, "told").alias("explanation"))
+    found = review.key_apply(q, key, replace)
+    return found.withColumn("flags", F.array_join("flags", ","))
+
+
+@query
+def printed_answers(spark, sf_dir):
+    n = F.col("question_id")
+    rows = Tables(spark, sf_dir).questions.select("question_id", F.when(n % 3 > 0, F.col("true_letter")).alias("printed"), F.when(n % 4 > 0, F.col("correct_answer")).alias("keyed"), (n % 5 > 0).alias("has_key"), F.array(F.lit("answer_unclear")).alias("flags"))
+    found = review.printed_and_key(rows.withColumn("keyed", F.when(F.col("has_key"), F.col("keyed"))))
+    return found.select("question_id", "answer", "answer_source", F.array_join("flags", ",").alias("flags"))
 
 
 @query
 def status_transitions(spark, sf_dir):
     q = Tables(spark, sf_dir).questions
-    command = F.when(F.col("question_id") % 4 == 0, "quarantine").when(F.col("question_id") % 4 == 1, "restore").when(F.col("question_id") % 4 == 2, "reopen").otherwise("confirm")
+    command = F.when(F.col("question_id") % 4 == 0, "quarantine").when(F.col("question_id") % 4 == 1, "restore").when(F.col("question_id") % 4 == 2, F.when(F.col("question_id") % 8 == 2, "reopen").otherwise("send_back")).otherwise("confirm")
     return review.transition(q, q.where("question_id % 3 = 0").select("question_id", command.alias("command"))).select("question_id", "status")
 
 
 @query
 def answer_summary(spark, sf_dir):
-    return review.answer_summary(Tables(spark, sf_dir).questions)
+    t = Tables(spark, sf_dir)
+    return review.answer_summary(t.questions.withColumn("explanation_says", F.when(F.col("question_id") % 6 == 0, F.col("true_letter"))), t.papers)
+
+
+@query
+def key_distribution(spark, sf_dir):
+    return review.key_distribution(keys.parse_keys(keys.key_text(Tables(spark, sf_dir).questions)))
 
 
 @query
 def test_catalogue(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    return review.catalogue(t.live, t.attempts.where("kind = 'full_test'"))
+    tests = t.attempts.where("kind = 'full_test'").select(F.expr("CAST(substring(rank_key, 7) AS INT)").alias("paper_id"), "attempt_id", "status")
+    return review.catalogue(t.live, t.papers, tests)
+
+
+@query
+def section_catalogue(spark, sf_dir):
+    return review.sections(Tables(spark, sf_dir).live)
+
+
+@query
+def restored_versions(spark, sf_dir):
+    rows = Tables(spark, sf_dir).events.select(F.col("user_id").alias("entity"), F.col("ts").alias("at"), F.col("event_id").alias("seq"), "event_type")
+    versions = review.version_history(rows, ["event_type"]).select("entity", "version_no", "event_type")
+    return review.restored(versions, versions.where("version_no = 2 AND entity % 3 = 0").select("entity", F.col("version_no").alias("to_version")), ["event_type"])
 
 
 @query
@@ -342,10 +503,24 @@ def versions_as_of(spark, sf_dir):
     return review.as_of(rows, "2024-01-15 00:00:00", ["event_type", "value"])
 
 
+def reports(t):
+    """Reports on questions from the events."""
+    n = F.col("event_id")
+    status = F.when(n % 4 == 0, "open").when(n % 4 == 1, "resolved").otherwise("dismissed")
+    return t.events.select(n.alias("report_id"), "user_id", (1 + n % 150).alias("question_id"), F.col("event_type").alias("kind"), F.substring(F.lit("ABCD"), (1 + n % 4).cast("int"), 1).alias("answer_at_report"), status.alias("status"), F.col("ts").cast("timestamp").alias("at"))
+
+
 @query
 def report_queue(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    return review.report_queue(t.events.select((F.col("event_id") % 150).alias("question_id"), F.col("event_type").alias("kind"), F.lit("A").alias("answer_at_report")), t.questions)
+    return review.report_queue(reports(t), t.questions)
+
+
+@query
+def report_verdicts(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    asked = reports(t).where("report_id % 5 = 2").select(F.col("report_id").alias("request_id"), "user_id", "question_id", "at")
+    return sessions.report_verdicts(asked, reports(t).where("report_id % 5 != 2"), most=3, hours=240)
 
 
 @query
@@ -374,7 +549,62 @@ def imported(t):
 
 @query
 def import_issues(spark, sf_dir):
-    return importing.question_issues(imported(Tables(spark, sf_dir)), ["ECONOMY", "SMALL", "MEDIUM", "PROMO", "STANDARD"])
+    return importing.question_issues(imported(Tables(spark, sf_dir)), ["ECONOMY", "SMALL", "MEDIUM", "PROMO", "STANDARD"]).select("file", "part", "place", "number", "level", "code")
+
+
+@query
+def import_counts(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    return importing.report_counts(imported(t), t.questions.where("question_id % 8 = 0").select(F.col("paper_id").cast("string").alias("file"), F.col("question_number").alias("number")))
+
+
+@query
+def import_parts(spark, sf_dir):
+    return importing.part_summary(imported(Tables(spark, sf_dir)))
+
+
+@query
+def import_uncovered(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    return importing.uncovered(imported(t), t.papers.select(F.col("paper_id").cast("string").alias("file"), F.lit(5).alias("first"), F.col("expected_total").alias("last")))
+
+
+@query
+def import_duplicates(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    hashed = named_questions(t).join(t.questions.select("question_id", "paper_id"), "question_id").select(F.col("paper_id").cast("string").alias("file"), F.col("question_id").alias("number"), "norm_hash")
+    return importing.import_duplicates(hashed, hashed.where("number % 300 = 1").select("norm_hash").distinct())
+
+
+@query
+def import_topics(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    return importing.known_topics(t.questions.select("question_id", "subject", "topic"), t.questions.where("question_id % 4 < 2").select("subject", F.upper("topic").alias("topic")))
+
+
+@query
+def sheet_issues(spark, sf_dir):
+    n = F.col("question_id")
+    t = Tables(spark, sf_dir)
+    cells = F.map_filter(F.create_map(*[x for k, v in {
+        "number": F.when(n % 50 == 9, "x").otherwise(F.concat(F.lit("Q"), F.col("question_number").cast("string"))), "question": F.when(n % 45 == 2, " ").otherwise(F.col("text")), "a": F.lit("Alpha"), "b": F.when(n % 35 == 3, "").otherwise("Beta"), "c": F.lit("Gamma"), "d": F.lit("Delta"),
+        "answer": F.when(n % 19 == 4, "3").otherwise(F.coalesce(F.col("correct_answer"), F.lit(""))), "subject": F.coalesce("subject", F.lit("")), "topic": F.coalesce("topic", F.lit("")),
+    }.items() for x in (F.lit(k), v)]), lambda k, v: (k != "d") | (F.col("paper_id") % 10 != 4))
+    rows = t.questions.select(F.col("paper_id").cast("string").alias("file"), F.col("question_id").alias("line"), cells.alias("fields"))
+    return importing.sheet_issues(rows, ["ECONOMY", "SMALL", "MEDIUM", "PROMO", "STANDARD"], t.questions.where("question_id % 4 < 2").select("subject", "topic"))
+
+
+@query
+def chapter_issues(spark, sf_dir):
+    n = F.col("question_id")
+    t = Tables(spark, sf_dir)
+    file = F.concat(F.lit("c"), F.col("paper_id").cast("string")).alias("file")
+    q = t.questions.withColumn("file", file)
+    chapters = q.groupBy("file", "paper_id").agg(F.count("*").cast("int").alias("n")).select("file", F.when(F.col("paper_id") % 9 != 2, "Physics").alias("subject"), (F.col("paper_id") / 2).cast("int").alias("chapter_no"), F.when(F.col("paper_id") % 5 == 0, " ").otherwise("Light").alias("chapter"), F.when(F.col("paper_id") % 3 == 0, 7).alias("question_count"), "n")
+    four = F.create_map(*[F.lit(x) for x in ("a", "Alpha", "b", "Beta", "c", "Gamma", "d", "Delta")])
+    options = F.when(n % 37 == 5, F.create_map(F.lit("a"), F.lit("x"), F.lit("c"), F.lit(""))).otherwise(four)
+    body = F.struct(F.when(n % 41 != 3, F.col("question_number")).alias("number"), F.when(n % 43 != 2, F.col("text")).alias("question"), options.alias("options"), F.when(n % 19 == 4, "x").when(n % 23 == 4, "e").otherwise(F.lower("correct_answer")).alias("answer"), F.when(n % 29 == 1, F.array(F.lit("blurred"))).alias("needs_review"))
+    return importing.chapter_issues(chapters, q.select("file", n.alias("place"), body.alias("q")))
 
 
 @query
@@ -383,10 +613,244 @@ def merged_import(spark, sf_dir):
     return importing.merge_parts(q, ["text", "correct_answer", "topic"], ("paper_id", "question_number"))
 
 
+def numbered(t):
+    return t.questions.select("paper_id", F.col("question_id").alias("number"), "text", "status")
+
+
 @query
 def import_replace(spark, sf_dir):
-    q = Tables(spark, sf_dir).questions.select(F.col("question_id").alias("number"), "text", "status")
-    return importing.apply_import(q.where("number % 3 < 2"), q.where("number % 3 > 0").withColumn("text", F.concat("text", F.lit("!"))), "replace")
+    q = numbered(Tables(spark, sf_dir))
+    return importing.apply_import(q.where("number % 3 < 2"), q.where("number % 3 > 0").withColumn("text", F.concat("text", F.lit("!"))), "replace").select("number", "text", "status", "action")
+
+
+@query
+def import_fill(spark, sf_dir):
+    q = numbered(Tables(spark, sf_dir))
+    return importing.apply_import(q.where("number % 3 < 2").withColumn("text", F.when(F.col("number") % 2 == 0, F.col("text"))), q.where("number % 3 > 0"), "fill")
+
+
+@query
+def import_append(spark, sf_dir):
+    q = numbered(Tables(spark, sf_dir))
+    fresh = importing.screened(q.where("number % 3 = 0").withColumn("norm_hash", text.squeeze(F.col("text"))), q.where("number % 90 = 1").select(text.squeeze(F.col("text")).alias("norm_hash")).distinct(), most=10_000_000)
+    return importing.apply_import(q.where("number % 3 > 0"), fresh, "append")
+
+
+def printed_lines(t):
+    """The questions as lines of printed papers, with a key at the end of some."""
+    q = t.questions.where("question_id % 120 >= 10 AND paper_id > 1").withColumn("nth", F.row_number().over(Window.partitionBy("paper_id").orderBy("question_id")))
+    number = F.col("nth").cast("string")
+    head = F.array(F.concat(number, F.lit(". "), F.coalesce("text", F.lit("")), F.lit(" is")), F.lit("called what?"), F.lit("(a) Alpha (b) Beta"), F.lit("(c) Gamma"), F.lit("(d) Delta"))
+    lines = F.when(F.col("paper_id") % 2 == 0, F.array_append(head, F.concat(F.lit("Answer: ("), F.lower(F.coalesce("correct_answer", F.lit("?"))), F.lit(") as said")))).otherwise(head)
+    body = q.select(F.col("paper_id").cast("long").alias("paper_id"), F.lit(1).alias("page"), F.lit(0).alias("col"), F.col("nth"), F.posexplode(lines).alias("i", "text")).select("paper_id", "page", "col", (F.col("nth") * 10 + F.col("i")).alias("line_no"), "text")
+    cover = t.papers.where("paper_id > 1").select(F.col("paper_id").cast("long").alias("paper_id"), F.lit(0).alias("page"), F.lit(0).alias("col"), F.lit(1).alias("line_no"), F.lit("1. Read this first").alias("text"))
+    odd = q.where("paper_id % 2 = 1 AND correct_answer IS NOT NULL").select(F.col("paper_id").cast("long").alias("paper_id"), F.lit(9).alias("page"), F.lit(0).alias("col"), F.col("nth").alias("line_no"), F.concat(number, F.lit("-"), F.lower("correct_answer")).alias("text"))
+    title = t.papers.where("paper_id > 1 AND paper_id % 2 = 1").select(F.col("paper_id").cast("long").alias("paper_id"), F.lit(9).alias("page"), F.lit(0).alias("col"), F.lit(0).alias("line_no"), F.lit("ANSWER KEY").alias("text"))
+    return cover.unionByName(body).unionByName(title).unionByName(odd)
+
+
+@query
+def printed_questions(spark, sf_dir):
+    found = lines.questions(printed_lines(Tables(spark, sf_dir)))
+    return found.select("paper_id", "number", "text", F.array_join("options", "|").alias("options"), "answer", "explanation", F.array_join("flags", ",").alias("flags"))
+
+
+@query
+def printed_keys(spark, sf_dir):
+    return keys.parse_keys(lines.key_texts(printed_lines(Tables(spark, sf_dir)))).select("key_id", "number", "letter")
+
+
+@query
+def english_columns(spark, sf_dir):
+    """Pages of two columns, of which one is Hindi on some, from the documents."""
+    docs = Tables(spark, sf_dir).documents.where("text IS NOT NULL").select(F.lit(1).cast("long").alias("paper_id"), F.col("doc_id").alias("page"), F.col("text"))
+    hindi = F.when(F.col("page") % 2 == 0, F.repeat(F.lit("\u0915"), 30)).otherwise("short")
+    rows = docs.select("paper_id", "page", F.posexplode(F.array(F.col("text"), hindi)).alias("col", "text"))
+    return lines.english_columns(rows.withColumn("line_no", F.lit(0))).select("page", "col")
+
+
+@query
+def review_list(spark, sf_dir):
+    q = Tables(spark, sf_dir).questions.withColumn("flags", F.when(F.col("flagged"), F.array(F.lit("odd"))))
+    return lists.review_list(q, "to_confirm").select("paper_id", "question_number", "question_id", "first")
+
+
+@query
+def review_list_flagged(spark, sf_dir):
+    q = Tables(spark, sf_dir).questions.withColumn("flags", F.when(F.col("flagged"), F.array(F.lit("odd"))))
+    return lists.review_list(q, "flagged").select("question_id")
+
+
+@query
+def shaky_answers(spark, sf_dir):
+    return lists.result_list(Tables(spark, sf_dir).responses, "shaky").select("attempt_id", "question_id")
+
+
+@query
+def wrong_answers(spark, sf_dir):
+    return lists.result_list(Tables(spark, sf_dir).responses, "wrong").select("attempt_id", "question_id")
+
+
+def subject_notebook(spark, sf_dir):
+    return mistake_notebook(spark, sf_dir).join(Tables(spark, sf_dir).questions.select("question_id", "subject", "topic"), "question_id")
+
+
+@query
+def notebook_revise(spark, sf_dir):
+    return lists.notebook_list(subject_notebook(spark, sf_dir), subject="ECONOMY", state="revise").select("user_id", "question_id", "state")
+
+
+@query
+def notebook_first(spark, sf_dir):
+    return lists.notebook_order(mistake_notebook(spark, sf_dir), user=42).select("question_id", "state", "days_until")
+
+
+@query
+def notebook_counts(spark, sf_dir):
+    return lists.state_counts(mistake_notebook(spark, sf_dir))
+
+
+def audit_log(t):
+    """A log from the events: who did what."""
+    return t.events.select(F.col("event_id").alias("log_id"), F.concat(F.lit("question."), F.col("event_type")).alias("action"), (1 + F.col("event_id") % 17).alias("paper_id"), "value")
+
+
+@query
+def audit_log_page(spark, sf_dir):
+    return lists.audit_page(audit_log(Tables(spark, sf_dir)), action="question.c", page=2, size=50).select("log_id", "action", "paper_id", "has_more")
+
+
+@query
+def recent_activity(spark, sf_dir):
+    return lists.recent_activity(audit_log(Tables(spark, sf_dir)), quiet=["question.view"]).select("log_id", "action")
+
+
+@query
+def audit_details(spark, sf_dir):
+    log = audit_log(Tables(spark, sf_dir))
+    detail = F.concat(F.lit('{"page": '), F.col("paper_id").cast("string"), F.lit(', "by": {"api_key": "k'), F.col("log_id").cast("string"), F.lit('", "name": "'), F.col("action"), F.lit('"}}'))
+    return log.select("log_id", scrub.scrubbed_json(detail).alias("detail"))
+
+
+@query
+def audit_fields(spark, sf_dir):
+    log = audit_log(Tables(spark, sf_dir))
+    clean = scrub.scrubbed(F.create_map(F.lit("session_token"), F.col("log_id").cast("string"), F.lit("what"), F.col("action")))
+    return log.select("log_id", clean["session_token"].alias("token"), clean["what"].alias("what"))
+
+
+@query
+def accuracy_bars(spark, sf_dir):
+    return lists.accuracy_bars(analytics.accuracy_by(Tables(spark, sf_dir).responses, "subject"), "subject")
+
+
+@query
+def trend_points(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    return lists.trend_points(analytics.score_trend(t.tests).join(t.attempts.select("attempt_id", "completed_at"), "attempt_id"))
+
+
+@query
+def bookmarked_questions(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    marks = t.events.where("event_type = 'view'").groupBy("user_id", (1 + F.col("event_id") % 500).alias("question_id")).agg(F.max("ts").alias("marked_at"))
+    return lists.marked_questions(marks, t.live).select("user_id", "question_id", "subject", "topic")
+
+
+@query
+def review_state(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    return lists.review_state(t.papers, t.questions)
+
+
+@query
+def attention(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    papers = t.papers.withColumn("status", F.when(F.col("paper_id") % 6 == 1, "failed").otherwise(F.col("status")))
+    return lists.attention(lists.review_state(papers, t.questions.where("paper_id % 4 != 2 OR status = 'live'")))
+
+
+@query
+def dashboard_tiles(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    last = t.attempts.groupBy("user_id").agg(F.max("started_at").alias("last_active_at"))
+    return lists.tiles(t.users.join(last, "user_id", "left"), t.papers, t.questions, t.attempts, f"{TODAY} 00:00:00", 400)
+
+
+@query
+def palette(spark, sf_dir):
+    return sessions.palette(Tables(spark, sf_dir).responses.withColumn("visited", F.col("seconds") % 2 == 0))
+
+
+@query
+def next_positions(spark, sf_dir):
+    return sessions.next_positions(Tables(spark, sf_dir).responses)
+
+
+@query
+def attempt_summaries(spark, sf_dir):
+    return sessions.summary_counts(Tables(spark, sf_dir).responses.withColumn("visited", F.col("seconds") % 2 == 0))
+
+
+@query
+def practice_draw(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    weak = analytics.weak_areas(t.responses).where("kind = 'subject' AND place = 1").select("user_id", F.col("name").alias("subject"), F.lit(10).alias("count"))
+    return sessions.practice_draw(weak, t.live.select("question_id", "subject"))
+
+
+@query
+def filter_errors(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    n = F.col("question_id")
+    requests = t.questions.select(n.alias("request_id"), F.when(n % 5 == 0, "radio").when(n % 5 == 1, "official").alias("source"), F.when(n % 7 == 0, "Nowhere").when(n % 7 == 1, "SMALL").otherwise(F.col("subject")).alias("subject"), F.when(n % 11 == 0, "No topic").otherwise(F.col("topic")).alias("topic"), F.when(n % 13 == 0, "odd").otherwise("Easy").alias("difficulty"))
+    return sessions.filter_errors(requests, ["official", "mock", "book"], t.questions.select("subject", "topic"))
+
+
+@query
+def unattempted_pool(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    return visibility.practice_pool(t.live, source="mock", unattempted_by=42, responses=t.responses).select("question_id")
+
+
+@query
+def own_reasons(spark, sf_dir):
+    r = Tables(spark, sf_dir).responses
+    return grading.mistake_reasons(r, r.where("question_id % 10 = 0").select("attempt_id", "question_id", F.lit("misread").alias("own_reason")))
+
+
+@query
+def custom_tests(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    n = F.col("attempt_id")
+    sizes = t.live.groupBy("paper_id").agg(F.count("*").alias("n"))
+    own = t.attempts.where("kind = 'full_test'").select("attempt_id", F.expr("CAST(substring(rank_key, 7) AS INT)").alias("paper_id"), F.when(n % 5 == 0, 3.0).when(n % 7 == 0, -1.0).alias("own_marks"), F.when(n % 11 == 0, 1.5).alias("own_negative"), F.when(n % 3 == 0, (n % 700).cast("int")).alias("own_minutes"))
+    return grading.custom_scheme(own.join(t.papers.select("paper_id", "marks_per_question", "negative_fraction", "duration_minutes"), "paper_id").join(sizes, "paper_id"))
+
+
+def bilingual(t):
+    """Questions of which some are Hindi, or both."""
+    n = F.col("question_id")
+    four = F.array(*[F.lit(x) for x in ("Alpha", "Beta", "Gamma", "Delta")])
+    four_hi = F.array(*[F.lit(x) for x in ("\u0905", "\u092c", "\u0917", "\u0926")])
+    none = F.array().cast("array<string>")
+    return t.questions.select("question_id", F.when(n % 5 != 0, F.col("text")).alias("text"), F.when(n % 7 != 0, four).otherwise(none).alias("options"), F.when(n % 3 == 0, F.lit("\u092a\u094d\u0930\u0936\u094d\u0928")).alias("text_hi"), F.when(n % 6 == 0, four_hi).otherwise(none).alias("options_hi"))
+
+
+@query
+def language_modes(spark, sf_dir):
+    cols = [F.col(c) for c in ("text", "options", "text_hi", "options_hi")]
+    rows = bilingual(Tables(spark, sf_dir)).select("question_id", text.available(*cols).alias("a"), text.primary(*cols)["lang"].alias("primary"), F.size(text.option_rows(cols[1], cols[3])).alias("n_options"), text.list_text(cols[0], cols[2], "hi").alias("line"))
+    return rows.select("question_id", "primary", "n_options", "line", text.shown_in(F.col("a")).alias("s")).select("question_id", "primary", "n_options", "line", "s.en", "s.hi", "s.note_en", "s.note_hi")
+
+
+@query
+def explanation_trust(spark, sf_dir):
+    n = F.col("question_id")
+    flags = text.mismatch_flag(F.array(F.lit("check_table")), F.when(n % 4 == 0, F.col("true_letter")), F.col("correct_answer"))
+    renewed = text.renewed_flags(F.array_append(flags, F.lit("language_swapped")), F.when(n % 2 == 0, F.array(F.lit("language_mismatch"))))
+    label = text.trust_label(F.when(n % 9 == 0, "verified"), F.when(n % 3 == 0, "ai_json").when(n % 3 == 1, "csv"))
+    return Tables(spark, sf_dir).questions.select("question_id", label.alias("label"), F.array_join(renewed, ",").alias("flags"), text.marks(n / 4).alias("marks"), text.duration(n).alias("duration"))
 
 
 @query
@@ -441,3 +905,17 @@ def last_writes(spark, sf_dir):
 @query
 def expired_attempts(spark, sf_dir):
     return jobs.expired(Tables(spark, sf_dir).attempts.withColumn("deadline_at", F.col("completed_at")), f"{TODAY} 00:00:00")
+
+
+def attempt_events(t):
+    """Starts, saves and submissions of attempts from the events: a user's events are one attempt of twelve hours and a half."""
+    n = F.col("event_id")
+    rows = t.events.select(F.col("user_id").alias("attempt_id"), F.col("ts").cast("timestamp").alias("ts"), (n % 20).alias("question_id"), F.when(n % 6 == 0, "").otherwise("A").alias("value"), F.when(F.col("event_type") == "purchase", "submit").otherwise("save").alias("kind"))
+    none = F.lit(None).cast("timestamp")
+    starts = rows.groupBy("attempt_id").agg(F.min("ts").alias("ts")).select("attempt_id", "ts", F.lit(-1).cast("long").alias("question_id"), F.lit("").alias("value"), F.lit("start").alias("kind"), (F.col("ts") + F.expr("INTERVAL 450 HOURS")).alias("deadline_at"))
+    return starts.unionByName(rows.withColumn("deadline_at", none))
+
+
+@query
+def closed_attempts(spark, sf_dir):
+    return jobs.closed_attempts_batch(attempt_events(Tables(spark, sf_dir)), "2024-02-10 00:00:00").select("attempt_id", "status", "ended_at", "answered")

@@ -67,6 +67,44 @@ def map_headers(rows: DataFrame) -> DataFrame:
     return rows.select("file", "line", F.map_from_arrays(firsts, F.transform(firsts, lambda k: F.get(F.filter(cells, lambda x: x["k"] == k), F.lit(0))["v"])).alias("fields"))
 
 
+def header_signature(headers) -> F.Column:
+    """16 hexadecimal digits that the order, case and punctuation of a sheet's headers do not change."""
+    bare = F.filter(F.transform(headers, lambda h: F.regexp_replace(F.lower(h), "[^a-z0-9]+", "")), lambda h: h != "")
+    return F.substring(F.sha1(F.array_join(F.array_sort(bare), "|")), 1, 16)
+
+
+def recalled(rows: DataFrame, remembered: DataFrame) -> DataFrame:
+    """(file, line, fields) like map_headers, but a sheet whose headers were mapped by hand before is read that way. remembered: signature,
+    mapping (a map from what a column holds to its header)."""
+    guessed = map_headers(rows).withColumnRenamed("fields", "guess")
+    known = rows.withColumn("signature", header_signature("headers")).join(remembered, "signature")
+    cell = lambda h: F.get("cells", F.array_position("headers", h).cast("int") - 1)
+    told = known.select("file", "line", F.map_filter(F.transform_values("mapping", lambda k, h: cell(h)), lambda k, v: v.isNotNull()).alias("told"))
+    return guessed.join(told, ["file", "line"], "left").select("file", "line", F.coalesce("told", "guess").alias("fields"))
+
+
+def same_tests(papers: DataFrame) -> DataFrame:
+    """(paper_id, first): papers of one source, test and series (in any case), each with the first of them."""
+    key = [F.lower(F.trim(F.coalesce(c, F.lit("")))).alias(c) for c in ("source_type", "test", "series")]
+    named = papers.where("test IS NOT NULL").select("paper_id", *key)
+    first = named.groupBy("source_type", "test", "series").agg(F.min("paper_id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    return named.join(first, ["source_type", "test", "series"]).where("paper_id != first").select("paper_id", "first")
+
+
+def covered_ranges(files: DataFrame) -> DataFrame:
+    """(file, first, last) that files of JSON parts say they cover."""
+    said = r"(?i)covered\s+questions?\s+(\d+)\s*(?:to|-|–|—)\s*(\d+)"
+    text = F.col("content").cast("string")
+    both = F.arrays_zip(F.regexp_extract_all(text, F.lit(said), F.lit(1)).alias("a"), F.regexp_extract_all(text, F.lit(said), F.lit(2)).alias("b"))
+    return files.select("file", F.explode(both).alias("x")).select("file", F.col("x.a").cast("int").alias("first"), F.col("x.b").cast("int").alias("last"))
+
+
+def raw_questions(objects: DataFrame) -> DataFrame:
+    """(file, part, place, raw): every question of the parts as JSON text, for importing.raw_issues."""
+    parsed = objects.where("json IS NOT NULL").select("file", "part", F.from_json("json", "struct<questions:array<string>>").alias("x"))
+    return parsed.select("file", "part", F.posexplode("x.questions").alias("place", "raw"))
+
+
 def json_objects(files: DataFrame) -> DataFrame:
     """(file, part, json, issue): the JSON objects of files that may hold several, between other lines and fences. A question object of
     a file that breaks off is salvaged; issue says so."""
@@ -124,6 +162,13 @@ def book_chapters(spark: SparkSession, path: str) -> DataFrame:
     from pyspark.sql.window import Window
 
     schema = "subject string, chapter_no int, chapter string, question_count int, questions array<struct<id:string,number:int,question:string,options:map<string,string>,answer:string,explanation:string,page:int,needs_review:array<string>>>, _corrupt_record string"
-    found = spark.read.schema(schema).option("multiLine", True).json(path).where("chapter_no IS NOT NULL").select(F.input_file_name().alias("file"), "subject", "chapter_no", "chapter", F.posexplode("questions").alias("place", "q"))
+    found = spark.read.schema(schema).option("multiLine", True).json(path).where("chapter_no IS NOT NULL").select(F.col("_metadata.file_path").alias("file"), "subject", "chapter_no", "chapter", F.posexplode("questions").alias("place", "q"))
     w = Window.partitionBy("subject").orderBy("chapter_no", "q.number", "file", "place")
     return found.withColumn("book_number", F.row_number().over(w))
+
+
+def chapter_files(spark: SparkSession, path: str) -> DataFrame:
+    """(file, subject, chapter_no, chapter, question_count, n, corrupt): one row for each chapter file; corrupt: its text, if it is no JSON."""
+    schema = "subject string, chapter_no int, chapter string, question_count int, questions array<string>, _corrupt_record string"
+    found = spark.read.schema(schema).option("multiLine", True).json(path)
+    return found.select(F.col("_metadata.file_path").alias("file"), "subject", "chapter_no", "chapter", "question_count", F.greatest(F.size("questions"), F.lit(0)).alias("n"), F.col("_corrupt_record").alias("corrupt"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from datetime import timedelta
 
@@ -45,6 +46,79 @@ def expired(attempts: DataFrame, now: str, grace: int = 3) -> DataFrame:
     return attempts.select("attempt_id", F.when(over, "expired").otherwise(F.col("status")).alias("status"), F.when(over, F.col("deadline_at")).otherwise(F.col("completed_at")).alias("ended_at"))
 
 
+def closed_attempts(events: DataFrame, grace: int = 3, late: str = "10 seconds") -> DataFrame:
+    """(attempt_id, status, ended_at, answered, rejected) of timed attempts when they end, from a stream of events (attempt_id, kind, question_id,
+    value, ts, deadline_at): kind start (with the deadline), save (an empty value clears) or submit.
+
+    An attempt that nobody submits ends `grace` seconds after its deadline, as of the deadline, when the watermark passes that time. Saves
+    after that are rejected. The state holds one letter for each question of the attempt."""
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], group: GroupState) -> Iterator[pd.DataFrame]:
+        deadline, answers, rejected, ended = group.get if group.exists else (None, "{}", 0, False)
+        answers = json.loads(answers)
+        if group.hasTimedOut:
+            yield _closed(key[0], "expired", pd.Timestamp(deadline), answers, rejected)
+            group.update((deadline, "{}", rejected, True))
+            return
+        for row in pd.concat(list(batches)).sort_values(["ts", "question_id"]).itertuples():
+            if row.kind == "start" and deadline is None:
+                deadline = row.deadline_at.isoformat()
+            in_time = deadline is None or row.ts <= pd.Timestamp(deadline) + pd.Timedelta(seconds=grace)
+            if ended or not in_time:
+                rejected += row.kind == "save"
+            elif row.kind == "save":
+                answers[str(row.question_id)] = row.value
+            elif row.kind == "submit":
+                ended = True
+                yield _closed(key[0], "submitted", row.ts, answers, rejected)
+        group.update((deadline, json.dumps(answers), rejected, ended))
+        if deadline is not None and not ended:
+            group.setTimeoutTimestamp(max(int(pd.Timestamp(deadline).timestamp() * 1000) + 1000 * grace, group.getCurrentWatermarkMs() + 1))
+
+    rows = events.withWatermark("ts", late).groupBy("attempt_id")
+    return rows.applyInPandasWithState(run, "attempt_id long, status string, ended_at timestamp, answered int, rejected int", "deadline string, answers string, rejected int, ended boolean", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def _closed(attempt: int, status: str, ended_at: pd.Timestamp, answers: dict, rejected: int) -> pd.DataFrame:
+    return pd.DataFrame({"attempt_id": [attempt], "status": [status], "ended_at": [ended_at], "answered": [sum(bool(v) for v in answers.values())], "rejected": [rejected]})
+
+
+def closed_attempts_batch(events: DataFrame, now: str, grace: int = 3) -> DataFrame:
+    """The same for a table of events, as of a moment: attempts submitted in time or past deadline and grace."""
+    due = F.min(F.when(F.col("kind") == "start", F.col("deadline_at"))).alias("deadline_at")
+    rows = events.drop("deadline_at").join(events.groupBy("attempt_id").agg(due), "attempt_id", "left")
+    last = F.col("deadline_at") + F.expr(f"INTERVAL {grace} SECONDS")
+    in_time = F.col("deadline_at").isNull() | (F.col("ts") <= last)
+    submits = rows.where((F.col("kind") == "submit") & in_time).groupBy("attempt_id").agg(F.min("ts").alias("submitted_at"))
+    rows = rows.join(submits, "attempt_id", "left")
+    good = in_time & (F.col("submitted_at").isNull() | (F.col("ts") <= F.col("submitted_at")))
+    saves = rows.where("kind = 'save'").groupBy("attempt_id", "question_id").agg(F.max_by(F.when(good, F.col("value")), F.when(good, F.col("ts"))).alias("value"), F.count_if(~good).alias("late"))
+    per = saves.groupBy("attempt_id").agg(F.count_if(F.coalesce("value", F.lit("")) != "").cast("int").alias("answered"), F.sum("late").cast("int").alias("rejected"))
+    head = rows.groupBy("attempt_id").agg(F.min("deadline_at").alias("deadline_at"), F.min("submitted_at").alias("submitted_at"))
+    over = F.col("deadline_at") + F.expr(f"INTERVAL {grace} SECONDS") < F.lit(now).cast("timestamp")
+    out = head.where(F.col("submitted_at").isNotNull() | over).join(per, "attempt_id", "left")
+    return out.select("attempt_id", F.when(F.col("submitted_at").isNotNull(), "submitted").otherwise("expired").alias("status"), F.coalesce("submitted_at", "deadline_at").alias("ended_at"), F.coalesce("answered", F.lit(0)).alias("answered"), F.coalesce("rejected", F.lit(0)).alias("rejected"))
+
+
+def screen_time(events: DataFrame, most: int = 300) -> DataFrame:
+    """(attempt_id, question_id, seconds) whenever time is credited, from a stream of events (attempt_id, question_id, ts): the gap to the attempt's
+    next event goes to the question on screen, whole seconds, `most` at most. Sums of the rows are activity.screen_time. The state of an
+    attempt is its last event."""
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], group: GroupState) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
+        at, question = rows["ts"].tolist(), rows["question_id"].tolist()
+        if group.exists:
+            seen, on = group.get
+            at, question = [pd.Timestamp(seen), *at], [on, *question]
+        group.update((at[-1].isoformat(), int(question[-1])))
+        gaps = [min(most, max(0, int((b - a).total_seconds()))) for a, b in zip(at, at[1:])]
+        if gaps:
+            yield pd.DataFrame({"attempt_id": key[0], "question_id": question[:-1], "seconds": gaps}).groupby(["attempt_id", "question_id"], as_index=False).sum()
+
+    return events.groupBy("attempt_id").applyInPandasWithState(run, "attempt_id long, question_id long, seconds long", "at string, question long", "append", GroupStateTimeout.NoTimeout)
+
+
 def next_state(state: tuple | None, day, correct: bool, clean: bool) -> tuple | None:
     """(stage, streak, status, due) after one answer; the rule of operators.revision for one event."""
     if state is None or state[2] == "done":

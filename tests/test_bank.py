@@ -52,8 +52,7 @@ def test_duplicates(spark):
     rows = [(1, stem, "p q", "h1"), (2, stem.replace("nine", "nina"), "p q", "h2"), (3, stem, "p q", "h1"), (4, stem.replace("two", "twp"), "completely other words", "h4"), (5, "short", "p q", "h5"), (6, "shorts", "p q", "h6")]
     q = spark.createDataFrame(rows, "question_id long, stem string, options_text string, norm_hash string")
     assert [tuple(r) for r in dedup.exact_pairs(q).collect()] == [(3, 1)]
-    for lossless in (False, True):
-        assert [(r.newer, r.older) for r in dedup.near_pairs(q, lossless).collect()] == [(2, 1)]
+    assert [(r.newer, r.older) for r in dedup.near_pairs(q).collect()] == [(2, 1)]
     assert dedup.indel_ratio("abcd", "abxd") == 75.0 and dedup.indel_ratio("", "") == 100.0
 
 
@@ -63,8 +62,8 @@ def test_near_pairs_equal_brute_force(spark):
     ).select("question_id", text.words(F.col("stem")).alias("stem"), F.lit("o").alias("options_text"), F.md5("stem").alias("norm_hash"))
     rows = {r.stem: (r.question_id, r.norm_hash) for r in q.orderBy(F.desc("question_id")).collect()}
     want = {(max(a, b), min(a, b)) for s, (a, h) in rows.items() for t, (b, g) in rows.items() if h < g and dedup.indel_ratio(s, t) >= 90}
-    assert {(r.newer, r.older) for r in dedup.near_pairs(q, lossless=True).collect()} == want
-    assert len({(r.newer, r.older) for r in dedup.near_pairs(q).collect()} & want) >= 0.8 * len(want)
+    assert {(r.newer, r.older) for r in dedup.near_pairs(q, kept=None).collect()} == want
+    assert {(r.newer, r.older) for r in dedup.near_pairs(q).collect()} <= want
 
 
 KEYS = [
@@ -86,7 +85,7 @@ def test_conflicting_key(spark):
 
 
 def test_files(spark, tmp_path):
-    q = {"number": 1, "question": "What is what?", "options": {"a": "1", "b": "2", "c": "3", "d": "4"}, "correct_answer": "b"}
+    q = {"number": 1, "question": "What is what in all this?", "options": {"a": "1", "b": "2", "c": "3", "d": "4"}, "correct_answer": "b"}
     (tmp_path / "p.json").write_text("Covered questions 1 to 2.\n```json\n" + json.dumps({"questions": [q, q | {"number": 2, "correct_answer": "3"}]}) + "\n```\n" + '{"questions": [' + json.dumps(q | {"number": 3}) + ', {"number": 4, "quest')
     objects = files.json_objects(files.read_files(spark, str(tmp_path / "p.json")))
     found = files.json_questions(objects)
