@@ -210,7 +210,7 @@ def number_ranges(s: Column) -> Column:
 
 def range_errors(s: Column) -> Column:
     """Array of the parts of a text of ranges that say no range, or one that runs backwards."""
-    parts = F.filter(F.transform(F.split(F.coalesce(s, F.lit("")), "[,;\n]"), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(F.coalesce(s, F.lit("")), "[,;\n]"), lambda p: F.trim(p)), lambda p: p != "")
     bounds = r"^(\d{1,3})\s*(?:-|–|to)\s*(\d{1,3})\s+\S.*$"
     return F.filter(parts, lambda p: ~p.rlike(bounds) | (F.regexp_extract(p, bounds, 1).try_cast("int") > F.regexp_extract(p, bounds, 2).try_cast("int")))
 

@@ -13,6 +13,13 @@ def _running_test() -> Column:
     return F.col("kind").isin("full_test", "section") & (F.col("attempt_status") == "in_progress")
 
 
+def remaining(attempts: DataFrame, now: str, grace: int = 3) -> DataFrame:
+    """(attempt_id, remaining, overdue) of running attempts: whole seconds up to the deadline (rounded up, 0 behind it, null without one), and
+    whether deadline and grace are over."""
+    left = F.col("deadline_at").cast("timestamp").cast("double") - F.lit(now).cast("timestamp").cast("double")
+    return attempts.where("status = 'in_progress'").select("attempt_id", F.greatest(F.ceil(left), F.when(left.isNotNull(), 0)).cast("long").alias("remaining"), F.coalesce(left < -grace, F.lit(False)).alias("overdue"))
+
+
 def palette(responses: DataFrame) -> DataFrame:
     """(attempt_id, position, state) of each response. A running test tells only whether a question is answered or was seen; else what
     is answered is right or wrong, and what is not is skipped, once the session is over."""

@@ -306,3 +306,13 @@ ORACLES |= {
       l AS (SELECT r.a, q, arg_max(v, ts) AS v FROM r JOIN d USING (a) LEFT JOIN s USING (a) WHERE NOT sub AND ts <= dl + INTERVAL '3' SECOND AND (sub_at IS NULL OR ts <= sub_at) GROUP BY ALL), n AS (SELECT a, count(*) FILTER (v <> '') AS k FROM l GROUP BY a)
       SELECT d.a AS attempt_id, CASE WHEN sub_at IS NOT NULL THEN 'submitted' ELSE 'expired' END AS status, coalesce(sub_at, dl) AS ended_at, CAST(coalesce(k, 0) AS INT) AS answered FROM d LEFT JOIN s USING (a) LEFT JOIN n USING (a) WHERE sub_at IS NOT NULL OR dl + INTERVAL '3' SECOND < TIMESTAMP '2024-02-10 00:00:00'""",
 }
+ORACLES |= {
+    "remaining_seconds": with_views("SELECT attempt_id, CASE WHEN d IS NOT NULL THEN CAST(greatest(0, ceil(epoch(d) - epoch(TIMESTAMP '1997-06-15 00:00:30'))) AS BIGINT) END AS remaining, coalesce(epoch(d) + 3 < epoch(TIMESTAMP '1997-06-15 00:00:30'), FALSE) AS overdue FROM (SELECT attempt_id, status, CASE WHEN attempt_id % 5 > 0 THEN completed_at END AS d FROM attempts) WHERE status = 'in_progress'", "attempts"),
+    "running_lines": f"""WITH s AS (SELECT source AS paper_id, doc_id AS page, string_split(text, chr(10)) AS ls FROM documents), l AS (SELECT paper_id, page, trim(regexp_replace(lower(unnest(ls)), '{_W}', ' ', 'g')) AS line, (unnest(range(len(ls))) + 0.5e0) / len(ls) AS place FROM s), k AS (SELECT * FROM l WHERE line <> ''), p AS (SELECT paper_id, count(DISTINCT page) AS pages FROM k GROUP BY ALL)
+      SELECT paper_id, line, n FROM (SELECT paper_id, line, count(DISTINCT page) AS n FROM k WHERE place < 0.1e0 OR place > 0.9e0 GROUP BY ALL) JOIN p USING (paper_id) WHERE n >= greatest(3.0, 0.01 * pages)""",
+    "same_tests": with_views("WITH x AS (SELECT question_id AS paper_id, coalesce(subject, '') AS s, question_id % 700 AS t FROM questions WHERE question_id % 9 > 0) SELECT a.paper_id, min(b.paper_id) AS first FROM x a JOIN x b ON a.s = b.s AND a.t = b.t AND b.paper_id < a.paper_id GROUP BY a.paper_id", "questions"),
+    "key_errors": with_views("""WITH f AS (SELECT paper_id, question_number, count(DISTINCT correct_answer) AS k FROM questions WHERE correct_answer IS NOT NULL GROUP BY ALL) SELECT paper_id AS key_id, 'conflict' AS error, question_number AS number FROM f WHERE k + CASE WHEN paper_id % 4 = 0 AND question_number = 3 THEN 1 ELSE 0 END > 1 AND paper_id % 4 IN (0, 2)
+      UNION ALL SELECT DISTINCT paper_id, CASE WHEN paper_id % 4 = 1 THEN 'digits' ELSE 'empty' END, CAST(NULL AS INT) FROM f WHERE paper_id % 4 IN (1, 3)""", "questions"),
+    "key_explanations": with_views("SELECT paper_id AS key_id, question_number AS number, 'as told' AS explanation, count(*) AS n FROM questions WHERE correct_answer IS NOT NULL AND paper_id % 4 = 2 GROUP BY ALL", "questions"),
+    "range_errors": with_views("""SELECT question_id, '1-30' AS part FROM questions WHERE subject IS NULL UNION ALL SELECT question_id, (question_id % 60) || '-40 Maths' FROM questions WHERE question_id % 60 > 40 UNION ALL SELECT question_id, 'all the rest' FROM questions WHERE question_id % 3 = 0""", "questions"),
+}

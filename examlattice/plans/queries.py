@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from ..domain import view
 from ..functions import scrub, text
 from ..operators import activity, analytics, dedup, grading, leaderboard, lists, review, revision, sessions, suspicion, visibility
-from ..sources import importing, keys, lines
+from ..sources import files, importing, keys, lines
 from ..streaming import jobs
 
 TODAY = "2000-06-15"
@@ -919,3 +919,53 @@ def attempt_events(t):
 @query
 def closed_attempts(spark, sf_dir):
     return jobs.closed_attempts_batch(attempt_events(Tables(spark, sf_dir)), "2024-02-10 00:00:00").select("attempt_id", "status", "ended_at", "answered")
+
+
+@query
+def remaining_seconds(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    return sessions.remaining(t.attempts.withColumn("deadline_at", F.when(F.col("attempt_id") % 5 > 0, F.col("completed_at"))), "1997-06-15 00:00:30")
+
+
+@query
+def running_lines(spark, sf_dir):
+    """Lines that stand at the head or foot of many documents of a source."""
+    lines_of = F.split("text", "\n")
+    rows = Tables(spark, sf_dir).documents.select(F.col("source").alias("paper_id"), F.col("doc_id").alias("page"), F.size(lines_of).alias("n"), F.posexplode(lines_of).alias("i", "line"))
+    placed = rows.select("paper_id", "page", text.words(F.col("line")).alias("line"), ((F.col("i") + 0.5) / F.col("n")).alias("place")).where("line != ''")
+    return review.line_repeats(placed, share=0.01, band=0.1)
+
+
+@query
+def same_tests(spark, sf_dir):
+    test = F.concat(F.lit("Test "), (F.col("question_id") % 700).cast("string"))
+    q = Tables(spark, sf_dir).questions.select(F.col("question_id").alias("paper_id"), F.when(F.col("question_id") % 9 > 0, F.when(F.col("question_id") % 2 == 0, F.upper(test)).otherwise(test)).alias("test"), "subject", F.lit("A").alias("series"))
+    return files.same_tests(q.withColumnRenamed("subject", "source_type"))
+
+
+def odd_keys(t):
+    """Key documents of all kinds: some with a number twice, some of digits, some of labelled lines."""
+    k = keys.key_text(t.questions)
+    n = F.col("key_id") % 4
+    pairs = F.col("text")
+    labelled = F.regexp_replace(pairs, r"(\d+)-([A-D]) ?", "$1. Ans- ($2) as told\n")
+    return k.select("key_id", F.when(n == 0, F.concat(pairs, F.lit(" 3-E"))).when(n == 1, F.translate(pairs, "ABCD", "1234")).when(n == 2, labelled).otherwise("").alias("text"), "series")
+
+
+@query
+def key_errors(spark, sf_dir):
+    k = odd_keys(Tables(spark, sf_dir))
+    return keys.key_errors(k, keys.parse_keys(k))
+
+
+@query
+def key_explanations(spark, sf_dir):
+    return keys.key_explanations(odd_keys(Tables(spark, sf_dir))).groupBy("key_id", "number", "explanation").agg(F.count("*").alias("n"))
+
+
+@query
+def range_errors(spark, sf_dir):
+    n = F.col("question_id")
+    said = F.concat_ws(", ", F.concat(F.lit("1-30 "), F.coalesce("subject", F.lit(""))), F.concat((n % 60).cast("string"), F.lit("-40 Maths")), F.when(n % 3 == 0, "all the rest"))
+    found = Tables(spark, sf_dir).questions.select("question_id", F.explode(text.range_errors(said)).alias("part"))
+    return found

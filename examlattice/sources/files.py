@@ -25,14 +25,20 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
     return found.select(F.col("path").alias("file"), "content", F.sha2("content", 256).alias("sha256"))
 
 
-def decode(content: bytes) -> str:
-    """UTF-8 with or without a mark, UTF-16 with one, else Windows-1252."""
+def decode(content: bytes, fallback: str = "cp1252") -> str:
+    """UTF-8 with or without a mark, UTF-16 with one, else Windows-1252 (or what the fallback is)."""
     if content[:2] in (b"\xff\xfe", b"\xfe\xff"):
         return content.decode("utf-16", errors="replace")
     try:
         return content.decode("utf-8-sig")
     except UnicodeDecodeError:
-        return content.decode("cp1252", errors="replace")
+        return content.decode(fallback, errors="replace")
+
+
+def key_files(files: DataFrame) -> DataFrame:
+    """(key_id, text, series) of answer keys in text files, for keys.parse_keys; their fallback is Latin-1. The series is unknown."""
+    text = F.pandas_udf(lambda contents: contents.map(lambda c: decode(bytes(c), "latin-1")), "string")
+    return files.select(F.col("file").alias("key_id"), text("content").alias("text"), F.lit(None).cast("string").alias("series"))
 
 
 def sheet_rows(files: DataFrame) -> DataFrame:

@@ -36,6 +36,30 @@ def parse_keys(keys: DataFrame) -> DataFrame:
     return pairs.groupBy("key_id", "format", "number").agg(F.min_by("letter", "place").alias("letter"), F.count_distinct("letter").alias("letters"))
 
 
+def key_explanations(keys: DataFrame) -> DataFrame:
+    """(key_id, number, explanation): what a labelled line says behind its letter, up to the next labelled line, on one line."""
+    text = F.regexp_replace(F.coalesce("text", F.lit("")), r"\r\n?", "\n")
+    rows = keys.select("key_id", text.alias("t"))
+    numbers, behind = F.regexp_extract_all("t", F.lit(LABELLED), F.lit(1)), F.split("t", LABELLED, -1)
+    told = F.arrays_zip(numbers.alias("n"), F.slice(behind, F.lit(2), F.greatest(F.lit(1), F.size(numbers))).alias("x"))
+    rows = rows.where(F.size(numbers) >= 3).select("key_id", F.explode(told).alias("y"))
+    one_line = F.trim(F.regexp_replace(F.regexp_replace("y.x", r"\s+", " "), r"^[\s.:\-–—]+", ""))
+    return rows.select("key_id", F.col("y.n").cast("int").alias("number"), one_line.alias("explanation")).where("explanation != ''")
+
+
+def key_errors(keys: DataFrame, parsed: DataFrame) -> DataFrame:
+    """(key_id, error, number) of keys that cannot be applied as they are: conflict (a number has several letters), series (the key is of several
+    series and names none), digits (the answers are digits, which are never taken for letters) or empty."""
+    found = parsed.groupBy("key_id").agg(F.count("*").alias("n"))
+    conflicts = parsed.where("letters > 1").select("key_id", F.lit("conflict").alias("error"), "number")
+    text = F.coalesce("text", F.lit(""))
+    many = (F.size(F.regexp_extract_all(text, F.lit(SERIES_ROW), F.lit(1))) >= 3) | (F.size(F.regexp_extract_all(text, F.lit(SERIES_HEAD), F.lit(1))) >= 2)
+    digits = F.size(F.regexp_extract_all(text, F.lit(r"(?<![\w/])(\d{1,3})\s*[-–—:.)=|,]\s*\(?[1-4]\)?(?!\w)"), F.lit(1))) >= 3
+    rest = keys.join(found, "key_id", "left_anti")
+    error = F.when(many, "series").when(digits, "digits").otherwise("empty")
+    return conflicts.unionAll(rest.select("key_id", error.alias("error"), F.lit(None).cast("int").alias("number")))
+
+
 def key_text(questions: DataFrame) -> DataFrame:
     """(key_id, text, series) that says the keys of each paper's questions, as pairs."""
     own = questions.where("correct_answer IS NOT NULL").groupBy("paper_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("question_number", "question_id", "correct_answer"))), lambda x: F.concat(x["question_number"].cast("string"), F.lit("-"), x["correct_answer"])), " ").alias("text"))

@@ -98,3 +98,15 @@ def test_streams_of_sessions(spark, tmp_path):
     run.stop()
     got = {(r.attempt_id, r.question_id): r.seconds for r in spark.table("screens").groupBy("attempt_id", "question_id").agg(F.sum("seconds").alias("seconds")).collect()}
     assert {k: v for k, v in got.items() if v} == {(r.attempt_id, r.question_id): r.seconds for r in activity.screen_time(table).collect() if r.seconds}
+
+
+def test_key_files_and_reports(spark, tmp_path):
+    (tmp_path / "a.txt").write_bytes("1-b 2-c 3-d \u00e9".encode("latin-1"))
+    (tmp_path / "b.txt").write_bytes("1-a 2-1 1-b".encode("utf-16"))
+    read = files.key_files(files.read_files(spark, f"{tmp_path}/*.txt"))
+    parsed = keys.parse_keys(read)
+    assert {(r.key_id[-5], r.number, r.letter) for r in parsed.collect()} == {("a", 1, "B"), ("a", 2, "C"), ("a", 3, "D"), ("b", 1, "A")}
+    errors = keys.key_errors(read, parsed)
+    assert [(r.key_id[-5], r.error, r.number) for r in errors.collect()] == [("b", "conflict", 1)]
+    importing.write_report(errors.withColumn("level", F.lit("error")), f"{tmp_path}/report")
+    assert spark.read.json(f"{tmp_path}/report").count() == 1
