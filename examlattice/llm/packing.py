@@ -9,8 +9,11 @@ and its rank tells its pattern and sequence.
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +26,16 @@ from ._store import Scratch, partitions
 from ._text import chunks
 
 MARK = "\x01"
-CACHE = 1_000_000  #: pieces of text whose ids a Python worker keeps
+CACHE, CACHE_BYTES = 800_000, 16 << 20  #: runs of text whose ids a Python worker keeps, and their characters
+
+# The letters of Western European languages, whose normal form, lower case and class no Unicode version changes; and the
+# contractions that the tokenizer's pattern knows.
+LETTERS = "abcdefghijklmnopqrstuvwxyzàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿßœ"
+CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
+PATTERN = rf"{CONTRACTIONS}|[\p{{L}}]+|[\p{{N}}]|[^\s\p{{L}}\p{{N}}]+"
+_CAPITALS = "".join(c.upper() for c in LETTERS if len(c.upper()) == 1)
+_PLAIN = re.compile(rf"[!-~{LETTERS}{_CAPITALS}]+")
+_PIECES = re.compile(rf"{CONTRACTIONS}|[{LETTERS}]+|[0-9]|[^\s{LETTERS}0-9]+")
 
 
 class Encoder:
@@ -31,24 +43,70 @@ class Encoder:
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
         marks = self.tokenizer.encode(MARK, add_special_tokens=False).ids
         self.mark = marks[0] if len(marks) == 1 else None
+        self.byte_level, self.model = None, self.tokenizer.model
+        state = json.loads(self.tokenizer.to_str())
+        parts = (state.get("pre_tokenizer") or {}).get("pretokenizers", [])
+        normal = [n["type"] for n in (state.get("normalizer") or {}).get("normalizers", [])]
+        if normal == ["NFC", "Replace", "Lowercase"] and [x["type"] for x in parts] == ["Split", "ByteLevel"] and parts[0]["pattern"] == {"Regex": PATTERN}:
+            level = ByteLevel(add_prefix_space=False, use_regex=False)
+            self.byte_level = {ord(c): level.pre_tokenize_str(c)[0][0] for c in LETTERS if not c.isascii()}
         self._clear()
 
     def _clear(self) -> None:
         self.code: dict[str, int] = {"": 0}
         self.at = np.zeros(1 << 16, np.int64)
         self.size = np.zeros(1 << 16, np.int64)
+        self.hits = np.zeros(1 << 16, np.int32)  #: chunks of text in which a run stood
         self.ids = np.zeros(1 << 18, np.uint32)
-        self.used = 0
+        self.used = self.kept = 0
+
+    def _compact(self) -> None:
+        """Forgets runs that stood in one chunk only, and the rarest others if too many are left."""
+        runs, hits = list(self.code), self.hits[: len(self.code)]
+        least = max(2, int(np.sort(hits)[-(CACHE // 4)]) + 1 if len(hits) > CACHE // 4 else 2)
+        kept = 1 + np.flatnonzero(hits[1:] >= least)
+        size = self.size[kept]
+        ends = np.cumsum(size)
+        ids = self.ids[np.repeat(self.at[kept] - (ends - size), size) + np.arange(size.sum())]
+        runs = [runs[i] for i in kept.tolist()]
+        self._clear()
+        self._add(runs, ids, size)
 
     def _one_by_one(self, runs: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch(runs, add_special_tokens=False)]
 
+    def _piece(self, piece: str) -> list[int]:
+        code = self.code.get(piece)
+        if code is not None:
+            return self.ids[self.at[code] : self.at[code] + self.size[code]].tolist()
+        return [t.id for t in self.model.tokenize(piece if piece.isascii() else piece.translate(self.byte_level))]
+
+    def _plain(self, runs: list[str]) -> None:
+        """Keeps the ids of runs of ASCII and the known letters: the tokenizer's own pieces of them, each by its model alone. Most runs are
+        letters, or letters and one mark."""
+        ids, size, known = [], [], {}
+        for run in runs:
+            low, before = run.lower(), len(ids)
+            for piece in (low,) if low.isalpha() else (low[:-1], low[-1]) if low[:-1].isalpha() and low[-1] in ".,;:!?" else _PIECES.findall(low):
+                own = known.get(piece)
+                if own is None:
+                    own = known[piece] = self._piece(piece)
+                ids += own
+            size.append(len(ids) - before)
+        self._add(runs, np.array(ids, np.uint32), np.array(size, np.int64))
+
     def _learn(self, missing: list[str]) -> None:
-        """Keeps the ids of new runs. Many runs are encoded as one text, with a mark between them that is one token."""
+        """Keeps the ids of new runs. Runs of plain letters go to the tokenizer's model; many others are encoded as one text, with a mark
+        between them that is one token."""
+        if self.byte_level is not None:
+            own = [r for r in missing if _PLAIN.fullmatch(r)]
+            self._plain(own)
+            missing = [r for r in missing if r not in self.code]
         plain = [r for r in missing if MARK not in r] if self.mark is not None else []
         rest = [r for r in missing if MARK in r] if self.mark is not None else missing
         for at in range(0, len(plain), 1024):
@@ -63,29 +121,29 @@ class Encoder:
 
     def _add(self, runs: list[str], ids: np.ndarray, size: np.ndarray) -> None:
         k, n = len(self.code), len(runs)
+        self.kept += sum(map(len, runs))
         while k + n > len(self.at):
-            self.at, self.size = np.resize(self.at, 2 * len(self.at)), np.resize(self.size, 2 * len(self.size))
+            self.at, self.size, self.hits = (np.resize(x, 2 * len(x)) for x in (self.at, self.size, self.hits))
         while self.used + len(ids) > len(self.ids):
             self.ids = np.resize(self.ids, 2 * len(self.ids))
         self.ids[self.used : self.used + len(ids)] = ids
-        self.size[k : k + n] = size
+        self.size[k : k + n], self.hits[k : k + n] = size, 0
         self.at[k : k + n] = self.used + np.cumsum(size) - size
         self.code.update(zip(runs, range(k, k + n)))
         self.used += len(ids)
 
     def encode(self, texts: list[str], end: int) -> Iterator[np.ndarray]:
         """Ids of each text, then `end`."""
-        if len(self.code) > CACHE:
-            self._clear()
+        if len(self.code) > CACHE or self.kept > CACHE_BYTES:
+            self._compact()
         split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        runs = [r for s in split for r in s]
-        code = list(map(self.code.get, runs))
-        new = [i for i, c in enumerate(code) if c is None]
+        runs = list(chain.from_iterable(split))
+        code = np.fromiter(map(self.code.get, runs, repeat(-1)), np.int64, len(runs))
+        new = np.flatnonzero(code < 0).tolist()
         if new:
             self._learn(list(dict.fromkeys(runs[i] for i in new)))
-            for i in new:
-                code[i] = self.code[runs[i]]
-        code = np.array(code, np.int64)
+            code[new] = [self.code[runs[i]] for i in new]
+        self.hits[code] += 1
         size = self.size[code]
         ends = np.cumsum(size)
         total = int(ends[-1]) if len(ends) else 0
@@ -132,6 +190,7 @@ def pieces(docs: DataFrame, path: str, length: int, end: int, resolution: int) -
                         crc.append(zlib.crc32(raw[4 * a : 4 * b]))
                         total.append(len(ids))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, len(texts)).take(pa.array(doc, pa.int64())), *(pa.array(x, pa.int64()) for x in (start, size, crc, total)), pa.array(np.searchsorted(edges, size).astype(np.int32))], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "bin"])
+        own._clear()  # a worker that goes on to other work keeps no runs
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, bin int")
 
