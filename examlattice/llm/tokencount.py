@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ._text import chunks
 
 SPACE = "▁"
-CACHE = 1_000_000  #: words whose counts a Python worker keeps
+CACHE, LONG = 1_000_000, 64  #: words whose counts a Python worker keeps, and from how many characters on it keeps none
 
 
 def vocabulary(path: str) -> list[tuple[str, float]]:
@@ -73,7 +73,9 @@ class Counter:
             if n is None:
                 if len(known) >= CACHE:
                     known.clear()
-                n = known[word] = self.word(SPACE + word)
+                n = self.word(SPACE + word)
+                if len(word) < LONG:
+                    known[word] = n
             total += n
         return total
 
