@@ -17,7 +17,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-LEVELS = 16
+from ._store import partitions
+
+LEVELS, SMALLEST = 16, 4096  #: levels of a dimension; rows of which a block is not split to keep more tasks busy
 STEPS = 24  #: attempts at a proof, at most
 SAMPLE = 64  #: rows whose exact scores are the first threshold
 
@@ -94,7 +96,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, *, k: int = 5, block: int = 1
     good = F.col("vec_id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0) & ~F.exists("v", lambda x: x.isNull())
     vectors = vectors.where(good).select("vec_id", "v", F.size("v").alias("dim"))
     queries = queries.where(good).dropDuplicates(["vec_id"]).select("vec_id", "v", F.size("v").alias("dim"))
-    n_block = max(1, -(-vectors.count() // block))
+    n = vectors.count()
+    n_block = max(1, -(-n // block), min(partitions(vectors.sparkSession), -(-n // SMALLEST)))
     left = vectors.select("dim", F.pmod(F.xxhash64("vec_id"), F.lit(n_block)).alias("c"), F.lit(False).alias("asks"), "vec_id", "v")
     right = queries.select("dim", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_block - 1).cast("long"))).alias("c"), F.lit(True).alias("asks"), "vec_id", "v")
 
