@@ -1,6 +1,6 @@
 """Language identification with language-bitmask n-gram filters.
 
-Every text is cut into 4-byte n-grams of its lower-case letters, with word ends. A Bloom filter is kept bit-sliced: each slot
+Every text is cut into 4-byte n-grams of its lower-case letters (whatever Unicode calls a letter or mark), with word ends. A Bloom filter is kept bit-sliced: each slot
 holds one bit for each language, so the AND of an n-gram's slots gives the mask of all languages that contain it. For each
 language the hits of a text are counted, freed of the filter's expected false positives, and the largest count decides.
 """
@@ -29,7 +29,8 @@ _LETTER[ord("a") : ord("z") + 1] = True
 
 def grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(n-gram, index of its text) for all n-grams: four bytes, where anything but letters counts as one space."""
-    low = pc.utf8_lower(pc.binary_join_element_wise(_EDGE, pc.fill_null(texts.cast(pa.large_string()), ""), _EDGE, _NONE))
+    low = pc.utf8_lower(pc.replace_substring_regex(pc.fill_null(texts.cast(pa.large_string()), ""), r"[^\pL\pM]+", " "))
+    low = pc.binary_join_element_wise(_EDGE, low, _EDGE, _NONE)
     raw, at = text_bytes(low)
     if len(raw) < 4:
         return np.empty(0, np.uint32), np.empty(0, np.int64)
@@ -120,21 +121,25 @@ def _document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
             yield pa.RecordBatch.from_arrays([names.take(pa.array((key >> U(32)).astype(np.int64))), pa.array((key & U(0xFFFFFFFF)).astype(np.int64)), pa.array(n)], ["lang", "gram", "n"])
 
 
-def fit(labelled: DataFrame, *, sample: int = 20_000, least_share: float = 0.005, least: int = 2, n_slots: int = 1 << 20, hashes: int = 2, most_grams: int = 100_000) -> LanguageFilter:
+def fit(labelled: DataFrame, *, sample: int = 20_000, least_share: float = 0.005, least: int = 2, n_slots: int = 1 << 20, hashes: int = 2, most_grams: int = 100_000, most_languages: int = 1024) -> LanguageFilter:
     """Learns a filter from (doc_id, text, lang).
 
-    Rows without lang or text are left out. Of larger tables about `sample` rows are used, chosen by a hash of doc_id: the
-    n-gram vocabulary of a language is saturated long before. An n-gram belongs to a language if `least_share` of its texts and
-    `least` texts hold it (one text is enough if the language has fewer than four); a language keeps its `most_grams` most
-    frequent ones, so that the filter's size is bounded by parameters. Without any labelled row the filter knows no language.
+    Rows without lang or text are left out. Of each language all labelled texts are used up to its equal share of `sample`, and about
+    that share of a larger one, chosen by a hash of id and text: the n-gram vocabulary of a language is saturated long before, and a
+    rare language keeps its rows. An n-gram belongs to a language if `least_share` of its texts and `least` texts hold it (one text is
+    enough if the language has fewer than four). The model's size is bounded by parameters: a language keeps its `most_grams` most
+    frequent n-grams (on the given tables no language has half as many), and labels that are none of the `most_languages` most
+    frequent are not learned. Without any labelled row the filter knows no language.
     """
-    labelled = labelled.select("doc_id", "text", "lang").where("lang IS NOT NULL")
-    rows = labelled.agg(F.count("*")).first()[0]
-    labelled = labelled.where("text IS NOT NULL")
-    if rows > sample:
-        labelled = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int((1 << 20) * sample / rows))
+    labelled = labelled.select("doc_id", "text", "lang").where("lang IS NOT NULL AND text IS NOT NULL")
+    sizes = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages).collect()}
+    if not sizes:
+        return LanguageFilter([], np.zeros((1, n_slots), U), hashes)
+    share = -(-sample // len(sizes))
+    chance = F.create_map(*[F.lit(x) for name, n in sizes.items() for x in (name, min(1 << 20, -(-share * (1 << 20) // n)))])
+    labelled = labelled.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < chance[F.col("lang")])
     totals = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    languages = sorted(totals, key=lambda x: (-totals[x], x))
+    languages = sorted(totals, key=lambda x: (-sizes[x], x))
     if not languages:
         return LanguageFilter([], np.zeros((1, n_slots), U), hashes)
     need = F.create_map(*[F.lit(x) for name in languages for x in (name, float(max(least if totals[name] >= 4 else 1, least_share * totals[name])))])
