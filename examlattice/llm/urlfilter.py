@@ -11,9 +11,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# The vocabulary.
-STRICT = ["porn", "xxx", "casino-win", "cheap-pills", "spam-farm", "free-bets", "ads-track", "malware", "phishing", "warez"]
-SOFT = ["adult", "ads", "bet", "bets", "bonus", "casino", "cheap", "deal", "free", "loan", "pills", "poker", "prize", "sex", "spam", "track", "viagra", "win", "xx"]
+# The vocabulary. Strict terms reject alone; soft ones are common words that reject only in company.
+STRICT = [
+    "porn", "porno", "pornhub", "xxx", "xnxx", "xvideos", "hentai", "milf", "bdsm", "blowjob", "camgirl", "camgirls", "camsex", "sexcam", "livesex", "nudes", "incest", "bestiality", "escorts", "hookers", "fetish", "gangbang", "creampie",
+    "malware", "ransomware", "phishing", "keylogger", "botnet", "warez", "keygen", "crackz", "serialz", "nulled", "viagra", "cialis", "levitra", "kamagra", "tramadol", "xanax", "oxycontin", "slotxo", "sbobet", "judi", "togel", "carding", "cvv",
+]
+SOFT = [
+    "adult", "sex", "sexy", "nude", "naked", "cam", "cams", "escort", "dating", "hookup", "singles", "webcam", "erotic", "erotica", "lingerie", "strip", "casino", "poker", "slots", "slot", "bet", "bets", "betting", "gambling", "jackpot", "roulette", "lottery", "bingo", "odds", "bonus", "win", "winner", "prize",
+    "free", "cheap", "discount", "deal", "deals", "coupon", "offer", "buy", "pills", "pill", "pharmacy", "meds", "drugs", "generic", "loan", "loans", "payday", "credit", "debt", "cash", "money", "earn", "rich", "invest", "forex", "crypto", "bitcoin", "replica", "rolex", "diet", "weight", "keto",
+    "spam", "farm", "ads", "ad", "track", "tracker", "popup", "click", "clickbait", "doorway", "linkfarm", "seo", "backlinks", "hack", "hacks", "cracked", "crack", "torrent", "torrents", "pirate", "cheats", "download", "apk", "serial", "proxy", "vpn", "xx",
+]
 RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -57,9 +64,10 @@ class Vocabulary:
             for terms, weight in ((self.soft, 0), (self.strict, 1)):
                 for term in terms:
                     self._built.add_word(term, (term, weight))
-            self._built.make_automaton()
+            if len(self._built):
+                self._built.make_automaton()
         found: tuple[set, set] = (set(), set())
-        for end, (term, weight) in self._built.iter(url):
+        for end, (term, weight) in self._built.iter(url) if len(self._built) else ():
             start = end + 1 - len(term)
             if (start == 0 or not _word(url[start - 1])) and (end + 1 == len(url) or not _word(url[end + 1])):
                 found[weight].add(term)
@@ -72,8 +80,8 @@ def _word(c: str) -> bool:
 
 def judge(pages: DataFrame, *, url: str = "url", rules: list[tuple[str, str]] = RULES, strict: list[str] = STRICT, soft: list[str] = SOFT, several: int = 2) -> DataFrame:
     """pages with host, path, rule, verdict (allow or block), n_strict and n_soft (distinct terms). A null url is allowed: it has
-    no host, no path and no terms. Columns of pages with these names are replaced; all others stay. The vocabulary must not be
-    empty, its terms are in lower case."""
+    no host, no path and no terms. Columns of pages with these names are replaced, and __terms and __rule are dropped; all others
+    stay. Terms are in lower case; an empty vocabulary finds none."""
     words = Vocabulary(strict, soft)
 
     @F.arrow_udf("struct<strict:int,soft:int>")
@@ -83,8 +91,10 @@ def judge(pages: DataFrame, *, url: str = "url", rules: list[tuple[str, str]] =
 
     new = ["host", "path", "rule", "verdict", "n_strict", "n_soft"]
     kept = [c for c in pages.columns if c not in [*new, "__terms", "__rule"] or c == url]
-    found = pages.select(*[F.col(c) for c in kept], host_of(F.col(url)).alias("__host"), path_of(F.col(url)).alias("__path"), terms(F.translate(F.col(url), _UPPER, _LOWER)).alias("__terms"))
-    found = found.withColumn("__rule", rule_of(F.col("__host"), F.col("__path"), rules))
-    rejected = (F.col("__terms.strict") > 0) | (F.col("__terms.soft") >= several)
+    own = F.struct(host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"), terms(F.translate(F.col(url), _UPPER, _LOWER)).alias("terms"))
+    found = pages.select(*[F.col(c) for c in kept], own.alias("__terms"))
+    x = F.col("__terms")
+    found = found.select(*[F.col(c) for c in kept], x.alias("__terms"), rule_of(x["host"], x["path"], rules).alias("__rule"))
+    rejected = (x["terms"]["strict"] > 0) | (x["terms"]["soft"] >= several)
     verdict = F.coalesce(F.col("__rule.verdict"), F.when(rejected, "block").otherwise("allow"))
-    return found.select(*kept, F.col("__host").alias("host"), F.col("__path").alias("path"), F.col("__rule.rule").alias("rule"), verdict.alias("verdict"), F.col("__terms.strict").alias("n_strict"), F.col("__terms.soft").alias("n_soft"))
+    return found.select(*[F.col(c) for c in kept], x["host"].alias("host"), x["path"].alias("path"), F.col("__rule.rule").alias("rule"), verdict.alias("verdict"), x["terms"]["strict"].alias("n_strict"), x["terms"]["soft"].alias("n_soft"))
