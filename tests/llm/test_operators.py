@@ -64,10 +64,10 @@ def entropy_spans(text, taken):
         s = m[0]
         if not (re.search("[0-9]", s) and re.search("[A-Za-z]", s)) or any(re.search(p, s) for p in secrets.ALLOWED):
             continue
-        limit = secrets.LIMITS["hex" if re.fullmatch("[0-9a-fA-F]+", s) else "mixed"]
         good = []
         for w in range(len(s) - secrets.WINDOW + 1):
             part = s[w : w + secrets.WINDOW]
+            limit = secrets.LIMITS["hex" if re.fullmatch("[0-9a-fA-F]+", part) else "mixed"]
             p = np.array([part.count(c) for c in set(part)]) / secrets.WINDOW
             if -(p * np.log2(p)).sum() >= limit - 1e-7:
                 good.append(w)
