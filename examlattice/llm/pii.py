@@ -230,16 +230,20 @@ def surrogates(found: Column, key: str, attempts: Column | None = None) -> Colum
     people = F.filter(known, lambda x: x["given"].isNotNull())
     given = cores(F.transform(people, lambda x: F.struct(F.lit("given").alias("kind"), x["given"].alias("canon"), attempt(F.lit("given"), x["given"]).alias("attempt"))), key)
     given = F.map_from_entries(F.array_distinct(F.transform(given, lambda x: F.struct(x["canon"], x["core"]))))
-    parts = F.zip_with(known, new, lambda x, y: F.struct(
-        x["e"].alias("e"), x["kind"].alias("kind"), y["core"].alias("core"), _prefix(x["e"]).alias("prefix"), _title(x["e"]).alias("title"), F.try_element_at(given, x["given"]).alias("given"),
-        F.when(x["kind"] == "person", F.split(F.regexp_replace(x["e"], rf"^(?:{_TITLES})\.? ", ""), " ")).alias("names")))
+
+    def parts(s: Column) -> Column:
+        return F.zip_with(s["known"], s["new"], lambda x, y: F.struct(
+            x["e"].alias("e"), x["kind"].alias("kind"), y["core"].alias("core"), _prefix(x["e"]).alias("prefix"), _title(x["e"]).alias("title"), F.try_element_at(s["given"], x["given"]).alias("given"),
+            F.when(x["kind"] == "person", F.split(F.regexp_replace(x["e"], rf"^(?:{_TITLES})\.? ", ""), " ")).alias("names")))
 
     def person(x: Column) -> Column:
         name = F.concat(F.when(F.size(x["names"]) > 1, F.concat(x["given"], F.lit(" "))).otherwise(""), x["core"])
         shouted = F.forall(x["names"], lambda n: (n == F.upper(n)) & (F.length(n) > 1))
         return F.concat(x["title"], F.lit(" "), F.when(shouted, F.upper(name)).otherwise(name))
 
-    return F.transform(parts, lambda x: (
+    # all three are computed once, and not anew for each entity
+    once = F.get(F.transform(F.array(F.struct(known.alias("known"), new.alias("new"), given.alias("given"))), parts), F.lit(0))
+    return F.transform(once, lambda x: (
         F.when(x["kind"] == "phone", F.concat(x["prefix"], _lay_out(F.substr(x["e"], F.length(x["prefix"]) + 1), x["core"])))
         .when(x["kind"].isin("card", "ssn", "iban"), _lay_out(x["e"], x["core"])).when(x["kind"] == "person", person(x)).otherwise(x["core"])))
 
