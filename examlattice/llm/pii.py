@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._store import Scratch
+from ._store import BROADCAST_IDS, Scratch
 
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 # Titles by the gender they tell, given names and syllables by script.
@@ -35,9 +35,10 @@ SYLLABLES = {
     "greek": ["βα", "γε", "δι", "ζο", "θυ", "κα", "λε", "μι", "νο", "πυ", "ρα", "σε", "τι", "φο", "χυ", "ψα"],
 }
 _TITLES = "|".join(sorted(MALE + FEMALE + NEUTRAL, key=len, reverse=True))
-_NAME = r"\p{Lu}[\p{L}'-]{1,40}(?![\p{L}\p{N}])"
+_NAME = r"\p{Lu}[\p{L}'-]+(?![\p{L}\p{N}])"
+# No group of variable width is repeated without a small bound: Java's regex would recurse once for each round of it.
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}\.)+[A-Za-z]{2,24}",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-][A-Za-z0-9.-]*\.[A-Za-z]{2,}",
     "ip": rf"(?<![0-9A-Za-z.])(?:{_OCTET}\.){{3}}{_OCTET}(?![0-9A-Za-z]|\.[0-9])",
     "ssn": r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z]|-[0-9])",
     "card": r"(?<![0-9A-Za-z])(?:3[47][0-9]{2}[ -]?[0-9]{6}[ -]?[0-9]{5}|[2-6][0-9]{3}(?:[ -]?[0-9]{4}){3})(?![0-9A-Za-z])",
@@ -192,7 +193,7 @@ def cores(drawn: Column, key: str) -> Column:
             fits = body == f"{script} {gender}"
             given = F.when(fits | (body == f"{script} neutral") if gender == "male" and script != "latin" else fits, _pick(names, _number(d, 49, 16))).otherwise(given)
         given = F.when(x["attempt"] > 0, F.concat(given, spoken(F.when(x["attempt"] > 1, 5).otherwise(2)))).otherwise(given)
-        person = F.initcap(spoken(F.when(x["attempt"] > 0, 5).otherwise(3)))
+        person = F.initcap(spoken(F.when(x["attempt"] >= DENSE, 7).when(x["attempt"] > 0, 5).otherwise(3)))
         return (
             F.when(x["kind"] == "email", F.concat(body, again, F.lit("@d"), F.substr(x["domain"], F.lit(1), F.lit(10)), F.lit(".example")))
             .when((x["kind"] == "ip") & (x["attempt"] >= DENSE), F.concat(F.lit("2001:db8::"), F.substr(d, F.lit(1), F.lit(4)), F.lit(":"), F.substr(d, F.lit(5), F.lit(4)), F.lit(":"), F.substr(d, F.lit(9), F.lit(4))))
@@ -254,28 +255,54 @@ def entities(docs: DataFrame, text: str = "text") -> DataFrame:
     return named(found).distinct()
 
 
+def _few(rows: DataFrame, n: int) -> DataFrame:
+    """rows, of which there are n at most, as a broadcast side if they are few."""
+    return F.broadcast(rows) if n <= BROADCAST_IDS // 8 else rows
+
+
 def further_draws(docs: DataFrame, key: str, scratch: Scratch, text: str = "text") -> DataFrame:
     """(kind, canon, attempt) of the entities that must draw again so that all surrogates are distinct and none is real. Where a kind's
-    space is full (all numbers of a length are real, say), later draws are longer, so that this ends."""
-    now = scratch.keep(entities(docs, text).withColumn("attempt", F.lit(0)))
+    space is full (all numbers of a length are real, say), later draws are longer, so that this ends.
+
+    Each round shuffles only those who still draw, by unique keys (a surrogate's smallest claimant, then the claimant itself), so that
+    a surrogate that many draw is no hot key."""
+    known = scratch.keep(entities(docs, text))
+
+    def at(kind: str, core: str) -> Column:
+        """What surrogates are compared by. Two that share a hash by chance only draw once more than they need."""
+        return F.xxhash64(kind, F.lower(core)).alias("at")
+
+    taken = [known.select(at("kind", "canon"))]  # real entities, then the surrogates settled so far
+    drawing, written, settled_rounds, attempt = known, [known], [], 0
     while True:
-        drawn = now.select(F.explode(cores(F.array(F.struct("kind", "canon", "attempt")), key)).alias("x")).select("x.kind", "x.canon", "x.attempt", F.lower("x.core").alias("core"))
-        drawn = scratch.keep(drawn)
-        first = drawn.groupBy("kind", "core").agg(F.count("*").alias("n"), F.min("attempt").alias("least")).where("n > 1")
-        winner = drawn.join(first, ["kind", "core"]).where("attempt = least").groupBy("kind", "core").agg(F.min("canon").alias("winner"))
-        lost = drawn.join(winner, ["kind", "core"]).where("canon != winner").select("kind", "canon")
-        real = drawn.join(now.select("kind", F.lower("canon").alias("core")).distinct(), ["kind", "core"], "left_semi").select("kind", "canon")
-        again = scratch.keep(lost.unionAll(real).distinct())
+        drawn = drawing.select("kind", "canon", F.lit(attempt).alias("attempt"))
+        drawn = drawn.select(F.explode(cores(F.array(F.struct("kind", "canon", "attempt")), key)).alias("x")).select("x.kind", "x.canon", at("x.kind", "x.core"))
+        claims = best = scratch.keep(drawn.groupBy("at").agg(F.min(F.struct("canon", "kind")).alias("x")).select("at", "x.kind", "x.canon"))
+        n = best.count()
+        for table in taken:
+            best = best.join(_few(table.join(_few(best.select("at"), n), "at", "left_semi"), n), "at", "left_anti")
+        settled = scratch.keep(best)
+        again = scratch.keep(drawing.join(settled.select("kind", "canon"), ["kind", "canon"], "left_anti").select("kind", "canon"))
+        written += [claims, settled, again]
+        settled_rounds.append(settled.select("kind", "canon", F.lit(attempt).alias("attempt")))
+        taken.append(settled.select("at"))
         if again.isEmpty():
-            scratch.drop(drawn, again)
-            return now.where("attempt > 0")
-        now = scratch.keep(now.join(again.withColumn("more", F.lit(1)), ["kind", "canon"], "left").select("kind", "canon", (F.col("attempt") + F.coalesce("more", F.lit(0))).alias("attempt")))
+            break
+        drawing, attempt = again, attempt + 1
+    draws = known.select("kind", "canon", F.lit(0).alias("attempt")).limit(0)
+    for later in settled_rounds[1:]:
+        draws = draws.unionAll(later)
+    draws = scratch.keep(draws)
+    scratch.drop(*written)
+    return draws
+
 
 def pseudonymise(docs: DataFrame, key: str, *, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """docs with its personal data replaced in `text`, and pii: a map from kind to the number of entities replaced.
 
     Null text stays null, with an empty map. A column of docs named pii is replaced, and columns whose names begin with __pii_ are
-    dropped; all others stay. Repeated rows are treated alike. Names are found behind a title only (Mr, Frau, Dr and the like). The key must be kept secret: who has it can test guesses.
+    dropped; all others stay. Repeated rows are treated alike. Names are found behind a title only (Mr, Frau, Dr and the like), and may be of any length, as may an e-mail's
+    parts; a host is a run of letters, digits, dots and hyphens that ends in a dot and two or more letters. The key must be kept secret: who has it can test guesses.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "pii")
@@ -285,7 +312,8 @@ def pseudonymise(docs: DataFrame, key: str, *, text: str = "text", doc_id: str =
     attempts = None
     if not draws.isEmpty():
         mention = named(found.select(doc_id, F.explode("__pii_found").alias("e")), doc_id)
-        own = mention.join(draws, ["kind", "canon"]).select(F.col(doc_id).alias("__pii_id"), F.struct(F.concat("kind", F.lit(":"), "canon").alias("key"), "attempt").alias("x"))
+        chars = draws.agg(F.sum(32 + F.length("canon"))).first()[0]
+        own = mention.join(_few(draws, chars // 32), ["kind", "canon"]).select(F.col(doc_id).alias("__pii_id"), F.struct(F.concat("kind", F.lit(":"), "canon").alias("key"), "attempt").alias("x"))
         own = own.groupBy("__pii_id").agg(F.map_from_entries(F.collect_set("x")).alias("__pii_draws"))
         found = found.join(own, found[doc_id].eqNullSafe(own["__pii_id"]), "left").drop("__pii_id")
         attempts = F.coalesce("__pii_draws", F.create_map().cast("map<string,int>"))

@@ -5,6 +5,10 @@ level's rows are a posting segment, whose impact for a query is the largest cont
 processed by descending impact, each adding its rows' contributions to their accumulators. What a row still lacks is bounded by the
 lengths of the query and of the row in the dimensions that are not processed for that row (Cauchy and Schwarz). Processing stops
 once that proves all but a few rows out; the rest, the possible members, are scored exactly.
+
+Components are whole numbers held as doubles, which is exact at any size. Rows and queries whose squared length reaches 2**52 (and
+whose scores doubles or longs might not hold) take a path of their own: sums in doubles with a proven error bound leave the possible
+members, which are scored in unbounded integers.
 """
 
 from __future__ import annotations
@@ -21,6 +25,8 @@ from ._store import partitions
 
 LEVELS, SMALLEST = 16, 4096  #: levels of a dimension; rows of which a block is not split to keep more tasks busy
 STEPS = 24  #: attempts at a proof, at most
+PLAIN = 2.0**52  #: squared lengths below which all scores, and their sums, are exact doubles
+LONG = 2**63 - 1
 SAMPLE = 64  #: rows whose exact scores are the first threshold
 
 
@@ -83,19 +89,57 @@ class ImpactIndex:
         return self.ids[members][best], score[best]
 
 
+def exact_score(query: np.ndarray, row: np.ndarray) -> int:
+    return sum(int(a) * int(b) for a, b in zip(query.tolist(), row.tolist()))
+
+
+def large_top_k(ids: np.ndarray, vectors: np.ndarray, query: np.ndarray, own: int | None, k: int) -> list[tuple[int, int]]:
+    """(score, id) of the k best rows, whatever the components' size. Queries and rows are scaled by powers of two, so that no product
+    overflows; a sum of n products errs by less than n + 2 units in the last place of the sum of their sizes."""
+    members = np.arange(len(ids)) if own is None else np.flatnonzero(ids != own)
+    if not len(members):
+        return []
+    q = np.ldexp(query, -int(np.frexp(np.abs(query).max())[1]))
+    v = np.ldexp(vectors[members], -int(np.frexp(np.abs(vectors).max())[1]))
+    about, slack = v @ q, (np.abs(v) @ np.abs(q)) * ((len(q) + 2) * 2.0**-52) + 2.0**-900
+    least = np.partition(about - slack, -k)[-k] if len(members) > k else -np.inf
+    best = [(exact_score(query, vectors[i]), int(ids[i])) for i in members[about + slack >= least].tolist()]
+    return sorted(best, key=lambda x: (-x[0], x[1]))[:k]
+
+
+class Block:
+    """The rows of one block: plain ones in an impact-ordered index, large ones beside it."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray):
+        plain = np.square(vectors).sum(1) < PLAIN
+        self.index = ImpactIndex(ids[plain], vectors[plain].astype(np.int64)) if plain.any() else None
+        self.plain, self.large, self.all = (ids[plain], vectors[plain]), (ids[~plain], vectors[~plain]), (ids, vectors)
+
+    def top_k(self, query: np.ndarray, own: int | None, k: int) -> list[tuple[int, int]]:
+        if float(np.square(query).sum()) >= PLAIN:
+            return large_top_k(*self.all, query, own, k)
+        best = large_top_k(*self.large, query, own, k) if len(self.large[0]) else []
+        if self.index is not None:
+            found, scores = self.index.top_k(query.astype(np.int64), own, k)
+            best += zip(scores.tolist(), found.tolist())
+        return sorted(best, key=lambda x: (-x[0], x[1]))[:k]
+
+
 def top_k(vectors: DataFrame, queries: DataFrame, *, k: int = 5, block: int = 1 << 16) -> DataFrame:
-    """(query_id, rank, vec_id, score): for each query the k rows of largest integer inner product (all, if fewer), ties to the
-    smaller vec_id. vectors and queries: (vec_id long, v array<long>).
+    """(query_id, rank, vec_id, score, digits): for each query the k rows of largest integer inner product (all, if fewer), ties to
+    the smaller vec_id. vectors and queries: (vec_id long, v array of whole numbers as double or long). Ranks go by exact scores of
+    any size; `digits` is the exact score as text, and `score` is it as a long (the nearest long, where it does not fit).
 
     Rows with a null id, a null or empty vector or a null component take no part. Only vectors of equal length are compared. Rows
     with the query's own id are no candidates. A vec_id that is repeated among the queries is asked once; repeated rows of vectors
-    are candidates each. Scores and squared lengths must stay below 2**53; larger ones raise an error.
+    are candidates each. Components must be finite and whole.
 
     Every row goes to one block and every query to each block, so a task holds one block and a batch of queries; k rows leave it for each.
     """
     good = F.col("vec_id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0) & ~F.exists("v", lambda x: x.isNull())
-    vectors = vectors.where(good).select("vec_id", "v", F.size("v").alias("dim"))
-    queries = queries.where(good).dropDuplicates(["vec_id"]).select("vec_id", "v", F.size("v").alias("dim"))
+    doubles = F.col("v").cast("array<double>").alias("v")
+    vectors = vectors.where(good).select("vec_id", doubles, F.size("v").alias("dim"))
+    queries = queries.where(good).dropDuplicates(["vec_id"]).select("vec_id", doubles, F.size("v").alias("dim"))
     n = vectors.count()
     n_block = max(1, -(-n // block), min(partitions(vectors.sparkSession), -(-n // SMALLEST)))
     left = vectors.select("dim", F.pmod(F.xxhash64("vec_id"), F.lit(n_block)).alias("c"), F.lit(False).alias("asks"), "vec_id", "v")
@@ -114,26 +158,30 @@ def top_k(vectors: DataFrame, queries: DataFrame, *, k: int = 5, block: int = 1
                 if key != (dim[a], c[a]):
                     key, ids, parts, index = (dim[a], c[a]), [], [], None
                 rows = flat[ends[a] - dim[a] : ends[b - 1]].reshape(b - a, dim[a])
-                if (np.square(rows.astype(float)).sum(1) >= 2.0**53).any():
-                    raise ValueError("vectors are too long for exact scores")
                 if not asks[a]:
                     ids.append(vec_id[a:b])
                     parts.append(rows)
                 elif parts:
-                    index = index or ImpactIndex(np.concatenate(ids), np.concatenate(parts))
-                    found = [index.top_k(q, own, k) for q, own in zip(rows, vec_id[a:b])]
-                    size = [len(x) for x, _ in found]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(vec_id[a:b], size)), pa.array(np.concatenate([x for x, _ in found])), pa.array(np.concatenate([x for _, x in found]))], ["query_id", "vec_id", "score"])
+                    index = index or Block(np.concatenate(ids), np.concatenate(parts))
+                    found = [(own, score, vec) for q, own in zip(rows, vec_id[a:b].tolist()) for score, vec in index.top_k(q, own, k)]
+                    asked, scores, best = ([x[i] for x in found] for i in range(3))
+                    longs = [min(max(x, -LONG - 1), LONG) for x in scores]
+                    yield pa.RecordBatch.from_arrays([pa.array(asked, pa.int64()), pa.array(best, pa.int64()), pa.array(longs, pa.int64()), pa.array([str(x) for x in scores], pa.string())], ["query_id", "vec_id", "score", "digits"])
 
     met = left.unionByName(right).repartition(n_block, "dim", "c").sortWithinPartitions("dim", "c", "asks")
-    found = met.mapInArrow(run, "query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    found = met.mapInArrow(run, "query_id long, vec_id long, score long, digits string")
+    # by exact score: longs first, and those that a long only stands for by their digits
+    size = F.when(F.abs("score") < LONG, 0).otherwise(F.length("digits"))
+    sign = F.when(F.col("digits").startswith("-"), -1).otherwise(1)
+    figures = F.when(size == 0, F.lit("")).otherwise(F.translate("digits", "-", ""))
+    first = [F.desc("score"), F.desc(sign * size), F.desc(F.when(sign > 0, figures)), F.when(sign < 0, figures)]
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(*first, "vec_id"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score", "digits")
 
 
 def quantised(embeddings: DataFrame, scale: int = 256, embedding: str = "embedding") -> DataFrame:
-    """(vec_id, v): floor(scale * x) of each component x, in double precision. Vectors with a null, NaN or infinite component are
-    left out."""
-    x = F.transform(F.col(embedding), lambda x: x.cast("double"))
+    """(vec_id, v): floor(scale * x) of each component x, in double precision and held as a double, which is exact. Vectors with a
+    null, NaN or infinite component (also after the scaling) are left out."""
+    x = F.transform(F.col(embedding), lambda x: scale * x.cast("double"))
     fine = F.col(embedding).isNotNull() & ~F.exists("x", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    return embeddings.withColumn("x", x).where(fine).select(F.col("vec_id").cast("long").alias("vec_id"), F.transform("x", lambda x: F.floor(scale * x).cast("long")).alias("v"))
+    return embeddings.withColumn("x", x).where(fine).select(F.col("vec_id").cast("long").alias("vec_id"), F.transform("x", lambda x: F.when(F.abs(x) < 2.0**53, F.floor(x).cast("double")).otherwise(x)).alias("v"))
