@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from itertools import permutations
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, licenses, neardup, packing, pii, secrets, tokencount, topk, urlfilter
+from . import audit, decontam, langid, licenses, neardup, packing, pii, secrets, tokencount, topk, urlfilter
 
 #: The queries' key; a real job takes a secret one.
 PII_KEY = "registered query"
@@ -74,7 +76,11 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, vectors.where("vec_id % 50 = 0"), k=5)
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_secret_scan, op3_minhash_near_dedup, op4_url_filter, op5_benchmark_decontamination, op6_token_count, op7_pii_surrogates, op8_license_scan, op9_packing, op10_exact_top_k)}
+def op13_filter_interaction_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.interactions(audit.counters(spark, f"{sf_dir}/documents.parquet", table(spark, sf_dir, "labels")))
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_secret_scan, op3_minhash_near_dedup, op4_url_filter, op5_benchmark_decontamination, op6_token_count, op7_pii_surrogates, op8_license_scan, op9_packing, op10_exact_top_k, op13_filter_interaction_audit)}
 
 _HOST = "translate(regexp_extract(coalesce(url, ''), '^(?s:.*?)://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _PATH = "regexp_extract(coalesce(url, ''), '^(?s:.*?)://[^/?#]*([^?#]*)', 1)"
@@ -92,5 +98,18 @@ f AS (SELECT *, split_part(rule, '/', 1) AS h, substr(rule, length(split_part(ru
 n AS (SELECT *, {_terms(urlfilter.STRICT)} AS n_strict, {_terms(urlfilter.SOFT)} AS n_soft FROM p),
 m AS (SELECT n.*, (SELECT max(struct_pack(k := length(rule), rule := rule, verdict := verdict)) FROM f WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, s)) AS best FROM n)
 SELECT page_id, host, path, best.rule AS rule, coalesce(best.verdict, CASE WHEN n_strict > 0 OR n_soft >= 2 THEN 'block' ELSE 'allow' END) AS verdict, n_strict, n_soft FROM m
+""",
+    "op13_filter_interaction_audit": f"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS words, min(doc_id) OVER (PARTITION BY t) AS first FROM d),
+g AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+f AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic, MAP {{'A': len(words) < 200, 'B': 100 * len(list_distinct(words)) < 50 * len(words),
+    'C': 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t), 'D': regexp_matches(t, '[#$%&*|]'), 'E': coalesce(w.doc_id > first, false)}} AS fails FROM w LEFT JOIN g USING (doc_id)),
+o(filter_order) AS (VALUES {", ".join(f"('{''.join(x)}')" for x in permutations("ABCDE"))}),
+r AS (SELECT part, good, toxic, filter_order, s AS step, fails[filter_order[s]] AS fail, list_bool_or(list_prepend(false, list_transform(range(1, s), lambda x: fails[filter_order[x]]))) AS gone,
+    list_sum(list_transform(map_values(fails), lambda x: CAST(x AS INT))) AS n_fails FROM f, o, range(1, 6) AS steps(s)),
+c AS (SELECT part, filter_order, CAST(step AS INT) AS step, count(*) FILTER (NOT fail AND NOT gone) AS kept, count(*) FILTER (fail AND NOT gone) AS removed, count(*) FILTER (fail AND gone) AS redundant,
+    count(*) FILTER (fail AND n_fails = 1) AS unique_fails, count(*) FILTER (fail AND NOT gone AND good = 1) AS good_lost, count(*) FILTER (fail AND NOT gone AND toxic = 1) AS toxic_lost FROM r GROUP BY ALL)
+SELECT *, CAST(sum(removed) OVER (PARTITION BY part, filter_order[step]) AS BIGINT) AS shapley FROM c
 """,
 }
