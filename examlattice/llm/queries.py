@@ -7,7 +7,7 @@ from itertools import permutations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audit, decontam, langid, licenses, neardup, packing, pii, secrets, tokencount, topk, urlfilter
+from . import audit, decontam, langid, licenses, neardup, packing, pii, records, secrets, spelling, tokencount, topk, urlfilter
 
 #: The queries' key; a real job takes a secret one.
 PII_KEY = "registered query"
@@ -76,11 +76,21 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, vectors.where("vec_id % 50 = 0"), k=5)
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+def op12_binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = records.new_folder(spark)
+    records.write(table(spark, sf_dir, "documents"), folder, tokenizer_path("byte_bpe_50k.json"))
+    return records.read(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op13_filter_interaction_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.interactions(audit.counters(spark, f"{sf_dir}/documents.parquet", table(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_secret_scan, op3_minhash_near_dedup, op4_url_filter, op5_benchmark_decontamination, op6_token_count, op7_pii_surrogates, op8_license_scan, op9_packing, op10_exact_top_k, op13_filter_interaction_audit)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_secret_scan, op3_minhash_near_dedup, op4_url_filter, op5_benchmark_decontamination, op6_token_count, op7_pii_surrogates, op8_license_scan, op9_packing, op10_exact_top_k, op11_spelling_variants, op12_binary_records, op13_filter_interaction_audit)}
 
 _HOST = "translate(regexp_extract(coalesce(url, ''), '^(?s:.*?)://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _PATH = "regexp_extract(coalesce(url, ''), '^(?s:.*?)://[^/?#]*([^?#]*)', 1)"
