@@ -5,6 +5,10 @@ with a smaller id) can change later, so each text keeps in a keyed state the sma
 arrives, the former holders' masks are retracted from their parts' counters and added again with the fifth bit. What a micro-batch
 adds and retracts is written once for its number, so a batch that is run again replaces itself. Every order and step then follows
 from the counters alone: 32 masks a part, however many documents there are.
+
+The state's keys are small buckets of text digests (some 32 texts each, as many buckets as the number of rows asks for), since a call
+of Python for each single text costs more than all else. State lies where the session's state store provider keeps it: Spark's own keeps it in
+memory, and very large corpora want its RocksDB provider (spark.sql.streaming.stateStore.providerClass).
 """
 
 from __future__ import annotations
@@ -24,6 +28,7 @@ FILTERS = "ABCDE"
 COPY = 1 << FILTERS.index("E")
 SPACE = r"[\x20\x09-\x0D]"
 GOOD, TOXIC = 1, 2
+TEXTS = 32  #: texts of a bucket, on average
 #: How a combined row stands to the other rows of its text in the same Arrow batch.
 LEAST, LATER, FREE = 0, 1, 2
 COUNTS = ("kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost", "shapley")
@@ -58,38 +63,36 @@ def combine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         some["doc_id"] = None
         rows = pd.concat([rows[~later], some])
         ids = ["" if pd.isna(x) else str(int(x)) for x in rows["doc_id"].astype("Int64")]
-        packed = [f"{m} {i} {state} {lab} {n} {part}" for m, i, state, lab, n, part in zip(rows["mask"], ids, rows["state"], rows["lab"], rows["n"], rows["part"])]
-        yield pd.DataFrame({"digest": rows["digest"], "row": packed})
+        packed = [f"{digest} {m} {i} {state} {lab} {n} {part}" for digest, m, i, state, lab, n, part in zip(rows["digest"], rows["mask"], ids, rows["state"], rows["lab"], rows["n"], rows["part"])]
+        yield pd.DataFrame({"row": packed})
 
 
 def retract(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    """One text's rows of a micro-batch against its state (smallest id, its holders): what the counters gain and lose. Rows are single
-    strings, as each column costs a conversion for each text."""
-    least, holders, seen = None, Counter(), False
-    if state.exists:
-        least, held = state.get
-        holders.update({(part, lab): n for part, lab, n in json.loads(held)})
-    change = Counter()
+    """A bucket's rows of a micro-batch against its state (of each text the smallest id and its holders): what the counters gain and lose.
+    Rows are single strings, as each column costs a conversion for each bucket."""
+    known: dict[str, list] = json.loads(state.get[0]) if state.exists else {}
+    change, seen = Counter(), False
     for rows in frames:
         for row in rows["row"]:
-            m, doc_id, kind, lab, n, part = row.split(" ", 5)
+            digest, m, doc_id, kind, lab, n, part = row.split(" ", 6)
             m, kind, lab, n = int(m), int(kind), int(lab), int(n)
             if kind == FREE:
                 change[m, lab, part] += n
                 continue
-            if kind == LATER or (least is not None and int(doc_id) > least):
+            text = known.get(digest)
+            if kind == LATER or (text is not None and int(doc_id) > text[0]):
                 change[m | COPY, lab, part] += n
                 continue
-            if least is None or int(doc_id) < least:
-                for (held_part, held_lab), k in holders.items():
+            if text is None or int(doc_id) < text[0]:
+                for held_part, held_lab, k in text[1] if text else ():
                     change[m, held_lab, held_part] -= k
                     change[m | COPY, held_lab, held_part] += k
-                least, holders = int(doc_id), Counter()
-            holders[part, lab] += n
+                text = known[digest] = [int(doc_id), []]
+            text[1].append([part, lab, n])
             change[m, lab, part] += n
             seen = True
     if seen:
-        state.update((least, json.dumps([[part, lab, n] for (part, lab), n in holders.items()])))
+        state.update((json.dumps(known),))
     found = [f"{m} {lab} {n} {part}" for (m, lab, part), n in change.items() if n]
     if found:
         yield pd.DataFrame({"row": found})
@@ -107,8 +110,7 @@ def counters(spark: SparkSession, documents: str, labels: DataFrame, *, part: st
     cores = spark.sparkContext.defaultParallelism
     own = spark.newSession()  # the stream's settings are its own
     for name, value in {
-        "spark.sql.shuffle.partitions": 2 * cores, "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-        "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true", "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true", "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": 200,
+        "spark.sql.shuffle.partitions": 2 * cores, "spark.sql.streaming.stateStore.providerClass": spark.conf.get("spark.sql.streaming.stateStore.providerClass"),
         "spark.sql.execution.arrow.maxRecordsPerBatch": 10_000, "spark.sql.session.timeZone": spark.conf.get("spark.sql.session.timeZone"),
     }.items():
         own.conf.set(name, value)
@@ -119,10 +121,11 @@ def counters(spark: SparkSession, documents: str, labels: DataFrame, *, part: st
     glob = f"{glob[:-1]}[{glob[-1]}]"
     docs = own.readStream.schema(own.read.parquet(documents).schema).option("maxFilesPerTrigger", files or cores).parquet(glob)
     docs = docs.select(F.coalesce(text, F.lit("")).alias("t"), F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(part).cast("string"), F.lit("")).alias("part"))
-    docs = docs.select(F.unhex(F.sha2("t", 256)).alias("digest"), mask(F.col("t")).alias("mask"), "doc_id", "part")
+    docs = docs.select(F.base64(F.unhex(F.sha2("t", 256))).alias("digest"), mask(F.col("t")).alias("mask"), "doc_id", "part")
     docs = docs.join(labelled, F.col("doc_id") == F.col("id"), "left").select("digest", "mask", "doc_id", "part", F.coalesce("lab", F.lit(0)).alias("lab"))
-    rows = docs.mapInPandas(combine, "digest binary, row string")
-    changes = rows.groupBy("digest").applyInPandasWithState(retract, "row string", "least long, holders string", "update", "NoTimeout")
+    rows = docs.mapInPandas(combine, "row string")
+    bucket = F.pmod(F.xxhash64(F.substring_index("row", " ", 1)), F.lit(1 + own.read.parquet(documents).count() // TEXTS)).alias("bucket")
+    changes = rows.select(bucket, "row").groupBy("bucket").applyInPandasWithState(retract, "row string", "texts string", "update", "NoTimeout")
     root, schema = f"{shared_folder(spark)}/{scratch.root.rsplit('/', 1)[1]}-stream", "part string, mask int, lab int, n long"
     written: dict[int, str] = {}
 
