@@ -53,9 +53,8 @@ def answer_text(letter: Column, options: Column) -> Column:
 
 
 def devanagari_share(s: Column) -> Column:
-    """Of all letters; null with fewer than four."""
-    letters = F.length(F.regexp_replace(s, r"[^\p{L}]", ""))
-    own = F.length(F.regexp_replace(F.regexp_replace(s, DEVANAGARI, ""), r"[^\p{L}]", ""))
+    """Of all letters, Devanagari vowel signs among them; null with fewer than four."""
+    letters, own = F.regexp_count(s, F.lit(r"[\p{L}\x{0900}-\x{0963}\x{0970}-\x{097F}]")), F.regexp_count(s, F.lit(r"[\x{0900}-\x{0963}\x{0970}-\x{097F}]"))
     return F.when(letters >= 4, own / letters)
 
 
@@ -63,27 +62,45 @@ def _flags(*pairs: tuple[Column, str]) -> Column:
     return F.array_compact(F.array(*[F.when(cond, name) for cond, name in pairs]))
 
 
-def language_flags(text: Column, options: Column, text_hi: Column, options_hi: Column) -> Column:
-    """hindi_incomplete, hindi_swapped, hindi_mismatch."""
-    both = which(text, text_hi) == "both"
-    n, n_hi = F.size(F.filter(options, lambda o: F.trim(o) != "")), F.coalesce(F.size(F.filter(options_hi, lambda o: F.trim(o) != "")), F.lit(0))
-    lines = lambda s: F.size(F.filter(F.split(s, "\n"), lambda x: F.trim(x) != ""))
-    return _flags(
-        (both & (n_hi == 0), "hindi_incomplete"),
-        (both & (devanagari_share(text) > 0.5) & (devanagari_share(text_hi) < 0.5), "hindi_swapped"),
-        (both & (n_hi > 0) & ((n_hi != n) | (lines(text) != lines(text_hi))), "hindi_mismatch"),
-    )
+# The warnings about languages, and the shares of Devanagari letters that Hindi needs and English may have.
+LANGUAGE_FLAGS = ["language_incomplete", "language_swapped", "language_mismatch"]
+HINDI_LEAST, ENGLISH_MOST = 0.6, 0.2
+
+
+def language_flags(text: Column, options: Column, text_hi: Column, options_hi: Column, explanation: Column | None = None, explanation_hi: Column | None = None) -> Column:
+    """LANGUAGE_FLAGS that a question deserves: a language with only a text or only options while the other one is complete; fields in the
+    other language's script, options and explanations counted; two languages with unequal numbers of options or of lines of the text."""
+    blank = lambda c: F.coalesce(c, F.lit(""))
+    en, hi = F.trim(blank(text)) != "", F.trim(blank(text_hi)) != ""
+    own, own_hi = _filled(options), _filled(options_hi)
+    n, n_hi = F.size(own), F.size(own_hi)
+    none = F.lit("")
+    told = lambda t, o, e: devanagari_share(F.concat_ws(" ", blank(t), F.array_join(o, " "), blank(none if e is None else e)))
+    lines = lambda c: F.size(F.filter(F.split(blank(c), r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x{0085}\x{2028}\x{2029}]"), lambda x: F.trim(x) != ""))
+    incomplete = ((en != (n > 0)) & hi & (n_hi == 4)) | ((hi != (n_hi > 0)) & en & (n == 4))
+    swapped = F.coalesce(told(text_hi, own_hi, explanation_hi) < HINDI_LEAST, F.lit(False)) | F.coalesce(told(text, own, explanation) > ENGLISH_MOST, F.lit(False))
+    mismatch = en & (hi | (n_hi > 0)) & (((n > 0) & (n_hi > 0) & (n != n_hi)) | (hi & (lines(text) != lines(text_hi))))
+    return _flags(*zip((incomplete, swapped, mismatch), LANGUAGE_FLAGS))
+
+
+# Characters besides letters, digits, underscores and white space that a printed question may hold; an option's usual length.
+PRINTED_MARKS = """.,;:'"\u2019\u2018\u201c\u201d()[]/%&+-\u2013\u2014?!=\u00b0$\u20b9*<>"""
+LONG_OPTION = 300
 
 
 def sanity_flags(text: Column, options: Column) -> Column:
-    """options_missing, empty_stem, empty_option, long_option, odd_characters, bad_codes."""
-    empty = F.coalesce(F.exists(options, lambda o: F.trim(o) == ""), F.lit(False))
-    codes = F.filter(options, lambda o: o.rlike(r"^\s*[1-4](\s*[,\-\s]\s*[1-4]){3}\s*$"))
-    fine = F.forall(codes, lambda o: F.array_join(F.array_sort(F.split(F.regexp_replace(o, "[^1-4]", ""), "")), "") == "1234")
-    return _flags(
-        (F.coalesce(F.size(options), F.lit(0)) < 4, "options_missing"), (F.coalesce(F.trim(text), F.lit("")) == "", "empty_stem"), (empty, "empty_option"),
-        (F.coalesce(F.exists(options, lambda o: F.length(o) > 300), F.lit(False)), "long_option"), (F.coalesce(text.rlike(r"[\x{FFFD}\x{25A0}\x{25A1}]"), F.lit(False)), "odd_characters"), (~F.coalesce(fine, F.lit(True)), "bad_codes"),
+    """options_not_found alone where there are no options; else empty_stem, empty_option, very_long_option, odd_characters, and
+    check_code_row where all options are four single characters but one of them is no order of 1 to 4."""
+    stem = F.coalesce(text, F.lit(""))
+    marks = "".join(f"\\{c}" if c.isascii() else c for c in PRINTED_MARKS)
+    odd = F.concat_ws(" ", stem, F.array_join(options, " ")).rlike(rf"[^\p{{L}}\p{{N}}_\s\x{{0085}}\p{{Z}}{marks}]")
+    codes = F.transform(options, lambda o: F.split(F.trim(o), r"\s+"))
+    rows = F.forall(codes, lambda r: (F.size(r) == 4) & F.forall(r, lambda c: c.rlike(r"^[\p{L}\p{N}]$")))
+    wrong = F.exists(codes, lambda r: F.array_join(F.array_sort(r), "") != "1234")
+    flags = _flags(
+        (stem == "", "empty_stem"), (F.exists(options, lambda o: o == ""), "empty_option"), (F.exists(options, lambda o: F.length(o) > LONG_OPTION), "very_long_option"), (odd, "odd_characters"), (rows & wrong, "check_code_row"),
     )
+    return F.when(options.isNull(), F.array(F.lit("options_not_found"))).otherwise(flags)
 
 
 def clean(s: Column) -> Column:
@@ -100,19 +117,24 @@ def option_key(s: Column) -> Column:
     return F.when(bare.rlike("^[A-E]$"), bare)
 
 
+# How a sheet's cell names one of four options, and the phrasings in which an explanation names the answer.
+SHEET_ANSWER = r"(?:(?:option|answer|ans|choice)\s*[:\-–.]?\s*)?[(\[]?\s*([a-dA-D])\s*[)\].:]?"
+EXPLANATION_SAYS = [
+    r"(?:correct|right|desired|final)\s+(?:answer|option)\s*(?:is|:|=|-)?\s*(?:option\s*)?\(\s*([a-eA-E])\s*\)",
+    r"(?:answer|option)\s*(?:is|:|=)?\s*\(\s*([a-eA-E])\s*\)\s*(?:is\s+)?(?:the\s+)?(?:correct|right)",
+    r"\boption\s*\(\s*([a-eA-E])\s*\)\s+is\s+(?:the\s+)?(?:correct|right)",
+]
+
+
 def sheet_answer(s: Column) -> Column:
-    """The letter of 'b', '(B)', 'Option B', 'answer: b'; null for digits and all else."""
-    return option_key(F.regexp_replace(F.trim(s), r"(?i)^(?:option|answer|ans)\.?\s*[:\-]?\s*", ""))
+    """The letter A to D of 'b', '(B)', 'Option B', 'answer: b', 'choice b'; null for digits, E, Hindi letters and all else."""
+    found = F.regexp_extract(F.trim(s), rf"(?i)^(?:{SHEET_ANSWER})\z", 1)
+    return F.when(found != "", F.upper(found))
 
 
 def explanation_says(s: Column) -> Column:
     """The letter that an explanation names as the answer, if it names exactly one."""
-    # fixed values: the phrasings that count
-    patterns = [
-        r"(?i)(?:correct|right|desired|final)\s+(?:answer|option)\s*(?:is|:|=|-)?\s*(?:option\s*)?\(\s*([a-e])\s*\)",
-        r"(?i)(?:answer|option)\s*(?:is|:|=)?\s*\(\s*([a-e])\s*\)\s*(?:is\s+)?(?:the\s+)?(?:correct|right)",
-    ]
-    said = F.array_distinct(F.transform(F.concat(*[F.regexp_extract_all(F.coalesce(s, F.lit("")), F.lit(p), F.lit(1)) for p in patterns]), F.upper))
+    said = F.array_distinct(F.transform(F.concat(*[F.regexp_extract_all(F.coalesce(s, F.lit("")), F.lit(f"(?i){p}"), F.lit(1)) for p in EXPLANATION_SAYS]), F.upper))
     return F.when(F.size(said) == 1, F.get(said, F.lit(0)))
 
 
@@ -176,14 +198,19 @@ def trust_label(status: Column, source: Column) -> Column:
     return F.when(status == "verified", "Verified").when(source == "ai_json", "AI-supplied, unverified").when(source.isin("csv", "xlsx", "docx"), "Unverified (imported from a file)").otherwise("Unverified (as printed in the answer PDF)")
 
 
-# The warnings about languages.
-LANGUAGE_FLAGS = ["language_incomplete", "language_swapped", "language_mismatch"]
-
-
 def renewed_flags(flags: Column, language: Column) -> Column:
     """flags with their language warnings replaced by those of `language`; all others stay."""
-    kept = F.array_except(F.coalesce(flags, F.array().cast("array<string>")), F.array(*[F.lit(f) for f in LANGUAGE_FLAGS]))
-    return F.array_union(kept, F.coalesce(language, F.array().cast("array<string>")))
+    none = F.array().cast("array<string>")
+    known = F.array(*[F.lit(f) for f in LANGUAGE_FLAGS])
+    return F.concat(F.filter(F.coalesce(flags, none), lambda f: ~F.array_contains(known, f)), F.coalesce(language, none))
+
+
+def refreshed(flags: Column, language: Column, status: Column, acknowledged: Column) -> Column:
+    """(flags, acknowledged) after language_flags were worked out anew: a confirmed question that gets one it did not have must be looked
+    at again."""
+    none = F.array().cast("array<string>")
+    added = F.size(F.array_except(F.coalesce(language, none), F.coalesce(flags, none))) > 0
+    return F.struct(renewed_flags(flags, language).alias("flags"), (acknowledged & ~(added & status.isin("verified", "live"))).alias("acknowledged"))
 
 
 def mismatch_flag(flags: Column, says: Column, answer: Column) -> Column:
@@ -213,20 +240,3 @@ def range_errors(s: Column) -> Column:
     parts = F.filter(F.transform(F.split(F.coalesce(s, F.lit("")), "[,;\n]"), lambda p: F.trim(p)), lambda p: p != "")
     bounds = r"^(\d{1,3})\s*(?:-|–|to)\s*(\d{1,3})\s+\S.*$"
     return F.filter(parts, lambda p: ~p.rlike(bounds) | (F.regexp_extract(p, bounds, 1).try_cast("int") > F.regexp_extract(p, bounds, 2).try_cast("int")))
-
-
-def subject_scores(text: Column, keywords: dict[str, list[str]]) -> Column:
-    """Array of (score, subject): each distinct keyword of one word counts 1, each phrase 2."""
-    low = F.lower(text)
-
-    def hit(word: str) -> Column:
-        return F.when(low.rlike(r"(?<![a-z0-9])" + word.replace("-", r"\-") + r"(?![a-z0-9])"), 2 if " " in word else 1).otherwise(0)
-
-    return F.array(*[F.struct(F.aggregate(F.array(*[hit(w) for w in own]), F.lit(0), lambda a, b: a + b).alias("score"), F.lit(subject).alias("subject")) for subject, own in keywords.items()])
-
-
-def subject_hint(text: Column, keywords: dict[str, list[str]], least: int = 2) -> Column:
-    """(subject, score) if the best subject has `least` points and is strictly best; else null."""
-    best = F.reverse(F.array_sort(subject_scores(text, keywords)))
-    top, second = F.get(best, F.lit(0)), F.get(best, F.lit(1))
-    return F.when((top["score"] >= least) & (top["score"] > F.coalesce(second["score"], F.lit(-1))), F.struct(top["subject"].alias("subject"), top["score"].alias("score")))

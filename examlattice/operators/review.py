@@ -237,6 +237,27 @@ def as_of(versions: DataFrame, moment: str, fields: list[str]) -> DataFrame:
     return own.select("entity", *[F.col(f"x.{f}").alias(f) for f in fields])
 
 
+def as_of_each(versions: DataFrame, moments: DataFrame, fields: list[str], span: str = "day") -> DataFrame:
+    """moments (moment_id, entity, at) with the fields of the entity's last version (entity, at, seq, fields...) up to each moment; nulls, where
+    there is none. Versions without an entity or a time are never met; moments without one get nulls.
+
+    Versions and moments are lined up by entity and `span` of time, and carry the last version on; what the spans before leave behind is one
+    row for each span. So an entity with very many versions is split, and no version meets every moment."""
+    held = F.struct(F.lit(True).alias("there"), *fields)
+    slot = F.date_trunc(span, F.col("at")).alias("slot")
+    past = versions.where("entity IS NOT NULL AND at IS NOT NULL").select("entity", "at", slot, F.lit(0).alias("asks"), F.col("seq").cast("long").alias("seq"), held.alias("held"), F.lit(None).cast("long").alias("moment_id"))
+    asked = moments.select("entity", "at", slot, F.lit(1).alias("asks"), F.lit(0).cast("long").alias("seq"), F.lit(None).cast(past.schema["held"].dataType).alias("held"), F.col("moment_id").cast("long").alias("moment_id"))
+    left = past.groupBy("entity", "slot").agg(F.max_by("held", F.struct("at", "seq")).alias("left"))
+    slots = left.unionByName(asked.select("entity", "slot").distinct().withColumn("left", F.lit(None).cast(past.schema["held"].dataType)))
+    slots = slots.groupBy("entity", "slot").agg(F.max("left").alias("left"))
+    earlier = Window.partitionBy("entity").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
+    carried = slots.select("entity", "slot", F.last("left", ignorenulls=True).over(earlier).alias("carried"))
+    upto = Window.partitionBy("entity", "slot").orderBy("at", "asks", "seq").rowsBetween(Window.unboundedPreceding, 0)
+    rows = past.unionByName(asked).withColumn("own", F.last("held", ignorenulls=True).over(upto)).where("asks = 1")
+    rows = rows.join(carried, ["entity", "slot"], "left").withColumn("x", F.when(F.col("at").isNotNull(), F.coalesce("own", "carried")))
+    return rows.select("moment_id", "entity", "at", *[F.col(f"x.{f}").alias(f) for f in fields])
+
+
 def report_queue(reports: DataFrame, questions: DataFrame) -> DataFrame:
     """Reports (question_id, kind, answer_at_report, status) by question with an open one: how many of each status, the open ones' kinds, and
     whether the key has changed since any open one."""

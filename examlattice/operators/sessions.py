@@ -9,8 +9,12 @@ from pyspark.sql.window import Window
 MOST = 100  #: questions of one session
 
 
+def _timed() -> Column:
+    return F.col("kind").isin("full_test", "section")
+
+
 def _running_test() -> Column:
-    return F.col("kind").isin("full_test", "section") & (F.col("attempt_status") == "in_progress")
+    return _timed() & (F.col("attempt_status") == "in_progress")
 
 
 def remaining(attempts: DataFrame, now: str, grace: int = 3) -> DataFrame:
@@ -21,43 +25,65 @@ def remaining(attempts: DataFrame, now: str, grace: int = 3) -> DataFrame:
 
 
 def palette(responses: DataFrame) -> DataFrame:
-    """(attempt_id, position, state) of each response. A running test tells only whether a question is answered or was seen; else what
+    """(attempt_id, position, state, marked) of each response; marked: for review. A running test tells only whether a question is answered or was seen; else what
     is answered is right or wrong, and what is not is skipped, once the session is over."""
     answered, visited = F.col("selected_answer").isNotNull(), F.coalesce("visited", F.lit(False))
     hidden = F.when(answered, "answered").when(visited, "unanswered").otherwise("notvisited")
     told = F.when(answered & F.coalesce("is_correct", F.lit(False)), "correct").when(answered, "wrong").when(F.col("attempt_status") != "in_progress", "skipped").otherwise("unanswered")
-    return responses.select("attempt_id", "position", F.when(_running_test(), hidden).otherwise(told).alias("state"))
+    return responses.select("attempt_id", "position", F.when(_running_test(), hidden).otherwise(told).alias("state"), F.coalesce("marked", F.lit(False)).alias("marked"))
 
 
 def next_positions(responses: DataFrame) -> DataFrame:
-    """(attempt_id, next_position): the first position without an answer; the last one, if all are answered."""
-    return responses.groupBy("attempt_id").agg(F.coalesce(F.min(F.when(F.col("selected_answer").isNull(), F.col("position"))), F.max("position")).alias("next_position"))
+    """(attempt_id, next_position): where to go on. In a timed test that is the question on screen (on_screen), if one is; else the first
+    position without an answer, or the last one, if all are answered."""
+    shown = F.max(F.when(_timed() & F.coalesce("on_screen", F.lit(False)), F.col("position")))
+    return responses.groupBy("attempt_id").agg(F.coalesce(shown, F.min(F.when(F.col("selected_answer").isNull(), F.col("position"))), F.max("position")).alias("next_position"))
 
 
 def summary_counts(responses: DataFrame) -> DataFrame:
-    """(attempt_id, total, answered, unanswered, not_visited, unrated): what stands before a test is handed in."""
+    """(attempt_id, total, answered, unanswered, not_visited, marked, unrated): what stands before a test is handed in."""
     answered = F.col("selected_answer").isNotNull()
     unrated = answered & (F.coalesce("confidence", F.lit("skipped")) == "skipped")
-    return responses.groupBy("attempt_id").agg(F.count("*").alias("total"), F.count_if(answered).alias("answered"), F.count_if(~answered).alias("unanswered"), F.count_if(~F.coalesce("visited", F.lit(False))).alias("not_visited"), F.count_if(unrated).alias("unrated"))
+    return responses.groupBy("attempt_id").agg(F.count("*").alias("total"), F.count_if(answered).alias("answered"), F.count_if(~answered).alias("unanswered"), F.count_if(~F.coalesce("visited", F.lit(False))).alias("not_visited"), F.count_if(F.coalesce("marked", F.lit(False))).alias("marked"), F.count_if(unrated).alias("unrated"))
 
 
 def practice_draw(requests: DataFrame, pool: DataFrame, seed: str = "1") -> DataFrame:
-    """(user_id, position, question_id): for each request (user_id, subject, count) questions of the subject's pool (question_id, subject),
-    drawn by a hash that depends on the user, `count` of them and MOST at most.
-
-    The pool's questions of a subject lie on a circle by their hash, in an order that is found once; a user's draw is the run that
-    begins at the user's own place. So users times questions is never built, and draws of two users differ."""
-    def at(*parts: Column | str) -> Column:
-        return F.sha1(F.concat_ws(":", F.lit(seed), *parts))
-
-    count = F.col("count")
-    own = Window.partitionBy("subject").orderBy(at(F.col("question_id").cast("string")), "question_id")
-    circle = pool.where("subject IS NOT NULL").select("subject", "question_id", (F.row_number().over(own) - 1).alias("at"))
-    sizes = circle.groupBy("subject").agg(F.count("*").cast("int").alias("n"))
-    asked = requests.join(sizes, "subject").withColumn("begin", F.pmod(F.conv(F.substring(at(F.col("user_id").cast("string"), F.col("subject")), 1, 8), 16, 10).cast("long"), F.col("n")).cast("int"))
-    most = F.least(F.greatest(count, F.lit(1)), F.lit(MOST), F.col("n"))
-    places = asked.select("user_id", "subject", F.posexplode(F.transform(F.sequence(F.lit(0), most - 1), lambda i: F.pmod(F.col("begin") + i, F.col("n")))).alias("i", "at"))
-    return places.join(circle, ["subject", "at"]).select("user_id", (F.col("i") + 1).alias("position"), "question_id")
+    """(user_id, position, question_id): for each request (user_id, areas array<string>, count) `count` questions, MOST at most, drawn at random
+    from all its areas of the pool (area, at, question_id; see hints.draw_pool), in random order and without repeats. One area is a topic
+    or subject that was asked for, several are a learner's weak ones; areas of one request must not overlap. One request for a user.
+
+    A draw of k from n (Floyd's): for j from n - k to n - 1 take a random number up to j, or j itself if that number was taken. Every set of k
+    is equally likely, and only the k numbers drawn meet the pool. Random numbers are hashes of seed, user and j, so a draw can be
+    repeated."""
+
+    def chance(*parts: Column) -> Column:
+        return F.conv(F.substring(F.sha1(F.concat_ws(":", F.lit(seed), F.col("user_id").cast("string"), *parts)), 1, 15), 16, 10).cast("long")
+
+    sizes = pool.groupBy("area").agg(F.count("*").alias("n"))
+    asked = requests.select("user_id", "count", F.explode(F.array_distinct("areas")).alias("area")).join(sizes, "area")
+    asked = asked.groupBy("user_id", "count").agg(F.array_sort(F.collect_list(F.struct("area", "n"))).alias("areas"))
+    ends = F.transform(F.sequence(F.lit(1), F.size("areas")), lambda i: F.aggregate(F.slice("areas", F.lit(1), i), F.lit(0).cast("long"), lambda a, x: a + x["n"]))
+    asked = asked.withColumn("ends", ends).withColumn("n", F.element_at("ends", -1)).withColumn("k", F.least(F.greatest("count", F.lit(1)).cast("long"), F.lit(MOST).cast("long"), "n"))
+
+    def take(taken: Column, j: Column) -> Column:
+        t = F.pmod(chance(j.cast("string")), j + 1)
+        return F.array_append(taken, F.when(F.array_contains(taken, t), j).otherwise(t))
+
+    drawn = F.aggregate(F.sequence(F.col("n") - F.col("k"), F.col("n") - 1), F.array().cast("array<bigint>"), take)
+    mixed = F.array_sort(F.transform("drawn", lambda t: F.struct(chance(F.lit("order"), t.cast("string")).alias("h"), t.alias("t"))))
+    rows = asked.withColumn("drawn", drawn).select("user_id", "areas", "ends", F.posexplode(F.transform(mixed, lambda x: x["t"])).alias("i", "t"))
+    which = F.size(F.filter("ends", lambda e: e <= F.col("t")))
+    rows = rows.select("user_id", (F.col("i") + 1).alias("position"), F.get("areas", which)["area"].alias("area"), (F.col("t") - F.when(which > 0, F.get("ends", which - 1)).otherwise(0)).alias("at"))
+    return rows.join(pool, ["area", "at"]).select("user_id", "position", "question_id")
+
+
+def mistake_draw(mistakes: DataFrame, count: int, shuffled: bool = False, seed: str = "1") -> DataFrame:
+    """(user_id, position, question_id): each user's `count` mistakes (user_id, question_id, due), MOST at most: the longest due first, those
+    without a date last, or in random order."""
+    mixed = F.sha1(F.concat_ws(":", F.lit(seed), F.col("user_id").cast("string"), F.col("question_id").cast("string")))
+    order = [mixed] if shuffled else [F.asc_nulls_last("due"), "question_id"]
+    place = F.row_number().over(Window.partitionBy("user_id").orderBy(*order))
+    return mistakes.select("user_id", place.alias("position"), "question_id").where(F.col("position") <= max(1, min(count, MOST)))
 
 
 def filter_errors(requests: DataFrame, sources: list[str], topics: DataFrame) -> DataFrame:

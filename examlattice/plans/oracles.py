@@ -124,7 +124,7 @@ HINTS = f"""hints AS (SELECT question_id, CASE WHEN b[1].score >= 2 AND b[1].sco
 SAMPLE = f"{EDITS}, sample AS (SELECT paper_id, question_id, CAST(place AS INT) AS place, correct_answer IS DISTINCT FROM true_letter AS wrong FROM (SELECT *, count(*) OVER (PARTITION BY paper_id) AS n, row_number() OVER (PARTITION BY paper_id ORDER BY sha1('1:' || question_id), question_id) AS place FROM un) WHERE place <= greatest(5, ceil(0.1 * n)))"
 OPEN = "status IN ('draft', 'needs_review')"
 REPORTS = "rep AS (SELECT event_id AS report_id, user_id, 1 + event_id % 150 AS question_id, event_type AS kind, substr('ABCD', CAST(1 + event_id % 4 AS INT), 1) AS answer_at_report, CASE event_id % 4 WHEN 0 THEN 'open' WHEN 1 THEN 'resolved' ELSE 'dismissed' END AS status, CAST(floor(epoch(ts)) AS BIGINT) AS sec FROM events)"
-PRINTED = "pr AS (SELECT *, row_number() OVER (PARTITION BY paper_id ORDER BY question_id) AS nth FROM questions WHERE question_id % 120 >= 10 AND paper_id > 1)"
+PRINTED = "pr AS (SELECT *, row_number() OVER (PARTITION BY paper_id ORDER BY question_id) AS nth FROM (SELECT * REPLACE (CAST(floor((paper_id - 1) / 4.0) AS INT) + 1 AS paper_id) FROM questions))"
 _SUBJECTS = "('economy', 'small', 'medium', 'promo', 'standard')"
 
 
@@ -134,10 +134,11 @@ def bulk(good: str) -> str:
 
 
 def key_applied(kept: str) -> str:
-    return f"""WITH k AS (SELECT *, correct_answer AS have, CASE WHEN question_id % 7 <> 0 THEN CASE WHEN question_id % 31 = 0 THEN 'E' ELSE true_letter END END AS want FROM questions WHERE question_id % 120 >= 10 AND status <> 'quarantined'),
+    return f"""WITH key AS (SELECT paper_id, question_number, CASE WHEN question_id % 31 = 0 THEN 'E' ELSE true_letter END AS want, CASE WHEN question_id % 3 = 0 THEN 'told' END AS told FROM (SELECT *, row_number() OVER (PARTITION BY paper_id, question_number ORDER BY question_id) AS b FROM questions WHERE question_id % 7 <> 0) WHERE b = 1),
+      k AS (SELECT q.*, correct_answer AS have, want, told FROM questions q LEFT JOIN key USING (paper_id, question_number) WHERE status <> 'quarantined'),
       a AS (SELECT *, CASE WHEN want IS NULL THEN 'none' WHEN want = 'E' THEN 'ignored' WHEN have = want THEN 'unchanged' WHEN have IS NULL THEN 'filled' ELSE '{kept}' END AS action FROM k), c AS (SELECT *, action IN ('filled', 'replaced') AS changed FROM a)
       SELECT question_id, CASE WHEN changed THEN want ELSE have END AS correct_answer, CASE WHEN changed AND status IN ('verified', 'live') THEN 'needs_review' ELSE status END AS status, acknowledged AND NOT (changed AND status IN ('verified', 'live')) AS acknowledged,
-      CASE WHEN question_id % 4 <> 0 THEN '' WHEN changed THEN 'check_table' ELSE 'no_answer_found,check_table' END AS flags, CASE WHEN question_id % 5 = 0 THEN 'own' WHEN question_id % 7 <> 0 AND question_id % 3 = 0 THEN 'told' END AS explanation, action FROM c"""
+      CASE WHEN question_id % 4 <> 0 THEN '' WHEN changed THEN 'check_table' ELSE 'no_answer_found,check_table' END AS flags, CASE WHEN question_id % 5 = 0 THEN 'own' ELSE told END AS explanation, action FROM c"""
 
 
 def issues(source: str, columns: str, rules: list[tuple[str, str, str]]) -> str:
@@ -205,7 +206,6 @@ ORACLES |= {
       SELECT request_id, recent, CASE WHEN EXISTS (SELECT 1 FROM st WHERE st.user_id = x.user_id AND st.question_id = x.question_id AND st.status = 'open' AND st.sec <= x.sec) THEN 'open' WHEN recent >= 3 THEN 'limit' ELSE 'taken' END AS verdict FROM x""",
     "subject_by_range": with_views("SELECT question_id, CASE WHEN question_number BETWEEN 25 AND 60 THEN 'Geography' ELSE 'History' END AS subject FROM questions WHERE question_number BETWEEN 1 AND 60", "questions"),
     "line_repeats": f"""WITH l AS (SELECT source AS paper_id, doc_id AS page, trim(regexp_replace(lower(unnest(string_split(text, chr(10)))), '{_W}', ' ', 'g')) AS line FROM documents), p AS (SELECT paper_id, count(DISTINCT page) AS pages FROM l WHERE line <> '' GROUP BY ALL), f AS (SELECT paper_id, line, count(DISTINCT page) AS n FROM l WHERE line <> '' GROUP BY ALL) SELECT paper_id, line, n FROM f JOIN p USING (paper_id) WHERE n >= greatest(3.0, 0.02 * pages)""",
-    "merged_import": with_views("SELECT paper_id, question_number, arg_max(text, question_id) AS text, arg_max(correct_answer, question_id) AS correct_answer, arg_max(topic, question_id) AS topic, count(*) AS versions, concat_ws(',', CASE WHEN count(DISTINCT text) > 1 THEN 'text' END, CASE WHEN count(DISTINCT correct_answer) > 1 THEN 'correct_answer' END, CASE WHEN count(DISTINCT topic) > 1 THEN 'topic' END) AS conflicts FROM questions GROUP BY ALL", "questions"),
     "import_replace": with_views("SELECT question_id AS number, CASE question_id % 3 WHEN 0 THEN text WHEN 2 THEN text || '!' ELSE CASE WHEN status IN ('needs_review', 'draft') THEN text || '!' ELSE text END END AS text, CASE WHEN question_id % 3 = 2 OR (question_id % 3 = 1 AND status = 'draft') THEN 'needs_review' ELSE status END AS status, CASE question_id % 3 WHEN 0 THEN 'kept' WHEN 2 THEN 'created' ELSE CASE WHEN status IN ('needs_review', 'draft') THEN 'replaced' ELSE 'skipped' END END AS action FROM questions", "questions"),
     "suspicion_cards": with_views(f"WITH {SUSPICION} SELECT question_id, l.letter, coalesce(n, 0) AS n, CAST(round_even(100.0e0 * coalesce(n, 0) / total, 0) AS INT) AS percent FROM (SELECT question_id, count(*) AS total FROM hi GROUP BY ALL) t CROSS JOIN (SELECT unnest(['A','B','C','D','E']) AS letter) l LEFT JOIN (SELECT question_id, letter, count(*) AS n FROM hi GROUP BY ALL) c USING (question_id, letter)", "users", *R),
     "suspicion_queue": with_views(f"""WITH {SUSPICION}, v AS (SELECT question_id, key_answer, b.l <> key_answer AND 2 * b.hn > high_n AND b.hn - key_n >= 2 AND high_n >= 5 AS bad FROM ve), q AS (SELECT question_id, CASE question_id % 3 WHEN 0 THEN 'open' WHEN 1 THEN 'dismissed' ELSE 'sent_back' END AS status, true_letter AS handled_key FROM questions WHERE question_id % 25 = 7),
@@ -258,7 +258,7 @@ ORACLES |= {
     ]), "questions"),
     "import_fill": with_views("SELECT paper_id, question_id AS number, CASE WHEN question_id % 3 = 0 AND question_id % 2 = 1 THEN NULL ELSE text END AS text, CASE WHEN question_id % 3 = 2 OR (question_id % 3 = 1 AND question_id % 2 = 1) THEN 'needs_review' ELSE status END AS status, CASE WHEN question_id % 3 = 0 THEN 'kept' WHEN question_id % 3 = 2 THEN 'created' WHEN question_id % 2 = 1 THEN 'replaced' ELSE 'skipped' END AS action FROM questions", "questions"),
     "import_append": with_views(f"WITH {NAMED}, f AS (SELECT q.paper_id, q.question_id, q.text, row_number() OVER (PARTITION BY q.paper_id ORDER BY q.question_id) AS k FROM questions q JOIN named n ON q.question_id = n.question_id WHERE q.question_id % 3 = 0 AND q.question_id BETWEEN 1 AND 10000000 AND norm_hash NOT IN (SELECT norm_hash FROM named WHERE question_id % 90 = 1)), t AS (SELECT paper_id, max(question_id) AS top FROM questions WHERE question_id % 3 > 0 GROUP BY ALL) SELECT paper_id, question_id AS number, text, status, 'kept' AS action FROM questions WHERE question_id % 3 > 0 UNION ALL SELECT paper_id, coalesce(top, 0) + k, text, 'needs_review', 'created' FROM f LEFT JOIN t USING (paper_id)", "questions"),
-    "printed_questions": with_views(f"WITH {PRINTED} SELECT CAST(paper_id AS BIGINT) AS paper_id, CAST(nth AS INT) AS number, text || ' is called what?' AS text, 'Alpha|Beta|Gamma|Delta' AS options, CASE WHEN paper_id % 2 = 0 THEN correct_answer END AS answer, CASE WHEN paper_id % 2 = 0 THEN CASE WHEN correct_answer IS NULL THEN '(?) as said' ELSE 'as said' END END AS explanation, CASE WHEN paper_id % 2 = 0 AND correct_answer IS NULL THEN 'answer_unclear' ELSE '' END AS flags FROM pr", "questions"),
+    "printed_questions": with_views(f"WITH {PRINTED} SELECT CAST(paper_id AS BIGINT) AS paper_id, CAST(nth AS INT) AS number, text || ' is called what?' AS text, 'Alpha|Beta|Gamma|Delta' AS options, CASE WHEN paper_id % 2 = 0 THEN correct_answer END AS answer, CASE WHEN paper_id % 2 = 0 THEN CASE WHEN correct_answer IS NULL THEN '(?) as said' ELSE 'as said' END END AS explanation, CASE WHEN paper_id % 2 = 0 AND correct_answer IS NULL THEN 'answer_unclear' ELSE '' END AS flags FROM pr WHERE nth <= 300", "questions"),
     "printed_keys": with_views(f"WITH {PRINTED} SELECT CAST(paper_id AS BIGINT) AS key_id, CAST(nth AS INT) AS number, correct_answer AS letter FROM pr WHERE paper_id % 2 = 1 AND correct_answer IS NOT NULL AND (SELECT count(*) FROM pr p WHERE p.paper_id = pr.paper_id AND p.correct_answer IS NOT NULL) >= 5", "questions"),
     "english_columns": "SELECT doc_id AS page, 0 AS col FROM documents WHERE text IS NOT NULL UNION ALL SELECT doc_id, 1 FROM documents WHERE text IS NOT NULL AND NOT (doc_id % 2 = 0 AND length(regexp_replace(text, '[^A-Za-z]', '', 'g')) >= 20)",
     "review_list": with_views(f"SELECT paper_id, question_number, question_id, CAST(NOT flagged AS INT) AS first FROM questions WHERE {OPEN}", "questions"),
@@ -281,12 +281,9 @@ ORACLES |= {
     "dashboard_tiles": with_views(f"""WITH l AS (SELECT user_id, max(started_at) AS at_ FROM attempts GROUP BY ALL) {' UNION ALL '.join(f"SELECT '{k}' AS tile, count(*) AS n FROM {t} WHERE {c}" for k, t, c in (
         ('pending', 'users', "NOT is_admin AND status = 'pending'"), ('approved', 'users', "NOT is_admin AND status = 'approved'"), ('deactivated', 'users', "NOT is_admin AND status = 'deactivated'"), ('active', 'users JOIN l USING (user_id)', f"NOT is_admin AND status = 'approved' AND at_ >= {TODAY} - 400"),
         ('published', 'papers', "NOT archived AND publish_status = 'published'"), ('drafts', 'papers', "NOT archived AND publish_status <> 'published'"), ('live_questions', 'questions', "status = 'live'"), ('tests', 'attempts', f"kind IN ('full_test', 'section') AND status <> 'in_progress' AND started_at >= {TODAY} - 400")))}""", "papers", "users", *R),
-    "palette": with_views(f"SELECT attempt_id, position, CASE WHEN kind IN ('full_test', 'section') AND attempt_status = 'in_progress' THEN CASE WHEN selected_answer IS NOT NULL THEN 'answered' WHEN seconds % 2 = 0 THEN 'unanswered' ELSE 'notvisited' END WHEN {RIGHT} THEN 'correct' WHEN selected_answer IS NOT NULL THEN 'wrong' WHEN attempt_status <> 'in_progress' THEN 'skipped' ELSE 'unanswered' END AS state FROM responses", *R),
-    "next_positions": with_views("SELECT attempt_id, coalesce(min(position) FILTER (selected_answer IS NULL), max(position)) AS next_position FROM responses GROUP BY ALL", *R),
-    "attempt_summaries": with_views("SELECT attempt_id, count(*) AS total, count(selected_answer) AS answered, count(*) - count(selected_answer) AS unanswered, count(*) FILTER (seconds % 2 <> 0) AS not_visited, count(*) FILTER (selected_answer IS NOT NULL AND coalesce(confidence, 'skipped') = 'skipped') AS unrated FROM responses GROUP BY ALL", *R),
-    "practice_draw": with_views(f"""WITH {LIVE}, c AS (SELECT subject, question_id, row_number() OVER (PARTITION BY subject ORDER BY sha1('1:' || question_id), question_id) - 1 AS at_, count(*) OVER (PARTITION BY subject) AS n FROM live WHERE subject IS NOT NULL), s AS (SELECT DISTINCT subject, n FROM c),
-      a AS (SELECT user_id, subject, n, CAST('0x' || substr(sha1('1:' || user_id || ':' || subject), 1, 8) AS BIGINT) % n AS begin_ FROM (SELECT user_id, name AS subject FROM ({_WEAK}) WHERE kind = 'subject' AND place = 1) JOIN s USING (subject)), d AS (SELECT *, unnest(range(0, least(10, 100, n))) AS i FROM a)
-      SELECT user_id, CAST(i + 1 AS INT) AS position, question_id FROM d JOIN c ON d.subject = c.subject AND (d.begin_ + d.i) % d.n = c.at_""", "papers", "questions"),
+    "palette": with_views(f"SELECT attempt_id, position, CASE WHEN kind IN ('full_test', 'section') AND attempt_status = 'in_progress' THEN CASE WHEN selected_answer IS NOT NULL THEN 'answered' WHEN seconds % 2 = 0 THEN 'unanswered' ELSE 'notvisited' END WHEN {RIGHT} THEN 'correct' WHEN selected_answer IS NOT NULL THEN 'wrong' WHEN attempt_status <> 'in_progress' THEN 'skipped' ELSE 'unanswered' END AS state, question_id % 5 > 0 AND question_id % 9 = 0 AS marked FROM responses", *R),
+    "next_positions": with_views("SELECT attempt_id, CASE WHEN any_value(kind) IN ('full_test', 'section') AND any_value(attempt_status) = 'in_progress' AND attempt_id % 4 > 0 AND max(position) > attempt_id % 3 THEN CAST(1 + attempt_id % 3 AS INT) ELSE coalesce(min(position) FILTER (selected_answer IS NULL), max(position)) END AS next_position FROM responses GROUP BY attempt_id", *R),
+    "attempt_summaries": with_views("SELECT attempt_id, count(*) AS total, count(selected_answer) AS answered, count(*) - count(selected_answer) AS unanswered, count(*) FILTER (seconds % 2 <> 0) AS not_visited, count(*) FILTER (question_id % 5 > 0 AND question_id % 9 = 0) AS marked, count(*) FILTER (selected_answer IS NOT NULL AND coalesce(confidence, 'skipped') = 'skipped') AS unrated FROM responses GROUP BY ALL", *R),
     "filter_errors": with_views("""WITH r AS (SELECT question_id AS request_id, CASE question_id % 5 WHEN 0 THEN 'radio' WHEN 1 THEN 'official' END AS source, CASE question_id % 7 WHEN 0 THEN 'Nowhere' WHEN 1 THEN 'SMALL' ELSE subject END AS subject, CASE WHEN question_id % 11 = 0 THEN 'No topic' ELSE topic END AS topic, CASE WHEN question_id % 13 = 0 THEN 'odd' ELSE 'Easy' END AS difficulty FROM questions)
       SELECT request_id, CASE WHEN source NOT IN ('official', 'mock', 'book') THEN 'unknown_source' WHEN subject IS NOT NULL AND subject NOT IN (SELECT subject FROM questions WHERE subject IS NOT NULL) THEN 'unknown_subject' WHEN topic IS NOT NULL AND topic NOT IN (SELECT topic FROM questions WHERE topic IS NOT NULL) THEN 'unknown_topic'
         WHEN topic IS NOT NULL AND subject IS NOT NULL AND (subject, topic) NOT IN (SELECT (subject, topic) FROM questions WHERE topic IS NOT NULL AND subject IS NOT NULL) THEN 'topic_of_other_subject' WHEN lower(difficulty) NOT IN ('easy', 'medium', 'hard') THEN 'unknown_difficulty' END AS error FROM r""", "questions"),

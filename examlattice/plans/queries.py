@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from ..domain import view
 from ..functions import scrub, text
-from ..operators import activity, analytics, dedup, grading, leaderboard, lists, review, revision, sessions, suspicion, visibility
+from ..operators import activity, analytics, dedup, grading, hints, leaderboard, lists, review, revision, sessions, suspicion, visibility
 from ..sources import files, importing, keys, lines
 from ..streaming import jobs
 
@@ -317,11 +317,6 @@ def also_appeared(spark, sf_dir):
     return dedup.also_appeared(sources, t.questions, t.papers)
 
 
-@query
-def subject_hints(spark, sf_dir):
-    return Tables(spark, sf_dir).questions.select("question_id", text.subject_hint(F.col("text"), KEYWORDS).alias("h")).select("question_id", "h.subject", "h.score")
-
-
 @query
 def answer_key_roundtrip(spark, sf_dir):
     return keys.parse_keys(keys.key_text(Tables(spark, sf_dir).questions)).select("key_id", "number", "letter", "letters")
@@ -389,8 +384,9 @@ def template_fits(spark, sf_dir):
 @query
 def suggestion_updates(spark, sf_dir):
     n = F.col("question_id")
-    q = Tables(spark, sf_dir).questions.select("question_id", "status", "subject", F.when(n % 3 == 0, "Size").alias("suggested"), text.subject_hint(F.col("text"), KEYWORDS)["subject"].alias("hint"))
-    return review.suggestions(q)
+    q = Tables(spark, sf_dir).questions.select("question_id", "status", "subject", F.when(n % 3 == 0, "Size").alias("suggested"), "text", F.lit(None).cast("array<string>").alias("options"))
+    hint = hints.subject_hints(q, hints.keyword_table(spark, KEYWORDS)).select("question_id", F.col("subject").alias("hint"))
+    return review.suggestions(q.join(hint, "question_id").drop("text", "options"))
 
 
 @query
@@ -440,8 +436,9 @@ def key_replaced(spark, sf_dir):
 def applied_key(t, replace):
     n = F.col("question_id")
     flags = F.when(n % 4 == 0, F.array(F.lit("no_answer_found"), F.lit("check_table"))).otherwise(F.array().cast("array<string>"))
-    q = t.questions.where("question_id % 120 >= 10").withColumn("flags", flags).withColumn("n_options", F.lit(4)).withColumn("explanation", F.when(n % 5 == 0, "own"))
-    key = q.where("question_id % 7 != 0").select("paper_id", "question_number", F.when(n % 31 == 0, "E").otherwise(F.col("true_letter")).alias("letter"), F.when(n % 3 == 0, "told").alias("explanation"))
+    q = t.questions.withColumn("flags", flags).withColumn("n_options", F.lit(4)).withColumn("explanation", F.when(n % 5 == 0, "own"))
+    key = q.where("question_id % 7 != 0").select("paper_id", "question_number", F.when(n % 31 == 0, "E").otherwise(F.col("true_letter")).alias("letter"), F.when(n % 3 == 0, "told").alias("explanation"), "question_id")
+    key = key.groupBy("paper_id", "question_number").agg(F.min_by("letter", "question_id").alias("letter"), F.min_by(F.struct("explanation"), "question_id").alias("x")).select("paper_id", "question_number", "letter", "x.explanation")
     found = review.key_apply(q, key, replace)
     return found.withColumn("flags", F.array_join("flags", ","))
 
@@ -607,12 +604,6 @@ def chapter_issues(spark, sf_dir):
     return importing.chapter_issues(chapters, q.select("file", n.alias("place"), body.alias("q")))
 
 
-@query
-def merged_import(spark, sf_dir):
-    q = Tables(spark, sf_dir).questions.withColumn("part", F.col("question_id"))
-    return importing.merge_parts(q, ["text", "correct_answer", "topic"], ("paper_id", "question_number"))
-
-
 def numbered(t):
     return t.questions.select("paper_id", F.col("question_id").alias("number"), "text", "status")
 
@@ -637,15 +628,16 @@ def import_append(spark, sf_dir):
 
 
 def printed_lines(t):
-    """The questions as lines of printed papers, with a key at the end of some."""
-    q = t.questions.where("question_id % 120 >= 10 AND paper_id > 1").withColumn("nth", F.row_number().over(Window.partitionBy("paper_id").orderBy("question_id")))
+    """The questions as lines of printed papers of 480, with a key at the end of some."""
+    q = t.questions.withColumn("paper_id", F.floor((F.col("paper_id") - 1) / 4) + 1).withColumn("nth", F.row_number().over(Window.partitionBy("paper_id").orderBy("question_id")))
     number = F.col("nth").cast("string")
     head = F.array(F.concat(number, F.lit(". "), F.coalesce("text", F.lit("")), F.lit(" is")), F.lit("called what?"), F.lit("(a) Alpha (b) Beta"), F.lit("(c) Gamma"), F.lit("(d) Delta"))
     lines = F.when(F.col("paper_id") % 2 == 0, F.array_append(head, F.concat(F.lit("Answer: ("), F.lower(F.coalesce("correct_answer", F.lit("?"))), F.lit(") as said")))).otherwise(head)
     body = q.select(F.col("paper_id").cast("long").alias("paper_id"), F.lit(1).alias("page"), F.lit(0).alias("col"), F.col("nth"), F.posexplode(lines).alias("i", "text")).select("paper_id", "page", "col", (F.col("nth") * 10 + F.col("i")).alias("line_no"), "text")
-    cover = t.papers.where("paper_id > 1").select(F.col("paper_id").cast("long").alias("paper_id"), F.lit(0).alias("page"), F.lit(0).alias("col"), F.lit(1).alias("line_no"), F.lit("1. Read this first").alias("text"))
+    papers = q.select("paper_id").distinct()
+    cover = papers.select(F.col("paper_id").cast("long").alias("paper_id"), F.lit(0).alias("page"), F.lit(0).alias("col"), F.lit(1).alias("line_no"), F.lit("1. Read this first").alias("text"))
     odd = q.where("paper_id % 2 = 1 AND correct_answer IS NOT NULL").select(F.col("paper_id").cast("long").alias("paper_id"), F.lit(9).alias("page"), F.lit(0).alias("col"), F.col("nth").alias("line_no"), F.concat(number, F.lit("-"), F.lower("correct_answer")).alias("text"))
-    title = t.papers.where("paper_id > 1 AND paper_id % 2 = 1").select(F.col("paper_id").cast("long").alias("paper_id"), F.lit(9).alias("page"), F.lit(0).alias("col"), F.lit(0).alias("line_no"), F.lit("ANSWER KEY").alias("text"))
+    title = papers.where("paper_id % 2 = 1").select(F.col("paper_id").cast("long").alias("paper_id"), F.lit(9).alias("page"), F.lit(0).alias("col"), F.lit(0).alias("line_no"), F.lit("ANSWER KEY").alias("text"))
     return cover.unionByName(body).unionByName(title).unionByName(odd)
 
 
@@ -777,26 +769,25 @@ def dashboard_tiles(spark, sf_dir):
     return lists.tiles(t.users.join(last, "user_id", "left"), t.papers, t.questions, t.attempts, f"{TODAY} 00:00:00", 400)
 
 
+def screens(t):
+    """Responses with what a running session knows: seen, marked for review, and on screen."""
+    on_screen = (F.col("attempt_status") == "in_progress") & (F.col("attempt_id") % 4 > 0) & (F.col("position") == 1 + F.col("attempt_id") % 3)
+    return t.responses.withColumns({"visited": F.col("seconds") % 2 == 0, "marked": F.when(F.col("question_id") % 5 > 0, F.col("question_id") % 9 == 0), "on_screen": on_screen})
+
+
 @query
 def palette(spark, sf_dir):
-    return sessions.palette(Tables(spark, sf_dir).responses.withColumn("visited", F.col("seconds") % 2 == 0))
+    return sessions.palette(screens(Tables(spark, sf_dir)))
 
 
 @query
 def next_positions(spark, sf_dir):
-    return sessions.next_positions(Tables(spark, sf_dir).responses)
+    return sessions.next_positions(screens(Tables(spark, sf_dir)))
 
 
 @query
 def attempt_summaries(spark, sf_dir):
-    return sessions.summary_counts(Tables(spark, sf_dir).responses.withColumn("visited", F.col("seconds") % 2 == 0))
-
-
-@query
-def practice_draw(spark, sf_dir):
-    t = Tables(spark, sf_dir)
-    weak = analytics.weak_areas(t.responses).where("kind = 'subject' AND place = 1").select("user_id", F.col("name").alias("subject"), F.lit(10).alias("count"))
-    return sessions.practice_draw(weak, t.live.select("question_id", "subject"))
+    return sessions.summary_counts(screens(Tables(spark, sf_dir)))
 
 
 @query

@@ -8,15 +8,25 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# What a column may be called, by what it holds.
+# What a column may be called, by what it holds and in the order in which fields choose; words that a column's name
+# may contain where no name fits; ends of names that speak of a number.
 HEADERS = {
-    "number": ["number", "no", "q no", "question no", "question number", "sno"], "question": ["question", "question text", "stem", "text"],
-    "a": ["a", "option a", "opt a"], "b": ["b", "option b", "opt b"], "c": ["c", "option c", "opt c"], "d": ["d", "option d", "opt d"], "e": ["e", "option e", "opt e"],
-    "answer": ["answer", "ans", "key", "correct answer", "correct option"], "explanation": ["explanation", "solution", "reason"], "subject": ["subject"], "topic": ["topic"],
-}
+    "number": "no number qno qn qnum questionno questionnumber sno srno slno sl serial serialno id",
+    "question": "question questions q stem questiontext text prompt statement",
+    "a": "optiona opta a choicea option1 opt1 choice1 answera",
+    "b": "optionb optb b choiceb option2 opt2 choice2 answerb",
+    "c": "optionc optc c choicec option3 opt3 choice3 answerc",
+    "d": "optiond optd d choiced option4 opt4 choice4 answerd",
+    "answer": "answer ans correctanswer correctoption correct key answerkey rightanswer correctchoice",
+    "explanation": "explanation explanations solution rationale reason description",
+    "subject": "subject subj section",
+    "topic": "topic subtopic chapter",
+}
+CONTAINED = {"answer": "answer correct", "explanation": "explanation solution", "subject": "subject", "topic": "topic"}
+NUMBERING = "(no|number|num)$"
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
@@ -63,17 +73,30 @@ def sheet_rows(files: DataFrame) -> DataFrame:
     return files.select("file", "content").mapInPandas(run, "file string, line long, headers array<string>, cells array<string>")
 
 
+def header_mapping(headers: Column) -> Column:
+    """Map from what a column holds to its place (from 0). Fields choose in turn, each the first column that is left: first by names, then
+    by words that a name contains, at last the question by a name that begins with it and speaks of no number."""
+    turns = [(f, rf"^({names.replace(' ', '|')})$") for f, names in HEADERS.items()] + [(f, words.replace(" ", "|")) for f, words in CONTAINED.items()] + [("question", rf"^question(?!.*{NUMBERING})")]
+    bare = F.transform(headers, lambda h: F.regexp_replace(F.lower(F.coalesce(h, F.lit(""))), "[^a-z0-9]+", ""))
+    rules = F.array(*[F.struct(F.lit(f).alias("field"), F.lit(p).alias("pattern")) for f, p in turns])
+
+    def choose(found: Column, rule: Column) -> Column:
+        taken, done = F.map_values(found), F.map_contains_key(found, rule["field"])
+        free = F.transform(bare, lambda h, i: ~F.array_contains(taken, i) & F.call_function("rlike", h, rule["pattern"]))
+        place = F.array_position(free, F.lit(True)).cast("int") - 1
+        return F.when(done | (place < 0), found).otherwise(F.map_concat(found, F.create_map(rule["field"], place)))
+
+    return F.aggregate(rules, F.create_map().cast("map<string,int>"), choose)
+
+
 def map_headers(rows: DataFrame) -> DataFrame:
-    """(file, line, fields): a map from what a column holds to its cell, by the names of HEADERS."""
-    pairs = [(name, k) for k, names in HEADERS.items() for name in names]
-    known = F.create_map(*[F.lit(x) for pair in pairs for x in pair])
-    bare = F.transform("headers", lambda h: F.trim(F.regexp_replace(F.lower(h), "[^a-z0-9]+", " ")))
-    cells = F.filter(F.arrays_zip(F.transform(bare, lambda h: F.try_element_at(known, h)).alias("k"), F.col("cells").alias("v")), lambda x: x["k"].isNotNull())
-    firsts = F.array_distinct(F.transform(cells, lambda x: x["k"]))
-    return rows.select("file", "line", F.map_from_arrays(firsts, F.transform(firsts, lambda k: F.get(F.filter(cells, lambda x: x["k"] == k), F.lit(0))["v"])).alias("fields"))
+    """(file, line, fields): a map from what a column holds to its cell, see header_mapping, which is worked out once for each head."""
+    heads = rows.select("headers").distinct().withColumn("mapping", header_mapping(F.col("headers")))
+    found = rows.join(heads, "headers")
+    return found.select("file", "line", F.transform_values("mapping", lambda k, i: F.get("cells", i)).alias("fields"))
 
 
-def header_signature(headers) -> F.Column:
+def header_signature(headers: Column) -> Column:
     """16 hexadecimal digits that the order, case and punctuation of a sheet's headers do not change."""
     bare = F.filter(F.transform(headers, lambda h: F.regexp_replace(F.lower(h), "[^a-z0-9]+", "")), lambda h: h != "")
     return F.substring(F.sha1(F.array_join(F.array_sort(bare), "|")), 1, 16)

@@ -6,15 +6,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import devanagari_share, option_key, sheet_answer
+from ..functions.text import ENGLISH_MOST, HINDI_LEAST, LONG_OPTION, devanagari_share, option_key, sheet_answer
 
 
 def _issue(cond: Column, level: str, code: str, message: Column | None = None) -> Column:
     return F.when(cond, F.struct(F.lit(level).alias("level"), F.lit(code).alias("code"), (F.lit(code) if message is None else message).alias("message")))
 
 
-# Lengths and shares beyond which a question is doubtful.
-SHORT_TEXT, LONG_OPTION, HINDI_LEAST, ENGLISH_MOST = 15, 300, 0.6, 0.2
+# Fixed value: the length below which a question is doubtful.
+SHORT_TEXT = 15
 
 
 def question_issues(questions: DataFrame, subjects: list[str]) -> DataFrame:
@@ -167,13 +167,82 @@ def chapter_issues(chapters: DataFrame, questions: DataFrame) -> DataFrame:
     return of_chapters.unionAll(of_questions).select("file", "number", "x.level", "x.code")
 
 
-def merge_parts(questions: DataFrame, fields: list[str], keys: tuple[str, ...] = ("number",), order: str = "part") -> DataFrame:
-    """One row for each key of questions (keys, order, fields): later parts win, but fill in only what they hold. conflicts: fields
-    on which parts disagree; versions: how many rows hold the key."""
-    last = [F.max_by(f, F.when(F.col(f).isNotNull(), F.col(order))).alias(f) for f in fields]
-    differ = F.array_compact(F.array(*[F.when(F.col(f"n_{f}") > 1, f) for f in fields]))
-    found = questions.groupBy(*keys).agg(*last, *[F.count_distinct(f).alias(f"n_{f}") for f in fields], F.count("*").alias("versions"))
-    return found.select(*keys, *fields, "versions", F.array_join(differ, ",").alias("conflicts"))
+#: Fields that two versions of one question may fill in for each other.
+MERGED = ("answer", "explanation", "explanation_hi", "subject", "topic", "page")
+WHOLE = ("part", "text", "options", "text_hi", "options_hi", *MERGED, "lang_flags", "has_image", "uncertain")
+
+
+def same_words(s: Column) -> Column:
+    """Lower case, single spaces."""
+    return F.trim(F.regexp_replace(F.lower(F.coalesce(s.cast("string"), F.lit(""))), r"[\s\p{Z}]+", " "))
+
+
+def _merged(later_wins: bool):
+    """One step of the fold: (q, notes) and the next version of the same number."""
+
+    def has(q: Column) -> tuple[Column, Column]:
+        given = lambda c: F.coalesce(c, F.lit("")) != ""
+        return given(q["text"]), given(q["text_hi"]) | (F.coalesce(F.size(q["options_hi"]), F.lit(0)) > 0)
+
+    def alike(a: Column, b: Column, text: str, options: str) -> Column:
+        four = lambda q: F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: same_words(F.get(q[options], i)))
+        return (same_words(a[text]) == same_words(b[text])) & (four(a) == four(b))
+
+    def judged(state: Column, new: Column) -> Column:
+        old = state["q"]
+        (en, hi), (en2, hi2) = has(old), has(new)
+        both_en, both_hi = en & en2, hi & hi2
+        same = F.when(both_en | both_hi, (~both_en | alike(old, new, "text", "options")) & (~both_hi | alike(old, new, "text_hi", "options_hi")))
+        differ = F.array_compact(F.array(*[F.when(old[f].isNotNull() & new[f].isNotNull() & (same_words(old[f]) != same_words(new[f])), f) for f in MERGED]))
+        return F.struct(old.alias("q"), state["notes"].alias("notes"), new.alias("new"), same.alias("same"), differ.alias("differ"), en.alias("en"), hi.alias("hi"), en2.alias("en2"), hi2.alias("hi2"))
+
+    def step(state: Column, new: Column) -> Column:
+        once = F.transform(F.array(judged(state, new)), settle)
+        return F.get(once, F.lit(0))
+
+    def settle(s: Column) -> Column:
+        old, new, later = s["q"], s["new"], F.lit(later_wins)
+        same = F.coalesce(s["same"], F.lit(False))
+        blocked = same & (F.size(s["differ"]) > 0) & ~later
+        merge, replace = same & ~blocked, ~same & later
+        own = {f: F.coalesce(new[f], old[f]) if later_wins else F.coalesce(old[f], new[f]) for f in MERGED}
+        own |= {f: F.when(~s["en"] & s["en2"], new[f]).otherwise(old[f]) for f in ("text", "options")} | {f: F.when(~s["hi"] & s["hi2"], new[f]).otherwise(old[f]) for f in ("text_hi", "options_hi")}
+        own |= {"part": old["part"], "lang_flags": F.array_sort(F.array_union(old["lang_flags"], new["lang_flags"])), "has_image": old["has_image"] | new["has_image"], "uncertain": old["uncertain"] | new["uncertain"]}
+        q = F.struct(*[F.when(merge, own[f]).when(replace, new[f]).otherwise(old[f]).alias(f) for f in WHOLE])
+        kind = F.when(s["same"].isNull(), "incomparable").when(~same, "different").when(blocked, "fields").otherwise("overlap")
+        level = F.when(merge, "info").otherwise("warning" if later_wins else "error")
+        note = F.struct(level.alias("level"), kind.alias("kind"), new["part"].alias("part"), old["part"].alias("other"), F.when(blocked, F.array_join(s["differ"], ",")).otherwise("").alias("fields"))
+        return F.struct(q.alias("q"), F.array_append(s["notes"], note).alias("notes"))
+
+    return step
+
+
+NOTES = "array<struct<level:string,kind:string,part:int,other:int,fields:string>>"
+
+
+def merge_parts(questions: DataFrame, later_wins: bool = False, keys: tuple[str, ...] = ("file", "number")) -> DataFrame:
+    """One row for each key of the parts' questions (keys, part int, place, and the fields of WHOLE): the parts' versions of a number are
+    folded in the order of part and place. notes says what each further version met; versions counts them.
+
+    Two versions are the same question if every language that both have agrees in text and options (case and spacing aside). The same
+    question merges: what one lacks the other fills in, a missing language too, and warnings add up (overlap); if both say different
+    things in a field, that is an error that changes nothing (fields), or the later version's field stands where later parts win. Another
+    question under the number (different), or one that shares no language with it (incomparable), is an error that changes
+    nothing, or replaces the earlier one as a whole. Rows without a number are left out. A number's versions are as few as the parts."""
+    none = F.array().cast("array<string>")
+    order = [F.col("part").cast("int").alias("part"), F.col("place").cast("long").alias("place")]
+    filled = {"lang_flags": F.coalesce("lang_flags", none), "has_image": F.coalesce("has_image", F.lit(False)), "uncertain": F.coalesce("uncertain", F.lit(False)), "part": F.col("part").cast("int"), "page": F.col("page").cast("int")}
+    rest = [filled.get(f, F.col(f)).alias(f) for f in WHOLE]
+    rows = questions.where(" AND ".join(f"{k} IS NOT NULL" for k in keys)).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*order, F.struct(*rest).alias("q")))).alias("x"))
+    versions = F.transform("x", lambda x: x["q"])
+    begin = F.struct(F.get(versions, F.lit(0)).alias("q"), F.array().cast(NOTES).alias("notes"))
+    folded = F.aggregate(F.slice(versions, F.lit(2), F.greatest(F.lit(1), F.size("x"))), begin, _merged(later_wins))
+    return rows.select(*keys, F.size("x").alias("versions"), folded.alias("f")).select(*keys, "f.q.*", "versions", "f.notes")
+
+
+def merge_report(merged: DataFrame, keys: tuple[str, ...] = ("file", "number")) -> DataFrame:
+    """(keys, level, kind, part, other, fields): the notes of merge_parts as rows. A file with an error is not imported."""
+    return merged.select(*keys, F.explode("notes").alias("x")).select(*keys, "x.*")
 
 
 def screened(incoming: DataFrame, known: DataFrame | None = None, most: int | None = None) -> DataFrame:

@@ -24,7 +24,7 @@ def test_normal_forms(spark):
     assert a == b and len(a) == 16
 
 
-@pytest.mark.parametrize(("s", "want"), [("c", "C"), ("(B)", "B"), ("ग", "C"), ("3", None), ("f", None), ("Option B", "B"), ("answer: b", "B"), ("Ans- d", "D"), (None, None)])
+@pytest.mark.parametrize(("s", "want"), [("c", "C"), ("(B)", "B"), ("ग", None), ("3", None), ("e", None), ("Option B", "B"), ("answer: b", "B"), ("Ans- d", "D"), ("choice c)", "C"), ("b or c", None), (None, None)])
 def test_answer_letters(spark, s, want):
     assert one(spark, text.sheet_answer(F.col("s")), s=s) == want
 
@@ -41,9 +41,10 @@ def test_fractions(spark, s, want):
 
 def test_language_and_sanity_flags(spark):
     q = dict(t="What is it called?", o=["a", "b", "c", "d"], h="यह क्या कहलाता है", p=["क", "ख", "ग"])
-    assert one(spark, text.language_flags(F.col("t"), F.col("o"), F.col("h"), F.col("p")), **q) == ["hindi_mismatch"]
-    assert one(spark, text.language_flags(F.col("t"), F.col("o"), F.col("h"), F.col("p")), t=q["h"], o=q["o"], h=q["t"], p=["a", "b", "c", "d"]) == ["hindi_swapped"]
-    assert one(spark, text.sanity_flags(F.col("t"), F.col("o")), t="x", o=["1,2,3,4", "1,1,3,4", "", "d"]) == ["empty_option", "bad_codes"]
+    assert one(spark, text.language_flags(F.col("t"), F.col("o"), F.col("h"), F.col("p")), **q) == ["language_mismatch"]
+    assert one(spark, text.language_flags(F.col("t"), F.col("o"), F.col("h"), F.col("p")), t=q["h"], o=q["o"], h=q["t"], p=["a", "b", "c", "d"]) == ["language_swapped"]
+    assert one(spark, text.sanity_flags(F.col("t"), F.col("o")), t="x", o=["1 2 3 4", "1 1 3 4", "4 3 2 1", "2 1 4 3"]) == ["check_code_row"]
+    assert one(spark, text.sanity_flags(F.col("t"), F.col("o")), t="", o=["", "b\u00a9", "c" * 301, "d"]) == ["empty_stem", "empty_option", "very_long_option", "odd_characters"]
     assert one(spark, text.devanagari_share(F.col("t")), t="abc") is None
 
 
