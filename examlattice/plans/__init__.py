@@ -1,3 +1,3 @@
 """Registered queries and their SQL twins."""
 
-from . import checks  # noqa: F401  registers its queries and their twins
+from . import checks, guarded  # noqa: F401  register their queries and twins

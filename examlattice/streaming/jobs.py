@@ -47,22 +47,22 @@ def expired(attempts: DataFrame, now: str, grace: int = 3) -> DataFrame:
 
 
 def closed_attempts(events: DataFrame, grace: int = 3, late: str = "10 seconds") -> DataFrame:
-    """(attempt_id, status, ended_at, answered, rejected) of timed attempts when they end, from a stream of events (attempt_id, kind, question_id,
+    """(attempt_id, status, started_at, ended_at, answered, rejected, answers) of timed attempts when they end, from a stream of events (attempt_id, kind, question_id,
     value, ts, deadline_at): kind start (with the deadline), save (an empty value clears) or submit.
 
     An attempt that nobody submits ends `grace` seconds after its deadline, as of the deadline, when the watermark passes that time. Saves
     after that are rejected. The state holds one letter for each question of the attempt."""
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], group: GroupState) -> Iterator[pd.DataFrame]:
-        deadline, answers, rejected, ended = group.get if group.exists else (None, "{}", 0, False)
+        started, deadline, answers, rejected, ended = group.get if group.exists else (None, None, "{}", 0, False)
         answers = json.loads(answers)
         if group.hasTimedOut:
-            yield _closed(key[0], "expired", pd.Timestamp(deadline), answers, rejected)
-            group.update((deadline, "{}", rejected, True))
+            yield _closed(key[0], "expired", started, pd.Timestamp(deadline), answers, rejected)
+            group.update((started, deadline, "{}", rejected, True))
             return
         for row in pd.concat(list(batches)).sort_values(["ts", "question_id"]).itertuples():
             if row.kind == "start" and deadline is None:
-                deadline = row.deadline_at.isoformat()
+                started, deadline = row.ts.isoformat(), row.deadline_at.isoformat()
             in_time = deadline is None or row.ts <= pd.Timestamp(deadline) + pd.Timedelta(seconds=grace)
             if ended or not in_time:
                 rejected += row.kind == "save"
@@ -70,17 +70,19 @@ def closed_attempts(events: DataFrame, grace: int = 3, late: str = "10 seconds")
                 answers[str(row.question_id)] = row.value
             elif row.kind == "submit":
                 ended = True
-                yield _closed(key[0], "submitted", row.ts, answers, rejected)
-        group.update((deadline, json.dumps(answers), rejected, ended))
+                yield _closed(key[0], "submitted", started, row.ts, answers, rejected)
+        group.update((started, deadline, json.dumps(answers), rejected, ended))
         if deadline is not None and not ended:
             group.setTimeoutTimestamp(max(int(pd.Timestamp(deadline).timestamp() * 1000) + 1000 * grace, group.getCurrentWatermarkMs() + 1))
 
     rows = events.withWatermark("ts", late).groupBy("attempt_id")
-    return rows.applyInPandasWithState(run, "attempt_id long, status string, ended_at timestamp, answered int, rejected int", "deadline string, answers string, rejected int, ended boolean", "append", GroupStateTimeout.EventTimeTimeout)
+    found = rows.applyInPandasWithState(run, "attempt_id long, status string, started_at timestamp, ended_at timestamp, answered int, rejected int, answers string", "started string, deadline string, answers string, rejected int, ended boolean", "append", GroupStateTimeout.EventTimeTimeout)
+    return found.withColumn("answers", F.from_json("answers", "map<string,string>"))
 
 
-def _closed(attempt: int, status: str, ended_at: pd.Timestamp, answers: dict, rejected: int) -> pd.DataFrame:
-    return pd.DataFrame({"attempt_id": [attempt], "status": [status], "ended_at": [ended_at], "answered": [sum(bool(v) for v in answers.values())], "rejected": [rejected]})
+def _closed(attempt: int, status: str, started: str | None, ended_at: pd.Timestamp, answers: dict, rejected: int) -> pd.DataFrame:
+    given = {q: v for q, v in answers.items() if v}
+    return pd.DataFrame({"attempt_id": [attempt], "status": [status], "started_at": [pd.Timestamp(started) if started else pd.NaT], "ended_at": [ended_at], "answered": [len(given)], "rejected": [rejected], "answers": [json.dumps(given)]})
 
 
 def closed_attempts_batch(events: DataFrame, now: str, grace: int = 3) -> DataFrame:
@@ -93,11 +95,12 @@ def closed_attempts_batch(events: DataFrame, now: str, grace: int = 3) -> DataFr
     rows = rows.join(submits, "attempt_id", "left")
     good = in_time & (F.col("submitted_at").isNull() | (F.col("ts") <= F.col("submitted_at")))
     saves = rows.where("kind = 'save'").groupBy("attempt_id", "question_id").agg(F.max_by(F.when(good, F.col("value")), F.when(good, F.col("ts"))).alias("value"), F.count_if(~good).alias("late"))
-    per = saves.groupBy("attempt_id").agg(F.count_if(F.coalesce("value", F.lit("")) != "").cast("int").alias("answered"), F.sum("late").cast("int").alias("rejected"))
-    head = rows.groupBy("attempt_id").agg(F.min("deadline_at").alias("deadline_at"), F.min("submitted_at").alias("submitted_at"))
+    given = F.when(F.coalesce("value", F.lit("")) != "", F.struct(F.col("question_id").cast("string").alias("key"), "value"))
+    per = saves.groupBy("attempt_id").agg(F.map_from_entries(F.collect_list(given)).alias("answers"), F.count_if(F.coalesce("value", F.lit("")) != "").cast("int").alias("answered"), F.sum("late").cast("int").alias("rejected"))
+    head = rows.groupBy("attempt_id").agg(F.min("deadline_at").alias("deadline_at"), F.min("submitted_at").alias("submitted_at"), F.min(F.when(F.col("kind") == "start", F.col("ts"))).alias("started_at"))
     over = F.col("deadline_at") + F.expr(f"INTERVAL {grace} SECONDS") < F.lit(now).cast("timestamp")
     out = head.where(F.col("submitted_at").isNotNull() | over).join(per, "attempt_id", "left")
-    return out.select("attempt_id", F.when(F.col("submitted_at").isNotNull(), "submitted").otherwise("expired").alias("status"), F.coalesce("submitted_at", "deadline_at").alias("ended_at"), F.coalesce("answered", F.lit(0)).alias("answered"), F.coalesce("rejected", F.lit(0)).alias("rejected"))
+    return out.select("attempt_id", F.when(F.col("submitted_at").isNotNull(), "submitted").otherwise("expired").alias("status"), "started_at", F.coalesce("submitted_at", "deadline_at").alias("ended_at"), F.coalesce("answered", F.lit(0)).alias("answered"), F.coalesce("rejected", F.lit(0)).alias("rejected"), F.coalesce("answers", F.create_map().cast("map<string,string>")).alias("answers"))
 
 
 def screen_time(events: DataFrame, most: int = 300) -> DataFrame:
