@@ -13,32 +13,31 @@ def first_answers(responses: DataFrame, users: DataFrame) -> DataFrame:
     """(user_id, question_id, letter): the first letter A-E of each user and question in a finished attempt; admins are left out."""
     students = users.where(~F.col("is_admin")).select("user_id")
     rows = responses.where((F.col("attempt_status") != "in_progress") & F.col("selected_answer").isin(*"ABCDE")).join(students, "user_id", "left_semi")
-    w = Window.partitionBy("user_id", "question_id").orderBy("attempt_id", "position")
-    return rows.withColumn("turn", F.row_number().over(w)).where("turn = 1").select("user_id", "question_id", F.col("selected_answer").alias("letter"))
+    return rows.groupBy("user_id", "question_id").agg(F.min_by("selected_answer", F.struct("attempt_id", "position")).alias("letter"))
 
 
 def judged(first: DataFrame, questions: DataFrame) -> DataFrame:
-    """Answers of qualified users to live questions, with the user's accuracy on all others and whether the user counts as strong.
+    """(question_id, correct_answer, letter, accuracy, n, high): how many qualified users of each accuracy gave each letter to a live question,
+    and whether they count as strong. The accuracy is that on all other questions.
 
-    The strong ones of a question are those from the accuracy of the k-th place on. That accuracy comes from how often each accuracy
-    occurs, so a question that everybody answers is not sorted answer by answer."""
-    qualified = first.groupBy("user_id").agg(F.count("*").alias("n_all")).where(F.col("n_all") >= QUALIFY).select("user_id")
+    The strong ones of a question are those from the accuracy of the k-th place on. Answers are counted once, by question, accuracy and
+    letter; places come from these counts, so a question that everybody answers is not sorted answer by answer."""
     keys = questions.where("status = 'live' AND correct_answer IS NOT NULL").select("question_id", "correct_answer")
-    rows = first.join(qualified, "user_id").join(keys, "question_id").withColumn("ok", (F.col("letter") == F.col("correct_answer")).cast("int"))
-    own = rows.groupBy("user_id").agg(F.count("*").alias("n"), F.sum("ok").alias("k")).where("n >= 2")
-    rows = rows.join(own, "user_id").withColumn("accuracy", F.bround((F.col("k") - F.col("ok")) / (F.col("n") - 1), 9))
-    by_accuracy = rows.groupBy("question_id", "accuracy").agg(F.count("*").alias("same"))
-    w = Window.partitionBy("question_id")
-    before = F.coalesce(F.sum("same").over(w.orderBy(F.desc("accuracy")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    places = by_accuracy.select("question_id", "accuracy", before.alias("before"), F.sum("same").over(w).alias("responders"))
-    k = F.greatest(F.lit(HIGH), F.ceil(F.col("responders") * SHARE))
-    cutoffs = places.where((F.col("responders") >= RESPONDERS) & (F.col("before") < k)).groupBy("question_id").agg(F.min("accuracy").alias("cutoff"))
-    return rows.join(cutoffs, "question_id").withColumn("high", F.col("accuracy") >= F.col("cutoff"))
-
-
-def verdicts(rows: DataFrame) -> DataFrame:
+    rows = first.join(keys, "question_id", "left").withColumn("ok", (F.col("letter") == F.col("correct_answer")).cast("int"))
+    own = rows.groupBy("user_id").agg(F.count("*").alias("n_all"), F.count("ok").alias("n"), F.sum("ok").alias("k")).where((F.col("n_all") >= QUALIFY) & (F.col("n") >= 2)).drop("n_all")
+    rows = rows.where("ok IS NOT NULL").join(own, "user_id").withColumn("accuracy", F.bround((F.col("k") - F.col("ok")) / (F.col("n") - 1), 9))
+    counts = rows.groupBy("question_id", "correct_answer", "letter", "accuracy").agg(F.count("*").alias("n"))
+    w = Window.partitionBy("question_id").orderBy(F.desc("accuracy"))
+    responders, upto = F.sum("n").over(Window.partitionBy("question_id")), F.sum("n").over(w.rangeBetween(Window.unboundedPreceding, 0))
+    counts = counts.withColumn("responders", responders).withColumn("before", upto - F.sum("n").over(Window.partitionBy("question_id", "accuracy")))
+    inside = F.col("before") < F.greatest(F.lit(HIGH), F.ceil(F.col("responders") * SHARE))
+    counts = counts.where(F.col("responders") >= RESPONDERS).withColumn("high", inside)
+    return counts.select("question_id", "correct_answer", "letter", "accuracy", "n", "high")
+
+
+def verdicts(counts: DataFrame) -> DataFrame:
     """One row for each question: most popular letter of the strong ones (the key wins ties), counts, and whether the key is suspicious."""
-    letters = rows.groupBy("question_id", "correct_answer", "letter").agg(F.count_if("high").alias("high_n"), F.count("*").alias("all_n"))
+    letters = counts.groupBy("question_id", "correct_answer", "letter").agg(F.sum(F.when(F.col("high"), F.col("n")).otherwise(0)).alias("high_n"), F.sum("n").alias("all_n"))
     best = F.max(F.struct("high_n", (F.col("letter") == F.col("correct_answer")).alias("is_key"), "letter"))
     found = letters.groupBy("question_id", "correct_answer").agg(best.alias("x"), F.sum("high_n").alias("high_n"), F.sum("all_n").alias("all_n"), F.sum(F.when(F.col("letter") == F.col("correct_answer"), F.col("high_n")).otherwise(0)).alias("key_n"))
     popular, n = F.col("x.letter"), F.col("x.high_n")
@@ -65,9 +64,8 @@ def reconcile(queue: DataFrame, found: DataFrame) -> DataFrame:
     return rows.select("question_id", status.alias("status"), action.alias("action")).where("action IS NOT NULL")
 
 
-def card(rows: DataFrame) -> DataFrame:
-    """(question_id, letter, n, percent) for the letters A-E among all responders."""
-    total = rows.groupBy("question_id").agg(F.count("*").alias("total"))
-    grid = total.select("question_id", "total", F.explode(F.array(*[F.lit(x) for x in "ABCDE"])).alias("letter"))
-    counts = rows.groupBy("question_id", "letter").agg(F.count("*").alias("n"))
-    return grid.join(counts, ["question_id", "letter"], "left").select("question_id", "letter", F.coalesce("n", F.lit(0)).alias("n"), F.bround(100.0 * F.coalesce("n", F.lit(0)) / F.col("total"), 0).cast("int").alias("percent"))
+def card(counts: DataFrame) -> DataFrame:
+    """(question_id, letter, n, percent) for the letters A-E among all responders, of counts as judged gives them."""
+    own = counts.groupBy("question_id").agg(F.sum("n").alias("total"), *[F.sum(F.when(F.col("letter") == x, F.col("n")).otherwise(0)).alias(x) for x in "ABCDE"])
+    rows = own.select("question_id", "total", F.explode(F.array(*[F.struct(F.lit(x).alias("letter"), F.col(x).alias("n")) for x in "ABCDE"])).alias("x"))
+    return rows.select("question_id", "x.letter", "x.n", F.bround(100.0 * F.col("x.n") / F.col("total"), 0).cast("int").alias("percent"))
