@@ -104,9 +104,13 @@ def sanity_flags(text: Column, options: Column) -> Column:
 
 
 def clean(s: Column) -> Column:
-    """One kind of line end, no control characters, written-out \\n as a line end, single spaces inside lines."""
-    out = F.regexp_replace(F.regexp_replace(F.regexp_replace(s, r"\\n", "\n"), r"\r\n?", "\n"), r"[\x00-\x08\x0B\x0C\x0E-\x1F]", "")
-    return F.trim(F.array_join(F.transform(F.split(out, "\n"), lambda x: F.trim(F.regexp_replace(x, r"[ \t\x{00A0}]+", " "))), "\n"))
+    """One kind of line end, no control characters, a written-out \\n as a line end where there is no real one, single spaces inside lines
+    and none around them."""
+    blank = r"[\s\p{Z}\x{0085}]+"
+    out = F.regexp_replace(F.regexp_replace(s, r"\r\n?", "\n"), r"[\x00-\x08\x0B\x0C\x0E-\x1F]", "")
+    out = F.when(out.contains("\n"), out).otherwise(F.replace(out, F.lit("\\n"), F.lit("\n")))
+    lines = F.transform(F.split(out, "\n"), lambda x: F.regexp_replace(F.regexp_replace(x, r"[ \t]+", " "), rf"^{blank}|{blank}$", ""))
+    return F.regexp_replace(F.array_join(lines, "\n"), rf"^{blank}|{blank}$", "")
 
 
 def option_key(s: Column) -> Column:

@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 
 from ..domain import with_views
 from ..functions import text
-from ..operators import analytics, hints, review, revision, sessions
+from ..operators import activity, analytics, dedup, hints, lists, review, revision, sessions
 from ..sources import files, importing, running
 from .oracles import _WEAK, LIVE, ORACLES, R
-from .queries import KEYWORDS, Tables, mistake_notebook, query
+from .queries import KEYWORDS, Tables, mistake_notebook, named_questions, numbered, query, stored_pairs
 
 # Inputs, in SQL that Spark and DuckDB both read: questions in two languages, cells of sheets, versions of parts.
 LANGUAGES = """
@@ -158,6 +158,47 @@ def values_as_of(spark, sf_dir):
     return review.as_of_each(events.where("event_id % 2 = 0"), moments, ["event_type", "value"]).select("moment_id", "entity", "event_type", "value")
 
 
+@query
+def decided_pairs(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    pairs = stored_pairs(named_questions(t)).withColumn("decided_at", F.when(F.col("newer") % 11 > 0, F.date_add(F.lit("2024-01-01").cast("date"), (F.col("newer") * 7 % 365).cast("int"))))
+    return dedup.decided_page(pairs, 50, t.questions.where("paper_id % 2 = 0"))
+
+
+@query
+def practice_screen_time(spark, sf_dir):
+    """Practice: what is answered counts no further time."""
+    events = Tables(spark, sf_dir).events
+    ts = F.col("ts").cast("timestamp")
+    return activity.screen_time(events.select(F.col("user_id").alias("attempt_id"), (F.col("event_id") % 20).alias("question_id"), ts.alias("ts"), "event_id", F.when(F.col("event_id") % 3 > 0, ts + F.expr("INTERVAL 40 SECONDS")).alias("answered_at")))
+
+
+@query
+def cleaned_texts(spark, sf_dir):
+    n = F.col("doc_id")
+    odd = F.when(n % 3 == 0, F.concat(F.lit("a\\n b \t c\u0001 \u00a0\n"), F.col("text"))).when(n % 3 == 1, F.concat(F.translate("text", "\n", " "), F.lit("\\n \\n end\r"))).otherwise(F.replace(F.col("text"), F.lit("\n"), F.lit("\r\n")))
+    return Tables(spark, sf_dir).documents.select("doc_id", text.clean(odd).alias("text"))
+
+
+@query
+def import_skip(spark, sf_dir):
+    q = numbered(Tables(spark, sf_dir))
+    return importing.apply_import(q.where("number % 3 < 2"), q.where("number % 3 > 0").withColumn("text", F.concat("text", F.lit("!"))), "skip").select("number", "text", "status", "action")
+
+
+def review_kind(show):
+    def make(spark, sf_dir):
+        q = Tables(spark, sf_dir).questions.withColumn("flags", F.when(F.col("flagged"), F.array(F.lit("odd"))))
+        return lists.review_list(q, show).select("question_id", "first")
+
+    make.__name__ = f"review_list_{show}"
+    return query(make)
+
+
+for _show in ("confirmed", "no_subject", "ai_answers"):
+    review_kind(_show)
+
+
 def listing(column: str) -> str:
     return f"string_split({column}, '|')"
 
@@ -242,3 +283,14 @@ ORACLES["values_as_of"] = """WITH v AS (SELECT user_id, ts, event_type, value FR
 SELECT e.event_id AS moment_id, e.user_id AS entity, v.event_type, v.value FROM (SELECT event_id, user_id, ts - INTERVAL 30 HOURS AS at_ FROM events) e ASOF LEFT JOIN v ON e.user_id = v.user_id AND e.at_ >= v.ts"""
 ORACLES["mistake_draw"] = f"SELECT user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY due NULLS LAST, question_id) AS INT) AS position, question_id FROM ({ORACLES['revision_schedule']}) WHERE status = 'active' QUALIFY position <= 5"
 ORACLES["mistake_draw_shuffled"] = f"SELECT user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY sha1('1:' || user_id || ':' || question_id)) AS INT) AS position, question_id FROM ({ORACLES['mistake_notebook']}) QUALIFY position <= 5"
+_PAIRS = ORACLES["duplicate_page"][: ORACLES["duplicate_page"].index("SELECT * FROM sp")]
+ORACLES["decided_pairs"] = _PAIRS + """SELECT * FROM (SELECT *, CASE WHEN newer % 11 > 0 THEN DATE '2024-01-01' + CAST(newer * 7 % 365 AS INT) END AS decided_at FROM sp) WHERE status <> 'open'
+  AND (newer IN (SELECT question_id FROM questions WHERE paper_id % 2 = 0) OR older IN (SELECT question_id FROM questions WHERE paper_id % 2 = 0)) ORDER BY decided_at DESC NULLS LAST, newer, older LIMIT 50"""
+ORACLES["practice_screen_time"] = """SELECT user_id AS attempt_id, event_id % 20 AS question_id, CAST(sum(CASE WHEN nx IS NULL THEN 0 ELSE least(CAST(floor((epoch_us(CASE WHEN event_id % 3 > 0 AND nx > ts + INTERVAL 40 SECONDS THEN ts + INTERVAL 40 SECONDS ELSE nx END) - epoch_us(ts)) / 1000000.0) AS BIGINT), 300) END) AS BIGINT) AS seconds
+FROM (SELECT *, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nx FROM events) GROUP BY ALL"""
+ORACLES["cleaned_texts"] = """WITH o AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'a\\n b ' || chr(9) || ' c' || chr(1) || ' ' || chr(160) || chr(10) || text WHEN 1 THEN translate(text, chr(10), ' ') || '\\n \\n end' || chr(13) ELSE replace(text, chr(10), chr(13) || chr(10)) END AS t FROM documents),
+l AS (SELECT doc_id, regexp_replace(regexp_replace(t, '\\r\\n?', chr(10), 'g'), '[\\x01-\\x08\\x0B\\x0C\\x0E-\\x1F]', '', 'g') AS t FROM o), r AS (SELECT doc_id, CASE WHEN contains(t, chr(10)) THEN t ELSE replace(t, '\\n', chr(10)) END AS t FROM l)
+SELECT doc_id, regexp_replace(array_to_string(list_transform(string_split(t, chr(10)), lambda x: regexp_replace(regexp_replace(x, '[ \\t]+', ' ', 'g'), '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g')), chr(10)), '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g') AS text FROM r"""
+ORACLES["import_skip"] = with_views("SELECT question_id AS number, CASE WHEN question_id % 3 = 2 THEN text || '!' ELSE text END AS text, CASE WHEN question_id % 3 = 2 THEN 'needs_review' ELSE status END AS status, CASE question_id % 3 WHEN 0 THEN 'kept' WHEN 1 THEN 'skipped' ELSE 'created' END AS action FROM questions", "questions")
+for _show, _rule in {"confirmed": "status IN ('verified', 'live')", "no_subject": "subject IS NULL", "ai_answers": "answer_source = 'ai' AND correct_answer IS NOT NULL"}.items():
+    ORACLES[f"review_list_{_show}"] = with_views(f"SELECT question_id, CAST(NOT flagged AS INT) AS first FROM questions WHERE status <> 'quarantined' AND {_rule}", "questions")

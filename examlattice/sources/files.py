@@ -5,6 +5,7 @@ from __future__ import annotations
 import csv
 import io
 import json
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -134,47 +135,76 @@ def raw_questions(objects: DataFrame) -> DataFrame:
     return parsed.select("file", "part", F.posexplode("x.questions").alias("place", "raw"))
 
 
+# What may stand between JSON objects, and the versions of their form that are read.
+BETWEEN = r"(?i)```(?:json)?|^json$|covered\s+questions?\s+\d+\s*(?:to|-|–|—)\s*\d+[^\n]*"
+VERSIONS = (1, 2)
+
+
+def _salvaged(text: str) -> list[dict]:
+    """The complete question objects of a list of questions that breaks off."""
+    begin, decoder, found = re.search(r'"questions"\s*:\s*\[', text), json.JSONDecoder(), []
+    at = begin.end() if begin else len(text)
+    while step := re.compile(r"[\s,]*(?=\{)").match(text, at):
+        try:
+            value, at = decoder.raw_decode(text, step.end())
+        except ValueError:
+            break
+        found.append(value)
+    return found
+
+
+def _form(value) -> tuple[dict | None, list[str]]:
+    """An object of questions, and what is wrong with its form; nothing, if that keeps it from being read."""
+    if isinstance(value, list):
+        return {"questions": value}, ["bare_list"]
+    version, codes = value.get("schema_version"), []
+    if version is None:
+        codes.append("no_schema_version")
+    elif isinstance(version, bool) or version not in VERSIONS:
+        return None, ["schema_version"]
+    if not isinstance(value.get("questions"), list):
+        return None, [*codes, "no_question_list"]
+    return value, codes
+
+
+def _parts(content: bytes) -> Iterator[tuple[dict | None, list[str], str | None, int | None]]:
+    """(object, codes, message, number near a break) for each JSON value of a file."""
+    try:
+        text = content.decode("utf-8-sig")
+    except UnicodeDecodeError:
+        yield None, ["not_utf8"], None, None
+        return
+    decoder, opening, at, n = json.JSONDecoder(), re.compile(r"[{\[]"), 0, 0
+    while start := opening.search(text, at):
+        codes = ["text_before"] if n == 0 and re.sub(BETWEEN, "", text[: start.start()], flags=re.M).strip(" \n\t`\"'") else []
+        try:
+            value, at = decoder.raw_decode(text, start.start())
+        except ValueError as e:
+            numbers = re.findall(r'"number"\s*:\s*(\d+)', text[: getattr(e, "pos", 0) or len(text)])
+            saved = _salvaged(text[start.start() :]) if n == 0 else []
+            yield {"schema_version": 2, "questions": saved} if saved else None, [*codes, "broken_rest" if n else "broken"], f"broken after {len(saved)} questions: {e.args[0]}", int(numbers[-1]) if numbers else None
+            return
+        n += 1
+        good, wrong = _form(value)
+        yield good, codes + wrong, None, None
+    if not n:
+        yield None, ["no_json"], "no JSON object", None
+    elif re.sub(BETWEEN, "", text[at:], flags=re.M).strip(" \n\t`\"'"):
+        yield None, ["text_after"], None, None
+
+
 def json_objects(files: DataFrame) -> DataFrame:
-    """(file, part, json, issue): the JSON objects of files that may hold several, between other lines and fences. A question object of
-    a file that breaks off is salvaged; issue says so."""
-
-    def salvage(text: str, at: int) -> list[str]:
-        decoder, found = json.JSONDecoder(), []
-        at = text.find("[", at)
-        while at >= 0:
-            at = text.find("{", at)
-            if at < 0:
-                break
-            try:
-                value, end = decoder.raw_decode(text, at)
-            except ValueError:
-                break
-            if isinstance(value, dict) and "number" in value:
-                found.append(json.dumps(value, ensure_ascii=False))
-            at = end
-        return found
+    """(file, part, json, issue, codes, near): the JSON objects of files that may hold several, between fences and lines that say what they cover.
+    A bare list counts as a list of questions. codes: what is wrong with a part, see importing.part_issues. Where the first object of
+    a file breaks off, its complete questions are salvaged; issue says where it broke, near which question. Part numbers count
+    what was found in a file, text behind the last object included."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        decoder = json.JSONDecoder()
         for batch in batches:
-            out = []
-            for file, content in zip(batch["file"], batch["content"]):
-                text, at, part = decode(content), 0, 0
-                while (at := text.find("{", at)) >= 0:
-                    part += 1
-                    try:
-                        value, end = decoder.raw_decode(text, at)
-                        out.append((file, part, json.dumps(value, ensure_ascii=False), None))
-                        at = end
-                    except ValueError as e:
-                        saved = salvage(text, at)
-                        out.append((file, part, json.dumps({"questions": [json.loads(s) for s in saved]}, ensure_ascii=False) if saved else None, f"broken after {len(saved)} questions: {e.args[0]}"))
-                        break
-                if not part:
-                    out.append((file, 0, None, "no JSON object"))
-            yield pd.DataFrame(out, columns=["file", "part", "json", "issue"])
-
-    return files.select("file", "content").mapInPandas(run, "file string, part int, json string, issue string")
+            out = [(file, n, json.dumps(value, ensure_ascii=False) if value is not None else None, issue, codes, near) for file, content in zip(batch["file"], batch["content"]) for n, (value, codes, issue, near) in enumerate(_parts(bytes(content)), 1)]
+            yield pd.DataFrame(out, columns=["file", "part", "json", "issue", "codes", "near"]).astype({"near": "Int32"})
+
+    return files.select("file", "content").mapInPandas(run, "file string, part int, json string, issue string, codes array<string>, near int")
 
 
 QUESTION = "struct<number:int,question:string,options:map<string,string>,question_hi:string,options_hi:map<string,string>,correct_answer:string,explanation:string,subject:string,topic:string,has_image:boolean,page:int,uncertain:boolean>"
@@ -187,12 +217,14 @@ def json_questions(objects: DataFrame) -> DataFrame:
 
 
 def book_chapters(spark: SparkSession, path: str) -> DataFrame:
-    """(file, subject, chapter_no, chapter, book_number, q): chapters of one object each, numbered through the book."""
+    """(file, book, subject, chapter_no, chapter, book_number, q): chapters of one object each, numbered through the book. A folder holds the
+    chapters of a book; its questions are as many as one task can number."""
     from pyspark.sql.window import Window
 
     schema = "subject string, chapter_no int, chapter string, question_count int, questions array<struct<id:string,number:int,question:string,options:map<string,string>,answer:string,explanation:string,page:int,needs_review:array<string>>>, _corrupt_record string"
     found = spark.read.schema(schema).option("multiLine", True).json(path).where("chapter_no IS NOT NULL").select(F.col("_metadata.file_path").alias("file"), "subject", "chapter_no", "chapter", F.posexplode("questions").alias("place", "q"))
-    w = Window.partitionBy("subject").orderBy("chapter_no", "q.number", "file", "place")
+    found = found.withColumn("book", F.regexp_replace("file", "/[^/]*$", ""))
+    w = Window.partitionBy("book", "subject").orderBy("chapter_no", "q.number", "file", "place")
     return found.withColumn("book_number", F.row_number().over(w))
 
 

@@ -56,6 +56,17 @@ def question_issues(questions: DataFrame, subjects: list[str]) -> DataFrame:
     return rows.select("file", "part", "place", F.col("q.number").alias("number"), F.explode(F.array_compact(F.array(*rules))).alias("x")).select("file", "part", "place", "number", "x.level", "x.code", "x.message")
 
 
+# How grave each code of files.json_objects is; all others are errors.
+PART_WARNINGS = ["bare_list", "no_schema_version", "text_before", "text_after"]
+
+
+def part_issues(objects: DataFrame) -> DataFrame:
+    """(file, part, level, code, number) of the parts of files (files.json_objects): what is wrong with their form, and the question near
+    which one breaks off."""
+    rows = objects.select("file", "part", F.explode("codes").alias("code"), F.col("near").alias("number"))
+    return rows.select("file", "part", F.when(F.col("code").isin(PART_WARNINGS), "warning").otherwise("error").alias("level"), "code", "number")
+
+
 def raw_issues(raw: DataFrame) -> DataFrame:
     """(file, part, place, level, code) for questions as JSON texts (file, part, place, raw): fields of a wrong type, and two answers."""
     x = F.parse_json("raw")

@@ -34,12 +34,6 @@ def last_writes(saves: DataFrame) -> DataFrame:
     return saves.groupBy("attempt_id", "question_id").agg(last("answer"), last("confidence"), last("marked"))
 
 
-def accepted(saves: DataFrame, attempts: DataFrame, grace: int = 3) -> DataFrame:
-    """Saves that came in time: up to `grace` seconds after the attempt's deadline."""
-    rows = saves.join(attempts.select("attempt_id", "deadline_at"), "attempt_id")
-    return rows.where(F.col("deadline_at").isNull() | (F.col("ts").cast("timestamp") <= F.col("deadline_at").cast("timestamp") + F.expr(f"INTERVAL {grace} SECONDS"))).drop("deadline_at")
-
-
 def expired(attempts: DataFrame, now: str, grace: int = 3) -> DataFrame:
     """(attempt_id, status, ended_at): running attempts past deadline and grace end at the deadline."""
     over = (F.col("status") == "in_progress") & (F.lit(now).cast("timestamp") > F.col("deadline_at") + F.expr(f"INTERVAL {grace} SECONDS"))

@@ -169,3 +169,42 @@ def test_sheet_cells_never_name_digits_or_words(spark):
     for r in found:
         bare = re.sub(r"[\s().:]", "", re.sub(r"^(option|answer|choice)", "", r.s.lower()))
         assert r.a == (bare.upper() if bare in set("abcd") else None), r.s
+
+
+def test_parts_of_json_files(spark, tmp_path):
+    q = lambda n: f'{{"number": {n}, "question": "What is {n}?"}}'
+    texts = {
+        "a": f'```json\n{{"schema_version": 2, "questions": [{q(1)}]}}\n```\nCovered questions 1 to 1.\n{{"questions": [{q(2)}]}}', "b": f"Here you are: [{q(1)}, {q(2)}] Good luck", "c": f'{{"schema_version": 2, "questions": [{q(1)}, {q(2)}, {{"number": 3, "ques',
+        "d": f'{{"schema_version": 1, "questions": [{q(1)}]}} {{"schema_version": 1, "questions": [{q(7)}', "e": "nothing", "f": '{"schema_version": true, "questions": []}', "g": '{"schema_version": 2, "questions": {}}', "h": b"\xff\xe9{}",
+    }
+    for name, content in texts.items():
+        (tmp_path / name).write_bytes(content if isinstance(content, bytes) else content.encode())
+    objects = files.json_objects(files.read_files(spark, f"{tmp_path}/*"))
+    issues = sorted((r.file[-1], r.part, r.level, r.code, r.number) for r in importing.part_issues(objects).collect())
+    assert issues == [
+        ("a", 2, "warning", "no_schema_version", None), ("b", 1, "warning", "bare_list", None), ("b", 1, "warning", "text_before", None), ("b", 2, "warning", "text_after", None), ("c", 1, "error", "broken", 3), ("d", 2, "error", "broken_rest", 7),
+        ("e", 1, "error", "no_json", None), ("f", 1, "error", "schema_version", None), ("g", 1, "error", "no_question_list", None), ("h", 1, "error", "not_utf8", None),
+    ]
+    assert sorted((r.file[-1], r.part, r.q.number) for r in files.json_questions(objects).collect()) == [("a", 1, 1), ("a", 2, 2), ("b", 1, 1), ("b", 1, 2), ("c", 1, 1), ("c", 1, 2), ("d", 1, 1)]
+
+
+def test_two_books_of_a_subject_are_numbered_apart(spark, tmp_path):
+    import json
+
+    for book in ("one", "two"):
+        (tmp_path / book).mkdir()
+        for chapter in (2, 1):
+            body = {"subject": "S", "chapter_no": chapter, "chapter": f"c{chapter}", "question_count": 2, "questions": [{"id": "x", "number": n, "question": f"{book} {chapter} {n}"} for n in (2, 1)]}
+            (tmp_path / book / f"{chapter}.json").write_text(json.dumps(body))
+    (tmp_path / "two" / "3.json").write_text("{broken")
+    found = sorted((r.book[-3:], r.book_number, r.q.question) for r in files.book_chapters(spark, f"{tmp_path}/*").collect())
+    assert found == [(b, i + 1, f"{b} {c} {n}") for b in ("one", "two") for i, (c, n) in enumerate(itertools.product((1, 2), (1, 2)))]
+    chapters = {(r.file[-10:], r.chapter_no, r.n, r.corrupt) for r in files.chapter_files(spark, f"{tmp_path}/*").collect()}
+    assert chapters == {(f"{b}/{c}.json", c, 2, None) for b in ("one", "two") for c in (1, 2)} | {("two/3.json", None, 0, "{broken")}
+
+
+def test_a_paper_in_order(spark):
+    from examlattice.operators import lists
+
+    q = spark.createDataFrame([(1, 1, None, 9), (1, 0, 3, 4), (1, 0, 2, 8), (1, 1, 1, 2), (1, 0, 2, 7)], "paper_id int, first int, question_number int, question_id long")
+    assert [r.question_id for r in lists.in_order(q).collect()] == [7, 8, 4, 2, 9] and [r.question_id for r in lists.in_order(q.drop("first")).collect()] == [2, 7, 8, 4, 9]
