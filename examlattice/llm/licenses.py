@@ -1,8 +1,9 @@
 """Licence notices: phrases, and templates found by a positional index of their rare words.
 
-The words of all templates get an inverse document frequency over all documents. Each mandatory key phrase of a template is posted
-under its rarest word, with the word's position: every place of that word in a document tells where the template would begin. It
-is laid there: a key phrase must stand in its place, and the weighted share of equal words must be large enough. However many
+The words of all templates get an inverse document frequency over all documents. A template is posted under its rarest words, with
+their positions, as many as hold more of its weight than a place of it may lack. In a document every such word tells where the
+templates that hold it would begin; postings that agree on a beginning add up, and only where they hold enough weight together can the
+template stand. What is left is verified last: a mandatory key phrase in full, and the weighted share of equal words. However many
 notices or licence words a document holds, none is left out.
 """
 
@@ -47,6 +48,10 @@ TEMPLATES = [
     ("cc0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work", ["waived all copyright and related or neighboring rights"]),
     ("cc-by-sa", "this work is licensed under a creative commons attribution sharealike 4 0 international license", ["creative commons attribution sharealike"]),
     ("cc-by-nd", "this work is licensed under a creative commons attribution noderivatives 4 0 international license", ["creative commons attribution noderivatives"]),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy", ["to any person obtaining a copy"]),
+    *[(label, f"spdx license identifier {name}", [f"spdx license identifier {name}"]) for label, name in (
+        ("mit", "mit"), ("apache", "apache"), ("gpl", "gpl"), ("lgpl", "lgpl"), ("agpl", "agpl"), ("bsd", "bsd"), ("isc", "isc"), ("mpl", "mpl"), ("epl", "epl"), ("zlib", "zlib"), ("boost", "bsl"), ("unlicense", "unlicense"),
+        ("cc0", "cc0"), ("cc-by-sa", "cc by sa"), ("cc-by-nd", "cc by nd"), ("cc-by-nc", "cc by nc"), ("cc-by", "cc by 4"), ("cc-by", "cc by 3"))],
     ("proprietary", "all rights reserved no part of this publication may be reproduced distributed or transmitted in any form or by any means without the prior written permission of the publisher", ["no part of this publication may be reproduced"]),
 ]
 
@@ -81,18 +86,25 @@ class Library:
         return np.where(self.vocabulary[at] == hashes, at, -1)
 
 
+#: Weight that a template's postings hold at least, beyond what a place may lack.
+BEYOND = 0.2
+
+
 class Scanner:
-    """A template's place needs one of its key phrases in full, so each place of a phrase's rarest word is looked up, and no other."""
+    """A place of a template lacks 1 - least of its weight at most. So of postings that hold more than that, those that agree on the place hold
+    the rest of their weight at least, whichever they are."""
 
     def __init__(self, library: Library, idf: np.ndarray, least: float):
         self.library, self.least = library, least
-        self.weight = [idf[library.number(t)] for t in library.texts]
-        postings = []
-        for t, (text, keys) in enumerate(zip(library.texts, library.keys)):
-            for p, k in keys:
-                at = p + int(np.argmax(self.weight[t][p : p + k]))
-                postings.append((int(library.number(text[at : at + 1])[0]), t, at, p, k))
-        self.postings = sorted(set(postings))
+        self.weight = [np.maximum(idf[library.number(t)], 1e-9) for t in library.texts]
+        self.postings, self.enough = [], []
+        for text, weight in zip(library.texts, self.weight):
+            order = np.argsort(-weight, kind="stable")
+            held = np.cumsum(weight[order])
+            n = int(np.searchsorted(held, min(1.0, 1 - least + BEYOND) * weight.sum() * (1 - 1e-12))) + 1
+            chosen = order[:n]
+            self.postings.append(list(zip(library.number(text[chosen]).tolist(), chosen.tolist())))
+            self.enough.append(float(weight[chosen].sum() - (1 - least) * weight.sum()))
 
     def find(self, hashes: np.ndarray, doc: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, int, float]]:
         """(document, template, weighted share) of each verified place: all that laying each template everywhere would find."""
@@ -100,15 +112,25 @@ class Scanner:
         own = np.flatnonzero(number >= 0)
         own = own[np.argsort(number[own], kind="stable")]
         begin = np.searchsorted(number[own], np.arange(len(self.library.vocabulary) + 1))
-        for word, t, at, p, k in self.postings:
+        for t, postings in enumerate(self.postings):
             text, weight = self.library.texts[t], self.weight[t]
-            start = own[begin[word] : begin[word + 1]] - at
-            d = doc[start + at]
-            fits = (start + p >= first[d]) & (start + p + k <= first[d + 1])
-            start, d = start[fits], d[fits]
-            for j in range(p, p + k):
-                same = hashes[start + j] == text[j]
-                start, d = start[same], d[same]
+            places = [own[begin[word] : begin[word + 1]] for word, _ in postings]
+            if not sum(map(len, places)):
+                continue
+            # a place is a document and a beginning, which may lie before the document's own
+            width = len(hashes) + len(text)
+            key = np.concatenate([doc[x] * width + (x - at + len(text)) for x, (_, at) in zip(places, postings)])
+            found, which = np.unique(key, return_inverse=True)
+            held = np.bincount(which, np.concatenate([np.full(len(x), weight[at]) for x, (_, at) in zip(places, postings)]))
+            found = found[held >= self.enough[t] - 1e-9]
+            d, start = found // width, found % width - len(text)
+            phrase = np.zeros(len(found), bool)
+            for p, k in self.library.keys[t]:
+                fits = (start + p >= first[d]) & (start + p + k <= first[d + 1])
+                for j in range(p, p + k):
+                    fits &= hashes[np.clip(start + j, 0, len(hashes) - 1)] == text[j]
+                phrase |= fits
+            d, start = d[phrase], start[phrase]
             share = np.zeros(len(start))
             for j in range(len(text)):
                 inside = (start + j >= first[d]) & (start + j < first[d + 1])

@@ -38,3 +38,16 @@ def test_many_notices_and_long_prose_equal_brute_force(spark):
     idf = dict(zip(words, np.log((n + 2) / (frequency[number] + 1))))
     found = {r.doc_id: set(filter(None, r.labels.split(","))) for r in licenses.scan(docs).collect()}
     assert found == {i: brute_labels(x, idf) for i, x in enumerate(texts)}
+
+
+def test_identifiers_and_first_sentences(spark):
+    texts = {"// SPDX-License-Identifier: GPL-3.0-only": "gpl", "# SPDX-License-Identifier: BSD-3-Clause": "bsd", "Permission is hereby granted, free of charge, to any person obtaining a copy": "mit", "SPDX license": "", "obtaining a copy of it": ""}
+    found = {r.doc_id: r.labels for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [found[i] for i in range(len(texts))] == list(texts.values())
+
+
+def test_postings_hold_more_than_a_place_may_lack(spark):
+    library = licenses.Library.of(licenses.TEMPLATES)
+    scanner = licenses.Scanner(library, np.linspace(0.1, 9, len(library.vocabulary)), 0.6)
+    for text, weight, postings, enough in zip(library.texts, scanner.weight, scanner.postings, scanner.enough):
+        assert enough > 0 and sum(weight[at] for _, at in postings) >= 0.6 * weight.sum() - 1e-6 and len(postings) < len(text) or len(text) < 8
