@@ -186,6 +186,31 @@ def import_skip(spark, sf_dir):
     return importing.apply_import(q.where("number % 3 < 2"), q.where("number % 3 > 0").withColumn("text", F.concat("text", F.lit("!"))), "skip").select("number", "text", "status", "action")
 
 
+#: Ways to name an answer, with a letter in them; and ways to write a share of a mark.
+SAYINGS = ["The correct answer is ({})", "hence option ({}) is correct.", "Answer: ({}) right", "so option ({})  is the right one", "final option - option ( {} )", "The answer is {}", "option ({}) is wrong, answer ({}) is correct", "correct answer ({}); right option (d)", ""]
+SHARES = ["1/3", " 2 / 3", "0.25", "1", "1.5", "0", "3/2", "1/0", "x", "", "-1/3", "1/3/2"]
+
+
+@query
+def explanation_letters(spark, sf_dir):
+    n = F.col("question_id")
+    said = F.element_at(F.array(*map(F.lit, SAYINGS)), (1 + n % len(SAYINGS)).cast("int"))
+    rows = Tables(spark, sf_dir).questions.select("question_id", F.replace(said, F.lit("{}"), F.when(n % 2 == 0, F.col("true_letter")).otherwise(F.lower("true_letter"))).alias("s"))
+    return rows.select("question_id", text.explanation_says(F.col("s")).alias("letter"))
+
+
+@query
+def question_languages(spark, sf_dir):
+    rows = languages(Tables(spark, sf_dir))
+    return rows.select("question_id", text.which(F.col("t"), F.col("h")).alias("languages"), F.bround(text.devanagari_share(F.concat_ws(" ", "t", "h")), 6).alias("share"))
+
+
+@query
+def mark_shares(spark, sf_dir):
+    said = F.element_at(F.array(*map(F.lit, SHARES)), (1 + F.col("question_id") % len(SHARES)).cast("int"))
+    return Tables(spark, sf_dir).questions.select("question_id", text.fraction(said).alias("share"))
+
+
 def review_kind(show):
     def make(spark, sf_dir):
         q = Tables(spark, sf_dir).questions.withColumn("flags", F.when(F.col("flagged"), F.array(F.lit("odd"))))
@@ -294,3 +319,10 @@ SELECT doc_id, regexp_replace(array_to_string(list_transform(string_split(t, chr
 ORACLES["import_skip"] = with_views("SELECT question_id AS number, CASE WHEN question_id % 3 = 2 THEN text || '!' ELSE text END AS text, CASE WHEN question_id % 3 = 2 THEN 'needs_review' ELSE status END AS status, CASE question_id % 3 WHEN 0 THEN 'kept' WHEN 1 THEN 'skipped' ELSE 'created' END AS action FROM questions", "questions")
 for _show, _rule in {"confirmed": "status IN ('verified', 'live')", "no_subject": "subject IS NULL", "ai_answers": "answer_source = 'ai' AND correct_answer IS NOT NULL"}.items():
     ORACLES[f"review_list_{_show}"] = with_views(f"SELECT question_id, CAST(NOT flagged AS INT) AS first FROM questions WHERE status <> 'quarantined' AND {_rule}", "questions")
+ORACLES["explanation_letters"] = with_views(f"""WITH s AS (SELECT question_id, replace(({SAYINGS!r})[CAST(1 + question_id % {len(SAYINGS)} AS INT)], '{{}}', CASE WHEN question_id % 2 = 0 THEN true_letter ELSE lower(true_letter) END) AS s FROM questions),
+f AS (SELECT question_id, list_distinct(list_transform(list_concat(list_concat(regexp_extract_all(s, '(?i)(?:correct|right|desired|final)\\s+(?:answer|option)\\s*(?:is|:|=|-)?\\s*(?:option\\s*)?\\(\\s*([a-e])\\s*\\)', 1),
+  regexp_extract_all(s, '(?i)(?:answer|option)\\s*(?:is|:|=)?\\s*\\(\\s*([a-e])\\s*\\)\\s*(?:is\\s+)?(?:the\\s+)?(?:correct|right)', 1)), regexp_extract_all(s, '(?i)\\boption\\s*\\(\\s*([a-e])\\s*\\)\\s+is\\s+(?:the\\s+)?(?:correct|right)', 1)), lambda x: upper(x))) AS l FROM s)
+SELECT question_id, CASE WHEN len(l) = 1 THEN l[1] END AS letter FROM f""", "questions")
+ORACLES["question_languages"] = with_views(f"""WITH l AS ({LANGUAGES.replace('{questions}', 'questions')}), a AS (SELECT question_id, coalesce(trim(t), '') <> '' AS en, coalesce(trim(h), '') <> '' AS hi, concat_ws(' ', t, h) AS x FROM l)
+SELECT question_id, CASE WHEN en AND hi THEN 'both' WHEN hi THEN 'hi' WHEN en THEN 'en' ELSE 'none' END AS languages, round_even({_SHARE('x')}, 6) AS share FROM a""", "questions")
+ORACLES["mark_shares"] = with_views(f"""SELECT question_id, (['0.3333', '0.6667', '0.25', '1', NULL, '0', NULL, NULL, NULL, NULL, NULL, NULL])[CAST(1 + question_id % {len(SHARES)} AS INT)]::DOUBLE AS share FROM questions""", "questions")
