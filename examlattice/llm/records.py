@@ -30,7 +30,8 @@ from ._store import shared_folder
 from ._text import chunks
 
 SHARD, CHUNK = 64 << 20, 16 << 20  #: bytes after which a shard ends, and that a reading task takes about
-CACHED, CACHED_BYTES, LONGEST = 400_000, 16 << 20, 64  #: pieces whose ids a Python worker keeps, their characters, and of the longest one
+CACHED, CACHED_BYTES, LONGEST = 1_200_000, 16 << 20, 64  #: pieces whose ids a Python worker keeps, their characters, and of the longest one
+TOGETHER = 64  #: new words that are encoded as one text
 HEADER, FLAGS, ENTRY = struct.Struct("<QI"), struct.Struct("<Bq"), struct.Struct("<QQ")
 HAS_ID, WIDE = 1, 2
 MASK = 0xA282EAD8
@@ -38,6 +39,8 @@ MASK = 0xA282EAD8
 #: The tokenizer never looks across these pieces: it cuts before a space that a mark or letter follows, and takes all but the last
 #: character of other white space as one. Where Python and the tokenizer may not agree on what is white space, whole texts are encoded.
 PIECES = re.compile(r" ?\S+|\s+(?!\S)|\s")
+#: Letters that every Unicode version knows; ASCII marks without the apostrophe.
+LATIN, MARKS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+"), "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 DOUBTFUL = re.compile("[\x1c-\x1f\x85᠎​-‏⁠﻿]")
 
 
@@ -46,6 +49,11 @@ def masked(data: bytes) -> int:
     return ((crc >> 15 | crc << 17) + MASK) & 0xFFFFFFFF
 
 
+def plain(line: str) -> bool:
+    """Whether a line is words with single spaces between them: what is printable holds no other white space."""
+    return line.isprintable() and "  " not in line and line[:1] not in ("", " ") and line[-1] != " "
+
+
 class Encoder:
     """Ids of whole texts as bytes; those of recurring pieces are kept."""
 
@@ -56,26 +64,92 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.special = re.compile("|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()) or r"(?!)")
-        self.known: dict[str, bytes] = {}
+        self.begins = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.begins[[i for token, i in self.tokenizer.get_vocab().items() if token.startswith("\u0120")]] = True  # how byte-level tokens write a space
+        self.known: dict[str, bytes] = {}  #: ids of pieces
+        self.spaced: dict[str, bytes] = {}  #: ids of a space and a word
+        self._retire()
+
+    def _retire(self) -> None:
+        """Starts a new generation of what is kept; of the last one only what is met again comes back."""
+        self.old = (self.known, self.spaced)
+        self.known, self.spaced = {}, {}
         self.chars = 0
 
+    def _missing(self, table: dict[str, bytes], old: dict[str, bytes], wanted: set[str]) -> list[str]:
+        """What is in neither generation; what the last one has is brought back."""
+        wanted = wanted.difference(table)
+        again = wanted.intersection(old)
+        table.update(zip(again, map(old.__getitem__, again)))
+        self.chars += sum(map(len, again))
+        return list(wanted - again)
+
     def packed(self, ids: list[int]) -> bytes:
         return np.array(ids, f"<u{self.width}").tobytes()
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [None if DOUBTFUL.search(t) or self.special.search(t) else PIECES.findall(t) for t in texts]
-        if len(self.known) > CACHED or self.chars > CACHED_BYTES:
-            self.known, self.chars = {}, 0
-        known = self.known
-        new = list({p for pieces in cut if pieces for p in pieces if p not in known})
+    def _learn(self, pieces: set[str]) -> list[str]:
+        """Adds the ids of pieces not known yet; returns the long ones, which are not to be kept."""
+        new = self._missing(self.known, self.old[0], pieces)
         for piece, found in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-            known[piece] = self.packed(found.ids)
-            self.chars += len(piece)
-        out = [self.packed(self.tokenizer.encode(t, add_special_tokens=False).ids) if pieces is None else b"".join(map(known.__getitem__, pieces)) for t, pieces in zip(texts, cut)]
-        for piece in new:
-            if len(piece) > LONGEST:
-                del known[piece]
-                self.chars -= len(piece)
+            self.known[piece] = self.packed(found.ids)
+        self.chars += sum(map(len, new))
+        return [p for p in new if len(p) > LONGEST]
+
+    def _learn_spaced(self, words: set[str]) -> list[str]:
+        """The same for a space and a word. Letters and the marks behind them are pieces of their own to the tokenizer, so that a word that is new
+        only for its full stop is not. New ones go to the tokenizer many at once, as that costs a fraction: a token that begins with a
+        space begins the next word."""
+        new, letters, marked = self._missing(self.spaced, self.old[1], words), [], []
+        for word in new:
+            core = word.rstrip(MARKS)
+            if len(core) == len(word) or not (core.isalpha() and (core.isascii() or LATIN.fullmatch(core))):
+                letters.append(word)
+            else:
+                marked.append((word, core, word[len(core) :]))
+        self._learn({mark for _, _, mark in marked})
+        self._learn_together(letters + self._missing(self.spaced, self.old[1], {core for _, core, _ in marked}.difference(letters)))
+        self.spaced.update((word, self.spaced[core] + self.known[mark]) for word, core, mark in marked)
+        self.chars += sum(map(len, new))
+        return [p for p in new if len(p) > LONGEST]
+
+    def _learn_together(self, new: list[str]) -> None:
+        if not new:
+            return
+        texts = [" ".join(["", *new[at : at + TOGETHER]]) for at in range(0, len(new), TOGETHER)]
+        ids = np.concatenate([np.array(x.ids, f"<u{self.width}") for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
+        data, ends = ids.tobytes(), [*(self.width * np.flatnonzero(self.begins[ids])).tolist(), self.width * len(ids)]
+        if len(ends) != len(new) + 1:
+            raise ValueError("the tokenizer does not cut at spaces")
+        self.spaced.update(zip(new, map(data.__getitem__, map(slice, ends, ends[1:]))))
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """A text of lines of words with single spaces is cut by splitting; any other one by PIECES, or not at all."""
+        if len(self.known) + len(self.spaced) > CACHED // 2 or self.chars > CACHED_BYTES // 2:
+            self._retire()
+        lines, pieces = [], []
+        for text in texts:
+            own = None if self.special.search(text) else [line.split(" ") for line in text.split("\n")]
+            if own and not all(map(plain, text.split("\n"))):
+                own = None
+            lines.append(own)
+            pieces.append(None if own or DOUBTFUL.search(text) or self.special.search(text) else PIECES.findall(text))
+        firsts = {words[0] for own in lines if own for words in own}
+        long = self._learn(firsts.union(["\n"], *[p for p in pieces if p]))
+        long_spaced = self._learn_spaced({word for own in lines if own for words in own for word in words})
+        known, spaced, end, out = self.known.__getitem__, self.spaced.__getitem__, self.known["\n"], []
+        for text, own, cut in zip(texts, lines, pieces):
+            if own:
+                out.append(end.join([known(words[0]) + b"".join(map(spaced, words[1:])) for words in own]))
+            elif cut is not None:
+                out.append(b"".join(map(known, cut)))
+            else:
+                out.append(self.packed(self.tokenizer.encode(text, add_special_tokens=False).ids))
+        for piece in long:
+            self.known.pop(piece, None)
+        for word in long_spaced:
+            self.spaced.pop(word, None)
+            self.spaced.pop(word.rstrip(MARKS), None)
+            self.known.pop(word[len(word.rstrip(MARKS)) :], None)
         return out
 
 
