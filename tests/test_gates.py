@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from examlattice.operators import review, sessions
+from examlattice.operators import hints, review, sessions
 
 QUESTION = "question_id long, paper_id int, status string, correct_answer string, flagged boolean, acknowledged boolean, answer_source string, has_image boolean, has_snapshot boolean"
 
@@ -71,8 +71,8 @@ def test_reports_have_limits(spark):
 
 
 def test_draws_are_whole_and_differ(spark):
-    pool = spark.range(500).select(F.col("id").alias("question_id"), F.lit("S").alias("subject"))
-    asked = spark.createDataFrame([(u, "S", n) for u, n in ((1, 10), (2, 10), (3, 1000))], "user_id long, subject string, count int")
+    pool = hints.draw_pool(spark.range(500).select(F.col("id").alias("question_id"), F.lit("S").alias("subject")), "subject")
+    asked = spark.createDataFrame([(u, ["subject:S"], n) for u, n in ((1, 10), (2, 10), (3, 1000))], "user_id long, areas array<string>, count int")
     found = {}
     for r in sessions.practice_draw(asked, pool).collect():
         found.setdefault(r.user_id, set()).add(r.question_id)
