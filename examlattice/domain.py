@@ -1,8 +1,12 @@
-"""The question bank's tables as views over the driver's tables; the same SQL text runs in Spark and in DuckDB."""
+"""The question bank's tables as views over the driver's tables; the same SQL text runs in Spark and in DuckDB. Spark joins the questions of
+responses first, see `responses`."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+_LINES = "SELECT l_orderkey AS attempt_id, l_partkey AS question_id, min(l_suppkey) AS s, CAST(min(l_quantity) AS INT) AS seconds, CASE min(l_returnflag) WHEN 'A' THEN 'sure' WHEN 'N' THEN 'guessed' ELSE 'no_idea' END AS confidence FROM {lineitem} GROUP BY l_orderkey, l_partkey"
 
 #: name -> (source tables, SQL). A name in braces is a source table or another view.
 VIEWS: dict[str, str] = {
@@ -31,26 +35,63 @@ SELECT o_orderkey AS attempt_id, o_custkey AS user_id,
 FROM {orders}""",
     "users": """
 SELECT c_custkey AS user_id, c_name AS display_name, c_custkey % 500 = 0 AS is_admin, CASE WHEN c_custkey % 20 = 3 THEN 'pending' ELSE 'approved' END AS status, c_custkey % 7 <> 0 AS show_on_leaderboard FROM {customer}""",
-    "responses": """
+    "responses": f"""
 SELECT r.attempt_id, r.question_id, a.user_id, a.kind, a.status AS attempt_status, a.started_at, CAST(row_number() OVER (PARTITION BY r.attempt_id ORDER BY r.question_id) AS INT) AS position,
   r.selected_answer, q.correct_answer, q.subject, q.topic, q.paper_id,
   CASE WHEN r.selected_answer IS NULL OR q.correct_answer IS NULL THEN NULL ELSE r.selected_answer = q.correct_answer END AS is_correct, r.confidence, r.seconds,
   2.0e0 AS marks_if_correct, 0.5e0 AS penalty_if_wrong
 FROM (SELECT g.*, CASE WHEN s % 10 = 9 THEN NULL WHEN (s * 7) % 100 < 30 + 6 * (o.o_custkey % 10) THEN substr('ABCD', CAST(1 + question_id % 4 AS INT), 1) ELSE substr('ABCD', CAST(1 + (question_id % 4 + 1 + s % 3) % 4 AS INT), 1) END AS selected_answer
-  FROM (SELECT l_orderkey AS attempt_id, l_partkey AS question_id, min(l_suppkey) AS s, CAST(min(l_quantity) AS INT) AS seconds, CASE min(l_returnflag) WHEN 'A' THEN 'sure' WHEN 'N' THEN 'guessed' ELSE 'no_idea' END AS confidence FROM {lineitem} GROUP BY l_orderkey, l_partkey) AS g
-  JOIN {orders} AS o ON g.attempt_id = o.o_orderkey) AS r
-JOIN {attempts} AS a ON r.attempt_id = a.attempt_id JOIN {questions} AS q ON r.question_id = q.question_id""",
+  FROM ({_LINES}) AS g
+  JOIN {{orders}} AS o ON g.attempt_id = o.o_orderkey) AS r
+JOIN {{attempts}} AS a ON r.attempt_id = a.attempt_id JOIN {{questions}} AS q ON r.question_id = q.question_id""",
 }
 NEEDS = {"questions": ["part"], "papers": ["questions"], "attempts": ["orders"], "users": ["customer"], "responses": ["lineitem", "orders", "attempts", "questions"]}
 
 
+#: The same for lines that have their question's columns already.
+_ASKED = VIEWS["responses"].replace(f"({_LINES})", "{asked}").replace(" JOIN {questions} AS q ON r.question_id = q.question_id", "").replace("q.", "r.")
+
+#: Lines for a task of a shuffle, so that its memory stays the same however many there are; questions that are sent to every task.
+TASK_ROWS, SENT_ROWS = 500_000, 200_000
+
+
+def spread(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """df by keys, in as many partitions as its `rows` rows need; as it is, if the session's number of shuffle partitions does for them."""
+    n = -(-rows // TASK_ROWS)
+    return df.repartition(n, *keys) if n > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A view, or one of the driver's tables."""
     if name not in VIEWS:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    if name == "responses":
+        return responses(spark, sf_dir)
     return spark.sql(VIEWS[name], **{n: view(spark, sf_dir, n) for n in NEEDS[name]})
 
 
+def n_lines(spark: SparkSession, sf_dir: str) -> int:
+    """From the files' footers."""
+    return view(spark, sf_dir, "lineitem").count()
+
+
+def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The view of this name, by attempt. Lines are shuffled once by attempt, and before that once by question where the questions are too
+    many to be sent to every task; nearly every line is an attempt's only one on its question, so none are counted together before."""
+    lines, questions, rows = view(spark, sf_dir, "lineitem"), view(spark, sf_dir, "questions"), n_lines(spark, sf_dir)
+    asked = questions.select("question_id", "correct_answer", "subject", "topic", "paper_id")
+
+    def by(df: DataFrame, key: str) -> DataFrame:
+        wide = spread(df, rows, key)
+        return df.repartition(key) if wide is df else wide
+
+    if questions.count() > SENT_ROWS:
+        found = by(spark.sql(_LINES, lineitem=by(lines, "l_partkey")).join(asked.hint("shuffle_hash"), "question_id"), "attempt_id")
+    else:
+        found = spark.sql(_LINES, lineitem=by(lines, "l_orderkey")).join(F.broadcast(asked), "question_id")
+    return spark.sql(_ASKED, asked=found, **{n: view(spark, sf_dir, n) for n in ("orders", "attempts")})
+
+
 def with_views(sql: str, *names: str) -> str:
     """DuckDB SQL that may read the named views."""
     order: list[str] = []

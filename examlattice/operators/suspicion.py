@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -16,16 +18,18 @@ def first_answers(responses: DataFrame, users: DataFrame) -> DataFrame:
     return rows.groupBy("user_id", "question_id").agg(F.min_by("selected_answer", F.struct("attempt_id", "position")).alias("letter"))
 
 
-def judged(first: DataFrame, questions: DataFrame) -> DataFrame:
+def judged(first: DataFrame, questions: DataFrame, by_question: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(question_id, correct_answer, letter, accuracy, n, high): how many qualified users of each accuracy gave each letter to a live question,
     and whether they count as strong. The accuracy is that on all other questions.
 
     The strong ones of a question are those from the accuracy of the k-th place on. Answers are counted once, by question, accuracy and
-    letter; places come from these counts, so a question that everybody answers is not sorted answer by answer."""
+    letter; places come from these counts, so a question that everybody answers is not sorted answer by answer. by_question may shuffle
+    very many answers by question."""
     keys = questions.where("status = 'live' AND correct_answer IS NOT NULL").select("question_id", "correct_answer")
     rows = first.join(keys, "question_id", "left").withColumn("ok", (F.col("letter") == F.col("correct_answer")).cast("int"))
     own = rows.groupBy("user_id").agg(F.count("*").alias("n_all"), F.count("ok").alias("n"), F.sum("ok").alias("k")).where((F.col("n_all") >= QUALIFY) & (F.col("n") >= 2)).drop("n_all")
     rows = rows.where("ok IS NOT NULL").join(own, "user_id").withColumn("accuracy", F.bround((F.col("k") - F.col("ok")) / (F.col("n") - 1), 9))
+    rows = by_question(rows.select("question_id", "correct_answer", "letter", "accuracy")) if by_question else rows
     counts = rows.groupBy("question_id", "correct_answer", "letter", "accuracy").agg(F.count("*").alias("n"))
     w = Window.partitionBy("question_id").orderBy(F.desc("accuracy"))
     responders, upto = F.sum("n").over(Window.partitionBy("question_id")), F.sum("n").over(w.rangeBetween(Window.unboundedPreceding, 0))

@@ -12,3 +12,23 @@ def test_mean_scores_are_exact_whatever_the_order(spark):
     assert {r.user_id: r.mean_score for r in analytics.overview(answers, scores).collect()} == {u: 48 for u in range(len(orders))}
     odd = scores.where("user_id < 2").withColumn("percent", F.col("percent") - 1)  # 47.5
     assert {r.mean_score for r in analytics.overview(answers.where("user_id < 2"), odd).collect()} == {48}
+
+
+def test_shuffles_of_responses_grow_with_the_lines(spark, monkeypatch):
+    from examlattice import domain
+    from examlattice.plans import oracles, queries
+
+    import duckdb
+
+    folder = "/root/testdata/sf0.001"
+    rows = domain.n_lines(spark, folder)
+    monkeypatch.setattr(domain, "TASK_ROWS", -(-rows // 9))
+    duck = duckdb.connect()
+    for t in ("part", "orders", "customer", "lineitem"):
+        duck.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
+    for sent in (0, 200_000):  # questions that are shuffled, and that are not
+        monkeypatch.setattr(domain, "SENT_ROWS", sent)
+        for name in ("subject_breakdown", "next_positions", "revision_schedule", "mistake_draw", "suspicion_cards"):
+            found = queries.QUERIES[name](spark, folder)
+            assert found.rdd.getNumPartitions() == 9 or name == "suspicion_cards"
+            assert sorted(map(str, map(tuple, found.collect()))) == sorted(map(str, duck.execute(oracles.ORACLES[name]).fetchall()))
