@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 PACE = 72  #: seconds for a question
 
@@ -67,16 +68,20 @@ def typical_seconds(responses: DataFrame) -> DataFrame:
     return responses.groupBy("attempt_id").agg(F.when(F.count(t) >= 3, F.median(t)).otherwise(F.lit(float(PACE))).alias("typical"))
 
 
-def mistake_reasons(responses: DataFrame, own: DataFrame | None = None) -> DataFrame:
-    """(attempt_id, question_id, reason) of each wrong answer. own (attempt_id, question_id, own_reason): reasons that learners gave
-    themselves; these stay."""
+def _reason() -> Column:
     s = F.col("seconds")
     sure = (
         F.when(F.coalesce(s, F.lit(0)) == 0, "conceptual_confusion").when(s < F.greatest(F.lit(8.0), 0.25 * F.col("typical")), "careless")
         .when(s > 2.5 * F.col("typical"), "time_pressure").otherwise("conceptual_confusion")
     )
     c = F.col("confidence")
-    reason = F.when(c == "no_idea", "knowledge_gap").when(c == "guessed", "guess_miss").when(c == "sure", sure).otherwise("unset")
+    return F.when(c == "no_idea", "knowledge_gap").when(c == "guessed", "guess_miss").when(c == "sure", sure).otherwise("unset")
+
+
+def mistake_reasons(responses: DataFrame, own: DataFrame | None = None) -> DataFrame:
+    """(attempt_id, question_id, reason) of each wrong answer. own (attempt_id, question_id, own_reason): reasons that learners gave
+    themselves; these stay."""
+    reason = _reason()
     found = responses.where(wrong()).join(typical_seconds(responses), "attempt_id")
     if own is not None:
         found = found.join(own, ["attempt_id", "question_id"], "left")
@@ -84,6 +89,14 @@ def mistake_reasons(responses: DataFrame, own: DataFrame | None = None) -> DataF
     return found.select("attempt_id", "question_id", reason.alias("reason"))
 
 
+def with_reasons(responses: DataFrame) -> DataFrame:
+    """responses with the reason of each wrong answer (see mistake_reasons), null for others. Reads the responses once."""
+    own = Window.partitionBy("attempt_id")
+    t = F.when(answered() & (F.col("seconds") > 0), F.col("seconds"))
+    typical = F.when(F.count(t).over(own) >= 3, F.median(t).over(own)).otherwise(F.lit(float(PACE)))
+    return responses.withColumn("typical", typical).withColumn("reason", F.when(wrong(), _reason())).drop("typical")
+
+
 def reason_counts(reasons: DataFrame) -> DataFrame:
     return reasons.groupBy("attempt_id", "reason").agg(F.count("*").alias("n"))
 

@@ -32,3 +32,20 @@ def test_shuffles_of_responses_grow_with_the_lines(spark, monkeypatch):
             found = queries.QUERIES[name](spark, folder)
             assert found.rdd.getNumPartitions() == 9 or name == "suspicion_cards"
             assert sorted(map(str, map(tuple, found.collect()))) == sorted(map(str, duck.execute(oracles.ORACLES[name]).fetchall()))
+
+
+def test_the_notebook_reads_the_responses_once(spark):
+    from examlattice.operators import grading, revision
+    from examlattice.plans import queries
+
+    folder = "/root/testdata/sf0.001"
+    for name in ("mistake_notebook", "notebook_counts", "notebook_revise"):
+        plan = queries.QUERIES[name](spark, folder)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Relation [l_orderkey") == 1
+    # few users and questions, so that folds are long; nobody's answers have no schedule
+    r = queries.Tables(spark, folder).responses.withColumn("user_id", F.when(F.col("user_id") % 7 > 0, F.col("user_id") % 3)).where("question_id < 40").localCheckpoint()
+    days = r.where("selected_answer IS NOT NULL AND is_correct IS NOT NULL AND attempt_status != 'in_progress'").select("user_id", "question_id", F.col("started_at").cast("date").alias("day"), (F.col("attempt_id") * 100 + F.col("position")).alias("seq"), F.col("is_correct").alias("correct"), "confidence")
+    apart = revision.notebook(r, grading.mistake_reasons(r), revision.schedule(days), queries.TODAY)
+    once = revision.notebook_at_once(grading.with_reasons(r), queries.TODAY)
+    assert sorted(map(str, once.collect())) == sorted(map(str, apart.collect()))
+    assert once.count() > 50
