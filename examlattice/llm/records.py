@@ -12,15 +12,18 @@ same for the shard's end, then their masked checksum. A manifest names the shard
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,7 +34,7 @@ from ._text import chunks
 
 SHARD, CHUNK = 64 << 20, 16 << 20  #: bytes after which a shard ends, and that a reading task takes about
 CACHED, CACHED_BYTES, LONGEST = 1_200_000, 16 << 20, 64  #: pieces whose ids a Python worker keeps, their characters, and of the longest one
-TOGETHER = 64  #: new words that are encoded as one text
+TOGETHER, TEXTS = 64, 4 << 20  #: new words that are encoded as one text; bytes of texts that are encoded in one call
 HEADER, FLAGS, ENTRY = struct.Struct("<QI"), struct.Struct("<Bq"), struct.Struct("<QQ")
 HAS_ID, WIDE = 1, 2
 MASK = 0xA282EAD8
@@ -49,107 +52,182 @@ def masked(data: bytes) -> int:
     return ((crc >> 15 | crc << 17) + MASK) & 0xFFFFFFFF
 
 
-def plain(line: str) -> bool:
-    """Whether a line is words with single spaces between them: what is printable holds no other white space."""
-    return line.isprintable() and "  " not in line and line[:1] not in ("", " ") and line[-1] != " "
+def plain(text: str) -> bool:
+    """Whether a text is lines of words with single spaces between them: what is printable holds no other white space."""
+    return text.replace("\n", "").isprintable() and text[:1] not in ("", " ", "\n") and text[-1] not in " \n" and not any(x in text for x in ("  ", " \n", "\n ", "\n\n"))
 
 
 class Encoder:
-    """Ids of whole texts as bytes; those of recurring pieces are kept."""
+    """Ids of whole texts as bytes; those of recurring pieces are kept.
+
+    What is kept has a key: a word alone stands for a space and the word; FIRST, LINE and PIECE before one for a text's first word, for a
+    line's end and the next one's first word, and for any other piece. No word of a plain text begins with these."""
+
+    FIRST, LINE, PIECE = "\r", "\n", "\0"
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.special = re.compile("|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()) or r"(?!)")
         self.begins = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.begins[[i for token, i in self.tokenizer.get_vocab().items() if token.startswith("\u0120")]] = True  # how byte-level tokens write a space
-        self.known: dict[str, bytes] = {}  #: ids of pieces
-        self.spaced: dict[str, bytes] = {}  #: ids of a space and a word
-        self._retire()
+        state, level = json.loads(self.tokenizer.to_str()), ByteLevel(add_prefix_space=False, use_regex=False)
+        whole = state.get("pre_tokenizer") or {}
+        #: how the tokenizer's model reads letters, where nothing but its bytes and spaces comes before the model
+        self.letters = {ord(c): level.pre_tokenize_str(c)[0][0] for c in map(chr, range(0xC0, 0x100)) if LATIN.fullmatch(c)}
+        if not (whole.get("type") == "ByteLevel" and whole.get("use_regex") and not whole.get("add_prefix_space") and not state.get("normalizer")):
+            self.letters = None
+        self._clear()
+
+    def _clear(self) -> None:
+        self.code: dict[str, int] = {}  #: key -> its place in the arrays
+        self.at, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)  #: where its ids begin, and how many there are
+        self.hits = np.zeros(1 << 16, np.int32)  #: calls in which it stood
+        self.ids = np.zeros(1 << 18, f"<u{self.width}")
+        self.used = self.chars = 0
+
+    @property
+    def known(self) -> list[str]:
+        """The pieces that are kept."""
+        return [k[1:] for k in self.code if k[0] in "\r\n\0"]
+
+    @property
+    def spaced(self) -> list[str]:
+        """The words that are kept with a space before them."""
+        return [k for k in self.code if k[0] not in "\r\n\0"]
 
     def _retire(self) -> None:
-        """Starts a new generation of what is kept; of the last one only what is met again comes back."""
-        self.old = (self.known, self.spaced)
-        self.known, self.spaced = {}, {}
-        self.chars = 0
-
-    def _missing(self, table: dict[str, bytes], old: dict[str, bytes], wanted: set[str]) -> list[str]:
-        """What is in neither generation; what the last one has is brought back."""
-        wanted = wanted.difference(table)
-        again = wanted.intersection(old)
-        table.update(zip(again, map(old.__getitem__, again)))
-        self.chars += sum(map(len, again))
-        return list(wanted - again)
+        """Forgets what stood in one call only, and the rarest others if too many are left or they are too long."""
+        keys, hits = list(self.code), self.hits[: len(self.code)]
+        order = np.argsort(-hits, kind="stable")
+        order = order[: min(int((hits >= 2).sum()), CACHED // 4)].tolist()
+        chars = np.cumsum([len(keys[i]) for i in order])
+        order = order[: int(np.searchsorted(chars, CACHED_BYTES // 4, "right"))]
+        ids, size = self._gather(np.array(order, np.int64))
+        self._clear()
+        self._add([keys[i] for i in order], ids, size)
+
+    def _add(self, keys: list[str], ids: np.ndarray, size: np.ndarray) -> None:
+        k, n = len(self.code), len(keys)
+        while k + n > len(self.at):
+            self.at, self.size, self.hits = (np.resize(x, 2 * len(x)) for x in (self.at, self.size, self.hits))
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.resize(self.ids, 2 * len(self.ids))
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.at[k : k + n] = self.used + np.cumsum(size) - size
+        self.size[k : k + n], self.hits[k : k + n] = size, 0
+        self.code.update(zip(keys, range(k, k + n)))
+        self.used += len(ids)
+        self.chars += sum(map(len, keys))
+
+    def _gather(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all places of code, one after the other, and how many each has."""
+        size = self.size[code]
+        ends = np.cumsum(size)
+        return self.ids[np.repeat(self.at[code] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)], size
 
     def packed(self, ids: list[int]) -> bytes:
         return np.array(ids, f"<u{self.width}").tobytes()
 
-    def _learn(self, pieces: set[str]) -> list[str]:
-        """Adds the ids of pieces not known yet; returns the long ones, which are not to be kept."""
-        new = self._missing(self.known, self.old[0], pieces)
-        for piece, found in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-            self.known[piece] = self.packed(found.ids)
-        self.chars += sum(map(len, new))
-        return [p for p in new if len(p) > LONGEST]
-
-    def _learn_spaced(self, words: set[str]) -> list[str]:
-        """The same for a space and a word. Letters and the marks behind them are pieces of their own to the tokenizer, so that a word that is new
-        only for its full stop is not. New ones go to the tokenizer many at once, as that costs a fraction: a token that begins with a
-        space begins the next word."""
-        new, letters, marked = self._missing(self.spaced, self.old[1], words), [], []
-        for word in new:
-            core = word.rstrip(MARKS)
-            if len(core) == len(word) or not (core.isalpha() and (core.isascii() or LATIN.fullmatch(core))):
-                letters.append(word)
+    def _learn(self, new: list[str]) -> list[str]:
+        """Adds the ids of new keys. The long ones come last and are returned: they are not to be kept.
+
+        Letters and the marks behind them are pieces of their own to the tokenizer, so that a word that is new only for its full stop is not."""
+        short = [k for k in new if len(k) <= LONGEST]
+        pieces, letters, others, marked = [], [], [], []
+        for key in short:
+            if key[0] in "\r\n\0":
+                pieces.append(key)
+                continue
+            core = key.rstrip(MARKS)
+            if not (core.isalpha() and (core.isascii() or LATIN.fullmatch(core))):
+                others.append(key)
+            elif len(core) == len(key):
+                letters.append(key)
             else:
-                marked.append((word, core, word[len(core) :]))
-        self._learn({mark for _, _, mark in marked})
-        self._learn_together(letters + self._missing(self.spaced, self.old[1], {core for _, core, _ in marked}.difference(letters)))
-        self.spaced.update((word, self.spaced[core] + self.known[mark]) for word, core, mark in marked)
-        self.chars += sum(map(len, new))
-        return [p for p in new if len(p) > LONGEST]
+                marked.append((key, core, self.PIECE + key[len(core) :]))
+        self._learn_pieces(pieces + sorted({mark for _, _, mark in marked}.difference(self.code, pieces)))
+        letters += [core for core in {core for _, core, _ in marked}.difference(letters) if core not in self.code]
+        if self.letters is None:
+            others += letters
+        else:
+            self._learn_letters(letters)
+        self._learn_together(others)
+        if marked:
+            ids, size = self._gather(np.fromiter((self.code[x] for _, core, mark in marked for x in (core, mark)), np.int64, 2 * len(marked)))
+            self._add([key for key, _, _ in marked], ids, size.reshape(-1, 2).sum(1))
+        long = [k for k in new if len(k) > LONGEST]
+        self._learn_pieces(long)
+        return long
+
+    def _learn_pieces(self, keys: list[str]) -> None:
+        """Each for itself."""
+        texts = [k[1:] if k[0] in "\r\n\0" else f" {k}" for k in keys]
+        found = [x.ids for x in self.tokenizer.encode_batch_fast([self.LINE, *texts], add_special_tokens=False)]
+        end = found.pop(0)
+        ids = [[*end, *own] if k[0] == self.LINE else own for k, own in zip(keys, found)]
+        self._add(keys, np.fromiter(chain.from_iterable(ids), self.ids.dtype), np.fromiter(map(len, ids), np.int64, len(ids)))
+
+    def _learn_letters(self, new: list[str]) -> None:
+        """Words of known letters alone are one piece with the space before them, which the tokenizer's model takes as it is."""
+        tokenize, table = self.tokenizer.model.tokenize, self.letters
+        ids = [[t.id for t in tokenize("\u0120" + (w if w.isascii() else w.translate(table)))] for w in new]
+        self._add(new, np.fromiter(chain.from_iterable(ids), self.ids.dtype), np.fromiter(map(len, ids), np.int64, len(ids)))
 
     def _learn_together(self, new: list[str]) -> None:
+        """New words go to the tokenizer many at once, as that costs a fraction: a token that begins with a space begins the next word."""
         if not new:
             return
         texts = [" ".join(["", *new[at : at + TOGETHER]]) for at in range(0, len(new), TOGETHER)]
-        ids = np.concatenate([np.array(x.ids, f"<u{self.width}") for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
-        data, ends = ids.tobytes(), [*(self.width * np.flatnonzero(self.begins[ids])).tolist(), self.width * len(ids)]
-        if len(ends) != len(new) + 1:
+        ids = np.concatenate([np.array(x.ids, self.ids.dtype) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
+        first = np.flatnonzero(self.begins[ids])
+        if len(first) != len(new):
             raise ValueError("the tokenizer does not cut at spaces")
-        self.spaced.update(zip(new, map(data.__getitem__, map(slice, ends, ends[1:]))))
+        self._add(new, ids, np.diff(first, append=len(ids)))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """A text of lines of words with single spaces is cut by splitting; any other one by PIECES, or not at all."""
-        if len(self.known) + len(self.spaced) > CACHED // 2 or self.chars > CACHED_BYTES // 2:
+        """A text of lines of words with single spaces is cut at spaces; any other one by PIECES, or not at all."""
+        if len(self.code) > CACHED // 2 or self.chars > CACHED_BYTES // 2:
             self._retire()
-        lines, pieces = [], []
-        for text in texts:
-            own = None if self.special.search(text) else [line.split(" ") for line in text.split("\n")]
-            if own and not all(map(plain, text.split("\n"))):
-                own = None
-            lines.append(own)
-            pieces.append(None if own or DOUBTFUL.search(text) or self.special.search(text) else PIECES.findall(text))
-        firsts = {words[0] for own in lines if own for words in own}
-        long = self._learn(firsts.union(["\n"], *[p for p in pieces if p]))
-        long_spaced = self._learn_spaced({word for own in lines if own for words in own for word in words})
-        known, spaced, end, out = self.known.__getitem__, self.spaced.__getitem__, self.known["\n"], []
-        for text, own, cut in zip(texts, lines, pieces):
-            if own:
-                out.append(end.join([known(words[0]) + b"".join(map(spaced, words[1:])) for words in own]))
-            elif cut is not None:
-                out.append(b"".join(map(known, cut)))
+        out: list[bytes] = [b""] * len(texts)
+        lines, cut, odd, pieces = [], [], [], []
+        for i, text in enumerate(texts):
+            if self.special.search(text):
+                out[i] = self.packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
+            elif plain(text):
+                cut.append(i)
+                lines.append(self.FIRST + text.replace("\n", f" {self.LINE}"))
+            elif DOUBTFUL.search(text):
+                out[i] = self.packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
             else:
-                out.append(self.packed(self.tokenizer.encode(text, add_special_tokens=False).ids))
-        for piece in long:
-            self.known.pop(piece, None)
-        for word in long_spaced:
-            self.spaced.pop(word, None)
-            self.spaced.pop(word.rstrip(MARKS), None)
-            self.known.pop(word[len(word.rstrip(MARKS)) :], None)
+                odd.append(i)
+                pieces.append([self.PIECE + p for p in PIECES.findall(text)])
+        words = pc.split_pattern(pa.array(lines, pa.large_string()), " ")
+        keys = pa.concat_arrays([words.flatten(), pa.array(chain.from_iterable(pieces), pa.large_string())])
+        found = keys.dictionary_encode()
+        own = found.dictionary.to_numpy(zero_copy_only=False).tolist()
+        code = np.fromiter(map(self.code.get, own, repeat(-1)), np.int64, len(own))
+        missing = np.flatnonzero(code < 0)
+        new = [own[i] for i in missing.tolist()]
+        long = self._learn(new)
+        code[missing] = np.fromiter(map(self.code.__getitem__, new), np.int64, len(new))
+        self.hits[code] += 1
+        ids, size = self._gather(code[found.indices.to_numpy()])
+        ends = np.concatenate([[0], np.cumsum(size)])
+        counts = [*pc.list_value_length(words).to_pylist(), *map(len, pieces)]
+        at = (self.width * ends[np.concatenate([[0], np.cumsum(counts, dtype=np.int64)]).astype(np.int64)]).tolist()
+        data = memoryview(ids.tobytes())
+        for i, start, stop in zip(cut + odd, at, at[1:]):
+            out[i] = bytes(data[start:stop])
+        if long:
+            self.used -= sum(int(self.size[self.code[k]]) for k in long)
+            self.chars -= sum(map(len, long))
+            for k in long:
+                del self.code[k]
         return out
 
 
@@ -219,7 +297,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, *, end: int = 2, text: s
         own, task = encoder(tokenizer), TaskContext.get()
         stop, shard, done = own.packed([end]), None, []
         for batch in batches:
-            for at, texts in chunks(batch.column("t")):
+            for at, texts in chunks(batch.column("t"), TEXTS):
                 for i, ids in zip(batch.column("doc_id").slice(at, len(texts)).to_pylist(), own.encode(texts.to_pylist())):
                     if shard is None:
                         if not done:

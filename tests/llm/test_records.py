@@ -99,3 +99,26 @@ def test_shards_end(tmp_path, monkeypatch):
     name, n, tokens, size = shard.close()
     assert (n, tokens, size) == (3, 3, (tmp_path / "s.rec").stat().st_size)
     assert records.masked(b"") == 0xA282EAD8
+
+
+def test_each_distinct_word_of_a_call_is_looked_up_once(monkeypatch):
+    looked = []
+
+    class Counted(dict):
+        def get(self, *x):
+            looked.append(x[0])
+            return super().get(*x)
+
+    own = records.Encoder(PATH)
+    own.code = Counted()
+    some = ["one two, two\nthree " + "x" * 100 + " two, two é été. don't's"] * 50 + ["  odd\ttext  "] * 50
+    want = [own.tokenizer.encode(t, add_special_tokens=False).ids for t in some]
+    for _ in range(2):
+        assert [np.frombuffer(p, "<u2").tolist() for p in own.encode(some)] == want
+    assert len(looked) < 40
+    monkeypatch.setattr(records, "CACHED", 40)  # what is kept stays bounded, and what comes back is right
+    for n in range(60):
+        some = [" ".join(f"w{n}" + "abcdefgh"[i] * (1 + i % 3) + ".," [i % 2] for i in range(8)), "the same words"]
+        assert [np.frombuffer(p, "<u2").tolist() for p in own.encode(some)] == [own.tokenizer.encode(t, add_special_tokens=False).ids for t in some]
+        assert len(own.code) <= 60
+    assert "same" in own.code
