@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -47,6 +50,20 @@ def summary_counts(responses: DataFrame) -> DataFrame:
     return responses.groupBy("attempt_id").agg(F.count("*").alias("total"), F.count_if(answered).alias("answered"), F.count_if(~answered).alias("unanswered"), F.count_if(~F.coalesce("visited", F.lit(False))).alias("not_visited"), F.count_if(F.coalesce("marked", F.lit(False))).alias("marked"), F.count_if(unrated).alias("unrated"))
 
 
+def _chance(*parts: object) -> int:
+    """The first 15 hexadecimal digits of a hash."""
+    return int.from_bytes(hashlib.sha1(":".join(map(str, parts)).encode()).digest()[:8], "big") >> 4
+
+
+def _numbers(seed: str, user: str, n: int, k: int) -> list[int]:
+    """k of the numbers below n in random order (see practice_draw)."""
+    taken: set[int] = set()
+    for j in range(n - k, n):
+        t = _chance(seed, user, j) % (j + 1)
+        taken.add(j if t in taken else t)
+    return [t for _, t in sorted((_chance(seed, user, "order", t), t) for t in taken)]
+
+
 def practice_draw(requests: DataFrame, pool: DataFrame, seed: str = "1") -> DataFrame:
     """(user_id, position, question_id): for each request (user_id, areas array<string>, count) `count` questions, MOST at most, drawn at random
     from all its areas of the pool (area, at, question_id; see hints.draw_pool), in random order and without repeats. One area is a topic
@@ -56,24 +73,20 @@ def practice_draw(requests: DataFrame, pool: DataFrame, seed: str = "1") -> Data
     is equally likely, and only the k numbers drawn meet the pool. Random numbers are hashes of seed, user and j, so a draw can be
     repeated."""
 
-    def chance(*parts: Column) -> Column:
-        return F.conv(F.substring(F.sha1(F.concat_ws(":", F.lit(seed), F.col("user_id").cast("string"), *parts)), 1, 15), 16, 10).cast("long")
+    @F.pandas_udf("array<bigint>")
+    def drawn(users: pd.Series, n: pd.Series, k: pd.Series) -> pd.Series:
+        return pd.Series([_numbers(seed, *x) for x in zip(users.tolist(), n.tolist(), k.tolist())], dtype=object)
 
     sizes = pool.groupBy("area").agg(F.count("*").alias("n"))
     asked = requests.select("user_id", "count", F.explode(F.array_distinct("areas")).alias("area")).join(sizes, "area")
     asked = asked.groupBy("user_id", "count").agg(F.array_sort(F.collect_list(F.struct("area", "n"))).alias("areas"))
     ends = F.transform(F.sequence(F.lit(1), F.size("areas")), lambda i: F.aggregate(F.slice("areas", F.lit(1), i), F.lit(0).cast("long"), lambda a, x: a + x["n"]))
     asked = asked.withColumn("ends", ends).withColumn("n", F.element_at("ends", -1)).withColumn("k", F.least(F.greatest("count", F.lit(1)).cast("long"), F.lit(MOST).cast("long"), "n"))
-
-    def take(taken: Column, j: Column) -> Column:
-        t = F.pmod(chance(j.cast("string")), j + 1)
-        return F.array_append(taken, F.when(F.array_contains(taken, t), j).otherwise(t))
-
-    drawn = F.aggregate(F.sequence(F.col("n") - F.col("k"), F.col("n") - 1), F.array().cast("array<bigint>"), take)
-    mixed = F.array_sort(F.transform("drawn", lambda t: F.struct(chance(F.lit("order"), t.cast("string")).alias("h"), t.alias("t"))))
-    rows = asked.withColumn("drawn", drawn).select("user_id", "areas", "ends", F.posexplode(F.transform(mixed, lambda x: x["t"])).alias("i", "t"))
-    which = F.size(F.filter("ends", lambda e: e <= F.col("t")))
-    rows = rows.select("user_id", (F.col("i") + 1).alias("position"), F.get("areas", which)["area"].alias("area"), (F.col("t") - F.when(which > 0, F.get("ends", which - 1)).otherwise(0)).alias("at"))
+    # a request is few bytes and much work, so by their bytes all would go to one task; by user_id itself they may lie as one already
+    asked = asked.repartition(int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("user_id"))
+    rows = asked.select("user_id", "areas", "ends", F.posexplode(drawn(F.col("user_id").cast("string"), "n", "k")).alias("i", "t"))
+    rows = rows.withColumn("which", F.size(F.filter("ends", lambda e: e <= F.col("t"))))
+    rows = rows.select("user_id", (F.col("i") + 1).alias("position"), F.get("areas", F.col("which"))["area"].alias("area"), (F.col("t") - F.when(F.col("which") > 0, F.get("ends", F.col("which") - 1)).otherwise(0)).alias("at"))
     return rows.join(pool, ["area", "at"]).select("user_id", "position", "question_id")
 
 

@@ -49,3 +49,19 @@ def test_the_notebook_reads_the_responses_once(spark):
     once = revision.notebook_at_once(grading.with_reasons(r), queries.TODAY)
     assert sorted(map(str, once.collect())) == sorted(map(str, apart.collect()))
     assert once.count() > 50
+
+
+def test_practice_is_drawn_by_many_tasks(spark):
+    """Few bytes and much work: requests that were grouped by user before must not be gathered in one task."""
+    from examlattice.plans import oracles, queries
+
+    import duckdb
+
+    folder = "/root/testdata/sf0.001"
+    found = queries.QUERIES["practice_draw"](spark, folder)
+    assert found.rdd.getNumPartitions() == 4
+    assert len({r.p for r in found.select(F.spark_partition_id().alias("p")).distinct().collect()}) > 1
+    duck = duckdb.connect()
+    for t in ("part", "orders"):
+        duck.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
+    assert sorted(map(tuple, found.collect())) == sorted(duck.execute(oracles.ORACLES["practice_draw"]).fetchall())
