@@ -56,9 +56,12 @@ TASK_ROWS, SENT_ROWS = 500_000, 200_000
 
 
 def spread(df: DataFrame, rows: int, *keys: str) -> DataFrame:
-    """df by keys, in as many partitions as its `rows` rows need; as it is, if the session's number of shuffle partitions does for them."""
-    n = -(-rows // TASK_ROWS)
-    return df.repartition(n, *keys) if n > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+    """df by keys, in as many partitions as its `rows` rows need, one for each core at least; as it is, if one does for them. A fixed number:
+    Spark gathers partitions of its own number by their bytes, in one for each core, however many rows these are."""
+    n, session = -(-rows // TASK_ROWS), df.sparkSession
+    if n <= 1:
+        return df
+    return df.repartition(max(n, min(session.sparkContext.defaultParallelism, int(session.conf.get("spark.sql.shuffle.partitions")))), *keys)
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -65,3 +65,14 @@ def test_practice_is_drawn_by_many_tasks(spark):
     for t in ("part", "orders"):
         duck.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
     assert sorted(map(tuple, found.collect())) == sorted(duck.execute(oracles.ORACLES["practice_draw"]).fetchall())
+
+
+def test_a_task_has_no_more_lines_than_it_should(spark, monkeypatch):
+    """Also where the session has more shuffle partitions than the lines call for, which Spark would gather."""
+    from examlattice import domain
+    from examlattice.plans import queries
+
+    folder = "/root/testdata/sf0.001"
+    monkeypatch.setattr(domain, "TASK_ROWS", -(-domain.n_lines(spark, folder) // 3))
+    for name in ("revision_schedule", "mistake_draw"):
+        assert queries.QUERIES[name](spark, folder).rdd.getNumPartitions() == 4
