@@ -6,14 +6,22 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Devanagari letters and signs that count as word characters; words that mark a subject.
-WORD = r"[^a-z0-9\x{0900}-\x{0963}\x{0970}-\x{097F}]+"
+LETTERS = r"a-z0-9\x{0900}-\x{0963}\x{0970}-\x{097F}"
+WORD = rf"[^{LETTERS}]+"
+#: The same without single spaces, which words() would put back one by one.
+GAP = rf"[^{LETTERS} ][^{LETTERS}]*+| [^{LETTERS}]++"
 DEVANAGARI = r"[^\x{0900}-\x{097F}]"
 HINDI_KEYS = {"क": "A", "ख": "B", "ग": "C", "घ": "D"}
 
 
 def words(s: Column) -> Column:
     """Lower case, only word characters, single spaces."""
-    return F.trim(F.regexp_replace(F.lower(F.coalesce(s, F.lit(""))), WORD, " "))
+    return F.trim(F.regexp_replace(F.lower(F.coalesce(s, F.lit(""))), GAP, " "))
+
+
+def has_words(s: Column) -> Column:
+    """Whether words is not empty, told by the first word character."""
+    return F.lower(s).rlike(f"[{LETTERS}]")
 
 
 def squeeze(s: Column) -> Column:

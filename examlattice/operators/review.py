@@ -276,10 +276,11 @@ def subject_by_range(questions: DataFrame, ranges: DataFrame) -> DataFrame:
     return rows.groupBy("question_id").agg(F.max_by("subject", "place").alias("subject"))
 
 
-def line_repeats(lines: DataFrame, least: int = 3, share: float = 0.4, band: float | None = None) -> DataFrame:
+def line_repeats(lines: DataFrame, least: int = 3, share: float = 0.4, band: float | None = None, pages: DataFrame | None = None) -> DataFrame:
     """(paper_id, line): normalised lines that stand on `share` of a paper's pages, and on `least`: running heads and overlays. band: only
-    lines in the upper and lower tenth (say) of a page count; they then have a place (0 top, 1 bottom)."""
-    pages = lines.groupBy("paper_id").agg(F.count_distinct("page").alias("pages"))
+    lines in the upper and lower tenth (say) of a page count; they then have a place (0 top, 1 bottom). pages (paper_id, page): the pages
+    that hold a line, where they can be told without making all lines a second time."""
+    pages = (lines if pages is None else pages).groupBy("paper_id").agg(F.count_distinct("page").alias("pages"))
     if band is not None:
         lines = lines.where((F.col("place") < band) | (F.col("place") > 1 - band))
     found = lines.groupBy("paper_id", "line").agg(F.count_distinct("page").alias("n"))

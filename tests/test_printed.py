@@ -110,3 +110,19 @@ def test_key_files_and_reports(spark, tmp_path):
     assert [(r.key_id[-5], r.error, r.number) for r in errors.collect()] == [("b", "conflict", 1)]
     importing.write_report(errors.withColumn("level", F.lit("error")), f"{tmp_path}/report")
     assert spark.read.json(f"{tmp_path}/report").count() == 1
+
+
+def test_lines_are_normalised_once(spark, tmp_path):
+    """Lines are cut and normalised in one place of the plan, and words leave single spaces alone."""
+    from examlattice.plans import queries
+
+    rows = [(i, f"Head of {'A' if i % 2 else 'a'}\n{'--  ' if i % 3 else 'w' + str(i)}\n" + "\n".join(f"own {i} {k}" for k in range(18)) + "\n  foot\u0964  9 ", "s") for i in range(9)] + [(90, " \n--", "s"), (91, None, "s"), (92, "Only, this", None)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    for name in ("line_repeats", "running_lines"):
+        found = queries.QUERIES[name](spark, str(tmp_path))
+        assert sorted(map(tuple, found.collect())) == [("s", "foot 9", 9), ("s", "head of a", 9)]
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("split(") <= 3 and plan.count("regexp_replace(") == 1 and plan.count("Generate ") == 1
+    odd = ["a b", "a  b", " a b ", "a, b", "a ,b", "a\tb", "\u0964", " ", "", "A-B c", "x \u00e9 y", "a \n b", ".a", "a.", "..", ". a .. b  .", None, "\u0915 \u0916", "a\u00a0b", "a \u00a0b"]
+    q = spark.createDataFrame([(x,) for x in odd], "s string").select(text.words(F.col("s")), F.trim(F.regexp_replace(F.lower(F.coalesce("s", F.lit(""))), text.WORD, " ")), F.coalesce(text.has_words(F.col("s")), F.lit(False)))
+    assert all(a == b and (a != "") == c for a, b, c in q.collect())
