@@ -14,6 +14,19 @@ def test_mean_scores_are_exact_whatever_the_order(spark):
     assert {r.mean_score for r in analytics.overview(answers.where("user_id < 2"), odd).collect()} == {48}
 
 
+def test_mean_scores_of_two_tests_are_those_of_the_sql(spark):
+    """Two doubles have one sum in whatever order: 41.7 and -16.7 give a little more than 25, and 13 where whole tenths gave 12."""
+    import duckdb
+
+    pairs = [[-16.7, 41.7], [41.7, -16.7], [12.5], [37.5], [33.3, 33.4], [62.4, 62.6], [None, 12.5], [None, None]]
+    rows = [(u, x) for u, own in enumerate(pairs) for x in own]
+    scores = spark.createDataFrame(rows, "user_id long, percent double").repartition(3)
+    answers = spark.range(len(pairs)).select(F.col("id").alias("user_id"), F.lit("A").alias("selected_answer"), F.lit(True).alias("is_correct"), F.lit(10).alias("seconds"))
+    values = ", ".join(f"({u}, {'NULL' if x is None else x}::DOUBLE)" for u, x in rows)
+    want = dict(duckdb.sql(f"SELECT u, CAST(round_even(avg(x), 0) AS INT) FROM (VALUES {values}) AS t(u, x) GROUP BY u").fetchall())
+    assert {r.user_id: r.mean_score for r in analytics.overview(answers, scores).collect()} == want and want[0] == want[1] == 13
+
+
 def test_shuffles_of_responses_grow_with_the_lines(spark, monkeypatch):
     from examlattice import domain
     from examlattice.plans import oracles, queries
